@@ -8,14 +8,11 @@ lie in repeated n-grams and repeated lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracemill.llm.textnum import IS_SPACE, Words, mix, odd_numbers, words
+from tracemill.llm.textnum import IS_SPACE, Words, map_text, mix, odd_numbers, words
 
 #: most share of a text's word characters in repeats of n-grams (first copy excluded);
 #: one line of a dozen words that comes twice in a text of fifty must pass
@@ -134,28 +131,13 @@ def judge(column: pa.Array) -> dict[str, list]:
     return out
 
 
-def quality_rules(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the measures and the verdict ``kept`` of every row.
 
     Defined cases: a null or empty text has no words, so it fails the base rule
     (fewer than 50 words); repeated rows are judged alike and each is returned;
-    an empty table gives an empty result.  Columns of ``docs`` pass through; a
-    column of the same name as a measure is replaced, unless ``prefix`` keeps
-    them apart.  Rows never leave their partition.
+    an empty table gives an empty result.  Columns of ``docs`` (or those of
+    ``keep``) pass through; one named as a measure is replaced.  Rows never leave
+    their partition, and a text is held a few times over at most.
     """
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
-    out_names = {prefix + name for name in names}
-    base = docs.drop(*[c for c in docs.columns if c in out_names and c != text])
-    keep = base.columns
-    fields = F.struct(*[F.col(f"`{c}`") for c in keep])
-    packed = base.select(fields.alias("row"), F.col(f"`{text}`").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, " + SCHEMA
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = judge(batch.column("text"))
-            arrays = [batch.column("row"), *[pa.array(v) for v in found.values()]]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", *found])
-
-    done = packed.mapInArrow(run, schema)
-    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], *[F.col(n).alias(prefix + n) for n in names])
+    return map_text(docs, text, SCHEMA, judge, keep)

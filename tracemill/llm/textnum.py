@@ -10,10 +10,14 @@ with a chance of at most 2**-57.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SPACES = b" \t\n\x0b\x0c\r"
@@ -26,6 +30,8 @@ WEIGHT = np.arange(1, 257, dtype=U64)
 WEIGHT[IS_SPACE] = 0
 #: bytes hashed at a time
 CHUNK = 1 << 20
+#: bytes of text that a task turns into arrays at a time
+SLICE = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,3 +122,43 @@ def windows(values: np.ndarray, first: np.ndarray, n: int, seed: int) -> tuple[n
     left = np.repeat(first[1:], np.diff(first))[:total] - np.arange(total)
     at = np.flatnonzero(left >= n)
     return mix(out[at]), at
+
+
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def map_text(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Array], dict], keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with new columns that ``measure`` makes from slices of the text column.
+
+    Columns pass through (or those of ``keep``); one named as a new column is
+    replaced.  Rows never leave their partition and texts are never copied.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    sent = kept if text in kept else [*kept, text]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in sent]).alias("row"))
+    kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")).schema["row"].dataType if kept else None
+    full = ", ".join([*([f"row {kind.simpleString()}"] if kind else []), schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            column = pc.struct_field(row, [sent.index(text)])
+            for a, b in slices(column):
+                found = measure(column.slice(a, b - a))
+                arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in found.values()]
+                if kept:
+                    parts = [pc.struct_field(row.slice(a, b - a), [i]) for i in range(len(kept))]
+                    arrays.insert(0, pa.StructArray.from_arrays(parts, kept))
+                yield pa.RecordBatch.from_arrays(arrays, [*["row"] * bool(kept), *found])
+
+    done = packed.mapInArrow(run, full)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *names)
