@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the embeddings of its character n-grams and of the
-word itself, so a misspelling that was never seen shares most of its vector with
+A word's vector is the weighted mean of the embeddings of its character n-grams and of
+the word itself (frequent ones weigh less), so a misspelling that was never seen shares most of its vector with
 the word it stands for.  The vectors of ``SEGMENT`` consecutive words are averaged
 and go through one linear softmax.  A few words can make a long document toxic, so
 a document's logit is the smooth maximum of its segments' logits; training runs
@@ -25,27 +25,31 @@ GRAMS = (3, 4, 5)
 SEGMENT = 16
 #: how close the smooth maximum is to the maximum
 SHARP = 3.0
-STEPS = 70
-RATE = 0.05
-DECAY = 1e-4
+STEPS = 40
+RATE = 0.1
+DECAY = 1e-5
 #: most labelled rows, and most bytes of their texts, that training reads
 MAX_TRAIN_ROWS = 2500
 MAX_TRAIN_BYTES = 8_000_000
 #: a bucket learns only if it occurs in this many training documents
-MIN_DOCS = 5
+MIN_DOCS = 10
+#: a bucket with share p of all buckets weighs RARE / (RARE + p), and nothing below LEAST
+RARE = 1e-4
+LEAST = 0.1
 
 
 @dataclass
 class Model:
-    """Embeddings (buckets x width), softmax weights (width x 2) and biases (2)."""
+    """Embeddings (buckets x width), buckets' weights, softmax weights (width x 2), biases (2)."""
 
     embedding: np.ndarray
+    rarity: np.ndarray
     weight: np.ndarray
     bias: np.ndarray
 
     def bucket_scores(self) -> np.ndarray:
         """What each bucket adds to the logit of class 1 against class 0."""
-        return self.embedding @ (self.weight[:, 1] - self.weight[:, 0])
+        return self.rarity * (self.embedding @ (self.weight[:, 1] - self.weight[:, 0]))
 
     def offset(self) -> float:
         return float(self.bias[1] - self.bias[0])
@@ -85,13 +89,16 @@ def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[:-1][row] + SEGMENT * (np.arange(seg_first[-1]) - seg_first[:-1][row]), seg_first
 
 
-def smooth_max(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smooth maximum of each non-empty run of values, and each value's share in it."""
+def smooth_max(values: np.ndarray, first: np.ndarray, sharp: float = SHARP) -> tuple[np.ndarray, np.ndarray]:
+    """Power mean of each non-empty run of values, and each value's share in it.
+
+    Near the mean for a small ``sharp``, near the maximum for a large one.
+    """
     sizes = np.diff(first)
     top = np.maximum.reduceat(values, first[:-1])
-    power = np.exp(SHARP * (values - np.repeat(top, sizes)))
+    power = np.exp(sharp * (values - np.repeat(top, sizes)))
     total = np.add.reduceat(power, first[:-1])
-    return top + np.log(total) / SHARP, power / np.repeat(total, sizes)
+    return top + np.log(total / sizes) / sharp, power / np.repeat(total, sizes)
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
@@ -104,19 +111,25 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     found = words(pa.array(texts, pa.string()), lower=True)
     busy = np.diff(found.first) > 0
     if not busy.any() or len(set(labels[busy].tolist())) < 2:
-        return Model(embedding * 0, weight, bias)
+        return Model(embedding * 0, np.zeros(BUCKETS), weight, bias)
     y = labels[busy].astype(np.float32)
     first = np.concatenate(([0], np.cumsum(np.diff(found.first)[busy])))
     _, pick, inverse = np.unique(found.hashes(), return_index=True, return_inverse=True)
     bucket, word_first = subwords(found, pick)
     word_size = np.diff(word_first).astype(np.float32)[:, None]
-    # a word's vector is a mean over all its buckets; those of few documents stay zero,
-    # or the rare words of each document would be learned by heart
-    docs_of = np.unique(np.stack([np.repeat(np.arange(len(y)), np.diff(first)), inverse]), axis=1)
-    spread = np.bincount(bucket, np.repeat(np.bincount(docs_of[1], minlength=len(pick)), np.diff(word_first)), BUCKETS)
-    common = spread[bucket] >= MIN_DOCS
-    owner = np.repeat(np.arange(len(pick)), np.diff(word_first))[common]
-    bucket = bucket[common]
+    # buckets of few documents learn nothing, or each document's rare words would be
+    # learned by heart; a word's vector is still a mean over all of its buckets
+    pairs = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(pick) + inverse) % len(pick)
+    grams = np.diff(word_first)
+    spread = np.bincount(bucket, np.repeat(np.bincount(pairs, minlength=len(pick)), grams), BUCKETS)
+    share = np.bincount(bucket, np.repeat(np.bincount(inverse), grams), BUCKETS)
+    rarity = RARE / (RARE + share / share.sum())
+    rarity[(rarity < LEAST) | (spread < MIN_DOCS)] = 0
+    common = rarity[bucket] > 0
+    owner, bucket = np.repeat(np.arange(len(pick)), grams)[common], bucket[common]
+    if not len(bucket):
+        return Model(embedding * 0, rarity, weight, bias)
+    scale = rarity[bucket].astype(np.float32)[:, None]
     seg_start, seg_first = segments(first)
     seg_size = np.diff(seg_start, append=first[-1]).astype(np.float32)[:, None]
     # for the way back: which segments hold a word, which words hold a bucket
@@ -133,24 +146,24 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     rows = np.repeat(np.arange(len(y)), np.diff(seg_first))
     for step in range(1, STEPS + 1):
         word_vec = np.zeros((len(pick), WIDTH), np.float32)
-        word_vec[known] = np.add.reduceat(part[where], known_first)
+        word_vec[known] = np.add.reduceat(part[where] * scale, known_first)
         word_vec /= word_size
         seg_vec = np.add.reduceat(word_vec[inverse], seg_start) / seg_size
         logits = seg_vec @ weight + bias
-        z, share = smooth_max(logits[:, 1] - logits[:, 0], seg_first)
+        z, held = smooth_max(logits[:, 1] - logits[:, 0], seg_first, SHARP * min(1.0, 2 * step / STEPS))
         p = 1 / (1 + np.exp(-z))
-        pull = (((p - y) / len(y))[rows] * share).astype(np.float32)
+        pull = (((p - y) / len(y))[rows] * held).astype(np.float32)
         d_logits = np.stack([-pull, pull], 1)
         d_seg = (d_logits @ weight.T) / seg_size
         d_word = np.add.reduceat(d_seg[seg_of[by_word]], word_edge) / word_size
-        d_part = np.add.reduceat(d_word[word_of], bucket_edge) + DECAY * part / len(y)
+        d_part = np.add.reduceat(d_word[word_of], bucket_edge) * rarity[used][:, None] + DECAY * part
         for param, grad, (m, v) in zip((part, weight, bias), (d_part, seg_vec.T @ d_logits, d_logits.sum(0)), state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            param -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+            param -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     embedding *= 0  # a bucket that training never met says nothing
     embedding[used] = part
-    return Model(embedding, weight, bias)
+    return Model(embedding, rarity, weight, bias)
 
 
 def score(column: pa.Array, scores: np.ndarray, offset: float) -> np.ndarray:
