@@ -22,17 +22,17 @@ from tracemill.llm.textnum import U64, Words, map_text, mix, odd_numbers, words
 BUCKETS = 1 << 16
 WIDTH = 8
 GRAMS = (3, 4, 5)
-SEGMENT = 16
+SEGMENT = 8
 #: how close the smooth maximum is to the maximum
 SHARP = 3.0
-STEPS = 40
-RATE = 0.1
+STEPS = 100
+RATE = 0.05
 DECAY = 1e-5
 #: most labelled rows, and most bytes of their texts, that training reads
-MAX_TRAIN_ROWS = 2500
-MAX_TRAIN_BYTES = 8_000_000
+MAX_TRAIN_ROWS = 5000
+MAX_TRAIN_BYTES = 16_000_000
 #: a bucket learns only if it occurs in this many training documents
-MIN_DOCS = 10
+MIN_DOCS = 25
 #: a bucket with share p of all buckets weighs RARE / (RARE + p), and nothing below LEAST
 RARE = 1e-4
 LEAST = 0.1
@@ -116,7 +116,6 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     first = np.concatenate(([0], np.cumsum(np.diff(found.first)[busy])))
     _, pick, inverse = np.unique(found.hashes(), return_index=True, return_inverse=True)
     bucket, word_first = subwords(found, pick)
-    word_size = np.diff(word_first).astype(np.float32)[:, None]
     # buckets of few documents learn nothing, or each document's rare words would be
     # learned by heart; a word's vector is still a mean over all of its buckets
     pairs = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(pick) + inverse) % len(pick)
@@ -129,37 +128,31 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     owner, bucket = np.repeat(np.arange(len(pick)), grams)[common], bucket[common]
     if not len(bucket):
         return Model(embedding * 0, rarity, weight, bias)
-    scale = rarity[bucket].astype(np.float32)[:, None]
     seg_start, seg_first = segments(first)
-    seg_size = np.diff(seg_start, append=first[-1]).astype(np.float32)[:, None]
-    # for the way back: which segments hold a word, which words hold a bucket
-    seg_of = np.repeat(np.arange(len(seg_start)), seg_size[:, 0].astype(int))
-    by_word = np.argsort(inverse, kind="stable")
-    word_edge = np.concatenate(([0], np.cumsum(np.bincount(inverse))))[:-1]
-    by_bucket = np.argsort(bucket, kind="stable")
-    word_of = owner[by_bucket]
-    used, bucket_edge = np.unique(bucket[by_bucket], return_index=True)
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (embedding[used], weight, bias)]
-    part = embedding[used]
-    where = np.searchsorted(used, bucket)
-    known, known_first = np.unique(owner, return_index=True)
-    rows = np.repeat(np.arange(len(y)), np.diff(seg_first))
+    seg_size = np.diff(seg_start, append=first[-1])
+    seg_of = np.repeat(np.arange(len(seg_start)), seg_size)
+    scale = rarity[bucket] / grams[owner]
+    useful = np.isin(inverse, owner)  # words without a learning bucket add nothing
+    token, token_seg = inverse[useful], seg_of[useful]
+    used, where = np.unique(bucket, return_inverse=True)
+    part, rows = embedding[used], np.repeat(np.arange(len(y)), np.diff(seg_first))
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (part, weight, bias)]
     for step in range(1, STEPS + 1):
-        word_vec = np.zeros((len(pick), WIDTH), np.float32)
-        word_vec[known] = np.add.reduceat(part[where] * scale, known_first)
-        word_vec /= word_size
-        seg_vec = np.add.reduceat(word_vec[inverse], seg_start) / seg_size
-        logits = seg_vec @ weight + bias
-        z, held = smooth_max(logits[:, 1] - logits[:, 0], seg_first, SHARP * min(1.0, 2 * step / STEPS))
-        p = 1 / (1 + np.exp(-z))
-        pull = (((p - y) / len(y))[rows] * held).astype(np.float32)
-        d_logits = np.stack([-pull, pull], 1)
-        d_seg = (d_logits @ weight.T) / seg_size
-        d_word = np.add.reduceat(d_seg[seg_of[by_word]], word_edge) / word_size
-        d_part = np.add.reduceat(d_word[word_of], bucket_edge) * rarity[used][:, None] + DECAY * part
-        for param, grad, (m, v) in zip((part, weight, bias), (d_part, seg_vec.T @ d_logits, d_logits.sum(0)), state, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
+        # both averages are linear, so they pass on the one number that the softmax
+        # needs of a vector: its product with the difference of the two weights
+        side = weight[:, 1] - weight[:, 0]
+        word = np.bincount(owner, (part @ side)[where] * scale, len(pick))
+        seg = np.bincount(token_seg, word[token], len(seg_start)) / seg_size
+        z, held = smooth_max(seg + float(bias[1] - bias[0]), seg_first, SHARP * min(1.0, 2 * step / STEPS))
+        pull = ((1 / (1 + np.exp(-z)) - y) / len(y))[rows] * held
+        back = np.bincount(token, (pull / seg_size)[token_seg], len(pick))
+        slope = np.bincount(where, back[owner] * scale, len(used)).astype(np.float32)
+        d_side = slope @ part
+        d_bias = float(pull.sum())
+        grads = (slope[:, None] * side + DECAY * part, np.stack([-d_side, d_side], 1), np.array([-d_bias, d_bias]))
+        for param, grad, (m, v) in zip((part, weight, bias), grads, state, strict=True):
+            m += (0.1 * (grad - m)).astype(np.float32)
+            v += (0.01 * (grad * grad - v)).astype(np.float32)
             param -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     embedding *= 0  # a bucket that training never met says nothing
     embedding[used] = part
