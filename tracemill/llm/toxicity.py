@@ -29,8 +29,8 @@ STEPS = 100
 RATE = 0.05
 DECAY = 1e-5
 #: most labelled rows, and most bytes of their texts, that training reads
-MAX_TRAIN_ROWS = 5000
-MAX_TRAIN_BYTES = 16_000_000
+MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_BYTES = 10_000_000
 #: a bucket learns only if it occurs in this many training documents
 MIN_DOCS = 25
 #: a bucket with share p of all buckets weighs RARE / (RARE + p), and nothing below LEAST
@@ -174,19 +174,26 @@ def score(column: pa.Array, scores: np.ndarray, offset: float) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> Model:
-    """Trains on a sample of ``labelled`` bounded by MAX_TRAIN_ROWS and MAX_TRAIN_BYTES.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id") -> Model:
+    """Trains on a sample of labelled rows bounded by MAX_TRAIN_ROWS and MAX_TRAIN_BYTES.
 
-    The sample is the rows whose hashed key comes first: every row if the bounds
-    allow, else a share of them that two sums decide.  Rows without text or label
-    are not used; without both classes the model answers with the prior.
+    The sample is the labels whose hashed key comes first: all if the bounds allow,
+    else a share of them that their number and the size of their texts decide.  Only
+    the sampled labels, a bounded table, are broadcast to the documents, which are
+    never shuffled.  Rows without text or label are not used; without both classes
+    the model answers with the prior.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.octet_length(text) <= MAX_TRAIN_BYTES // 10))
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1 << 30))
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    part = min(1.0, MAX_TRAIN_ROWS / max(1, n), MAX_TRAIN_BYTES / max(1, size))
-    sample = rows.where(place < F.lit(int(part * (1 << 30)))).select(place.alias("at"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    got = sorted(sample.collect())
+    known = labels.select(F.col(key), F.col(label).cast("int").alias("label"), place.alias("at")).dropna()
+    part = min(1.0, MAX_TRAIN_ROWS / max(1, known.count()))
+
+    def sample(share: float) -> DataFrame:
+        few = F.broadcast(known.where(F.col("at") < int(share * (1 << 30))))
+        found = docs.where(F.octet_length(text) <= MAX_TRAIN_BYTES // 10).join(few, key)
+        return found.select("at", F.col(text).alias("text"), "label")
+
+    size = sample(part).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    got = sorted(sample(part * min(1.0, MAX_TRAIN_BYTES / max(1, size))).collect())
     return train([r.text for r in got], np.array([r.label for r in got], np.int64))
 
 
