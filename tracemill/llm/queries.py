@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.lm_scoring import lm_scoring
 from tracemill.llm.near_dedup import near_dedup
 from tracemill.llm.quality_rules import quality_rules
 from tracemill.llm.substring_dedup import substring_dedup
@@ -36,6 +37,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    done = lm_scoring(docs, ~held_out).drop("text")
+    return done.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), *done.columns[1:])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.blocks import bits, cut_shards, dealt, pack, pow2, text_bytes, unbits, unpack
-from tracemill.llm.textnum import U64, Words, mix, slices, windows, words
+from tracemill.llm.textnum import U64, Words, mix, slices, windows, with_row, words
 
 WINDOW = 13
 DEPTH = 2
@@ -125,7 +125,6 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         h, low, owner = h[order], low[order], owner[order]
         first = np.concatenate(([True], (h[1:] != h[:-1]) | (low[1:] != low[:-1])))[: len(h)]
         h, low, owner = h[first], low[first], owner[first]
-        # a null key is the largest number; it still has to be told from "several"
         out = [(s, block, pack(h[a:b]), pack(low[a:b]), pack(owner[a:b])) for s, a, b in cut_shards(h, 64, shard_bits)]
         return rows_of(out, ASKED)
 
@@ -145,7 +144,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return out_schema.empty_table()
+            return pa.table({})
         ids, texts = fields(table, names, key, text)
         known = [unpack(x, U64) for x in answers.column("high").to_pylist()]
         least = [unpack(x, np.int64) for x in answers.column("least").to_pylist()]
@@ -176,12 +175,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         row = table.column("row")
         return pa.table({"row": row, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    row_type = blocks.schema["row"].dataType.simpleString()
-    out_schema = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    schema = with_row(blocks.schema["row"].dataType, "n_words long, n_removed long, kept_text string")
     flags = blocks.groupBy("block").applyInArrow(sketch, SENT).groupBy("shard").applyInArrow(merge, FLAGS)
     asked = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(ask, ASKED)
     answers = asked.groupBy("shard").applyInArrow(group, ANSWERS)
-    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, f"row {row_type}, n_words long, n_removed long, kept_text string")
+    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
     passed = [c for c in names if c not in made]
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in passed], *made)
 

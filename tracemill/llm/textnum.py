@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 SPACES = b" \t\n\x0b\x0c\r"
@@ -135,6 +136,11 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def with_row(row: T.DataType | None, schema: str) -> T.StructType:
+    """``schema`` after a column ``row`` of rows that pass through as they are."""
+    return T.StructType([*([T.StructField("row", row)] if row else []), *T.StructType.fromDDL(schema).fields])
+
+
 def map_text(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Array], dict], keep: list[str] | None = None) -> DataFrame:
     """``docs`` with new columns that ``measure`` makes from slices of the text column.
 
@@ -146,7 +152,6 @@ def map_text(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Arra
     sent = kept if text in kept else [*kept, text]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in sent]).alias("row"))
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")).schema["row"].dataType if kept else None
-    full = ", ".join([*([f"row {kind.simpleString()}"] if kind else []), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +162,8 @@ def map_text(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Arra
                 arrays = [v if isinstance(v, pa.Array) else pa.array(v) for v in found.values()]
                 if kept:
                     parts = [pc.struct_field(row.slice(a, b - a), [i]) for i in range(len(kept))]
-                    arrays.insert(0, pa.StructArray.from_arrays(parts, kept))
+                    arrays.insert(0, pa.StructArray.from_arrays(parts, fields=[row.type.field(i) for i in range(len(kept))]))
                 yield pa.RecordBatch.from_arrays(arrays, [*["row"] * bool(kept), *found])
 
-    done = packed.mapInArrow(run, full)
+    done = packed.mapInArrow(run, with_row(kind, schema))
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *names)
