@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from tracemill.llm.lm_scoring import lm_scoring
 from tracemill.llm.near_dedup import near_dedup
 from tracemill.llm.quality_rules import quality_rules
+from tracemill.llm.sentencepieces import Vocabulary, decode, encode
 from tracemill.llm.substring_dedup import substring_dedup
 from tracemill.llm.toxicity import fit, toxicity
 
+#: vocabulary files of public tokenizers
+TOKENIZERS = "/opt/tokenizers"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +37,21 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    """Digests of each text's ids and of what they decode to, and whether that is the text."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = Vocabulary.load(model)
+    done = decode(encode(docs, vocabulary), vocabulary)
+    ids = F.array_join("token_ids", " ")
+    return done.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
