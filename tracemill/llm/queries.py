@@ -12,10 +12,14 @@ from tracemill.llm.near_dedup import near_dedup
 from tracemill.llm.quality_rules import quality_rules
 from tracemill.llm.sentencepieces import Vocabulary, decode, encode
 from tracemill.llm.substring_dedup import substring_dedup
+from tracemill.llm.token_counts import Ranks, token_counts
 from tracemill.llm.toxicity import fit, toxicity
+from tracemill.llm.warc_derivatives import build_derivatives, responses
 
 #: vocabulary files of public tokenizers
 TOKENIZERS = "/opt/tokenizers"
+#: fixed value: the pre-token pattern that belongs to the byte-level BPE files
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +56,29 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZE
     )
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's response and the two records derived from it, blocks as digests."""
+    records = responses(_table(spark, sf_dir, "pages"))
+    both = records.unionByName(build_derivatives(records))
+    header = F.col("source_headers")["Content-Type"].alias("source_content_type")
+    head = ["page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", header, "block_digest", "payload_digest"]
+    return both.select(*head, F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Counts of every text before and after a replacement, an insertion and a deletion in it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.length(F.coalesce("text", F.lit("")))
+    place = lambda share: F.floor(n * share).cast("int")
+    edit = lambda start, size, new: F.struct(start.alias("start"), (start + size).cast("int").alias("end"), F.lit(new).alias("new"))
+    edits = F.array(edit(place(0.25), 20, " edited"), edit(place(0.5), 0, " some more words"), edit(place(0.75), 15, ""))
+    return token_counts(docs.withColumn("edits", edits), Ranks.load(ranks, PATTERN), edits="edits", keep=["doc_id"])
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2

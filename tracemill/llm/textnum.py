@@ -126,8 +126,9 @@ def windows(values: np.ndarray, first: np.ndarray, n: int, seed: int) -> tuple[n
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes of text, one row at least."""
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    """Row ranges of about ``size`` bytes of text (of a struct: its field text), one row at least."""
+    strings = pc.struct_field(column, ["text"]) if pa.types.is_struct(column.type) else column
+    lengths = pc.fill_null(pc.binary_length(strings), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
     at = 0
     while at < len(column):
