@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.lm_scoring import lm_scoring
+from tracemill.llm.mixing import mix_sources
 from tracemill.llm.near_dedup import near_dedup
 from tracemill.llm.quality_rules import quality_rules
 from tracemill.llm.sentencepieces import Vocabulary, decode, encode
@@ -15,6 +16,7 @@ from tracemill.llm.substring_dedup import substring_dedup
 from tracemill.llm.token_counts import Ranks, token_counts
 from tracemill.llm.toxicity import fit, toxicity
 from tracemill.llm.warc_derivatives import build_derivatives, responses
+from tracemill.llm.winnowing import hashes, likeness, winnow, with_next
 
 #: vocabulary files of public tokenizers
 TOKENIZERS = "/opt/tokenizers"
@@ -56,6 +58,27 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZE
     )
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likeness to each other and to the next text's."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = with_next(docs, "doc_id", "text", "next_text").withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
+    both = winnow(winnow(winnow(both.withColumn("edited", edited), "text", "own"), "edited", "changed"), "next_text", "following")
+    sets = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", *[hashes(c).alias(f"{c}_set") for c in ("own", "changed", "following")])
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["position"].cast("string"), x["hash"].cast("string"))), " "), 256)
+    return sets.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        digest("own").alias("fingerprint"),
+        digest("changed").alias("edited_fingerprint"),
+        likeness(F.col("own_set"), F.col("changed_set")).alias("near_edited"),
+        likeness(F.col("own_set"), F.col("following_set")).alias("near_next"),
+        F.size("own").cast("long").alias("n_kept"),
+    )
+
+
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's response and the two records derived from it, blocks as digests."""
     records = responses(_table(spark, sf_dir, "pages"))
@@ -86,6 +109,29 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), *done.columns[1:])
 
 
+#: what part of all tokens the mixed corpus has, and the weights of its tree
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
+MIX_WEIGHTS = {
+    ("web",): 5.0,
+    ("books",): 3.0,
+    ("reference",): 2.0,
+    **{(domain, lang): weight for domain in ("web", "books", "reference") for lang, weight in (("en", 4.0), ("de", 2.0), ("fr", 2.0), ("es", 2.0))},
+}
+
+
+def mix_levels() -> list:
+    """Domain, language and source; the domain follows from the source's number."""
+    number = F.try_to_number(F.regexp_extract("source", r"(\d+)$", 1), F.lit("999999999")).cast("long")
+    domain = F.when(number < 5, "web").when(number < 12, "books").otherwise("reference")
+    return [domain, F.col("lang"), F.col("source")]
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mix_sources(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return mixed.select("doc_id", "lang", "source", "mix_tokens", "mix_epoch", "mix_budget")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
