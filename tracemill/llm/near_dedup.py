@@ -8,8 +8,10 @@ registers name candidates, the joint likelihood of two sketches drops the hopele
 ones, and full sets decide.  At similarity 0.8 the bands miss one pair in 7 million.
 
 Links are needed only to connect documents: documents of equal sets are one class,
-each bucket first links its members to its smallest one, and only members that are
-still apart after that are compared with each other.
+each bucket first links its members to the one that meets most others in all its
+buckets (the original of a family of copies, which resemble it more than each
+other).  Members that are still in different components after that are compared
+exactly with all they share a bucket with, block by block of CHUNK sets.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ FLIP, FACTOR = mix(odd_numbers(REGISTERS, 21)), odd_numbers(REGISTERS, 22)
 STEP = 512
 #: candidates estimated this far below the threshold are dropped: five deviations
 SLACK = 0.14
+#: most sets in one side of a block
+CHUNK = 512
+#: ids (8 bytes each) up to which the wanted texts are picked by a broadcast
+MOST_BROADCAST = 1_000_000
 GRID = np.linspace(0, 1, 101)
 
 
@@ -114,12 +120,16 @@ def _hopeful(least: float):
     return run
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    edges, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("u_set"), batch.column("v_set"), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), U64) for z in (x, y))
+            for a, b in zip(_lists(batch.column("u_set")), _lists(batch.column("v_set")), strict=True):
                 both = np.sort(np.concatenate((a, b)))
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= percent * (len(a) + len(b) - shared))
@@ -128,6 +138,57 @@ def _confirmed(percent: int):
     return run
 
 
+def _compared(percent: int):
+    """Links between components in one block: one for each set and component that it is linked to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, rep, group = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
+        sets = [x for chunk in table.column("items").chunks for x in _lists(chunk)]
+        low, high = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        sizes = np.array([len(x) for x in sets])
+        names, place = np.unique(np.concatenate(sets), return_inverse=True)
+        places = np.split(place, np.cumsum(sizes)[:-1])
+        there, edge = np.concatenate([places[j] for j in right]), np.cumsum(sizes[right]) - sizes[right]
+        mark, links = np.zeros(len(names), np.int64), []
+        for i in left:
+            mark[places[i]] = 1
+            shared = np.add.reduceat(mark[there], edge)
+            mark[places[i]] = 0
+            hits = right[(100 * shared >= percent * (sizes[i] + sizes[right] - shared)) & (group[right] != group[i])]
+            _, first = np.unique(group[hits], return_index=True)
+            links += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in hits[first]]
+        return pa.table({n: pa.array([x[k] for x in links], pa.int64()) for k, n in enumerate(("u", "v"))})
+
+    return run
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(rep, items) of the wanted keys; of rows of one key, the least set."""
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep", "left_semi")
+
+    def full(column: pa.Array) -> dict:
+        sets = shingle_sets(column, n)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+        values = np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)
+        return {"items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
+
+    return map_text(texts, "text", "items array<long>", full, ["rep"]).groupBy("rep").agg(F.min("items").alias("items"))
+
+
+def _late_links(blobs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Links (u, v) between components in each of ``blobs`` (head, rep, component)."""
+    apart = blobs.groupBy("head").agg(F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b and k > 2")
+    live = cut_lineage(blobs.join(apart.select("head", F.ceil(F.col("k") / CHUNK).cast("int").alias("c")), "head"))
+    sets = _sets(live.select("rep").distinct(), docs, key, text, n)
+    part = F.pmod(F.xxhash64("rep"), F.col("c")).cast("int")
+    sides = live.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    sides = sides.select("head", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component")
+    return sides.join(sets, "rep").groupBy("head", "lo", "hi").applyInArrow(_compared(percent), "u long, v long").distinct()
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) of class representatives whose full sets are similar enough."""
     side = lambda name, other: classes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_size"), F.col("regs").alias(f"{name}_regs"))  # noqa: E731, ARG005
@@ -135,13 +196,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     sized = sized.where((100 * F.col("u_size") >= percent * F.col("v_size")) & (100 * F.col("v_size") >= percent * F.col("u_size")))
     hopeful = cut_lineage(sized.mapInArrow(_hopeful(percent / 100 - SLACK), "u long, v long"))
     wanted = hopeful.select(F.col("u").alias("rep")).union(hopeful.select(F.col("v").alias("rep"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
-
-    def full(column: pa.Array) -> dict:
-        return {"items": pa.array([s.tobytes() for s in shingle_sets(column, n)], pa.binary())}
-
-    # rows of one key and other texts are other classes: the class's set is that of its representative's first row
-    sets = map_text(texts, "text", "items binary", full, ["rep"]).groupBy("rep").agg(F.min("items").alias("items"))
+    sets = _sets(wanted, docs, key, text, n)
     with_v = hopeful.join(sets.select(F.col("rep").alias("v"), F.col("items").alias("v_set")), "v")
     with_both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("items").alias("u_set")), "u")
     return with_both.mapInArrow(_confirmed(percent), "u long, v long")
@@ -166,22 +221,21 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     classes = some.groupBy("high", "low").agg(F.min("key").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs"))
     classes = cut_lineage(classes)
     member = classes.select("rep", "regs").mapInArrow(_bands, "rep long, bands array<long>").select("rep", F.explode("bands").alias("band"))
-    heads = member.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail").select("band", "head")
-    shared = cut_lineage(member.join(heads, "band"))
+    sizes = member.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    sized = cut_lineage(member.join(sizes, "band"))
+    ranked = sized.join(sized.groupBy("rep").agg(F.sum("c").alias("met")), "rep")
+    heads = ranked.groupBy("band").agg(F.min(F.struct(-F.col("met"), F.col("rep").alias("rep")))["rep"].alias("head"))
+    shared = cut_lineage(sized.join(heads, "band"))
     # rows of one key are one node
     same_key = some.groupBy("high", "low", "key").count().groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     joined = some.join(same_key, "key").join(classes.select("high", "low", "rep"), ["high", "low"])
     by_key = joined.where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct()
 
-    star = shared.where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
+    star = shared.where("rep <> head").select(F.least("head", "rep").alias("u"), F.greatest("head", "rep").alias("v")).distinct()
     links = cut_lineage(_links(star, classes, docs, key, text, shingle, percent).union(by_key))
     found = components(links)
-    named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "head", F.coalesce("component", "rep").alias("component"))
-    apart = named.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2").select("band")
-    rest = cut_lineage(named.join(apart, "band").where("rep <> head"))
-    other = rest.select("band", F.col("rep").alias("v"), F.col("component").alias("c2"))
-    more = rest.select("band", F.col("rep").alias("u"), F.col("component").alias("c1")).join(other, "band").where("u < v and c1 <> c2").select("u", "v").distinct()
-    late = cut_lineage(_links(more, classes, docs, key, text, shingle, percent))
+    named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "head", F.coalesce("component", "rep").alias("component"))
+    late = cut_lineage(_late_links(named.select("head", "rep", "component").distinct(), docs, key, text, shingle, percent))
     if late.limit(1).count():
         found = components(links.union(late))
     rep_of = classes.select("high", "low", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("class"))
