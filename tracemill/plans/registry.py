@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+#: modules of this package with a ``registry``
+AREAS = ("detectors",)
+
+
+def _areas() -> list:
+    return [import_module(f"tracemill.plans.{area}").registry for area in AREAS]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for area in _areas() for name, query in area.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in _areas() for name, sql in area.sql.items()}
