@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.operators.windows import moment, newest, trailing
+from tracemill.operators.windows import evidence, moment, trailing
 
 METRICS = ("csdma", "dsdma", "coherence")
 ALERT = ("alert_id", "severity", "mechanism", "agent_id_hash", "domain", "metric", "value", "baseline", "deviation", "evidence")
@@ -32,10 +32,10 @@ def _severity(size: Column, critical: float) -> Column:
 def cross_agent_divergence(tr: DataFrame, as_of: str, days: int = 7, min_traces: int = 10, min_agents: int = 3, warn: float = 2.0, crit: float = 3.0) -> DataFrame:
     """Agents whose mean metrics lie far from the mean of their domain's agents."""
     rows = trailing(tr, as_of, days).where("signature_verified and csdma is not null")
-    per_agent = rows.groupBy("agent_id_hash", "dsdma_domain").agg(*[F.avg(m).alias(m) for m in METRICS], F.count("*").alias("n"), newest("ts", "trace_id").alias("evidence")).where(F.col("n") >= min_traces)
-    long = per_agent.unpivot(["agent_id_hash", "dsdma_domain", "evidence"], list(METRICS), "metric", "value")
+    per_agent = rows.groupBy("agent_id_hash", "dsdma_domain").agg(*[F.avg(m).alias(m) for m in METRICS], F.count("*").alias("n")).where(F.col("n") >= min_traces)
+    long = per_agent.unpivot(["agent_id_hash", "dsdma_domain"], list(METRICS), "metric", "value")
     domain = long.groupBy("dsdma_domain", "metric").agg(F.avg("value").alias("baseline"), F.stddev_samp("value").alias("sd"), F.count("*").alias("agents")).where((F.col("agents") >= min_agents) & (F.col("sd") > 0))
-    found = long.join(domain, ["dsdma_domain", "metric"]).withColumn("z", (F.col("value") - F.col("baseline")) / F.col("sd")).where(F.abs("z") > warn)
+    found = long.join(domain, ["dsdma_domain", "metric"]).withColumn("z", (F.col("value") - F.col("baseline")) / F.col("sd")).where(F.abs("z") > warn).join(evidence(rows, ["agent_id_hash", "dsdma_domain"]), ["agent_id_hash", "dsdma_domain"])
     return build_alerts(found.select("agent_id_hash", F.col("dsdma_domain").alias("domain"), "metric", "value", "baseline", F.col("z").alias("deviation"), _severity(F.abs("z"), crit).alias("severity"), "evidence"), "cross_agent_divergence")
 
 
@@ -57,8 +57,9 @@ def cohort_divergence(tr: DataFrame, as_of: str, days: int = 7, min_traces: int
 
 def intra_agent_inconsistency(tr: DataFrame, as_of: str, days: int = 30, actions: int = 2, spread: float = 0.15) -> DataFrame:
     """Agents that choose many different actions for one type of trace with uneven plausibility."""
-    stats = trailing(tr, as_of, days).groupBy("agent_id_hash", "trace_type").agg(F.countDistinct("selected_action").alias("actions"), F.stddev_samp("csdma").alias("sd"), newest("ts", "trace_id").alias("evidence"))
-    found = stats.where((F.col("actions") > actions) & (F.col("sd") > spread))
+    rows = trailing(tr, as_of, days)
+    stats = rows.groupBy("agent_id_hash", "trace_type").agg(F.countDistinct("selected_action").alias("actions"), F.stddev_samp("csdma").alias("sd"))
+    found = stats.where((F.col("actions") > actions) & (F.col("sd") > spread)).join(evidence(rows, ["agent_id_hash", "trace_type"]), ["agent_id_hash", "trace_type"])
     severity = F.when((F.col("actions") > actions + 1) & (F.col("sd") > spread + 0.05), "critical").otherwise("warning")
     return build_alerts(found.select("agent_id_hash", F.lit(None).cast("string").alias("domain"), F.col("trace_type").alias("metric"), F.col("sd").alias("value"), F.lit(spread).alias("baseline"), F.col("actions").cast("double").alias("deviation"), severity.alias("severity"), "evidence"), "intra_agent_inconsistency")
 
@@ -72,18 +73,20 @@ def hash_chain_gaps(tr: DataFrame) -> DataFrame:
 
 def hash_chain_alerts(tr: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """One critical alert for each agent with a broken chain."""
-    gaps = hash_chain_gaps(trailing(tr, as_of, days)).groupBy("agent_id_hash").agg(F.count("*").cast("double").alias("value"), F.slice(F.sort_array(F.collect_list(F.struct("seq", "trace_id"))), 1, 5).alias("s"))
-    found = gaps.select("agent_id_hash", F.lit(None).cast("string").alias("domain"), F.lit("audit_sequence").alias("metric"), "value", F.lit(0.0).alias("baseline"), F.col("value").alias("deviation"), F.lit("critical").alias("severity"), F.col("s.trace_id").alias("evidence"))
+    steps = hash_chain_gaps(trailing(tr, as_of, days))
+    gaps = steps.groupBy("agent_id_hash").agg(F.count("*").cast("double").alias("value")).join(evidence(steps, ["agent_id_hash"], "seq", newest=False), "agent_id_hash")
+    found = gaps.select("agent_id_hash", F.lit(None).cast("string").alias("domain"), F.lit("audit_sequence").alias("metric"), "value", F.lit(0.0).alias("baseline"), F.col("value").alias("deviation"), F.lit("critical").alias("severity"), "evidence")
     return build_alerts(found, "hash_chain")
 
 
 def daily_drift(tr: DataFrame, as_of: str, days: int = 30, min_traces: int = 5, warn: float = 0.15, crit: float = 0.25) -> DataFrame:
     """Agents whose daily mean jumps between two days with enough traces."""
-    daily = trailing(tr, as_of, days).groupBy("agent_id_hash", F.to_date("ts").alias("day")).agg(F.avg("csdma").alias("csdma"), F.avg("coherence").alias("coherence"), F.count("*").alias("n"), newest("ts", "trace_id").alias("evidence")).where(F.col("n") >= min_traces)
+    rows = trailing(tr, as_of, days).withColumn("day", F.to_date("ts"))
+    daily = rows.groupBy("agent_id_hash", "day").agg(F.avg("csdma").alias("csdma"), F.avg("coherence").alias("coherence"), F.count("*").alias("n")).where(F.col("n") >= min_traces)
     order = Window.partitionBy("agent_id_hash").orderBy("day")
-    jump = daily.select("agent_id_hash", "day", "evidence", *[F.col(m) for m in ("csdma", "coherence")], *[F.lag(m).over(order).alias(f"{m}_before") for m in ("csdma", "coherence")])
+    jump = daily.select("agent_id_hash", "day", *[F.col(m) for m in ("csdma", "coherence")], *[F.lag(m).over(order).alias(f"{m}_before") for m in ("csdma", "coherence")])
     a, b = F.abs(F.col("csdma") - F.col("csdma_before")), F.abs(F.col("coherence") - F.col("coherence_before"))
-    found = jump.withColumn("size", F.greatest(a, b)).where(F.col("size") > warn)
+    found = jump.withColumn("size", F.greatest(a, b)).where(F.col("size") > warn).join(evidence(rows, ["agent_id_hash", "day"]), ["agent_id_hash", "day"])
     first = F.coalesce(a, F.lit(-1.0)) >= F.coalesce(b, F.lit(-1.0))
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
     return build_alerts(found.select("agent_id_hash", F.col("day").cast("string").alias("domain"), F.when(first, "csdma").otherwise("coherence").alias("metric"), pick("csdma", "coherence").alias("value"), pick("csdma_before", "coherence_before").alias("baseline"), F.col("size").alias("deviation"), _severity(F.col("size"), crit).alias("severity"), "evidence"), "temporal_drift")
@@ -104,9 +107,10 @@ def welch_drift(tr: DataFrame, as_of: str, baseline_days: int = 30, comparison_d
 
 def override_rate_anomalies(tr: DataFrame, as_of: str, days: int = 7, min_traces: int = 20, warn: float = 2.0, crit: float = 3.0) -> DataFrame:
     """Agents overridden more than twice as often as the mean agent of their domain."""
-    rates = trailing(tr, as_of, days).groupBy("agent_id_hash", "dsdma_domain").agg(F.count("*").alias("n"), F.count_if("action_was_overridden").alias("overrides"), newest("ts", "trace_id").alias("evidence")).where(F.col("n") >= min_traces).withColumn("value", F.col("overrides") / F.col("n"))
+    rows = trailing(tr, as_of, days)
+    rates = rows.groupBy("agent_id_hash", "dsdma_domain").agg(F.count("*").alias("n"), F.count_if("action_was_overridden").alias("overrides")).where(F.col("n") >= min_traces).withColumn("value", F.col("overrides") / F.col("n"))
     domain = rates.groupBy("dsdma_domain").agg(F.avg("value").alias("baseline"))
-    found = rates.join(domain, "dsdma_domain").where(F.col("value") > warn * F.col("baseline"))
+    found = rates.join(domain, "dsdma_domain").where(F.col("value") > warn * F.col("baseline")).join(evidence(rows, ["agent_id_hash", "dsdma_domain"]), ["agent_id_hash", "dsdma_domain"])
     severity = F.when(F.col("value") > crit * F.col("baseline"), "critical").otherwise("warning")
     return build_alerts(found.select("agent_id_hash", F.col("dsdma_domain").alias("domain"), F.lit("override_rate").alias("metric"), "value", "baseline", (F.col("value") / F.col("baseline")).alias("deviation"), severity.alias("severity"), "evidence"), "conscience_override")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def moment(as_of: str) -> Column:
@@ -17,12 +18,13 @@ def trailing(df: DataFrame, as_of: str, days: float = 0, hours: float = 0, ts: s
     return df.where((F.col(ts) >= start) & (F.col(ts) <= moment(as_of)))
 
 
-def unpivoted(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
-    """One row for each key and column."""
-    return df.unpivot(keys, columns, name, value)
+def evidence(rows: DataFrame, keys: list[str], order: str = "ts", what: str = "trace_id", n: int = 5, newest: bool = True) -> DataFrame:
+    """For each group the ``n`` values of ``what`` that come first by ``order``.
 
-
-def newest(order: str, what: str, n: int = 5) -> Column:
-    """The ``n`` values of ``what`` with the greatest ``order``, newest first."""
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct(order, what)), asc=False), 1, n)
-    return F.transform(ranked, lambda s: s[what])
+    The rank limit is applied before the shuffle, so a group of any size sends a
+    few rows from each task.
+    """
+    by = [F.desc(c) if newest else F.asc(c) for c in (order, what)]
+    top = rows.select(*keys, what, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).alias("rn")).where(F.col("rn") <= n)
+    ranked = F.sort_array(F.collect_list(F.struct("rn", what)))
+    return top.groupBy(*keys).agg(F.transform(ranked, lambda s: s[what]).alias("evidence"))
