@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.sources.adapter import AS_OF, traces, with_traces
+from tracemill.sources.adapter import AS_OF, derived, traces, with_derived, with_traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,12 @@ class Registry:
         if sql:
             self.sql[name] = with_traces(sql)
 
+    def on_derived(self, name: str, source: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+        """A query over a telemetry table; its SQL reads it by its name."""
+        self.queries[name] = lambda spark, sf_dir: tidy(build(derived(spark, sf_dir, source)))
+        if sql:
+            self.sql[name] = with_derived(sql, source)
+
     def on_table(self, name: str, source: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
         self.queries[name] = lambda spark, sf_dir: tidy(build(table(spark, sf_dir, source)))
         if sql:

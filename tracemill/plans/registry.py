@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules of this package with a ``registry``
-AREAS = ("detectors", "scoring")
+AREAS = ("detectors", "scoring", "telemetry")
 
 
 def _areas() -> list:

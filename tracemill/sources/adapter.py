@@ -76,3 +76,29 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_traces(sql: str) -> str:
     """DuckDB SQL over ``tr``, the canonical traces."""
     return f"with tr as ({TRACE_SQL}) {sql}" if not sql.lstrip().lower().startswith("with ") else f"with tr as ({TRACE_SQL}), {sql.lstrip()[5:]}"
+
+#: telemetry and other tables derived from ``events`` in the same way
+DERIVED = {
+    "logs": """select event_id as log_id, cast(ts as timestamp) as ts, 'svc' || cast(user_id % 5 as varchar(20)) as service,
+        case when event_type = 'error' then case when event_id % 3 = 0 then 'CRITICAL' else 'ERROR' end when event_id % 7 = 0 then 'WARNING' else 'INFO' end as level,
+        case event_id % 6 when 0 then 'payment failed for order' when 1 then 'GET /v1/charge 200' when 2 then 'credit added to account' when 3 then 'timeout after 30s' when 4 then 'GET /v1/balance 200' else 'started' end as message,
+        'agent' || cast(user_id % 50 as varchar(20)) as agent from events""",
+    "points": """select 'agent' || cast(user_id % 50 as varchar(20)) as agent, case event_id % 4 when 0 then 'requests_total' when 1 then 'error_rate' when 2 then 'service_up' else 'latency_ms' end as metric,
+        cast(ts as timestamp) as ts, case when event_id % 4 = 0 then cast((event_id * 3) % 1000 as double) when event_id % 4 = 2 then cast(event_id % 2 as double) else value end as value,
+        'svc' || cast(user_id % 5 as varchar(20)) as service, event_id from events""",
+    "spans": """select 'tr' || cast(cast((event_id - event_id % 3) / 3 as bigint) as varchar(20)) as trace_id, event_id as span_id, 'svc' || cast(user_id % 5 as varchar(20)) as service, cast(ts as timestamp) as started,
+        (event_id * 977) % 5000000 as duration_us, case when event_type = 'error' then 'ERROR' else 'OK' end as status from events""",
+    "checks": """select cast(ts as timestamp) as ts, 'r' || cast(user_id % 3 as varchar(20)) as region, 'svc' || cast(event_id % 4 as varchar(20)) as service, case when event_id % 4 = 3 then 'llm' || cast(event_id % 3 as varchar(20)) else 'internal' end as provider,
+        case when event_type = 'error' then 'outage' when event_id % 11 = 0 then 'degraded' else 'operational' end as status, cast((event_id * 17) % 900 as double) as latency_ms, event_id from events""",
+}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables of ``DERIVED``."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(DERIVED[name])
+
+
+def with_derived(sql: str, *names: str) -> str:
+    head = ", ".join(f"{n} as ({DERIVED[n]})" for n in names)
+    return f"with {head} {sql}" if not sql.lstrip().lower().startswith("with ") else f"with {head}, {sql.lstrip()[5:]}"
