@@ -1,0 +1,118 @@
+"""From components of traces to routed, typed rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: fixed values: the event types of a trace
+SIX = ("THOUGHT_START", "SNAPSHOT_AND_CONTEXT", "DMA_RESULTS", "ASPDMA_RESULT", "CONSCIENCE_RESULT", "ACTION_RESULT")
+SEVENTH, EIGHTH = "IDMA_RESULT", "TSASPDMA_RESULT"
+CONNECTIVITY = ("startup", "shutdown")
+SCORED = ("1.9.1", "1.9.3")
+
+
+def _array(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def detect_schema_version(ev: DataFrame) -> DataFrame:
+    """Each trace's schema version from its event types and two keys of their data."""
+    has = lambda kind, key: F.bool_or((F.col("event_type") == kind) & F.get_json_object("data", f"$.{key}").isNotNull())
+    seen = ev.groupBy("trace_id").agg(F.collect_set("event_type").alias("types"), has("ACTION_RESULT", "has_positive_moment").alias("moment"), has("CONSCIENCE_RESULT", "entropy_level").alias("entropy"))
+    only = lambda of: F.size(F.array_except("types", _array(of))) == 0
+    all_of = lambda of: F.size(F.array_except(_array(of), "types")) == 0
+    version = (
+        F.when(only(CONNECTIVITY), "connectivity")
+        .when(all_of((*SIX, SEVENTH)), "1.9.3")
+        .when(~only(SIX) | (F.size("types") < 4), "unknown")
+        .when(F.col("moment"), "1.9.1")
+        .when(F.col("entropy"), "1.9")
+        .otherwise("1.8")
+    )
+    return seen.select("trace_id", version.alias("version"), F.array_sort("types").alias("types"))
+
+
+def validate_schema(versions: DataFrame) -> DataFrame:
+    """Errors (missing types, too few components) and warnings (unknown types) of each trace."""
+    needed = F.when(F.col("version") == "connectivity", F.array().cast("array<string>")).when(F.col("version") == "1.9.3", _array((*SIX, SEVENTH))).otherwise(_array(SIX))
+    missing = F.array_sort(F.array_except(needed, "types"))
+    extra = F.array_sort(F.array_except("types", _array((*SIX, SEVENTH, EIGHTH, *CONNECTIVITY))))
+    few = (F.size("types") < F.size(needed)).cast("boolean")
+    return versions.select("trace_id", "version", ((F.size(missing) == 0) & (F.col("version") != "unknown")).alias("is_valid"), F.array_join(missing, ",").alias("missing"), F.array_join(extra, ",").alias("extra"), few.alias("too_few"))
+
+
+def scoring_eligible(versions: DataFrame) -> DataFrame:
+    return versions.select("trace_id", F.col("version").isin(*SCORED).alias("eligible"))
+
+
+def to_typed(value: Column, kind: str) -> Column:
+    """A JSON text as string, float, int or bool; what does not fit is null."""
+    if kind == "bool":
+        low = F.lower(F.trim(value))
+        return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False)
+    if kind == "int":
+        return F.floor(value.try_cast("double")).cast("long")
+    return value.try_cast("double") if kind == "float" else value
+
+
+def denormalise(ev: DataFrame) -> DataFrame:
+    """One row per trace: the values of its components by event type, nested before flat."""
+
+    def at(kind: str, *paths: str) -> Column:
+        return F.max(F.when(F.col("event_type") == kind, F.coalesce(*[F.get_json_object("data", f"$.{p}") for p in paths])))
+
+    return ev.groupBy("trace_id").agg(
+        F.count("*").alias("components"), at("THOUGHT_START", "thought_type").alias("thought_type"), to_typed(at("CONSCIENCE_RESULT", "entropy_level", "epistemic_data.entropy_level"), "float").alias("entropy"),
+        to_typed(at("ACTION_RESULT", "has_positive_moment"), "bool").alias("positive"), normalise_action(at("ASPDMA_RESULT", "selected_action"), at("ACTION_RESULT", "action_executed")).alias("action"),
+        to_typed(at("DMA_RESULTS", "csdma.plausibility_score", "csdma_score"), "float").alias("csdma"), to_typed(at("ACTION_RESULT", "tokens"), "int").alias("tokens"),
+    )
+
+
+def trace_type(task: Column, description: Column) -> Column:
+    return F.when(task.contains("VERIFY_"), "verify").when(task.isNull() & description.isNotNull(), "described").when(task.isNull(), "unknown").otherwise("task")
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the characters, rounded down."""
+    return F.floor(F.length(text) / 4).cast("long")
+
+
+def normalise_action(selected: Column, executed: Column) -> Column:
+    """The part behind the last dot; an empty choice gives way to what was done."""
+    return F.coalesce(F.nullif(F.substring_index(selected, ".", -1), F.lit("")), F.substring_index(executed, ".", -1))
+
+
+def route(versions: DataFrame, models: DataFrame) -> DataFrame:
+    """Where each trace goes: malformed, connectivity, mock or production."""
+    mock = F.exists("models", lambda m: F.lower(m).contains("mock"))
+    where = F.when(F.col("version") == "unknown", "malformed").when(F.col("version") == "connectivity", "connectivity").when(F.coalesce(mock, F.lit(False)), "mock").otherwise("production")
+    return versions.join(models, "trace_id", "left").select("trace_id", where.alias("destination"))
+
+
+def malformed_records(ev: DataFrame, validation: DataFrame) -> DataFrame:
+    """Metadata and a digest of what did not validate, never its content."""
+    bad = validation.where(~F.col("is_valid")).select("trace_id", "version", "missing")
+    sized = ev.join(bad, "trace_id").groupBy("trace_id", "version", "missing").agg(F.sum(F.octet_length("data")).alias("bytes"), F.bit_xor(F.xxhash64("event_type", "data")).alias("digest"))
+    return sized.withColumn("severity", F.when(F.col("version") == "unknown", "error").otherwise("warning"))
+
+
+def malformed_stats(malformed: DataFrame) -> DataFrame:
+    return malformed.agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("errors"), F.countDistinct("missing").alias("kinds"), F.sum("bytes").alias("bytes"))
+
+
+def check_keys(tr: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each trace's key: known, unknown, revoked, or expired when the trace was made."""
+    joined = tr.join(keys, tr.signature_key_id == keys.key_id, "left")
+    status = F.when(F.col("key_id").isNull(), "unknown").when(F.col("revoked"), "revoked").when(F.col("expires") < F.col("ts"), "expired").otherwise("known")
+    return joined.select("trace_id", status.alias("key_status"))
+
+
+def coarsen_location(df: DataFrame, latitude: str, longitude: str, grid: float = 0.5) -> DataFrame:
+    """Places on a grid; ties go to the even step."""
+    return df.withColumn("lat_cell", F.bround(F.col(latitude) / grid) * grid).withColumn("lon_cell", F.bround(F.col(longitude) / grid) * grid).drop(latitude, longitude)
+
+
+def batch_accounting(results: DataFrame) -> DataFrame:
+    """Received, accepted and rejected traces of each batch, and the reasons."""
+    return results.groupBy("batch_id").agg(F.count("*").alias("received"), F.count_if(F.col("destination") != "malformed").alias("accepted"), F.count_if(F.col("destination") == "malformed").alias("rejected"), F.array_join(F.array_sort(F.collect_set("destination")), ",").alias("destinations"))
