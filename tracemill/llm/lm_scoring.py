@@ -81,7 +81,7 @@ def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     into = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
     out = np.full((ORDER, len(symbols)), START)
     for j in range(ORDER):
-        out[j, j + 1 :] = symbols[: len(symbols) - j - 1]
+        out[j, j + 1 :] = symbols[: max(0, len(symbols) - j - 1)]
         out[j, into <= j] = START
     return out
 

@@ -107,9 +107,9 @@ def mix_sources(
     if len(sums) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     held = {tuple(r[n] for n in names): int(r.t or 0) for r in sums}
-    root = tree(held, weights, epochs)
     plan = []
-    for path, budget in budgets(root, share * sum(held.values())).items():
+    shares = budgets(tree(held, weights, epochs), share * sum(held.values())) if held else {}
+    for path, budget in shares.items():
         whole = budget // held[path] if held[path] else 0
         plan.append((*path, int(budget), int(whole), int(budget - whole * held[path])))
     kinds = T.StructType([*[T.StructField(n, T.StringType()) for n in names], *[T.StructField(n, T.LongType()) for n in ("mix_budget", "__whole", "__left")]])
