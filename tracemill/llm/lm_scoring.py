@@ -28,7 +28,7 @@ FREQUENT, CLASSES = 128, 128
 SYMBOLS = FREQUENT + CLASSES
 START = SYMBOLS  # what stands before a text; never predicted
 ORDER, WIDTH = 4, 16
-NOISE, BATCH, SPEED, ROUNDS = 64, 1024, 0.1, 1
+NOISE, BATCH, SPEED, ROUNDS = 48, 1024, 0.1, 1
 END = U64(0xE0D0E0D0E0D0E000)
 CLASS_BITS = U64(0xFF)
 SHARD_KEYS = 1_000_000
@@ -79,10 +79,10 @@ class Model:
 def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The ORDER symbols before each token, the nearest first."""
     into = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((ORDER, len(symbols)), START)
+    out = np.full((len(symbols), ORDER), START, np.int16)
     for j in range(ORDER):
-        out[j, j + 1 :] = symbols[: max(0, len(symbols) - j - 1)]
-        out[j, into <= j] = START
+        out[j + 1 :, j] = symbols[: max(0, len(symbols) - j - 1)]
+        out[into <= j, j] = START
     return out
 
 
@@ -100,35 +100,42 @@ def learn(params: list[np.ndarray], memory: list[np.ndarray], text: Text, model:
     log_noise = np.log(NOISE * model.noise).astype(np.float32)
     cdf = np.cumsum(model.noise)
     order = rng.permutation(len(symbols))
+    flat = c.reshape(ORDER * WIDTH, WIDTH)
     for at in range(0, len(order), BATCH):
         pick = order[at : at + BATCH]
-        target, ctx = symbols[pick], before[:, pick]
+        target, ctx = symbols[pick], before[pick]
         drawn = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), SYMBOLS - 1)
-        guess = sum(r[ctx[j]] @ c[j] for j in range(ORDER))
-        good = 1 / (1 + np.exp(log_noise[target] - (guess * q[target]).sum(1) - b[target]))
-        bad = 1 / (1 + np.exp(log_noise[drawn] - guess @ q[drawn].T - b[drawn]))
-        pull = (1 - good)[:, None]
-        d_guess = pull * q[target] - bad @ q[drawn]
-        d_q, d_b, d_r, d_c = np.zeros_like(q), np.zeros_like(b), np.zeros_like(r), np.zeros_like(c)
-        _add(d_q, target, pull * guess)
-        np.subtract.at(d_q, drawn, bad.T @ guess)
-        d_b += np.bincount(target, 1 - good, SYMBOLS).astype(np.float32)
-        np.subtract.at(d_b, drawn, bad.sum(0))
-        for j in range(ORDER):
-            d_c[j] = r[ctx[j]].T @ d_guess
-            _add(d_r, ctx[j], d_guess @ c[j].T)
-        for param, step, seen in zip(params, (d_r, d_c, d_q, d_b), memory, strict=True):
+        held = r.take(ctx.ravel(), 0).reshape(len(pick), ORDER * WIDTH)
+        guess, q_target, q_drawn = held @ flat, q.take(target, 0), q.take(drawn, 0)
+        pull = 1 - _sigmoid(np.einsum("ij,ij->i", guess, q_target) + (b - log_noise)[target])
+        push = _sigmoid(guess @ q_drawn.T + (b - log_noise)[drawn])
+        d_guess = pull[:, None] * q_target - push @ q_drawn
+        d_q, d_r = np.zeros_like(q), np.zeros_like(r)
+        _add(d_q, target, pull[:, None] * guess)
+        np.subtract.at(d_q, drawn, push.T @ guess)
+        d_b = np.bincount(target, pull, SYMBOLS) - np.bincount(drawn, push.sum(0), SYMBOLS)
+        _add(d_r, ctx.ravel(), (d_guess @ flat.T).reshape(-1, WIDTH))
+        steps = (d_r, (held.T @ d_guess).reshape(c.shape), d_q, d_b.astype(np.float32))
+        for param, step, seen in zip(params, steps, memory, strict=True):
             step /= len(pick)
             seen += step * step
             param += SPEED * step / (np.sqrt(seen) + 1e-4)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in the place of ``x``."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     """total[at] += values, with repeated places added up."""
     order = np.argsort(at.astype(np.int16), kind="stable")
     ranked = at[order]
     edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    total[ranked[edge]] += np.add.reduceat(values[order], edge)
+    total[ranked[edge]] += np.add.reduceat(values.take(order, 0), edge)
 
 
 def log_probabilities(text: Text, counts: np.ndarray, model: Model) -> np.ndarray:
@@ -138,13 +145,16 @@ def log_probabilities(text: Text, counts: np.ndarray, model: Model) -> np.ndarra
     before = contexts(symbols, text.first)
     tables = [r @ c[j] for j in range(ORDER)]
     out = np.empty(len(symbols))
-    for at in range(0, len(symbols), 4096):
-        part = slice(at, at + 4096)
-        guess = sum(tables[j][before[j, part]] for j in range(ORDER))
-        logits = guess @ q.T + b
-        logits -= logits.max(1, keepdims=True)
+    far = float(np.abs(q).sum(1).max())
+    for at in range(0, len(symbols), 2048):
+        part = slice(at, at + 2048)
+        guess = sum(tables[j].take(before[part, j], 0) for j in range(ORDER))
+        logits = guess @ q.T
+        logits += b
+        if np.abs(guess).max() * far + np.abs(b).max() > 60:  # else exp stays finite as it is
+            logits -= logits.max(1, keepdims=True)
         own = logits[np.arange(len(logits)), symbols[part]]
-        out[part] = own - np.log(np.exp(logits).sum(1))
+        out[part] = own - np.log(np.exp(logits, out=logits).sum(1))
     rare = symbols >= FREQUENT
     out[rare] += np.log((counts[rare] + 1) / model.class_bottom[symbols[rare] - FREQUENT])
     return out / np.log(10)
