@@ -196,7 +196,8 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     sized = sized.where((100 * F.col("u_size") >= percent * F.col("v_size")) & (100 * F.col("v_size") >= percent * F.col("u_size")))
     hopeful = cut_lineage(sized.mapInArrow(_hopeful(percent / 100 - SLACK), "u long, v long"))
     wanted = hopeful.select(F.col("u").alias("rep")).union(hopeful.select(F.col("v").alias("rep"))).distinct()
-    sets = _sets(wanted, docs, key, text, n)
+    # written out, so that both sides of the joins are plain exchanges and a head with very many links can be split
+    sets = cut_lineage(_sets(wanted, docs, key, text, n))
     with_v = hopeful.join(sets.select(F.col("rep").alias("v"), F.col("items").alias("v_set")), "v")
     with_both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("items").alias("u_set")), "u")
     return with_both.mapInArrow(_confirmed(percent), "u long, v long")
