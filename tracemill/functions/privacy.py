@@ -142,3 +142,22 @@ def validate_number(column: Column, low: float, high: float) -> Column:
     value = F.when(odd, F.lit(None)).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), number)))
     issues = F.array_compact(F.array(F.when(broken, F.lit("type")), F.when(odd, F.lit("not_finite")), F.when(~odd & (number < low), F.lit("low")), F.when(~odd & (number > high), F.lit("high"))))
     return F.struct(F.when(number.isNotNull(), value).alias("value"), issues.alias("issues"))
+
+
+def validate_identifier(column: Column) -> Column:
+    """struct(value, issues): cut at the limit, attack signs taken out."""
+    done = sanitize_text(column, identifier=True)
+    issues = F.array_compact(F.array(F.when(done["was_truncated"], F.lit("too_long")), F.when(F.size(detect_patterns(column)) > 0, F.lit("dangerous"))))
+    return F.struct(done["value"].alias("value"), issues.alias("issues"))
+
+
+def validate_models(column: Column, most: int = 10) -> Column:
+    """Models of a JSON list or of one name: nulls and blanks out, the first ``most`` kept."""
+    names = F.coalesce(F.from_json(column, "array<string>"), F.array(column))
+    return F.slice(F.filter(names, lambda x: x.isNotNull() & (F.trim(x) != "")), 1, most)
+
+
+def sanitize_nested(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
+    """Sanitises every string of the columns, however nested, and cuts arrays at ``most`` entries."""
+    cut = {c: F.slice(F.col(c), 1, most) for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)}
+    return rewrite_strings(df.withColumns(cut) if cut else df, columns, lambda v: sanitize_text(v)["value"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +120,56 @@ def coarsen_location(df: DataFrame, latitude: str, longitude: str, grid: float =
 def batch_accounting(results: DataFrame) -> DataFrame:
     """Received, accepted and rejected traces of each batch, and the reasons."""
     return results.groupBy("batch_id").agg(F.count("*").alias("received"), F.count_if(F.col("destination") != "malformed").alias("accepted"), F.count_if(F.col("destination") == "malformed").alias("rejected"), F.array_join(F.array_sort(F.collect_set("destination")), ",").alias("destinations"))
+
+
+def detect_by_registry(ev: DataFrame, registry: DataFrame) -> DataFrame:
+    """The best registered version of each trace: all or any of a signature's types; status, then name, decide.
+
+    The registry (version, types, mode, priority) is a table of a few rows.
+    """
+    seen = ev.groupBy("trace_id").agg(F.collect_set("event_type").alias("seen"))
+    missing, common = F.size(F.array_except("types", "seen")), F.size(F.array_intersect("types", "seen"))
+    fits = ((F.col("mode") == "all") & (missing == 0)) | ((F.col("mode") == "any") & (common > 0))
+    matched = seen.join(F.broadcast(registry), fits, "left")
+    return matched.groupBy("trace_id").agg(F.coalesce(F.min_by("version", F.struct("priority", "version")), F.lit("unknown")).alias("version"))
+
+
+def extract_fields(ev: DataFrame, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """One row per trace with a column for each rule (event type, path, type, column).
+
+    A path is dotted and may index arrays: ``a.b[0].c``.  The first component that has a value wins.
+    """
+    made = [F.min_by(to_typed(F.get_json_object("data", f"$.{path}"), kind), F.when((F.col("event_type") == event) & F.get_json_object("data", f"$.{path}").isNotNull(), F.col("i"))).alias(column) for event, path, kind, column in rules]
+    return ev.groupBy("trace_id").agg(*made)
+
+
+def payload_digest(ev: DataFrame) -> DataFrame:
+    """Digest of each trace's canonical payload: empty values out, keys sorted, compact, components in order."""
+    def strip(value):  # noqa: ANN001, ANN202
+        if isinstance(value, dict):
+            kept = {k: strip(v) for k, v in value.items()}
+            return {k: v for k, v in kept.items() if v not in (None, "", [], {})}
+        return [strip(v) for v in value] if isinstance(value, list) else value
+
+    @F.pandas_udf("string")
+    def canonical(column: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str:
+            try:
+                return json.dumps(strip(json.loads(text or "{}")), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return hashlib.sha256((text or "").encode()).hexdigest()
+
+        return column.map(one)
+
+    parts = ev.select("trace_id", F.struct("i", F.concat_ws("=", "event_type", canonical("data")).alias("x")).alias("s"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "\n")
+    return parts.groupBy("trace_id").agg(F.sha2(joined, 256).alias("sha256"))
+
+
+def service_logs(raw: DataFrame, as_of: str) -> DataFrame:
+    """Levels in five steps, times that are never null, users hashed, messages redacted."""
+    from tracemill.functions.privacy import hash_user, redact_log
+
+    level = F.upper(F.coalesce("level", F.lit("INFO")))
+    known = F.when(level.isin("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"), level).when(level == "WARN", "WARNING").when(level == "FATAL", "CRITICAL").otherwise("INFO")
+    return raw.select("log_id", F.coalesce("ts", F.lit(as_of).cast("timestamp")).alias("ts"), "service", known.alias("level"), redact_log(F.col("message")).alias("message"), hash_user(F.col("user")).alias("user_hash"))

@@ -170,3 +170,43 @@ def diagnose(tr: DataFrame, start: str, end: str) -> DataFrame:
     rows = between(tr, start, end).groupBy(AGENT).agg(F.count("*").alias("n"), F.avg(F.when(F.col("signature_verified"), 1.0).otherwise(0.0)).alias("verified"), F.avg(F.col("coherence_passed").isNotNull().cast("double")).alias("checked"), F.avg(F.col("action_success").isNotNull().cast("double")).alias("outcomes"))
     issues = F.array_compact(F.array(F.when(F.col("n") < 30, F.lit("few traces")), F.when(F.col("verified") < 0.95, F.lit("unverified signatures")), F.when(F.col("checked") < 0.9, F.lit("coherence not checked")), F.when(F.col("outcomes") < 0.9, F.lit("outcomes missing"))))
     return rows.withColumn("issues", issues)
+
+
+def factor_inputs(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFrame:
+    """One row per agent hash with everything that the composition from inputs needs."""
+    recent = between(tr, start, end)
+    order = Window.partitionBy("agent_id_hash").orderBy("ts", "event_id")
+    seq = F.col("audit_sequence_number")
+    rows = recent.select("*", F.coalesce(F.lag(AGENT).over(order) != F.col(AGENT), F.lit(False)).alias("renamed"), F.coalesce(seq - F.lag(seq).over(order) != 1, F.lit(False)).alias("gap"), F.coalesce(F.lag("fragility").over(order) & ~F.col("fragility"), F.lit(False)).alias("recovered"))
+    sums = rows.groupBy("agent_id_hash").agg(
+        F.count("*").alias("n"), F.count_if("renamed").alias("renames"), F.count_if("action_was_overridden").alias("overrides"), F.count_if("gap").alias("gaps"), F.count_if("signature_verified").alias("signed"), F.count_if("recovered").alias("recoveries"),
+        F.avg(F.when(F.col("action_success").isNotNull(), F.abs(F.col("csdma") - F.col("action_success").cast("double")))).alias("calibration_error"),
+        F.avg(F.when((F.col("entropy") > 0.5) & (F.col("action_success") == F.lit(False)), 1.0).otherwise(0.0)).alias("unsafe"), F.avg("csdma").alias("mean"),
+    )
+    old = between(tr, baseline_start, start).groupBy("agent_id_hash").agg(F.avg("csdma").alias("old_mean"), F.stddev_samp("csdma").alias("old_sd"))
+    hourly = recent.groupBy("agent_id_hash", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("coherence").alias("c")).groupBy("agent_id_hash").agg(F.avg("c").alias("hourly_coherence"), F.count("*").alias("hours"))
+    z = F.when(F.col("old_sd") > 0, (F.col("mean") - F.col("old_mean")) / F.col("old_sd")).otherwise(0.0)
+    return sums.join(old, "agent_id_hash", "left").join(hourly, "agent_id_hash").withColumn("drift_z", z).drop("old_mean", "old_sd", "mean")
+
+
+def composite_from_inputs(inputs: DataFrame) -> DataFrame:
+    """Factors and product from the inputs; the drift band is applied to |z|, as the reference does."""
+    n, z = F.col("n"), F.abs("drift_z")
+    c = F.exp(-IDENTITY_RATE * F.col("renames") / n) * F.exp(-CONTRADICTION_RATE * F.col("overrides") / n)
+    i_int = F.greatest(F.lit(FLOOR), (1 - F.col("gaps") / n) * F.col("signed") / n)
+    penalty = F.when(z < IGNORE_BELOW, 0.0).when(z >= FULL_AT, 1.0).otherwise((z - IGNORE_BELOW) / (FULL_AT - IGNORE_BELOW))
+    i_inc = (1 - F.coalesce("calibration_error", F.lit(0.1))) * (1 - F.col("unsafe"))
+    s = F.greatest(F.lit(FLOOR), F.coalesce("hourly_coherence", F.lit(0.5)))
+    made = inputs.select("agent_id_hash", "n", c.alias("c"), i_int.alias("i_int"), (1.0 - penalty).alias("r"), i_inc.alias("i_inc"), s.alias("s"))
+    return made.withColumn("composite", F.col("c") * F.col("i_int") * F.col("r") * F.col("i_inc") * F.col("s"))
+
+
+def composite_v1(inputs: DataFrame, mttr: DataFrame) -> DataFrame:
+    """The earlier composite: resilience from a third of the drift and the time to recover, by a sigmoid."""
+    joined = inputs.join(mttr.select("agent_id_hash", "mttr_hours"), "agent_id_hash", "left")
+    drift = F.greatest(F.lit(0.0), 1 - F.abs("drift_z") / 3)
+    recovery = 1 / (1 + F.coalesce("mttr_hours", F.lit(0.0)) / 24)
+    r = 1 / (1 + F.exp(-5.0 * ((drift + recovery) / 2 - 0.5)))
+    enough = F.when(F.col("n") < 10, "insufficient").when(F.col("n") < 50, "partial").otherwise("sufficient")
+    score = F.greatest(F.lit(FLOOR), r) * F.greatest(F.lit(FLOOR), F.coalesce("hourly_coherence", F.lit(0.5))) * F.greatest(F.lit(FLOOR), 1 - F.col("gaps") / F.col("n"))
+    return joined.select("agent_id_hash", r.alias("r"), score.alias("composite"), enough.alias("data"))
