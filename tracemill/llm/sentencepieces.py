@@ -24,7 +24,7 @@ from tracemill.llm.textnum import U64, map_text
 
 SPACE = "▁"
 #: stretches matched together, and most stretches remembered by a worker
-TOGETHER, REMEMBERED = 100_000, 400_000
+TOGETHER, REMEMBERED = 40_000, 300_000
 #: longer stretches are relaxed one by one with a heap
 LONG = 2000
 NONE = np.iinfo(np.int64).max
@@ -65,6 +65,21 @@ class Vocabulary:
         return Vocabulary([names[i] for i in plain], np.array(plain), scores, byte_ids, decoded, digest)
 
 
+def _words(rows: np.ndarray, width: int) -> list[np.ndarray]:
+    """Rows of letter numbers packed into 64-bit words, the first letters highest."""
+    per = 64 // width
+    words = [np.zeros(len(rows), U64) for _ in range(-(-rows.shape[1] // per))]
+    for k in range(rows.shape[1]):
+        words[k // per] |= rows[:, k].astype(U64) << U64(width * (per - 1 - k % per))
+    return words
+
+
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """Words as fixed-width byte strings in the same order."""
+    packed = np.stack(words, 1).astype(">u8")
+    return packed.view(f"S{packed.shape[1] * 8}")[:, 0]
+
+
 @dataclass
 class Encoder:
     """Encodes texts with one vocabulary and remembers the stretches it met."""
@@ -78,42 +93,37 @@ class Encoder:
         letters = sorted({c for p in pieces for c in p})
         self.code = np.ones(max(map(ord, letters), default=0) + 2, np.int64)  # 1: in no piece
         self.code[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-        self.width = int(np.ceil(np.log2(len(letters) + 2)))
+        self.letters = len(letters) + 2
         self.rank = np.empty(len(pieces), np.int64)
         self.rank[np.lexsort((np.arange(len(pieces)), -self.vocabulary.scores))] = np.arange(len(pieces))
         self.by_rank = np.argsort(self.rank)
-        rows = np.zeros((len(pieces), self.longest), np.int64)
+        self.rows = np.zeros((len(pieces), self.longest), np.int64)
         for i, p in enumerate(pieces):
-            rows[i, : len(p)] = self.code[[ord(c) for c in p]]
+            self.rows[i, : len(p)] = self.code[[ord(c) for c in p]]
         self.sizes = np.array([len(p) for p in pieces])
-        self.lower = self._keys(rows)
-        self.upper = self._keys(np.where(np.arange(self.longest) < self.sizes[:, None], rows, (1 << self.width) - 1))
         crossed = any(SPACE in p.lstrip(SPACE) for p in pieces)
         line = "" if "\n" in letters else "\n"
         self.stretch = re.compile(".+" if crossed else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else ""), re.S)
 
-    def _keys(self, rows: np.ndarray) -> np.ndarray:
-        """Rows of letter codes as fixed-width byte strings in the same order."""
-        per = 64 // self.width
-        words = [np.zeros(len(rows), U64) for _ in range(-(-rows.shape[1] // per))]
-        for k in range(rows.shape[1]):
-            words[k // per] |= rows[:, k].astype(U64) << U64(self.width * (per - 1 - k % per))
-        packed = np.stack(words, 1).astype(">u8")
-        return np.ascontiguousarray(packed).view(f"S{packed.shape[1] * 8}")[:, 0]
-
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence of every piece, as sorted position * 64 + length, and its rank."""
-        padded = np.concatenate((codes, np.zeros(self.longest, np.int64)))
-        suffixes = self._keys(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[: len(codes)])
-        order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
-        low, high = np.searchsorted(ranked, self.lower, "left"), np.searchsorted(ranked, self.upper, "right")
+        there = np.zeros(self.letters, bool)
+        there[codes] = there[0] = True
+        small = np.cumsum(there) - 1  # the letters of this text alone, so that more of them fit into a word
+        width = int(small[-1] + 1).bit_length()
+        usable = np.flatnonzero(there[self.rows].all(1))
+        rows, sizes = small[self.rows[usable]], self.sizes[usable]
+        open_end = np.where(np.arange(self.longest) < sizes[:, None], rows, (1 << width) - 1)
+        padded = np.concatenate((small[codes], np.zeros(self.longest, np.int64)))
+        words = _words(np.lib.stride_tricks.sliding_window_view(padded, self.longest)[: len(codes)], width)
+        order = np.lexsort(words[::-1])
+        ranked = _keys([w[order] for w in words])
+        low, high = np.searchsorted(ranked, _keys(_words(rows, width)), "left"), np.searchsorted(ranked, _keys(_words(open_end, width)), "right")
         counts = high - low
-        into = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = order[np.repeat(low, counts) + into]
-        keys = at * 64 + np.repeat(self.sizes, counts)
+        into = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - low, counts)
+        keys = order[into] * 64 + np.repeat(sizes, counts)
         by_place = np.argsort(keys, kind="stable")
-        return keys[by_place], np.repeat(self.rank, counts)[by_place]
+        return keys[by_place], np.repeat(self.rank[usable], counts)[by_place]
 
     def _found(self, keys: np.ndarray, ranks: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rank of the piece from start to end, or NONE."""

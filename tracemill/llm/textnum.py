@@ -165,6 +165,7 @@ def map_text(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Arra
                     parts = [pc.struct_field(row.slice(a, b - a), [i]) for i in range(len(kept))]
                     arrays.insert(0, pa.StructArray.from_arrays(parts, fields=[row.type.field(i) for i in range(len(kept))]))
                 yield pa.RecordBatch.from_arrays(arrays, [*["row"] * bool(kept), *found])
+            pa.default_memory_pool().release_unused()
 
     done = packed.mapInArrow(run, with_row(kind, schema))
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *names)
