@@ -181,3 +181,24 @@ def test_typed_values(spark):
     df = spark.createDataFrame([("yes",), ("0",), ("7.9",), ("x",)], "v string")
     rows = df.select(*[ingest.to_typed(F.col("v"), k).alias(k) for k in ("bool", "int", "float", "string")]).collect()
     assert [tuple(r) for r in rows] == [(True, None, None, "yes"), (False, 0, 0.0, "0"), (None, 7, 7.9, "7.9"), (None, None, None, "x")]
+
+
+def test_redaction_counts_follow_the_order_of_rules(spark):
+    df = spark.createDataFrame([("foo_1989 in 1989, a@b.org and 10.0.0.1",), (None,)], "text string")
+    first, second = P.redaction_counts(df, "text").orderBy(F.col("text").isNull()).collect()
+    assert (first.n_identifier, first.n_year, first.n_email, first.n_ip, first.n_url) == (1, 1, 1, 1, 0)
+    assert all(second[c] == 0 for c in ("n_identifier", "n_year", "n_email"))
+
+
+def test_key_status_and_page(spark):
+    tr = spark.createDataFrame([("t1", "k1", "2024-01-02"), ("t2", "k2", "2024-01-02"), ("t3", "k3", "2024-01-02"), ("t4", None, "2024-01-02")], "trace_id string, signature_key_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    keys = spark.createDataFrame([("k1", False, "2024-01-01"), ("k2", True, None), ("k3", False, None)], "key_id string, revoked boolean, expires string").withColumn("expires", F.col("expires").cast("timestamp"))
+    assert {r.trace_id: r.key_status for r in ingest.check_keys(tr, keys).collect()} == {"t1": "expired", "t2": "revoked", "t3": "known", "t4": "unknown"}
+    rows = L.page(tr, [F.col("trace_id")], 3, 2).collect()
+    assert [(r.trace_id, r.total, r.has_more) for r in rows] == [("t3", 4, False), ("t4", 4, False)]
+
+
+def test_payload_digest_ignores_key_order_and_empty_values(spark):
+    df = spark.createDataFrame([("a", 0, "X", '{"p": 1, "q": {"r": null, "s": [2]}}'), ("b", 0, "X", '{"q": {"s": [2]}, "p": 1, "z": ""}'), ("c", 0, "X", '{"p": 2}')], "trace_id string, i int, event_type string, data string")
+    a, b, c = [r.sha256 for r in ingest.payload_digest(df).orderBy("trace_id").collect()]
+    assert a == b != c

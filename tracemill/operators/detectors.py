@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -124,8 +125,14 @@ def cohort_override_rates(tr: DataFrame, as_of: str, days: int = 7, min_traces:
 
 
 def run_all_detections(tr: DataFrame, as_of: str, days: int | None = None) -> DataFrame:
-    """Alerts of all five detectors; critical ones first."""
+    """Alerts of all five detectors; critical ones first.
+
+    The detectors share one persisted slice: the columns they read, over the longest
+    window.  It spills to disk and goes with the session's cache.
+    """
     span = {} if days is None else {"days": days}
+    used = ["trace_id", "agent_id_hash", "dsdma_domain", "trace_type", "ts", "selected_action", *METRICS, "signature_verified", "action_was_overridden", "audit_sequence_number"]
+    tr = trailing(tr, as_of, days or 30).select(*used).persist(StorageLevel.MEMORY_AND_DISK)
     detectors = (cross_agent_divergence, intra_agent_inconsistency, hash_chain_alerts, daily_drift, override_rate_anomalies)
     parts = [f(tr, as_of, **span) for f in detectors]
     whole = parts[0]
