@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.blocks import cut_lineage, cut_shards, dealt, pack, pow2, text_bytes, unpack
-from tracemill.llm.textnum import U64, mix, slices, with_row, words
+from tracemill.llm.textnum import U64, freed, freed_pair, mix, slices, with_row, words
 
 FREQUENT, CLASSES = 128, 128
 SYMBOLS = FREQUENT + CLASSES
@@ -215,7 +215,7 @@ def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str =
         types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("block", "shard", "counts", "a", "b"), types, strict=True))})
 
-    counted = cut_lineage(blocks.groupBy("block").applyInArrow(count, SENT).groupBy("shard").applyInArrow(merge, MERGED))
+    counted = cut_lineage(blocks.groupBy("block").applyInArrow(freed(count), SENT).groupBy("shard").applyInArrow(freed(merge), MERGED))
     model = _fit(counted, flagged, text)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -240,7 +240,7 @@ def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str =
 
     answers = counted.where("block >= 0").select("block", "shard", "counts")
     schema = with_row(blocks.schema["row"].dataType, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freed_pair(score), schema)
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in made], *made)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.blocks import cut_lineage
 from tracemill.llm.components import components
-from tracemill.llm.textnum import U64, map_text, mix, odd_numbers, windows, words
+from tracemill.llm.textnum import U64, freed, map_text, mix, odd_numbers, release, windows, words
 
 BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
@@ -116,6 +116,7 @@ def _hopeful(least: float):
                 sizes = [part.column(c).to_numpy().astype(float) for c in ("u_size", "v_size")]
                 good[a : a + 2000] = likely(_registers(part.column("u_regs")), _registers(part.column("v_regs")), *sizes) >= least
             yield batch.select(["u", "v"]).filter(pa.array(good))
+            release()
 
     return run
 
@@ -134,6 +135,7 @@ def _confirmed(percent: int):
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            release()
 
     return run
 
@@ -186,7 +188,7 @@ def _late_links(blobs: DataFrame, docs: DataFrame, key: str, text: str, n: int,
     part = F.pmod(F.xxhash64("rep"), F.col("c")).cast("int")
     sides = live.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     sides = sides.select("head", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component")
-    return sides.join(sets, "rep").groupBy("head", "lo", "hi").applyInArrow(_compared(percent), "u long, v long").distinct()
+    return sides.join(sets, "rep").groupBy("head", "lo", "hi").applyInArrow(freed(_compared(percent)), "u long, v long").distinct()
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:

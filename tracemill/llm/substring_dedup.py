@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.blocks import bits, cut_shards, dealt, pack, pow2, text_bytes, unbits, unpack
-from tracemill.llm.textnum import U64, Words, mix, slices, windows, with_row, words
+from tracemill.llm.textnum import U64, Words, freed, freed_pair, mix, slices, windows, with_row, words
 
 WINDOW = 13
 DEPTH = 2
 #: cells of one sketch row that a shard merges, about
-SHARD_CELLS = 2_000_000
+SHARD_CELLS = 1_000_000
 LAST = np.iinfo(np.int64).max
 SENT = "shard int, block int, cells binary, more binary"
 FLAGS = "block int, shard int, flags binary"
@@ -176,10 +176,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return pa.table({"row": row, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     schema = with_row(blocks.schema["row"].dataType, "n_words long, n_removed long, kept_text string")
-    flags = blocks.groupBy("block").applyInArrow(sketch, SENT).groupBy("shard").applyInArrow(merge, FLAGS)
-    asked = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(ask, ASKED)
-    answers = asked.groupBy("shard").applyInArrow(group, ANSWERS)
-    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
+    flags = blocks.groupBy("block").applyInArrow(freed(sketch), SENT).groupBy("shard").applyInArrow(freed(merge), FLAGS)
+    asked = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(freed_pair(ask), ASKED)
+    answers = asked.groupBy("shard").applyInArrow(freed(group), ANSWERS)
+    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freed_pair(remove), schema)
     passed = [c for c in names if c not in made]
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in passed], *made)
 

@@ -10,6 +10,7 @@ with a chance of at most 2**-57.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -125,6 +126,38 @@ def windows(values: np.ndarray, first: np.ndarray, n: int, seed: int) -> tuple[n
     return mix(out[at]), at
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can; a worker lives on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def freed(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group that leaves no free memory behind."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = function(table)
+        release()
+        return out
+
+    return run
+
+
+def freed_pair(function: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = function(left, right)
+        release()
+        return out
+
+    return run
+
+
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes of text (of a struct: its field text), one row at least."""
     strings = pc.struct_field(column, ["text"]) if pa.types.is_struct(column.type) else column
@@ -165,7 +198,8 @@ def map_text(docs: DataFrame, text: str, schema: str, measure: Callable[[pa.Arra
                     parts = [pc.struct_field(row.slice(a, b - a), [i]) for i in range(len(kept))]
                     arrays.insert(0, pa.StructArray.from_arrays(parts, fields=[row.type.field(i) for i in range(len(kept))]))
                 yield pa.RecordBatch.from_arrays(arrays, [*["row"] * bool(kept), *found])
-            pa.default_memory_pool().release_unused()
+                del found, arrays
+            release()
 
     done = packed.mapInArrow(run, with_row(kind, schema))
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *names)
