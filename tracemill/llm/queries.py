@@ -141,5 +141,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: every window's words joined by spaces, which words do not hold, stand for its word sequence
+SUBSTRING_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+     p as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13),
+     x as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as s from p),
+     f as (select s, min(doc_id) as first_id from x group by s),
+     gone as (select distinct doc_id, unnest(range(i, i + 13)) as pos from x join f using (s) where first_id < doc_id),
+     t as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+     k as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as kept from t anti join gone using (doc_id, pos) group by doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""
+NEAR_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+     s as (select distinct doc_id, w[i] || ' ' || w[i + 1] as s from (select doc_id, w, unnest(range(1, len(w))) as i from d) p union all select doc_id, w[1] from d where len(w) = 1),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+     e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+     both_ways as (select a, b from e union all select b, a from e),
+     reach(a, b) as (select doc_id, doc_id from d union select reach.a, l.b from reach join both_ways l on reach.b = l.a)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.b) as component_id, d.doc_id = min(reach.b) as kept from d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose whole result it can express."""
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL}
