@@ -202,3 +202,17 @@ def test_payload_digest_ignores_key_order_and_empty_values(spark):
     df = spark.createDataFrame([("a", 0, "X", '{"p": 1, "q": {"r": null, "s": [2]}}'), ("b", 0, "X", '{"q": {"s": [2]}, "p": 1, "z": ""}'), ("c", 0, "X", '{"p": 2}')], "trace_id string, i int, event_type string, data string")
     a, b, c = [r.sha256 for r in ingest.payload_digest(df).orderBy("trace_id").collect()]
     assert a == b != c
+
+
+def test_ingest_with_a_revoked_key(spark):
+    six = [(t, i, e, "{}", k, "2024-01-02") for t, k in (("good", "k1"), ("bad", "k2")) for i, e in enumerate(ingest.SIX)]
+    ev = spark.createDataFrame([*six, ("up", 0, "startup", "{}", None, "2024-01-02")], "trace_id string, i int, event_type string, data string, signature_key_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    models = ev.select("trace_id").distinct().withColumn("models", F.array(F.lit("real")))
+    keys = spark.createDataFrame([("k1", False, None), ("k2", True, None)], "key_id string, revoked boolean, expires timestamp")
+    out = {name: sorted(r.trace_id for r in df.collect()) for name, df in ingest.ingest(ev, models, keys).items()}
+    assert out == {"production": ["good"], "mock": [], "connectivity": ["up"], "malformed": ["bad"]}
+
+
+def test_deferrals_once(spark):
+    raw = spark.createDataFrame([("a", " why ", "2024-01-02"), ("a", "why", "2024-01-02"), ("a", "why", "soon")], "agent string, reason string, defer_until string")
+    assert ingest.deferral_rows(raw).count() == 2

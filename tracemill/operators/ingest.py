@@ -173,3 +173,33 @@ def service_logs(raw: DataFrame, as_of: str) -> DataFrame:
     level = F.upper(F.coalesce("level", F.lit("INFO")))
     known = F.when(level.isin("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"), level).when(level == "WARN", "WARNING").when(level == "FATAL", "CRITICAL").otherwise("INFO")
     return raw.select("log_id", F.coalesce("ts", F.lit(as_of).cast("timestamp")).alias("ts"), "service", known.alias("level"), redact_log(F.col("message")).alias("message"), hash_user(F.col("user")).alias("user_hash"))
+
+
+def ingest(ev: DataFrame, models: DataFrame, keys: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every trace at one destination: typed production and mock rows, connectivity ids, and malformed records.
+
+    ``ev`` has trace_id, i, event_type, data and, for a key check, signature_key_id and
+    ts.  Strings are scrubbed before they are extracted; traces of revoked keys count
+    as malformed.
+    """
+    from tracemill.functions.privacy import scrub_text
+
+    versions = detect_schema_version(ev)
+    validation = validate_schema(versions)
+    routed = route(versions, models)
+    if keys is not None:
+        owners = ev.groupBy("trace_id").agg(F.max("signature_key_id").alias("signature_key_id"), F.max("ts").alias("ts"))
+        revoked = check_keys(owners, keys).where("key_status = 'revoked'").select("trace_id", F.lit("malformed").alias("forced"))
+        routed = routed.join(revoked, "trace_id", "left").select("trace_id", F.coalesce("forced", "destination").alias("destination"))
+    good = validation.where("is_valid").select("trace_id")
+    rows = denormalise(ev.withColumn("data", scrub_text(F.col("data")))).join(routed, "trace_id")
+    out = {name: rows.where(F.col("destination") == name).join(good, "trace_id", "left_semi").drop("destination") for name in ("production", "mock")}
+    out["connectivity"] = routed.where("destination = 'connectivity'").select("trace_id")
+    bad = routed.join(validation, "trace_id").where((F.col("destination") == "malformed") | (~F.col("is_valid") & F.col("destination").isin("production", "mock")))
+    out["malformed"] = malformed_records(ev, bad.withColumn("is_valid", F.lit(False)))
+    return out
+
+
+def deferral_rows(raw: DataFrame) -> DataFrame:
+    """Deferrals as typed rows, each agent, reason and time once."""
+    return raw.select("agent", F.trim("reason").alias("reason"), F.col("defer_until").try_cast("timestamp").alias("defer_until")).dropDuplicates(["agent", "reason", "defer_until"])

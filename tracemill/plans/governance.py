@@ -110,3 +110,16 @@ registry.on_table(
     lambda e: e.select("event_id", P.validate_models(F.when(F.col("event_id") % 3 == 0, "solo").when(F.col("event_id") % 3 == 1, '["a", null, "", "b"]')).alias("models")),
     "select event_id, case event_id % 3 when 0 then 'solo' when 1 then 'a,b' else '' end as models from events",
 )
+
+
+def _ingested(spark, sf_dir):  # noqa: ANN001, ANN202
+    ev = _components(spark, sf_dir)
+    models = ev.groupBy("trace_id").agg(F.array(F.when(F.max("user_id") % 9 == 0, "MockLLM").otherwise("real")).alias("models"))
+    parts = [df.agg(F.lit(name).alias("destination"), F.count("*").alias("n")) for name, df in I.ingest(ev, models).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+registry.queries["ingest"] = _ingested
+_KIND = "select event_id % 8 as k, event_id % 97 = 97 as x, user_id % 9 = 0 as mock from events"
+registry.sql["ingest"] = f"""select 'production' as destination, count(*) as n from ({_KIND}) e where k in (1, 2, 3, 4) and not mock union all select 'mock', count(*) from ({_KIND}) e where k in (1, 2, 3, 4) and mock
+    union all select 'connectivity', count(*) from ({_KIND}) e where k = 0 union all select 'malformed', count(*) from ({_KIND}) e where k in (5, 6, 7)"""
