@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.textnum import U64
 
 #: bytes of text in a block; a longer text is a block with what else its hash brings
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 
 
 def pow2(n: float) -> int:

@@ -24,7 +24,7 @@ from tracemill.llm.textnum import U64, map_text
 
 SPACE = "▁"
 #: stretches matched together, and most stretches remembered by a worker
-TOGETHER, REMEMBERED = 40_000, 300_000
+TOGETHER, REMEMBERED = 30_000, 200_000
 #: longer stretches are relaxed one by one with a heap
 LONG = 2000
 NONE = np.iinfo(np.int64).max
