@@ -19,7 +19,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)  # a little up, so that exact halves round alike everywhere
         elif isinstance(field.dataType, T.ArrayType):
             c = F.array_join(c, ",")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -63,7 +63,7 @@ class Registry:
 
 def r(expression: str) -> str:
     """A double of the SQL as ``tidy`` shows it."""
-    return f"round(cast({expression} as double), 6) + 0.0"
+    return f"round(cast({expression} as double) + 1e-9, 6) + 0.0"
 
 
 def day(expression: str) -> str:
