@@ -294,6 +294,31 @@ def test_lm_awkward(awkward, nothing):
     assert {r.train_tokens for r in none} == {0} and {r.n_known for r in none} == {0}
 
 
+def test_lm_tells_rare_words_of_a_class_apart(spark):
+    """Two words with equal counts and last bytes, each after a word of its own."""
+    common = [f"w{i:03d}" for i in range(200)]
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join([*rng.choice(common, 30), *(("red", "fooqz") if i % 2 else ("blue", "barqz")), *rng.choice(common, 30)])) for i in range(400)]
+    asked = [(1000, "red fooqz"), (1001, "red barqz"), (1002, "blue fooqz"), (1003, "blue barqz")]
+    got = {r.doc_id: r for r in lm_scoring.lm_scoring(spark.createDataFrame(rows + asked, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert got[1000].base_score == got[1001].base_score
+    assert got[1000].score > got[1001].score and got[1003].score > got[1002].score
+
+
+def test_lm_own_symbols_grow_with_the_vocabulary():
+    assert len(lm_scoring.trees(np.ones(lm_scoring.CLASSES << 5), 5)[0]) > len(lm_scoring.trees(np.ones(lm_scoring.CLASSES), 0)[0])
+    rng = np.random.default_rng(3)
+    bottom = rng.integers(1, 40, lm_scoring.CLASSES << 3).astype(float)
+    own = [rng.normal(0, 0.5, x.shape).astype(np.float32) for x in lm_scoring.trees(bottom, 3)]
+    noise = np.full(lm_scoring.SYMBOLS, 1 / lm_scoring.SYMBOLS)
+    frequent = np.sort(lm_scoring.mix(np.arange(lm_scoring.FREQUENT, dtype=np.uint64)))
+    model = lm_scoring.Model(1, 1, frequent, bottom, noise, lm_scoring.fresh(noise), 3, own)
+    leaves = [np.uint64((p << 61) | 1 << 50 | c) for c in range(lm_scoring.CLASSES) for p in range(8)]
+    texts = [lm_scoring.Text(np.append(frequent[:4], k), np.array([0, 5])) for k in [*frequent, *leaves]]
+    mass = np.append(np.ones(len(frequent)), bottom[[int(k & np.uint64(255)) * 8 + int(k >> np.uint64(61)) for k in leaves]])
+    assert sum(m * 10 ** lm_scoring.log_probabilities(t, np.zeros(5), model)[-1] for t, m in zip(texts, mass, strict=True)) == pytest.approx(1, abs=1e-4)
+
+
 # 9: mixing
 
 

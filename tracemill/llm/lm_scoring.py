@@ -3,17 +3,23 @@
 Counts: blocks of documents send their distinct tokens to shards, which add them up
 over the whole training part and answer with each block's own tokens' counts.
 Model: the most frequent tokens are symbols of their own, every other token is the
-symbol of its class (by its last two bytes) times its add-one share of the class.
-The next symbol's logits are ``Q (sum_j C_j r[s_j]) + b`` over the last ORDER symbols.
-Every partition trains a copy on all its training texts by noise-contrastive
-estimation; the copies' token-weighted mean is the model of the next round.
+symbol of its class (by its last two bytes).  The next symbol's logits are
+``Q g + b`` with ``g = sum_j C_j r[s_j]`` over the last ORDER symbols.  Below each
+class hangs a binary tree over hashes of its tokens, deeper the more distinct training
+tokens there are, up to MAX_DEPTH: each node turns right with the probability
+``sigmoid(t.g + a)``, each leaf adds a vector of its own to ``r`` where its tokens are
+context, and a token has its add-one share of its leaf.
+Training rows are dealt by hash into copies of bounded size, however the table is
+split.  Each copy is trained by noise-contrastive estimation (the trees by their exact
+likelihood); the mean of the copies is the model.  A row of a tree or leaf is
+averaged by how often each copy met it, so rare tokens keep what they learned.
 Scoring multiplies matrices and normalises over all symbols.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,9 @@ FREQUENT, CLASSES = 128, 128
 SYMBOLS = FREQUENT + CLASSES
 START = SYMBOLS  # what stands before a text; never predicted
 ORDER, WIDTH = 4, 16
-NOISE, BATCH, SPEED, ROUNDS = 48, 1024, 0.1, 1
+NOISE, BATCH, SPEED = 48, 1024, 0.1
+MAX_DEPTH, WORDS_A_LEAF = 9, 4  # of the trees below the classes
+COPY_BLOCKS, LEAST_FALL = 4, 0.01  # blocks that train one copy; a round's relative fall in loss that asks for another
 END = U64(0xE0D0E0D0E0D0E000)
 CLASS_BITS = U64(0xFF)
 SHARD_KEYS = 1_000_000
@@ -60,14 +68,16 @@ def tokens(texts: pa.Array) -> Text:
 
 @dataclass
 class Model:
-    """Corpus totals, symbols of frequent tokens, class totals and the parameters."""
+    """Corpus totals, symbols of frequent tokens, leaf totals and the parameters; ``own`` are vectors of leaves and nodes."""
 
     n: int
     v: int
     frequent: np.ndarray
-    class_bottom: np.ndarray
+    bottom: np.ndarray
     noise: np.ndarray
     params: list[np.ndarray]
+    depth: int = 0
+    own: list[np.ndarray] = field(default_factory=lambda: [np.zeros((CLASSES + 1, WIDTH), np.float32), np.zeros((CLASSES, WIDTH + 1), np.float32)])
 
     def symbols(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
@@ -75,14 +85,31 @@ class Model:
         place = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
         return np.where(self.frequent[place] == keys, place, FREQUENT + (keys & CLASS_BITS).astype(np.int64))
 
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """The place of a frequent token; FREQUENT and the leaf of any other."""
+        symbols = self.symbols(keys)
+        return np.where(symbols < FREQUENT, symbols, FREQUENT + ((symbols - FREQUENT) << self.depth) + _path(keys, self.depth))
 
-def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+
+def _path(keys: np.ndarray, depth: int) -> np.ndarray:
+    """A token's turns in its class's tree: the top bits of its key."""
+    return (keys >> U64(64 - depth)).astype(np.int64) if depth else np.zeros(len(keys), np.int64)
+
+
+def turns(leaf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes on the ways to leaves, and where the way turns right."""
+    level = np.arange(depth)
+    tree, path = leaf >> depth << depth, leaf & ((1 << depth) - 1)
+    return tree[:, None] + (1 << level) + (path[:, None] >> (depth - level)), (path[:, None] >> (depth - 1 - level) & 1).astype(np.float32)
+
+
+def contexts(symbols: np.ndarray, first: np.ndarray, start: int = START, kind: type = np.int16) -> np.ndarray:
     """The ORDER symbols before each token, the nearest first."""
     into = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((len(symbols), ORDER), START, np.int16)
+    out = np.full((len(symbols), ORDER), start, kind)
     for j in range(ORDER):
         out[j + 1 :, j] = symbols[: max(0, len(symbols) - j - 1)]
-        out[into <= j, j] = START
+        out[into <= j, j] = start
     return out
 
 
@@ -92,34 +119,92 @@ def fresh(noise: np.ndarray) -> list[np.ndarray]:
     return [draw(SYMBOLS + 1, WIDTH), draw(ORDER, WIDTH, WIDTH), draw(SYMBOLS, WIDTH), np.log(noise).astype(np.float32)]
 
 
-def learn(params: list[np.ndarray], memory: list[np.ndarray], text: Text, model: Model, rng: np.random.Generator) -> None:
-    """One pass of noise-contrastive estimation over the tokens of some texts, in place."""
-    r, c, q, b = params
-    symbols = model.symbols(text.keys)
-    before = contexts(symbols, text.first)
-    log_noise = np.log(NOISE * model.noise).astype(np.float32)
-    cdf = np.cumsum(model.noise)
-    order = rng.permutation(len(symbols))
-    flat = c.reshape(ORDER * WIDTH, WIDTH)
-    for at in range(0, len(order), BATCH):
-        pick = order[at : at + BATCH]
-        target, ctx = symbols[pick], before[pick]
-        drawn = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), SYMBOLS - 1)
-        held = r.take(ctx.ravel(), 0).reshape(len(pick), ORDER * WIDTH)
-        guess, q_target, q_drawn = held @ flat, q.take(target, 0), q.take(drawn, 0)
-        pull = 1 - _sigmoid(np.einsum("ij,ij->i", guess, q_target) + (b - log_noise)[target])
-        push = _sigmoid(guess @ q_drawn.T + (b - log_noise)[drawn])
-        d_guess = pull[:, None] * q_target - push @ q_drawn
-        d_q, d_r = np.zeros_like(q), np.zeros_like(r)
-        _add(d_q, target, pull[:, None] * guess)
-        np.subtract.at(d_q, drawn, push.T @ guess)
-        d_b = np.bincount(target, pull, SYMBOLS) - np.bincount(drawn, push.sum(0), SYMBOLS)
-        _add(d_r, ctx.ravel(), (d_guess @ flat.T).reshape(-1, WIDTH))
-        steps = (d_r, (held.T @ d_guess).reshape(c.shape), d_q, d_b.astype(np.float32))
-        for param, step, seen in zip(params, steps, memory, strict=True):
-            step /= len(pick)
-            seen += step * step
-            param += SPEED * step / (np.sqrt(seen) + 1e-4)
+def trees(bottom: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Zero vectors of leaves and nodes, whose turns have the shares of the leaves below them."""
+    nodes = np.zeros((len(bottom), WIDTH + 1), np.float32)
+    below = bottom.reshape(CLASSES, -1)
+    for level in range(depth - 1, -1, -1):
+        left, right = below[:, ::2], below[:, 1::2]
+        nodes.reshape(CLASSES, -1, WIDTH + 1)[:, 1 << level : 2 << level, WIDTH] = np.log(right / left)
+        below = left + right
+    return [np.zeros((len(bottom) + 1, WIDTH), np.float32), nodes]
+
+
+class Copy:
+    """A model in training: parameters, sums of squared steps, how often rows of trees were met, loss."""
+
+    def __init__(self, model: Model, memory: list[np.ndarray]) -> None:
+        self.model, self.loss, self.seen = model, 0.0, 0
+        self.params, self.memory = [p.copy() for p in model.params], [m.copy() for m in memory]
+        self.own, self.own_memory = [p.copy() for p in model.own], [np.full(len(p), 1e-6, np.float32) for p in model.own]
+        self.met = [np.zeros(len(p), np.int64) for p in model.own]
+
+    def learn(self, codes: np.ndarray, first: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass of noise-contrastive estimation over the tokens of some texts."""
+        model, depth = self.model, self.model.depth
+        r, c, q, b = self.params
+        leaf_r, node = self.own
+        nowhere = len(leaf_r) - 1
+        leaf = codes - FREQUENT
+        symbols = np.where(leaf < 0, codes, FREQUENT + (leaf >> depth))
+        before, before_leaf = contexts(symbols, first), contexts(np.where(leaf < 0, nowhere, leaf), first, nowhere, np.int32)
+        log_noise = np.log(NOISE * model.noise).astype(np.float32)
+        cdf = np.cumsum(model.noise)
+        order = rng.permutation(len(symbols))
+        flat = c.reshape(ORDER * WIDTH, WIDTH)
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            target, ctx, ctx_leaf = symbols[pick], before[pick].ravel(), before_leaf[pick].ravel()
+            drawn = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), SYMBOLS - 1)
+            held = (r.take(ctx, 0) + leaf_r.take(ctx_leaf, 0)).reshape(len(pick), ORDER * WIDTH)
+            guess, q_target, q_drawn = held @ flat, q.take(target, 0), q.take(drawn, 0)
+            pull = 1 - _sigmoid(np.einsum("ij,ij->i", guess, q_target) + (b - log_noise)[target])
+            push = _sigmoid(guess @ q_drawn.T + (b - log_noise)[drawn])
+            self.loss -= float(np.log(np.maximum((1 - pull) * (1 - push).prod(1), 1e-37)).sum())
+            d_guess = pull[:, None] * q_target - push @ q_drawn
+            d_q, d_r = np.zeros_like(q), np.zeros_like(r)
+            _add(d_q, target, pull[:, None] * guess)
+            np.subtract.at(d_q, drawn, push.T @ guess)
+            d_b = np.bincount(target, pull, SYMBOLS) - np.bincount(drawn, push.sum(0), SYMBOLS)
+            rare = np.flatnonzero(target >= FREQUENT)
+            if depth and len(rare):
+                nodes, right = turns(leaf[pick[rare]], depth)
+                vectors = node.take(nodes, 0)
+                from_rare = np.concatenate((guess[rare], np.ones((len(rare), 1), np.float32)), 1)
+                miss = right - _sigmoid(np.einsum("ijk,ik->ij", vectors, from_rare))
+                self.loss -= float(np.log(np.maximum(1 - np.abs(miss), 1e-37)).sum())
+                d_guess[rare] += np.einsum("ij,ijk->ik", miss, vectors[:, :, :WIDTH])
+                self._step_own(1, nodes.ravel(), (miss[:, :, None] * from_rare[:, None, :]).reshape(-1, WIDTH + 1), len(pick))
+            d_held = (d_guess @ flat.T).reshape(-1, WIDTH)
+            _add(d_r, ctx, d_held)
+            inside = np.flatnonzero(ctx_leaf != nowhere)
+            if depth and len(inside):
+                self._step_own(0, ctx_leaf[inside], d_held.take(inside, 0), len(pick))
+            steps = (d_r, (held.T @ d_guess).reshape(c.shape), d_q, d_b.astype(np.float32))
+            for param, step, seen in zip(self.params, steps, self.memory, strict=True):
+                step /= len(pick)
+                seen += step * step
+                param += SPEED * step / (np.sqrt(seen) + 1e-4)
+        self.seen += len(symbols)
+
+    def _step_own(self, which: int, at: np.ndarray, steps: np.ndarray, n: int) -> None:
+        """Adds up the steps of equal rows; a row has one sum of squared steps."""
+        order = np.argsort(at)
+        ranked = at[order]
+        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        size = np.diff(edge, append=len(at))
+        rows = ranked[edge]
+        step = steps.take(order[edge], 0)
+        more = size > 1
+        if more.any():
+            again = np.repeat(more, size)
+            step[more] = np.add.reduceat(steps.take(order[again], 0), np.cumsum(size[more]) - size[more])
+        step *= np.float32(1 / n)
+        seen = self.own_memory[which].take(rows) + np.einsum("ij,ij->i", step, step) / step.shape[1]
+        self.own_memory[which][rows] = seen
+        step *= (SPEED / (np.sqrt(seen) + 1e-4)).astype(np.float32)[:, None]
+        self.own[which][rows] += step
+        self.met[which][rows] += size
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -141,22 +226,31 @@ def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
 def log_probabilities(text: Text, counts: np.ndarray, model: Model) -> np.ndarray:
     """log10 probability of every token, normalised over all tokens there can be."""
     r, c, q, b = model.params
+    leaf_r, node = model.own
+    nowhere = len(leaf_r) - 1
     symbols = model.symbols(text.keys)
-    before = contexts(symbols, text.first)
-    tables = [r @ c[j] for j in range(ORDER)]
+    leaf = model.codes(text.keys) - FREQUENT
+    before, before_leaf = contexts(symbols, text.first), contexts(np.where((leaf < 0) | (counts < 1), nowhere, leaf), text.first, nowhere, np.int32)
     out = np.empty(len(symbols))
     far = float(np.abs(q).sum(1).max())
+    flat = c.reshape(ORDER * WIDTH, WIDTH)
     for at in range(0, len(symbols), 2048):
         part = slice(at, at + 2048)
-        guess = sum(tables[j].take(before[part, j], 0) for j in range(ORDER))
+        guess = (r.take(before[part].ravel(), 0) + leaf_r.take(before_leaf[part].ravel(), 0)).reshape(-1, ORDER * WIDTH) @ flat
         logits = guess @ q.T
         logits += b
         if np.abs(guess).max() * far + np.abs(b).max() > 60:  # else exp stays finite as it is
             logits -= logits.max(1, keepdims=True)
         own = logits[np.arange(len(logits)), symbols[part]]
         out[part] = own - np.log(np.exp(logits, out=logits).sum(1))
-    rare = symbols >= FREQUENT
-    out[rare] += np.log((counts[rare] + 1) / model.class_bottom[symbols[rare] - FREQUENT])
+        rare = np.flatnonzero(leaf[part] >= 0)
+        if model.depth and len(rare):
+            nodes, right = turns(leaf[part][rare], model.depth)
+            vectors = node.take(nodes, 0)
+            z = (np.einsum("ijk,ik->ij", vectors[:, :, :WIDTH], guess[rare]) + vectors[:, :, WIDTH]).astype(float) * (1 - 2 * right)
+            out[at + rare] -= (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).sum(1)
+    rare = leaf >= 0
+    out[rare] += np.log((counts[rare] + 1) / model.bottom[leaf[rare]])
     return out / np.log(10)
 
 
@@ -207,16 +301,16 @@ def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str =
         ends = np.cumsum([len(k) for k in keys])[:-1]
         rows = [(b, shard, pack(x.astype(np.int64)), 0, 0) for b, x in zip(sent["block"], np.split(sums[at], ends), strict=True)]
         known = sums > 0
-        kinds, back = np.unique(own[known] & CLASS_BITS, return_inverse=True)
-        per_class = zip(kinds.tolist(), np.bincount(back, sums[known], len(kinds)), np.bincount(back, minlength=len(kinds)), strict=True)
-        rows += [(-1, k, None, int(n), int(v)) for k, n, v in per_class]
+        cells, back = np.unique(((own[known] & CLASS_BITS).astype(np.int64) << MAX_DEPTH) + _path(own[known], MAX_DEPTH), return_inverse=True)
+        per_cell = zip(cells.tolist(), np.bincount(back, sums[known], len(cells)), np.bincount(back, minlength=len(cells)), strict=True)
+        rows += [(-1, k, None, int(n), int(v)) for k, n, v in per_cell]
         top = np.lexsort((own, -sums))[: FREQUENT + 1]
         rows += [(-2, 0, None, int(own[i].view(np.int64)), int(sums[i])) for i in top if sums[i] > 0]
         types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("block", "shard", "counts", "a", "b"), types, strict=True))})
 
     counted = cut_lineage(blocks.groupBy("block").applyInArrow(freed(count), SENT).groupBy("shard").applyInArrow(freed(merge), MERGED))
-    model = _fit(counted, flagged, text)
+    model = _fit(counted, blocks.where("row.__trains"), key, text)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -244,9 +338,9 @@ def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str =
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in made], *made)
 
 
-def _fit(counted: DataFrame, flagged: DataFrame, text: str) -> Model:
-    """The model: bounded totals from all shards, parameters from all partitions."""
-    per_class = counted.where("block = -1").groupBy("shard").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).collect()
+def _fit(counted: DataFrame, rows: DataFrame, key: str, text: str) -> Model:
+    """The model: bounded totals from all shards, parameters from all copies."""
+    per_cell = counted.where("block = -1").groupBy("shard").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).collect()
     top = counted.where("block = -2").orderBy(F.desc("b"), "a").limit(FREQUENT).collect()
     by_key = {int(np.int64(r.a).view(U64)): r.b for r in top}
     if int(END) not in by_key and top:  # the end is always a symbol of its own
@@ -254,38 +348,89 @@ def _fit(counted: DataFrame, flagged: DataFrame, text: str) -> Model:
         by_key.pop(int(np.int64(top[-1].a).view(U64)))
         by_key[int(END)] = ends.b if ends else 1
     frequent = np.array(sorted(by_key), U64)
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_class:
-        n_class[r["shard"]], v_class[r["shard"]] = r.n, r.v
-    n, v = int(n_class.sum()), int(v_class.sum())
+    n_cell, v_cell = np.zeros(CLASSES << MAX_DEPTH), np.zeros(CLASSES << MAX_DEPTH)
+    for r in per_cell:
+        n_cell[r["shard"]], v_cell[r["shard"]] = r.n, r.v
+    n, v = int(n_cell.sum()), int(v_cell.sum())
+    depth = min(MAX_DEPTH, pow2(v / WORDS_A_LEAF / CLASSES))
+    n_leaf, v_leaf = (x.reshape(CLASSES << depth, -1).sum(1) for x in (n_cell, v_cell))
     noise = np.full(SYMBOLS, 1e-9)
     for i, k in enumerate(frequent):
         noise[i] += by_key[int(k)]
-        n_class[int(k & CLASS_BITS)] -= by_key[int(k)]
-        v_class[int(k & CLASS_BITS)] -= 1
-    noise[FREQUENT:] += n_class + 1
+        leaf = (int(k & CLASS_BITS) << depth) + int(_path(np.array([k], U64), depth)[0])
+        n_leaf[leaf] -= by_key[int(k)]
+        v_leaf[leaf] -= 1
+    noise[FREQUENT:] += n_leaf.reshape(CLASSES, -1).sum(1) + 1
     noise /= noise.sum()
-    model = Model(n, v, frequent, n_class + v_class + 1, noise, fresh(noise))
-    shapes = [p.shape for p in model.params]
-    source = flagged.where("__trains").select(F.col(f"`{text}`").alias("text"))
-    for turn in range(ROUNDS if n else 0):
-
-        def train(batches: Iterator[pa.RecordBatch], start: Model = model, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            params, seen = [p.copy() for p in start.params], 0
-            memory = [np.full_like(p, 1e-6) for p in params]
-            rng = np.random.default_rng(turn)
+    bottom = np.maximum(n_leaf, 0) + np.maximum(v_leaf, 0) + 1
+    model = Model(n, v, frequent, bottom, noise, fresh(noise), depth, trees(bottom, depth))
+    return _train(model, rows, key, text) if n else model
+
+
+def _train(model: Model, rows: DataFrame, key: str, text: str) -> Model:
+    """Rounds over all copies until their summed loss stops falling."""
+    bare = Model(model.n, model.v, model.frequent, np.zeros(0), model.noise, [], model.depth, [])
+
+    def encode(table: pa.Table) -> pa.Table:
+        table = table.sort_by("order")
+        texts, copy = table.column("text").combine_chunks(), table.column("copy")[0].as_py()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+        packed = [pack(bare.codes(tokens(texts.slice(a, b - a)).keys).astype(np.int32)) for a, b in slices(texts)]
+        return pa.table({"copy": pa.array([copy], pa.int32()), "codes": pa.array([packed], pa.list_(pa.binary()))})
+
+    named = rows.select((F.col("block") / COPY_BLOCKS).cast("int").alias("copy"), F.xxhash64(F.col(f"row.`{key}`"), F.col(f"row.`{text}`")).alias("order"), F.col(f"row.`{text}`").alias("text"))
+    coded = cut_lineage(named.groupBy("copy").applyInArrow(freed(encode), "copy int, codes array<binary>"))
+    copies = coded.count()
+    end = int(np.searchsorted(model.frequent, END))
+    kinds = ((0, len(model.own[0])), (1, len(model.own[1])))
+    parts = max(1, copies // 2)
+    memory, last = [np.full_like(p, 1e-6) for p in model.params], np.inf
+    turn = 0
+    while True:
+
+        def train(batches: Iterator[pa.RecordBatch], start: Model = model, memory: list = memory, turn: int = turn) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b in slices(batch.column("text")):
-                    found = tokens(batch.column("text").slice(a, b - a))
-                    learn(params, memory, found, start, rng)
-                    seen += len(found.keys)
-            if seen:
-                flat = np.concatenate([p.ravel() for p in params]).astype(float) * seen
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat])], ["seen", "params"])
-
-        copies = source.mapInArrow(train, "seen long, params array<double>")
-        mean = copies.select("seen", F.posexplode("params").alias("at", "x")).groupBy("at").agg((F.sum("x") / F.sum("seen")).alias("x"))
-        flat = np.array([r.x for r in mean.orderBy("at").collect()], np.float32)
-        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
-        model.params = [x.reshape(s) for x, s in zip(np.split(flat, cuts[:-1]), shapes, strict=True)]
-    return model
+                for number, packed in zip(batch.column("copy").to_pylist(), batch.column("codes"), strict=True):
+                    copy, rng = Copy(start, memory), np.random.default_rng((turn, number))
+                    for one in packed:
+                        codes = unpack(one.as_py(), np.int32).astype(np.int64)
+                        copy.learn(codes, np.concatenate(([0], np.flatnonzero(codes == end) + 1)), rng)
+                    flat = np.concatenate([p.ravel() for p in copy.params + copy.memory]).astype(float)
+                    out = [(-1, number, copy.seen, copy.loss, b"", b"", flat.tobytes())]
+                    for which, size in kinds:
+                        for part, at in enumerate(np.array_split(np.arange(size), parts)):
+                            at = at[copy.met[which][at] > 0]
+                            if len(at):
+                                out.append((part * 2 + which, number, 0, 0.0, at.astype(np.int32).tobytes(), copy.met[which][at].tobytes(), copy.own[which][at].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "copy", "seen", "loss", "at", "met", "x"])
+
+        def mean(table: pa.Table) -> pa.Table:
+            part, sent = table.column("part")[0].as_py(), table.sort_by("copy").to_pydict()
+            if part < 0:
+                seen = np.array(sent["seen"], float)
+                total = sum(np.frombuffer(x) * w for x, w in zip(sent["x"], seen, strict=True))
+                return pa.table({"part": pa.array([part], pa.int32()), "loss": [float(sum(sent["loss"]))], "at": [b""], "x": [(total / seen.sum()).tobytes()]})
+            at = [np.frombuffer(x, np.int32) for x in sent["at"]]
+            rows, back = np.unique(np.concatenate(at), return_inverse=True)
+            total, weight, ends = np.zeros((len(rows), WIDTH + part % 2)), np.zeros(len(rows)), np.cumsum([len(x) for x in at])[:-1]
+            for place, met, x in zip(np.split(back, ends), sent["met"], sent["x"], strict=True):
+                w = np.frombuffer(met, np.int64).astype(float)
+                total[place] += np.frombuffer(x, np.float32).reshape(len(w), -1) * w[:, None]
+                weight[place] += w
+            return pa.table({"part": pa.array([part], pa.int32()), "loss": [0.0], "at": [rows.astype(np.int32).tobytes()], "x": [(total / weight[:, None]).astype(np.float32).tobytes()]})
+
+        sent = coded.mapInArrow(train, "part int, copy int, seen long, loss double, at binary, met binary, x binary")
+        means = sent.groupBy("part").applyInArrow(freed(mean), "part int, loss double, at binary, x binary").collect()
+        own = [p.copy() for p in model.own]
+        for r in means:
+            if r.part < 0:
+                loss, flat = r.loss, np.frombuffer(r.x).astype(np.float32)
+            else:
+                at = np.frombuffer(r["at"], np.int32)
+                own[r.part % 2][at] = np.frombuffer(r.x, np.float32).reshape(len(at), -1)
+        if loss >= last:
+            return model
+        shapes = [p.shape for p in model.params] * 2
+        cut = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)]
+        model = Model(model.n, model.v, model.frequent, model.bottom, model.noise, cut[:4], model.depth, own)
+        return model  # one round
