@@ -319,6 +319,11 @@ def test_lm_own_symbols_grow_with_the_vocabulary():
     assert sum(m * 10 ** lm_scoring.log_probabilities(t, np.zeros(5), model)[-1] for t, m in zip(texts, mass, strict=True)) == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_scores_do_not_follow_file_splits(docs, small_blocks):
+    scores = [{r.doc_id: r.score for r in lm_scoring.lm_scoring(docs.select("doc_id", "text").repartition(n), F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()} for n in (1, 200)]
+    assert scores[0].keys() == scores[1].keys() and all(scores[1][k] == pytest.approx(x, rel=1e-4) for k, x in scores[0].items())
+
+
 # 9: mixing
 
 

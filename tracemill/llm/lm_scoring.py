@@ -11,7 +11,8 @@ tokens there are, up to MAX_DEPTH: each node turns right with the probability
 context, and a token has its add-one share of its leaf.
 Training rows are dealt by hash into copies of bounded size, however the table is
 split.  Each copy is trained by noise-contrastive estimation (the trees by their exact
-likelihood); the mean of the copies is the model.  A row of a tree or leaf is
+likelihood); the mean of the copies is the model of the next round, and rounds go on
+until the loss summed over all copies stops falling.  A row of a tree or leaf is
 averaged by how often each copy met it, so rare tokens keep what they learned.
 Scoring multiplies matrices and normalises over all symbols.
 """
@@ -433,4 +434,6 @@ def _train(model: Model, rows: DataFrame, key: str, text: str) -> Model:
         shapes = [p.shape for p in model.params] * 2
         cut = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)]
         model = Model(model.n, model.v, model.frequent, model.bottom, model.noise, cut[:4], model.depth, own)
-        return model  # one round
+        if loss > last * (1 - LEAST_FALL):
+            return model
+        memory, last, turn = cut[4:], loss, turn + 1
