@@ -35,7 +35,7 @@ FREQUENT, CLASSES = 128, 128
 SYMBOLS = FREQUENT + CLASSES
 START = SYMBOLS  # what stands before a text; never predicted
 ORDER, WIDTH = 4, 16
-NOISE, BATCH, SPEED = 48, 1024, 0.1
+NOISE, BATCH, SPEED = 64, 1024, 0.1
 MAX_DEPTH, WORDS_A_LEAF = 9, 4  # of the trees below the classes
 COPY_BLOCKS, LEAST_FALL = 4, 0.01  # blocks that train one copy; a round's relative fall in loss that asks for another
 END = U64(0xE0D0E0D0E0D0E000)
