@@ -1,7 +1,9 @@
 """Thresholds, nulls, sources, streams and privacy rules on small rows."""
 
 import json
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +218,21 @@ def test_ingest_with_a_revoked_key(spark):
 def test_deferrals_once(spark):
     raw = spark.createDataFrame([("a", " why ", "2024-01-02"), ("a", "why", "2024-01-02"), ("a", "why", "soon")], "agent string, reason string, defer_until string")
     assert ingest.deferral_rows(raw).count() == 2
+
+
+def test_frechet_nearest_is_exact_over_agents_and_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"a{i % 3}", f"t{i}", rng.uniform(0, 1, (2 + i % 4, 3)).round(2).tolist()) for i in range(90)]
+    twin = next(i for i in range(90) if zlib.crc32(f"t{i}".encode()) % 5 == 0)  # held out; one point stays where it is
+    rows[twin] = ("a9", f"t{twin}", [*next(r[2] for r in rows if zlib.crc32(r[1].encode()) % 5)])
+    rows[twin][2].insert(1, rows[twin][2][0])
+    paths = spark.createDataFrame(rows, "agent_id_hash string, task_id string, path array<array<double>>")
+    train = [r for r in rows if zlib.crc32(r[1].encode()) % 5]
+    pairs = C.frechet_pairs(paths, pivots=3)
+    got = {r.task_id: r.distance for r in pairs.collect()}
+    for _, task, path in rows:
+        assert got[task] == pytest.approx(min(C.frechet(np.array(path), np.array(p)) for _, t, p in train if t != task))
+    assert got[f"t{twin}"] == 0
+    labels = C.route_labels(paths, pairs)
+    assert {r.task_id: r.label for r in labels.collect()}[f"t{twin}"] == "canonical"
+    assert all(r.canonical + r.variant + r.novel == pytest.approx(1) for r in C.route_rates(labels).collect())

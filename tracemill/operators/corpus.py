@@ -156,7 +156,7 @@ def journey_points(tr: DataFrame) -> DataFrame:
 def task_paths(tr: DataFrame) -> DataFrame:
     """Each task's points in time order; a task has few thoughts, so its path is short."""
     point = F.struct("ts", "event_id", "csdma", "dsdma", "coherence")
-    paths = tr.where("task_id is not null").groupBy("agent_id_hash", "task_id").agg(F.sort_array(F.collect_list(point)).alias("path"))
+    paths = tr.where("task_id is not null").dropna(subset=["csdma", "dsdma", "coherence"]).groupBy("agent_id_hash", "task_id").agg(F.sort_array(F.collect_list(point)).alias("path"))
     return paths.where(F.size("path") >= 2).select("agent_id_hash", "task_id", F.transform("path", lambda p: F.array(p["csdma"], p["dsdma"], p["coherence"])).alias("path"))
 
 
@@ -171,25 +171,54 @@ def frechet(a: np.ndarray, b: np.ndarray) -> float:
     return float(best[-1, -1])
 
 
-def frechet_pairs(paths: DataFrame) -> DataFrame:
-    """Distances of pairs of paths of one agent and one length."""
-    sized = paths.withColumn("length", F.size("path"))
-    left, right = sized.alias("l"), sized.select("agent_id_hash", "length", F.col("task_id").alias("other"), F.col("path").alias("other_path"))
-    pairs = left.join(right, ["agent_id_hash", "length"]).where("task_id < other")
+def _held() -> Column:
+    return F.crc32("task_id") % 5 == 0
+
+
+def frechet_pairs(paths: DataFrame, pivots: int = 64, levels: int = 8) -> DataFrame:
+    """The nearest training path of every path, over all agents and lengths, by exact distance.
+
+    The least distance to a few training paths bounds a path's distance to its nearest.
+    No path within the bound starts or ends farther away than it, so a path looks only
+    into the cells, of at least twice the bound, that its ends' surroundings touch.
+    """
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([frechet(np.stack(x), np.stack(y)) for x, y in zip(a, b, strict=True)])
-
-    return pairs.select("agent_id_hash", "task_id", "other", distance("path", "other_path").alias("distance"))
+        return pd.Series([frechet(np.stack(x), np.stack(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    ends = F.concat(F.element_at("path", 1), F.element_at("path", -1))
+    named = paths.withColumn("ends", ends).withColumn("id", F.struct("agent_id_hash", "task_id"))
+    train = named.where(~_held()).select(F.col("id").alias("other_id"), F.col("path").alias("other_path"), F.col("ends").alias("other_ends"))
+    few = train.orderBy(F.xxhash64("other_id"), "other_id").limit(pivots).select("other_id", "other_path")
+    met = named.join(F.broadcast(few), F.col("id") != F.col("other_id"))
+    bounds = met.groupBy("id").agg(F.min(distance("path", "other_path")).alias("bound"))
+    level = F.greatest(F.lit(0), F.least(F.lit(levels), F.floor(-F.log2(2 * F.col("bound") + 1e-9)))).cast("int")
+    asked = named.join(bounds, "id").withColumn("level", level)
+    cell = lambda x, k: F.floor(x * F.pow(F.lit(2.0), k)).cast("long")
+    for i in range(6):
+        x = F.col("ends")[i]
+        asked = asked.withColumn(f"c{i}", F.explode(F.sequence(cell(x - F.col("bound") - 1e-9, F.col("level")), cell(x + F.col("bound") + 1e-9, F.col("level")))))
+    keys = ["level", *[f"c{i}" for i in range(6)]]
+    placed = train.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    placed = placed.select("*", *[cell(F.col("other_ends")[i], F.col("level")).alias(f"c{i}") for i in range(6)])
+    gap = lambda at: F.sqrt(sum((F.col("ends")[i] - F.col("other_ends")[i]) ** 2 for i in range(at, at + 3)))
+    near = asked.join(placed, keys).where((F.col("id") != F.col("other_id")) & (F.greatest(gap(0), gap(3)) <= F.col("bound") + 1e-9))
+    done = near.select("id", "other_id", distance("path", "other_path").alias("distance"))
+    best = done.groupBy("id").agg(F.min(F.struct("distance", "other_id")).alias("best"))
+    return best.select("id.agent_id_hash", "id.task_id", F.col("best.other_id.agent_id_hash").alias("other_agent"), F.col("best.other_id.task_id").alias("other"), "best.distance")
 
 
 def route_labels(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     """Held-out paths by how near the nearest training path is, against the training paths' own nearest."""
-    held = F.crc32("task_id") % 5 == 0
-    both = pairs.select("task_id", "other", "distance").union(pairs.select(F.col("other").alias("task_id"), F.col("task_id").alias("other"), "distance"))
-    to_train = both.where(F.crc32("other") % 5 != 0).groupBy("task_id").agg(F.min("distance").alias("nearest"))
-    cuts = to_train.where(~held).agg(F.percentile("nearest", F.lit(0.95)).alias("p95"), F.percentile("nearest", F.lit(0.99)).alias("p99"))
-    tested = paths.select("agent_id_hash", "task_id").where(held).join(to_train, "task_id", "left").join(F.broadcast(cuts), how="cross")
+    to_train = pairs.select("agent_id_hash", "task_id", F.col("distance").alias("nearest"))
+    cuts = to_train.where(~_held()).agg(F.percentile("nearest", F.lit(0.95)).alias("p95"), F.percentile("nearest", F.lit(0.99)).alias("p99"))
+    tested = paths.select("agent_id_hash", "task_id").where(_held()).join(to_train, ["agent_id_hash", "task_id"], "left").join(F.broadcast(cuts), how="cross")
     label = F.when(F.col("nearest") <= F.col("p95"), "canonical").when(F.col("nearest") <= F.col("p99"), "variant").otherwise("novel")
     return tested.select("agent_id_hash", "task_id", "nearest", label.alias("label"))
+
+
+def route_rates(labels: DataFrame) -> DataFrame:
+    """Each agent's held-out paths and the shares of their labels."""
+    share = lambda x: F.avg(F.when(F.col("label") == x, 1.0).otherwise(0.0)).alias(x)
+    return labels.groupBy("agent_id_hash").agg(F.count("*").alias("n"), *[share(x) for x in ("canonical", "variant", "novel")])
