@@ -298,7 +298,7 @@ def test_lm_tells_rare_words_of_a_class_apart(spark):
     """Two words with equal counts and last bytes, each after a word of its own."""
     common = [f"w{i:03d}" for i in range(200)]
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join([*rng.choice(common, 30), *(("red", "fooqz") if i % 2 else ("blue", "barqz")), *rng.choice(common, 30)])) for i in range(400)]
+    rows = [(i, " ".join([*rng.choice(common, 100), *(("red", "fooqz") if i % 2 else ("blue", "barqz")), *rng.choice(common, 100), *(f"u{i}x{j}" for j in range(8))])) for i in range(400)]
     asked = [(1000, "red fooqz"), (1001, "red barqz"), (1002, "blue fooqz"), (1003, "blue barqz")]
     got = {r.doc_id: r for r in lm_scoring.lm_scoring(spark.createDataFrame(rows + asked, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
     assert got[1000].base_score == got[1001].base_score
