@@ -268,21 +268,44 @@ def test_lm_base_and_held_out(spark, docs, small_blocks):
     assert sum(g.score for g in out) > sum(g.base_score for g in out)
 
 
+def lm_slots(v: float, seed: int = 0):
+    """Slots of made-up counts whose cells hold about ``v`` distinct tokens."""
+    rng = np.random.default_rng(seed)
+    cells = lm_scoring.CLASSES << lm_scoring.FINE
+    n_cell, v_cell = rng.integers(0, 50, cells).astype(float), np.full(cells, float(round(v / cells)))
+    own = np.unique(lm_scoring.mix(np.arange(300, dtype=np.uint64)) & ~np.uint64(255) | np.arange(300, dtype=np.uint64) % np.uint64(lm_scoring.CLASSES))
+    return lm_scoring.Slots.of(own, np.full(len(own), 1), n_cell + 300, v_cell + 300)
+
+
 def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    n_class = rng.integers(0, 50, lm_scoring.CLASSES).astype(float)
-    v_class = np.minimum(n_class, 7)
-    noise = np.full(lm_scoring.SYMBOLS, 1 / lm_scoring.SYMBOLS)
-    frequent = np.sort(lm_scoring.mix(np.arange(lm_scoring.FREQUENT, dtype=np.uint64)))
-    model = lm_scoring.Model(1, 1, frequent, n_class + v_class + 1, noise, lm_scoring.fresh(noise))
-    before = frequent[:4]
-    own = [lm_scoring.Text(np.append(before, k), np.array([0, 5])) for k in frequent]
-    total = sum(10 ** lm_scoring.log_probabilities(t, np.zeros(5), model)[-1] for t in own)
-    for c in range(lm_scoring.CLASSES):  # the class's words, all of one count, and the place of unseen ones
-        key = np.append(before, np.uint64((1 << 60) | c))
-        seen = v_class[c] * 10 ** lm_scoring.log_probabilities(lm_scoring.Text(key, np.array([0, 5])), np.append(np.zeros(4), n_class[c] / max(v_class[c], 1)), model)[-1]
-        total += seen + 10 ** lm_scoring.log_probabilities(lm_scoring.Text(key, np.array([0, 5])), np.zeros(5), model)[-1]
-    assert total == pytest.approx(1, abs=1e-5)
+    slots = lm_slots(1e6)
+    model, rng = lm_scoring.Model.fresh(slots), np.random.default_rng(3)
+    for scale in (0.3, 30):  # the larger overflows a plain exp
+        for k in ("q1", "q2"):
+            model.params[k] = rng.normal(0, scale, model.params[k].shape).astype(np.float32)
+        before = [5, 70, 3, 9]
+        texts = [np.array([*before, k], np.int32) for k in range(slots.total)]
+        last = lm_scoring.log_probabilities(lm_scoring.stream(texts, slots.total), model)[4::5]
+        assert np.exp(last).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_one_text_by_hand():
+    """The stream of several texts gives what each text gives when worked out word by word."""
+    slots = lm_slots(1e4)
+    model, rng = lm_scoring.Model.fresh(slots), np.random.default_rng(4)
+    p = model.params
+    for k in ("q1", "q2"):
+        p[k] = rng.normal(0, 0.3, p[k].shape).astype(np.float32)
+    texts = [rng.integers(0, slots.total, n).astype(np.int32) for n in (1, 3, 9)]
+    got, kinds, expected = lm_scoring.log_probabilities(lm_scoring.stream(texts, slots.total), model), slots.kinds(), []
+    for text in texts:
+        for i, slot in enumerate(text):
+            before = [text[i - j] if i >= j else slots.total for j in range(1, lm_scoring.ORDER + 1)]
+            guess = np.concatenate([p["r"][b] for b in before]).astype(float) @ p["c"]
+            outer, low, to = p["q1"] @ guess + p["b1"], slots.edge[kinds[slot]], slots.edge[kinds[slot] + 1]
+            inner = p["q2"][low:to] @ guess + p["b2"][low:to]
+            expected.append(outer[kinds[slot]] - np.log(np.exp(outer).sum()) + inner[slot - low] - np.log(np.exp(inner).sum()))
+    assert got == pytest.approx(np.array(expected), abs=1e-4)
 
 
 def test_lm_awkward(awkward, nothing):
@@ -305,23 +328,23 @@ def test_lm_tells_rare_words_of_a_class_apart(spark):
     assert got[1000].score > got[1001].score and got[1003].score > got[1002].score
 
 
-def test_lm_own_symbols_grow_with_the_vocabulary():
-    assert len(lm_scoring.trees(np.ones(lm_scoring.CLASSES << 5), 5)[0]) > len(lm_scoring.trees(np.ones(lm_scoring.CLASSES), 0)[0])
-    rng = np.random.default_rng(3)
-    bottom = rng.integers(1, 40, lm_scoring.CLASSES << 3).astype(float)
-    own = [rng.normal(0, 0.5, x.shape).astype(np.float32) for x in lm_scoring.trees(bottom, 3)]
-    noise = np.full(lm_scoring.SYMBOLS, 1 / lm_scoring.SYMBOLS)
-    frequent = np.sort(lm_scoring.mix(np.arange(lm_scoring.FREQUENT, dtype=np.uint64)))
-    model = lm_scoring.Model(1, 1, frequent, bottom, noise, lm_scoring.fresh(noise), 3, own)
-    leaves = [np.uint64((p << 61) | 1 << 50 | c) for c in range(lm_scoring.CLASSES) for p in range(8)]
-    texts = [lm_scoring.Text(np.append(frequent[:4], k), np.array([0, 5])) for k in [*frequent, *leaves]]
-    mass = np.append(np.ones(len(frequent)), bottom[[int(k & np.uint64(255)) * 8 + int(k >> np.uint64(61)) for k in leaves]])
-    assert sum(m * 10 ** lm_scoring.log_probabilities(t, np.zeros(5), model)[-1] for t, m in zip(texts, mass, strict=True)) == pytest.approx(1, abs=1e-4)
+def test_lm_slots_grow_with_the_vocabulary():
+    assert lm_slots(1e7).total > lm_slots(1e6).total > lm_slots(1e4).total
 
 
 def test_lm_scores_do_not_follow_file_splits(docs, small_blocks):
-    scores = [{r.doc_id: r.score for r in lm_scoring.lm_scoring(docs.select("doc_id", "text").repartition(n), F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()} for n in (1, 200)]
-    assert scores[0].keys() == scores[1].keys() and all(scores[1][k] == pytest.approx(x, rel=1e-4) for k, x in scores[0].items())
+    learned = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    scores = [{r.doc_id: (r.base_score, r.score) for r in lm_scoring.lm_scoring(docs.select("doc_id", "text").repartition(n), learned).collect()} for n in (1, 8, 64, 200)]
+    held = [k for k in scores[0] if zlib.crc32(str(k).encode()) % 7 == 2]
+    for some in scores:
+        assert some.keys() == scores[0].keys() and all(some[k][1] == pytest.approx(x, rel=1e-6) for k, (_, x) in scores[0].items())
+        assert sum(some[k][1] for k in held) > sum(some[k][0] for k in held)
+
+
+def test_lm_clashing_names(awkward):
+    odd = awkward.select("doc_id", "text", F.lit(1).alias("__trains"), F.lit(2).alias("block"), F.lit(3).alias("row"), F.lit(4).alias("trains"), F.lit(5).alias("copy"), F.lit(6).alias("codes"))
+    done = lm_scoring.lm_scoring(odd, F.lit(True))
+    assert done.columns[:8] == odd.columns and {tuple(r[2:8]) for r in done.collect()} == {(1, 2, 3, 4, 5, 6)}
 
 
 # 9: mixing

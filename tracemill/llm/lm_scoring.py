@@ -2,25 +2,25 @@
 
 Counts: blocks of documents send their distinct tokens to shards, which add them up
 over the whole training part and answer with each block's own tokens' counts.
-Model: the most frequent tokens are symbols of their own, every other token is the
-symbol of its class (by its last two bytes).  The next symbol's logits are
-``Q g + b`` with ``g = sum_j C_j r[s_j]`` over the last ORDER symbols.  Below each
-class hangs a binary tree over hashes of its tokens, deeper the more distinct training
-tokens there are, up to MAX_DEPTH: each node turns right with the probability
-``sigmoid(t.g + a)``, each leaf adds a vector of its own to ``r`` where its tokens are
-context, and a token has its add-one share of its leaf.
-Training rows are dealt by hash into copies of bounded size, however the table is
-split.  Each copy is trained by noise-contrastive estimation (the trees by their exact
-likelihood); the mean of the copies is the model of the next round, and rounds go on
-until the loss summed over all copies stops falling.  A row of a tree or leaf is
-averaged by how often each copy met it, so rare tokens keep what they learned.
-Scoring multiplies matrices and normalises over all symbols.
+Model: a token's slot is what the model knows it as.  Frequent tokens have a slot of
+their own, the others share the tail slots of their class by a hash, and inside a tail
+slot a token has its add-one share of the counts.  There are SLOTS_A_ROOT times the
+square root of the distinct training tokens of slots, so they grow with the corpus.
+A class (by a token's last three bytes) holds about the same number of slots.  With
+``g = sum_j C_j r[slot_j]`` over the last ORDER slots, a slot's probability is the
+softmax over classes of ``Q1 g + b1`` times the softmax over its class's slots of
+``Q2 g + b2``: both are normalised by matrix products.
+Training: both levels by noise-contrastive estimation; the noise of a slot are the
+other tokens of its class in the same batch.  Training rows are dealt by hash into
+copies of bounded size, however the table is split.  Rounds take one copy, then two,
+then four, and so on, each text once; the copies of a round start from the mean of the
+round before.  A slot's vectors are averaged by how often each copy met it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +28,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.blocks import cut_lineage, cut_shards, dealt, pack, pow2, text_bytes, unpack
+from tracemill.llm import blocks as B
+from tracemill.llm.blocks import cut_lineage, cut_shards, pack, pow2, text_bytes, unpack
 from tracemill.llm.textnum import U64, freed, freed_pair, mix, slices, with_row, words
 
-FREQUENT, CLASSES = 128, 128
-SYMBOLS = FREQUENT + CLASSES
-START = SYMBOLS  # what stands before a text; never predicted
-ORDER, WIDTH = 4, 16
-NOISE, BATCH, SPEED = 64, 1024, 0.1
-MAX_DEPTH, WORDS_A_LEAF = 9, 4  # of the trees below the classes
-COPY_BLOCKS, LEAST_FALL = 4, 0.01  # blocks that train one copy; a round's relative fall in loss that asks for another
+CLASSES, ORDER, WIDTH = 128, 4, 16
+SLOTS_A_ROOT, FINE = 6, 9  # FINE: bits of a token's hash that choose its tail slot
+NOISE, GROUP = 32, 16  # drawn classes of a batch; tokens that are each other's noise within their class
+RUN, BATCH, SPEED = 64, 4096, 0.1  # tokens in a row, tokens in a batch, and the length of a step
+COPY_BLOCKS, SLOTS_A_COPY = 4, 16384  # blocks that train one copy, and more if the model has more slots
+ROWS = 1 << 15  # tokens normalised at a time
+CHUNK = 1 << 18  # tokens that a task encodes or scores at a time
+PARTS = 32  # parts of the slots that are averaged apart
 END = U64(0xE0D0E0D0E0D0E000)
 CLASS_BITS = U64(0xFF)
 SHARD_KEYS = 1_000_000
 SENT = "shard int, block int, keys binary, counts binary"
-MERGED = "block int, shard int, counts binary, a long, b long"
+MERGED = "block int, shard int, counts binary"
+CODED = "copy int, order long, n_tokens long, n_known long, base double, inside double, codes binary"
 
 
 @dataclass
@@ -56,9 +59,11 @@ class Text:
 def tokens(texts: pa.Array) -> Text:
     """Keys of lower-cased words; a key's low byte is the word's class."""
     found = words(texts, lower=True)
-    last = found.data[found.end - 1].astype(U64)
-    before = np.where(found.end - found.start > 1, found.data[np.maximum(found.end - 2, 0)], 0).astype(U64)
-    own = (found.hashes() & ~CLASS_BITS) | (mix(last << U64(8) | before) % U64(CLASSES))
+    ending = np.zeros(len(found.start), U64)
+    for back in (1, 2, 3):
+        inside = found.end - found.start >= back
+        ending = ending << U64(8) | np.where(inside, found.data[np.maximum(found.end - back, 0)], 0).astype(U64)
+    own = (found.hashes() & ~CLASS_BITS) | (mix(ending) % U64(CLASSES))
     first = found.first + np.arange(len(found.first))
     keys = np.full(int(first[-1]), END, U64)
     inside = np.ones(len(keys), bool)
@@ -67,145 +72,115 @@ def tokens(texts: pa.Array) -> Text:
     return Text(keys, first)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of every key among them."""
+    coded = pc.dictionary_encode(pa.array(keys, pa.uint64()))
+    found = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return found[order], place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 @dataclass
-class Model:
-    """Corpus totals, symbols of frequent tokens, leaf totals and the parameters; ``own`` are vectors of leaves and nodes."""
+class Slots:
+    """Which slot a token has, and how often slots were met in training."""
 
     n: int
     v: int
-    frequent: np.ndarray
-    bottom: np.ndarray
-    noise: np.ndarray
-    params: list[np.ndarray]
-    depth: int = 0
-    own: list[np.ndarray] = field(default_factory=lambda: [np.zeros((CLASSES + 1, WIDTH), np.float32), np.zeros((CLASSES, WIDTH + 1), np.float32)])
-
-    def symbols(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return FREQUENT + (keys & CLASS_BITS).astype(np.int64)
-        place = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
-        return np.where(self.frequent[place] == keys, place, FREQUENT + (keys & CLASS_BITS).astype(np.int64))
-
-    def codes(self, keys: np.ndarray) -> np.ndarray:
-        """The place of a frequent token; FREQUENT and the leaf of any other."""
-        symbols = self.symbols(keys)
-        return np.where(symbols < FREQUENT, symbols, FREQUENT + ((symbols - FREQUENT) << self.depth) + _path(keys, self.depth))
-
-
-def _path(keys: np.ndarray, depth: int) -> np.ndarray:
-    """A token's turns in its class's tree: the top bits of its key."""
-    return (keys >> U64(64 - depth)).astype(np.int64) if depth else np.zeros(len(keys), np.int64)
-
-
-def turns(leaf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes on the ways to leaves, and where the way turns right."""
-    level = np.arange(depth)
-    tree, path = leaf >> depth << depth, leaf & ((1 << depth) - 1)
-    return tree[:, None] + (1 << level) + (path[:, None] >> (depth - level)), (path[:, None] >> (depth - 1 - level) & 1).astype(np.float32)
-
-
-def contexts(symbols: np.ndarray, first: np.ndarray, start: int = START, kind: type = np.int16) -> np.ndarray:
-    """The ORDER symbols before each token, the nearest first."""
-    into = np.arange(len(symbols)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((len(symbols), ORDER), start, kind)
-    for j in range(ORDER):
-        out[j + 1 :, j] = symbols[: max(0, len(symbols) - j - 1)]
-        out[into <= j, j] = start
-    return out
-
-
-def fresh(noise: np.ndarray) -> list[np.ndarray]:
-    rng = np.random.default_rng(5)
-    draw = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
-    return [draw(SYMBOLS + 1, WIDTH), draw(ORDER, WIDTH, WIDTH), draw(SYMBOLS, WIDTH), np.log(noise).astype(np.float32)]
-
+    own: np.ndarray
+    own_slot: np.ndarray
+    edge: np.ndarray  # class k has the slots edge[k] to edge[k + 1], its tails last
+    tails: int
+    met: np.ndarray
+    bottom: np.ndarray  # of the share of a token in its slot
+
+    @classmethod
+    def of(cls, own: np.ndarray, own_count: np.ndarray, n_cell: np.ndarray, v_cell: np.ndarray) -> Slots:
+        """From the tokens with own slots, and the counts and distinct tokens of all cells (class, hash bits)."""
+        n, v = int(n_cell.sum()), int(v_cell.sum())
+        tails = _tails(v)
+        kind = (own & CLASS_BITS).astype(np.int64)
+        cell = (kind << FINE) + (own >> U64(64 - FINE)).astype(np.int64)
+        n_cell, v_cell = n_cell - np.bincount(cell, own_count, len(n_cell)), v_cell - np.bincount(cell, minlength=len(v_cell))
+        edge = np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=CLASSES) + tails)))
+        order = np.lexsort((own, kind))
+        own_slot = np.empty(len(own), np.int64)
+        own_slot[order] = np.arange(len(own)) + kind[order] * tails
+        tail = (edge[1:] - tails)[:, None] + (np.arange(1 << FINE) * tails >> FINE)
+        met = np.bincount(tail.ravel(), n_cell, edge[-1])
+        bottom = met + np.bincount(tail.ravel(), v_cell, edge[-1]) + 1
+        met[own_slot] = own_count
+        return cls(n, v, own, own_slot, edge, tails, met, bottom)
+
+    @property
+    def total(self) -> int:
+        return int(self.edge[-1])
+
+    def kinds(self) -> np.ndarray:
+        return np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(self.edge))
+
+    def codes(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of keys, and which of them are their own."""
+        fine = (keys >> U64(64 - FINE)).astype(np.int64)
+        code = self.edge[1 + (keys & CLASS_BITS).astype(np.int64)] - self.tails + (fine * self.tails >> FINE)
+        if not len(self.own):
+            return code.astype(np.int32), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.own, keys), len(self.own) - 1)
+        alone = self.own[place] == keys
+        return np.where(alone, self.own_slot[place], code).astype(np.int32), alone
+
+
+def _slots(v: float) -> int:
+    return min(CLASSES << (FINE + 2), max(2 * CLASSES, int(SLOTS_A_ROOT * v**0.5)))
+
+
+def _tails(v: float) -> int:
+    """Tail slots of a class: a quarter of all slots are tails."""
+    return max(1, _slots(v) // (4 * CLASSES))
+
+
+#: r: a slot as context; c: the context's matrices; q1, b1: classes; q2, b2: slots as what comes next
+DENSE, BY_SLOT = ("c", "q1", "b1"), ("r", "q2", "b2")
 
-def trees(bottom: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Zero vectors of leaves and nodes, whose turns have the shares of the leaves below them."""
-    nodes = np.zeros((len(bottom), WIDTH + 1), np.float32)
-    below = bottom.reshape(CLASSES, -1)
-    for level in range(depth - 1, -1, -1):
-        left, right = below[:, ::2], below[:, 1::2]
-        nodes.reshape(CLASSES, -1, WIDTH + 1)[:, 1 << level : 2 << level, WIDTH] = np.log(right / left)
-        below = left + right
-    return [np.zeros((len(bottom) + 1, WIDTH), np.float32), nodes]
 
-
-class Copy:
-    """A model in training: parameters, sums of squared steps, how often rows of trees were met, loss."""
-
-    def __init__(self, model: Model, memory: list[np.ndarray]) -> None:
-        self.model, self.loss, self.seen = model, 0.0, 0
-        self.params, self.memory = [p.copy() for p in model.params], [m.copy() for m in memory]
-        self.own, self.own_memory = [p.copy() for p in model.own], [np.full(len(p), 1e-6, np.float32) for p in model.own]
-        self.met = [np.zeros(len(p), np.int64) for p in model.own]
-
-    def learn(self, codes: np.ndarray, first: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive estimation over the tokens of some texts."""
-        model, depth = self.model, self.model.depth
-        r, c, q, b = self.params
-        leaf_r, node = self.own
-        nowhere = len(leaf_r) - 1
-        leaf = codes - FREQUENT
-        symbols = np.where(leaf < 0, codes, FREQUENT + (leaf >> depth))
-        before, before_leaf = contexts(symbols, first), contexts(np.where(leaf < 0, nowhere, leaf), first, nowhere, np.int32)
-        log_noise = np.log(NOISE * model.noise).astype(np.float32)
-        cdf = np.cumsum(model.noise)
-        order = rng.permutation(len(symbols))
-        flat = c.reshape(ORDER * WIDTH, WIDTH)
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            target, ctx, ctx_leaf = symbols[pick], before[pick].ravel(), before_leaf[pick].ravel()
-            drawn = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), SYMBOLS - 1)
-            held = (r.take(ctx, 0) + leaf_r.take(ctx_leaf, 0)).reshape(len(pick), ORDER * WIDTH)
-            guess, q_target, q_drawn = held @ flat, q.take(target, 0), q.take(drawn, 0)
-            pull = 1 - _sigmoid(np.einsum("ij,ij->i", guess, q_target) + (b - log_noise)[target])
-            push = _sigmoid(guess @ q_drawn.T + (b - log_noise)[drawn])
-            self.loss -= float(np.log(np.maximum((1 - pull) * (1 - push).prod(1), 1e-37)).sum())
-            d_guess = pull[:, None] * q_target - push @ q_drawn
-            d_q, d_r = np.zeros_like(q), np.zeros_like(r)
-            _add(d_q, target, pull[:, None] * guess)
-            np.subtract.at(d_q, drawn, push.T @ guess)
-            d_b = np.bincount(target, pull, SYMBOLS) - np.bincount(drawn, push.sum(0), SYMBOLS)
-            rare = np.flatnonzero(target >= FREQUENT)
-            if depth and len(rare):
-                nodes, right = turns(leaf[pick[rare]], depth)
-                vectors = node.take(nodes, 0)
-                from_rare = np.concatenate((guess[rare], np.ones((len(rare), 1), np.float32)), 1)
-                miss = right - _sigmoid(np.einsum("ijk,ik->ij", vectors, from_rare))
-                self.loss -= float(np.log(np.maximum(1 - np.abs(miss), 1e-37)).sum())
-                d_guess[rare] += np.einsum("ij,ijk->ik", miss, vectors[:, :, :WIDTH])
-                self._step_own(1, nodes.ravel(), (miss[:, :, None] * from_rare[:, None, :]).reshape(-1, WIDTH + 1), len(pick))
-            d_held = (d_guess @ flat.T).reshape(-1, WIDTH)
-            _add(d_r, ctx, d_held)
-            inside = np.flatnonzero(ctx_leaf != nowhere)
-            if depth and len(inside):
-                self._step_own(0, ctx_leaf[inside], d_held.take(inside, 0), len(pick))
-            steps = (d_r, (held.T @ d_guess).reshape(c.shape), d_q, d_b.astype(np.float32))
-            for param, step, seen in zip(self.params, steps, self.memory, strict=True):
-                step /= len(pick)
-                seen += step * step
-                param += SPEED * step / (np.sqrt(seen) + 1e-4)
-        self.seen += len(symbols)
-
-    def _step_own(self, which: int, at: np.ndarray, steps: np.ndarray, n: int) -> None:
-        """Adds up the steps of equal rows; a row has one sum of squared steps."""
-        order = np.argsort(at)
-        ranked = at[order]
-        edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        size = np.diff(edge, append=len(at))
-        rows = ranked[edge]
-        step = steps.take(order[edge], 0)
-        more = size > 1
-        if more.any():
-            again = np.repeat(more, size)
-            step[more] = np.add.reduceat(steps.take(order[again], 0), np.cumsum(size[more]) - size[more])
-        step *= np.float32(1 / n)
-        seen = self.own_memory[which].take(rows) + np.einsum("ij,ij->i", step, step) / step.shape[1]
-        self.own_memory[which][rows] = seen
-        step *= (SPEED / (np.sqrt(seen) + 1e-4)).astype(np.float32)[:, None]
-        self.own[which][rows] += step
-        self.met[which][rows] += size
+@dataclass
+class Model:
+    """Slots, parameters, and the sum of squared steps of each (of a slot: one for each kind of vector)."""
+
+    slots: Slots
+    params: dict[str, np.ndarray]
+    memory: dict[str, np.ndarray]
+
+    @classmethod
+    def fresh(cls, slots: Slots) -> Model:
+        """Random contexts; what comes next has its share of the counts."""
+        rng = np.random.default_rng(5)
+        draw = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
+        outer, inner = _shares(slots)
+        params = {
+            "r": draw(slots.total + 1, WIDTH),
+            "c": draw(ORDER * WIDTH, WIDTH),
+            "q1": np.zeros((CLASSES, WIDTH), np.float32),
+            "b1": np.log(outer),
+            "q2": np.zeros((slots.total + 1, WIDTH), np.float32),
+            "b2": np.append(np.log(inner), np.float32(0)),
+        }
+        memory = {k: np.full(len(p) if k in BY_SLOT else p.shape, 1e-6, np.float32) for k, p in params.items()}
+        return cls(slots, params, memory)
+
+
+def _shares(slots: Slots) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of classes, and of slots in their class."""
+    met = slots.met + 1
+    mass = np.add.reduceat(met, slots.edge[:-1])
+    return (mass / mass.sum()).astype(np.float32), (met / np.repeat(mass, np.diff(slots.edge))).astype(np.float32)
+
+
+def stream(parts: list[np.ndarray], start: int) -> np.ndarray:
+    """Codes of texts one after another, each behind ORDER times ``start``."""
+    gap = np.full(ORDER, start, np.int32)
+    return np.concatenate([x for part in parts for x in (gap, part)]) if parts else gap
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,47 +191,180 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
-    """total[at] += values, with repeated places added up."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    ranked = at[order]
-    edge = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    total[ranked[edge]] += np.add.reduceat(values.take(order, 0), edge)
-
-
-def log_probabilities(text: Text, counts: np.ndarray, model: Model) -> np.ndarray:
-    """log10 probability of every token, normalised over all tokens there can be."""
-    r, c, q, b = model.params
-    leaf_r, node = model.own
-    nowhere = len(leaf_r) - 1
-    symbols = model.symbols(text.keys)
-    leaf = model.codes(text.keys) - FREQUENT
-    before, before_leaf = contexts(symbols, text.first), contexts(np.where((leaf < 0) | (counts < 1), nowhere, leaf), text.first, nowhere, np.int32)
-    out = np.empty(len(symbols))
-    far = float(np.abs(q).sum(1).max())
-    flat = c.reshape(ORDER * WIDTH, WIDTH)
-    for at in range(0, len(symbols), 2048):
-        part = slice(at, at + 2048)
-        guess = (r.take(before[part].ravel(), 0) + leaf_r.take(before_leaf[part].ravel(), 0)).reshape(-1, ORDER * WIDTH) @ flat
-        logits = guess @ q.T
-        logits += b
-        if np.abs(guess).max() * far + np.abs(b).max() > 60:  # else exp stays finite as it is
-            logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(logits)), symbols[part]]
-        out[part] = own - np.log(np.exp(logits, out=logits).sum(1))
-        rare = np.flatnonzero(leaf[part] >= 0)
-        if model.depth and len(rare):
-            nodes, right = turns(leaf[part][rare], model.depth)
-            vectors = node.take(nodes, 0)
-            z = (np.einsum("ijk,ik->ij", vectors[:, :, :WIDTH], guess[rare]) + vectors[:, :, WIDTH]).astype(float) * (1 - 2 * right)
-            out[at + rare] -= (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).sum(1)
-    rare = leaf >= 0
-    out[rare] += np.log((counts[rare] + 1) / model.bottom[leaf[rare]])
-    return out / np.log(10)
-
-
-def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score.
+def _edges(ranked: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+
+
+def _ranked(codes: np.ndarray, most: int) -> np.ndarray:
+    """Sorted codes; small ones by radix."""
+    return np.sort(codes.astype(np.uint16), kind="stable").astype(np.int32) if most < 1 << 16 else np.sort(codes)
+
+
+def _held(vectors: np.ndarray, n: int) -> np.ndarray:
+    """The ORDER vectors before each of the last ``n`` of every run, the nearest first."""
+    return np.concatenate([vectors[:, ORDER - 1 - j : ORDER - 1 - j + n] for j in range(ORDER)], 2).reshape(-1, ORDER * WIDTH)
+
+
+class Copy:
+    """A model in training: parameters, and how often slots were met."""
+
+    def __init__(self, model: Model) -> None:
+        self.slots, self.seen = model.slots, 0
+        self.params, self.memory = ({k: x.copy() for k, x in held.items()} for held in (model.params, model.memory))
+        self.met, self.place = (np.zeros(model.slots.total + 1, np.int64) for _ in range(2))
+        outer, inner = _shares(model.slots)
+        self.kinds, self.cdf = np.append(model.slots.kinds(), CLASSES), np.cumsum(outer, dtype=float)
+        self.log_outer, self.log_inner = np.log(NOISE * outer), np.append(np.log((GROUP - 1) * inner), np.float32(0))
+
+    def learn(self, codes: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over a stream of texts, in runs of RUN tokens in a random order."""
+        runs = -(-(len(codes) - ORDER) // RUN)
+        padded = np.full(ORDER + runs * RUN, self.slots.total, np.int32)
+        padded[: len(codes)] = codes
+        places = np.arange(runs)[:, None] * RUN + np.arange(ORDER + RUN)
+        order = rng.permutation(runs)
+        for at in range(0, runs, BATCH // RUN):
+            self._step(padded[places[order[at : at + BATCH // RUN]]], rng)
+
+    def _step(self, runs: np.ndarray, rng: np.random.Generator) -> None:
+        p, start = self.params, self.slots.total
+        held = _held(p["r"].take(runs, 0), RUN)
+        targets = runs[:, ORDER:].ravel()
+        kinds = self.kinds.take(targets)
+        order = np.argsort(kinds, kind="stable")
+        order = order[: np.searchsorted(kinds, CLASSES, sorter=order)]  # starts of texts are not predicted
+        if not len(order):
+            return
+        t, kind = targets.take(order), kinds.take(order)
+        guess = (held @ p["c"]).take(order, 0)
+        d_guess, d_q1, d_b1 = self._outer(guess, kind, rng)
+        d_next, met_guess = self._inner(guess, t, kind)
+        d_guess += met_guess
+        whole = np.zeros((len(targets), WIDTH), np.float32)
+        whole[order] = d_guess
+        d_held = (whole @ p["c"].T).reshape(len(runs), RUN, ORDER * WIDTH)
+        steps = np.zeros((*runs.shape, 2 * WIDTH + 1), np.float32)
+        for j in range(ORDER):
+            steps[:, ORDER - 1 - j : ORDER - 1 - j + RUN, :WIDTH] += d_held[:, :, j * WIDTH : (j + 1) * WIDTH]
+        ahead = np.zeros((len(targets), WIDTH + 1), np.float32)
+        ahead[order] = d_next
+        steps[:, ORDER:, WIDTH:] = ahead.reshape(len(runs), RUN, WIDTH + 1)
+        n = np.float32(1 / len(order))
+        for name, step in (("c", held.T @ whole), ("q1", d_q1), ("b1", d_b1)):
+            step *= n
+            self.memory[name] += step * step
+            p[name] += SPEED * step / (np.sqrt(self.memory[name]) + 1e-6)
+        self._step_slots(runs.ravel(), steps.reshape(-1, 2 * WIDTH + 1), n)
+        self.seen += len(order)
+
+    def _outer(self, guess: np.ndarray, kind: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps of the context's guess and of the classes."""
+        q, b = self.params["q1"], self.params["b1"] - self.log_outer
+        drawn = np.minimum(np.searchsorted(self.cdf, rng.random(NOISE) * self.cdf[-1]), CLASSES - 1)
+        own, noise = q.take(kind, 0), q.take(drawn, 0)
+        pull = 1 - _sigmoid(np.einsum("ij,ij->i", guess, own) + b[kind])
+        push = guess @ noise.T
+        push += b[drawn]
+        _sigmoid(push)
+        d_guess = pull[:, None] * own
+        d_guess -= push @ noise
+        edge = _edges(kind)
+        which = np.zeros((NOISE, CLASSES), np.float32)
+        which[np.arange(NOISE), drawn] = 1
+        d_q, d_b = which.T @ -(push.T @ guess), which.T @ -push.sum(0)
+        d_q[kind[edge]] += np.add.reduceat(pull[:, None] * guess, edge, 0)
+        d_b[kind[edge]] += np.add.reduceat(pull, edge)
+        return d_guess, d_q, d_b
+
+    def _inner(self, guess: np.ndarray, t: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of the targets' vectors and of the guesses; neighbours of one class are each other's noise."""
+        d_next, d_guess = np.zeros((len(t), WIDTH + 1), np.float32), np.zeros_like(guess)
+        n = len(t) // GROUP * GROUP
+        if not n:
+            return d_next, d_guess
+        g, q = guess[:n].reshape(-1, GROUP, WIDTH), self.params["q2"].take(t[:n], 0).reshape(-1, GROUP, WIDTH)
+        z = g @ q.transpose(0, 2, 1)
+        z += (self.params["b2"] - self.log_inner).take(t[:n]).reshape(-1, 1, GROUP)
+        _sigmoid(z)
+        k = kind[:n].reshape(-1, GROUP)
+        same = k[:, :, None] == k[:, None, :]
+        others = same.sum(2, dtype=np.float32) - 1
+        z *= same
+        diagonal = np.arange(GROUP)
+        pull = (1 - z[:, diagonal, diagonal]) * (others > 0)
+        z *= ((GROUP - 1) / np.maximum(others, 1))[:, :, None]  # as many noise tokens in the sum wherever there are any
+        z[:, diagonal, diagonal] = -pull
+        d_guess[:n] = -(z @ q).reshape(-1, WIDTH)
+        d_next[:n, :WIDTH] = -(z.transpose(0, 2, 1) @ g).reshape(-1, WIDTH)
+        d_next[:n, WIDTH] = -z.sum(1).ravel()
+        return d_next, d_guess
+
+    def _step_slots(self, codes: np.ndarray, steps: np.ndarray, n: np.float32) -> None:
+        """Adds up the steps of equal slots."""
+        rows, at = self._rows(codes)
+        width = steps.shape[1]
+        cell = at[:, None] * width + np.arange(width)
+        step = np.bincount(cell.ravel(), steps.ravel(), len(rows) * width).astype(np.float32).reshape(-1, width)
+        step *= n
+        for name, part in (("r", step[:, :WIDTH]), ("q2", step[:, WIDTH : 2 * WIDTH]), ("b2", step[:, 2 * WIDTH])):
+            square = part * part if part.ndim == 1 else np.einsum("ij,ij->i", part, part) / WIDTH
+            seen = self.memory[name].take(rows) + square
+            self.memory[name][rows] = seen
+            rate = SPEED / (np.sqrt(seen) + 1e-6)
+            self.params[name][rows] += part * (rate if part.ndim == 1 else rate[:, None])
+        self.met[rows] += np.bincount(at)
+
+    def _rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct slots, and the place of every slot among them."""
+        rows = _ranked(codes, self.slots.total)
+        rows = rows[_edges(rows)]
+        self.place[rows] = np.arange(len(rows))
+        return rows, self.place.take(codes)
+
+
+def log_probabilities(codes: np.ndarray, model: Model) -> np.ndarray:
+    """Natural log probabilities of the slots of a stream, one for each that is not the start, in its order."""
+    p, slots = model.params, model.slots
+    kinds = slots.kinds()
+    classes, nexts = (np.ascontiguousarray(np.column_stack((p[f"q{k}"], p[f"b{k}"])).T) for k in (1, 2))
+    out = np.zeros(int((codes[ORDER:] < slots.total).sum()))
+    done = 0
+    for at in range(ORDER, len(codes), ROWS):
+        part = codes[at - ORDER : at + ROWS]
+        keep = np.flatnonzero(part[ORDER:] < slots.total)
+        if not len(keep):
+            continue
+        t = part[ORDER:].take(keep)
+        kind = kinds.take(t)
+        order = np.argsort(kind, kind="stable")
+        t, kind = t.take(order), kind.take(order)
+        guess = np.ones((len(t), WIDTH + 1), np.float32)
+        guess[:, :WIDTH] = (_held(p["r"].take(part, 0)[None], len(part) - ORDER) @ p["c"]).take(keep.take(order), 0)
+        found = _log_softmax(guess, classes, kind)
+        edge = _edges(kind)
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(t)], strict=True):
+            low, to = slots.edge[kind[a]], slots.edge[kind[a] + 1]
+            found[a:b] += _log_softmax(guess[a:b], nexts[:, low:to], t[a:b] - low)
+        out[done + order] = found
+        done += len(t)
+    return out
+
+
+def _log_softmax(guess: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of ``guess @ vectors`` at one place of each row."""
+    logits = guess @ vectors
+    own = logits[np.arange(len(logits)), at].astype(float)
+    with np.errstate(over="ignore"):
+        total = np.exp(logits).sum(1)
+    if not (total.min() > 1e-30 and total.max() < 1e30):  # exp may have overflowed
+        high = logits.max(1)
+        return own - high - np.log(np.exp(logits - high[:, None]).sum(1))
+    return own - np.log(total)
+
+
+def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_tokens, n_known, train_tokens, base_score and score.
 
     ``trains`` says which rows are learned from (null: not).  Scores are log10
     probabilities of whole texts with their end.
@@ -264,176 +372,187 @@ def lm_scoring(docs: DataFrame, trains: Column, key: str = "doc_id", text: str =
     Defined cases: a null, empty or blank text is its end alone (one token); equal
     texts get equal scores; without training rows every token is unseen; an empty
     table gives an empty result.  Columns named as a result are replaced, others
-    pass through.
+    pass through, whatever their names.
     """
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    names = [c for c in docs.columns if c not in made or c in (key, text)]
-    flagged = docs.withColumn("__trains", F.coalesce(trains, F.lit(False))).select(*[F.col(f"`{c}`") for c in names], "__trains")
-    sent_names = flagged.columns
+    names = [c for c in (docs.columns if keep is None else keep) if c not in made]
     total = text_bytes(docs, text)
+    n_blocks = max(1, -(-total // B.BLOCK_BYTES))
     shard_bits = pow2(total / 60 / SHARD_KEYS)
-    blocks = dealt(flagged, key, text, total)
-
-    def columns(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
-        row = table.column("row").combine_chunks()
-        row = pa.concat_arrays(row.chunks) if isinstance(row, pa.ChunkedArray) else row
-        return pc.struct_field(row, [sent_names.index(text)]), pc.struct_field(row, [len(sent_names) - 1]).to_numpy(zero_copy_only=False)
+    order = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    dealt = docs.select(
+        F.pmod(order, F.lit(n_blocks)).cast("int").alias("block"),
+        order.alias("order"),
+        F.coalesce(trains, F.lit(False)).alias("trains"),
+        F.col(f"`{text}`").alias("text"),
+        F.struct(F.lit(0), *[F.col(f"`{c}`") for c in names]).alias("row"),
+    )
 
     def count(table: pa.Table) -> pa.Table:
-        texts, learned = columns(table)
+        texts, learned = _whole(table.column("text")), table.column("trains").to_numpy()
         keys, counts = [np.zeros(0, U64)], [np.zeros(0)]
         for a, b in slices(texts):
             found = tokens(texts.slice(a, b - a))
-            own, at = np.unique(found.keys, return_inverse=True)
+            own, at = distinct(found.keys)
             keys.append(own)
             counts.append(np.bincount(at, np.repeat(learned[a:b], np.diff(found.first)).astype(float), len(own)))
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        own, at = distinct(np.concatenate(keys))
         sums = np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
         block = table.column("block")[0].as_py()
         rows = [(s, block, pack(own[a:b]), pack(sums[a:b])) for s, a, b in cut_shards(own, 64, shard_bits)]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("shard", "block", "keys", "counts"), kinds, strict=True))})
+        return _table(rows, ("shard", "block", "keys", "counts"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
     def merge(table: pa.Table) -> pa.Table:
         shard, sent = table.column("shard")[0].as_py(), table.to_pydict()
         keys = [unpack(x, U64) for x in sent["keys"]]
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        own, at = distinct(np.concatenate(keys))
         sums = np.bincount(at, np.concatenate([unpack(x, np.int64) for x in sent["counts"]]), len(own)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])[:-1]
-        rows = [(b, shard, pack(x.astype(np.int64)), 0, 0) for b, x in zip(sent["block"], np.split(sums[at], ends), strict=True)]
-        known = sums > 0
-        cells, back = np.unique(((own[known] & CLASS_BITS).astype(np.int64) << MAX_DEPTH) + _path(own[known], MAX_DEPTH), return_inverse=True)
-        per_cell = zip(cells.tolist(), np.bincount(back, sums[known], len(cells)), np.bincount(back, minlength=len(cells)), strict=True)
-        rows += [(-1, k, None, int(n), int(v)) for k, n, v in per_cell]
-        top = np.lexsort((own, -sums))[: FREQUENT + 1]
-        rows += [(-2, 0, None, int(own[i].view(np.int64)), int(sums[i])) for i in top if sums[i] > 0]
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("block", "shard", "counts", "a", "b"), types, strict=True))})
-
-    counted = cut_lineage(blocks.groupBy("block").applyInArrow(freed(count), SENT).groupBy("shard").applyInArrow(freed(merge), MERGED))
-    model = _fit(counted, blocks.where("row.__trains"), key, text)
-
-    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = [(b, shard, pack(x)) for b, x in zip(sent["block"], np.split(sums[at], ends), strict=True)]
+        own, sums = own[sums > 0], sums[sums > 0]
+        cells, back = np.unique(((own & CLASS_BITS).astype(np.int64) << FINE) + (own >> U64(64 - FINE)).astype(np.int64), return_inverse=True)
+        rows.append((-1, shard, pack(np.concatenate((cells, np.bincount(back, sums, len(cells)).astype(np.int64), np.bincount(back, minlength=len(cells)))))))
+        share = -(-3 * _slots(len(own) << shard_bits) // 4) >> shard_bits
+        top = np.union1d(np.lexsort((own, -sums))[: max(1, share)], np.flatnonzero(own == END))  # the end is always a slot of its own
+        rows.append((-2, shard, pack(np.concatenate((own[top].view(np.int64), sums[top])))))
+        return _table(rows, ("block", "shard", "counts"), (pa.int32(), pa.int32(), pa.binary()))
+
+    sent = dealt.select("block", "trains", "text").groupBy("block").applyInArrow(freed(count), SENT)
+    counted = cut_lineage(sent.groupBy("shard").applyInArrow(freed(merge), MERGED))
+    slots = _gather(counted)
+    per_copy = COPY_BLOCKS * -(-slots.total // SLOTS_A_COPY)
+    log_base = np.log10(slots.n + slots.v + 1)
+
+    def encode(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({})
-        texts, _ = columns(table)
+        texts, learned = _whole(table.column("text")), table.column("trains").to_numpy()
+        copy = table.column("block")[0].as_py() // per_copy
         got = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        parts = [tokens(texts.slice(a, b - a)) for a, b in slices(texts)]
-        own = np.unique(np.concatenate([np.unique(p.keys) for p in parts]))
+        parts = []
+        for a, b in slices(texts):
+            found = tokens(texts.slice(a, b - a))
+            own, at = distinct(found.keys)
+            parts.append((found.first, own, at))
+        own = np.unique(np.concatenate([x[1] for x in parts]))
         sums = np.concatenate([unpack(x, np.int64) for _, x in got])
-        out: dict[str, list] = {name: [] for name in made}
-        bottom = np.log10(model.n + model.v + 1)
-        for part in parts:
-            counts = sums[np.searchsorted(own, part.keys)]
-            size, edge = np.diff(part.first), part.first[:-1]
-            out["n_tokens"].append(size)
-            out["n_known"].append(np.add.reduceat((counts > 0).astype(np.int64), edge))
-            out["train_tokens"].append(np.full(len(size), model.n))
-            out["base_score"].append(np.add.reduceat(np.log10(counts + 1.0) - bottom, edge))
-            out["score"].append(np.add.reduceat(log_probabilities(part, counts, model), edge))
-        return pa.table({"row": table.column("row"), **{n: np.concatenate(v) for n, v in out.items()}})
-
-    answers = counted.where("block >= 0").select("block", "shard", "counts")
-    schema = with_row(blocks.schema["row"].dataType, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    done = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freed_pair(score), schema)
-    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names if c not in made], *made)
-
-
-def _fit(counted: DataFrame, rows: DataFrame, key: str, text: str) -> Model:
-    """The model: bounded totals from all shards, parameters from all copies."""
-    per_cell = counted.where("block = -1").groupBy("shard").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).collect()
-    top = counted.where("block = -2").orderBy(F.desc("b"), "a").limit(FREQUENT).collect()
-    by_key = {int(np.int64(r.a).view(U64)): r.b for r in top}
-    if int(END) not in by_key and top:  # the end is always a symbol of its own
-        ends = counted.where((F.col("block") == -2) & (F.col("a") == int(END.view(np.int64)))).first()
-        by_key.pop(int(np.int64(top[-1].a).view(U64)))
-        by_key[int(END)] = ends.b if ends else 1
-    frequent = np.array(sorted(by_key), U64)
-    n_cell, v_cell = np.zeros(CLASSES << MAX_DEPTH), np.zeros(CLASSES << MAX_DEPTH)
-    for r in per_cell:
-        n_cell[r["shard"]], v_cell[r["shard"]] = r.n, r.v
-    n, v = int(n_cell.sum()), int(v_cell.sum())
-    depth = min(MAX_DEPTH, pow2(v / WORDS_A_LEAF / CLASSES))
-    n_leaf, v_leaf = (x.reshape(CLASSES << depth, -1).sum(1) for x in (n_cell, v_cell))
-    noise = np.full(SYMBOLS, 1e-9)
-    for i, k in enumerate(frequent):
-        noise[i] += by_key[int(k)]
-        leaf = (int(k & CLASS_BITS) << depth) + int(_path(np.array([k], U64), depth)[0])
-        n_leaf[leaf] -= by_key[int(k)]
-        v_leaf[leaf] -= 1
-    noise[FREQUENT:] += n_leaf.reshape(CLASSES, -1).sum(1) + 1
-    noise /= noise.sum()
-    bottom = np.maximum(n_leaf, 0) + np.maximum(v_leaf, 0) + 1
-    model = Model(n, v, frequent, bottom, noise, fresh(noise), depth, trees(bottom, depth))
-    return _train(model, rows, key, text) if n else model
-
-
-def _train(model: Model, rows: DataFrame, key: str, text: str) -> Model:
-    """Rounds over all copies until their summed loss stops falling."""
-    bare = Model(model.n, model.v, model.frequent, np.zeros(0), model.noise, [], model.depth, [])
-
-    def encode(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "inside", "codes")}
+        for first, some, at in parts:
+            counts, (codes, alone) = sums[np.searchsorted(own, some)], slots.codes(some)
+            edge = first[:-1]
+            out["n_tokens"].append(np.diff(first))
+            out["n_known"].append(np.add.reduceat((counts > 0).astype(np.int64)[at], edge))
+            out["base"].append(np.add.reduceat((np.log10(counts + 1.0) - log_base)[at], edge))
+            out["inside"].append(np.add.reduceat(np.where(alone, 0.0, np.log10((counts + 1) / slots.bottom[codes]))[at], edge))
+            codes = codes[at]
+            out["codes"] += [pack(codes[x:y]) for x, y in zip(edge.tolist(), first[1:].tolist(), strict=True)]
+        numbers = {n: np.concatenate(v) for n, v in out.items() if n != "codes"}
+        return pa.table({"row": table.column("row"), "copy": pa.array(np.where(learned, copy, -1), pa.int32()), "order": table.column("order"), **numbers, "codes": pa.array(out["codes"], pa.binary())})
+
+    answers = counted.where("block >= 0")
+    coded = cut_lineage(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(freed_pair(encode), with_row(dealt.schema["row"].dataType, CODED)))
+    model = _train(Model.fresh(slots), coded, -(-n_blocks // per_copy)) if slots.n else Model.fresh(slots)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, codes = batch.column("n_tokens").to_numpy(), batch.column("codes")
+            total = np.concatenate(([0], np.cumsum(size)))
+            at = 0
+            while at < len(codes):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK, "right")) - 1)
+                found = log_probabilities(stream([unpack(x.as_py(), np.int32) for x in codes[at:to]], slots.total), model) / np.log(10)
+                part = batch.slice(at, to - at)
+                sums = np.add.reduceat(found, total[at:to] - total[at]) + part.column("inside").to_numpy()
+                arrays = [part.column(n) for n in ("row", "n_tokens", "n_known")] + [pa.array(np.full(to - at, slots.n)), part.column("base"), pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", *made])
+                at = to
+
+    schema = with_row(dealt.schema["row"].dataType, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return coded.mapInArrow(score, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in names], *made)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Table:
+    return pa.table({name: pa.array([row[i] for row in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _gather(counted: DataFrame) -> Slots:
+    """The slots, from each shard's most frequent tokens and its sums of cells: both are bounded over all shards."""
+    n_cell, v_cell = np.zeros(CLASSES << FINE), np.zeros(CLASSES << FINE)
+    keys, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for row in counted.where("block < 0").collect():
+        parts = np.split(unpack(row.counts, np.int64), 3 if row.block == -1 else 2)
+        if row.block == -1:
+            np.add.at(n_cell, parts[0], parts[1])
+            np.add.at(v_cell, parts[0], parts[2])
+        else:
+            keys.append(parts[0].view(U64))
+            counts.append(parts[1])
+    own = np.concatenate(keys)
+    order = np.argsort(own)
+    return Slots.of(own[order], np.concatenate(counts)[order], n_cell, v_cell)
+
+
+def _train(model: Model, coded: DataFrame, copies: int) -> Model:
+    """Rounds of 1, 2, 4, ... copies, each of which learns its texts once and starts from the last round's mean."""
+    first = 0
+    while first < copies:
+        some = coded.where((F.col("copy") >= first) & (F.col("copy") <= 2 * first)).select("copy", "order", "codes")
+        model = _round(model, some)
+        first = 2 * first + 1
+    return model
+
+
+def _round(start: Model, coded: DataFrame) -> Model:
+    total = start.slots.total
+    cuts = np.linspace(0, total + 1, PARTS + 1).astype(int)
+
+    def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("order")
-        texts, copy = table.column("text").combine_chunks(), table.column("copy")[0].as_py()
-        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        packed = [pack(bare.codes(tokens(texts.slice(a, b - a)).keys).astype(np.int32)) for a, b in slices(texts)]
-        return pa.table({"copy": pa.array([copy], pa.int32()), "codes": pa.array([packed], pa.list_(pa.binary()))})
-
-    named = rows.select((F.col("block") / COPY_BLOCKS).cast("int").alias("copy"), F.xxhash64(F.col(f"row.`{key}`"), F.col(f"row.`{text}`")).alias("order"), F.col(f"row.`{text}`").alias("text"))
-    coded = cut_lineage(named.groupBy("copy").applyInArrow(freed(encode), "copy int, codes array<binary>"))
-    copies = coded.count()
-    end = int(np.searchsorted(model.frequent, END))
-    kinds = ((0, len(model.own[0])), (1, len(model.own[1])))
-    parts = max(1, copies // 2)
-    memory, last = [np.full_like(p, 1e-6) for p in model.params], np.inf
-    turn = 0
-    while True:
-
-        def train(batches: Iterator[pa.RecordBatch], start: Model = model, memory: list = memory, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, packed in zip(batch.column("copy").to_pylist(), batch.column("codes"), strict=True):
-                    copy, rng = Copy(start, memory), np.random.default_rng((turn, number))
-                    for one in packed:
-                        codes = unpack(one.as_py(), np.int32).astype(np.int64)
-                        copy.learn(codes, np.concatenate(([0], np.flatnonzero(codes == end) + 1)), rng)
-                    flat = np.concatenate([p.ravel() for p in copy.params + copy.memory]).astype(float)
-                    out = [(-1, number, copy.seen, copy.loss, b"", b"", flat.tobytes())]
-                    for which, size in kinds:
-                        for part, at in enumerate(np.array_split(np.arange(size), parts)):
-                            at = at[copy.met[which][at] > 0]
-                            if len(at):
-                                out.append((part * 2 + which, number, 0, 0.0, at.astype(np.int32).tobytes(), copy.met[which][at].tobytes(), copy.own[which][at].tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "copy", "seen", "loss", "at", "met", "x"])
-
-        def mean(table: pa.Table) -> pa.Table:
-            part, sent = table.column("part")[0].as_py(), table.sort_by("copy").to_pydict()
-            if part < 0:
-                seen = np.array(sent["seen"], float)
-                total = sum(np.frombuffer(x) * w for x, w in zip(sent["x"], seen, strict=True))
-                return pa.table({"part": pa.array([part], pa.int32()), "loss": [float(sum(sent["loss"]))], "at": [b""], "x": [(total / seen.sum()).tobytes()]})
-            at = [np.frombuffer(x, np.int32) for x in sent["at"]]
-            rows, back = np.unique(np.concatenate(at), return_inverse=True)
-            total, weight, ends = np.zeros((len(rows), WIDTH + part % 2)), np.zeros(len(rows)), np.cumsum([len(x) for x in at])[:-1]
-            for place, met, x in zip(np.split(back, ends), sent["met"], sent["x"], strict=True):
-                w = np.frombuffer(met, np.int64).astype(float)
-                total[place] += np.frombuffer(x, np.float32).reshape(len(w), -1) * w[:, None]
-                weight[place] += w
-            return pa.table({"part": pa.array([part], pa.int32()), "loss": [0.0], "at": [rows.astype(np.int32).tobytes()], "x": [(total / weight[:, None]).astype(np.float32).tobytes()]})
-
-        sent = coded.mapInArrow(train, "part int, copy int, seen long, loss double, at binary, met binary, x binary")
-        means = sent.groupBy("part").applyInArrow(freed(mean), "part int, loss double, at binary, x binary").collect()
-        own = [p.copy() for p in model.own]
-        for r in means:
-            if r.part < 0:
-                loss, flat = r.loss, np.frombuffer(r.x).astype(np.float32)
-            else:
-                at = np.frombuffer(r["at"], np.int32)
-                own[r.part % 2][at] = np.frombuffer(r.x, np.float32).reshape(len(at), -1)
-        if loss >= last:
-            return model
-        shapes = [p.shape for p in model.params] * 2
-        cut = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)]
-        model = Model(model.n, model.v, model.frequent, model.bottom, model.noise, cut[:4], model.depth, own)
-        if loss > last * (1 - LEAST_FALL):
-            return model
-        memory, last, turn = cut[4:], loss, turn + 1
+        number, copy = table.column("copy")[0].as_py(), Copy(start)
+        copy.learn(stream([unpack(x.as_py(), np.int32) for x in table.column("codes")], total), np.random.default_rng(number))
+        p, m = copy.params, copy.memory
+        dense = np.concatenate([x[k].ravel() for x in (p, m) for k in DENSE])
+        rows = [(-1, number, copy.seen, b"", b"", dense.tobytes())]
+        for part, (low, to) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            at = low + np.flatnonzero(copy.met[low:to])
+            flat = np.column_stack([p["r"][at], p["q2"][at], p["b2"][at], *[m[k][at] for k in BY_SLOT]])
+            if len(at):
+                rows.append((part, number, 0, at.astype(np.int32).tobytes(), copy.met[at].tobytes(), flat.astype(np.float32).tobytes()))
+        return _table(rows, ("part", "copy", "seen", "at", "met", "x"), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))
+
+    def mean(table: pa.Table) -> pa.Table:
+        part, sent = table.column("part")[0].as_py(), table.sort_by("copy").to_pydict()
+        if part < 0:
+            dense = np.average([np.frombuffer(x, np.float32) for x in sent["x"]], 0, sent["seen"]) if sum(sent["seen"]) else np.frombuffer(sent["x"][0], np.float32)
+            return _table([(part, b"", dense.astype(np.float32).tobytes())], ("part", "at", "x"), (pa.int32(), pa.binary(), pa.binary()))
+        low, to = cuts[part], cuts[part + 1]
+        sums, weight = np.zeros((to - low, 2 * WIDTH + 4)), np.zeros(to - low)
+        for at, met, x in zip(sent["at"], sent["met"], sent["x"], strict=True):
+            place, met = np.frombuffer(at, np.int32) - low, np.frombuffer(met, np.int64)
+            sums[place] += np.frombuffer(x, np.float32).reshape(len(place), -1) * met[:, None]
+            weight[place] += met
+        at = np.flatnonzero(weight)
+        row = (part, (at + low).astype(np.int32).tobytes(), (sums[at] / weight[at, None]).astype(np.float32).tobytes())
+        return _table([row], ("part", "at", "x"), (pa.int32(), pa.binary(), pa.binary()))
+
+    sent = coded.groupBy("copy").applyInArrow(freed(learn), "part int, copy int, seen long, at binary, met binary, x binary")
+    params, memory = ({k: x.copy() for k, x in held.items()} for held in (start.params, start.memory))
+    for row in sent.groupBy("part").applyInArrow(freed(mean), "part int, at binary, x binary").collect():
+        flat = np.frombuffer(row.x, np.float32)
+        if row.part < 0:
+            at = 0
+            for held in (params, memory):
+                for k in DENSE:
+                    held[k] = flat[at : at + held[k].size].reshape(held[k].shape).copy()
+                    at += held[k].size
+        else:
+            at, flat = np.frombuffer(row["at"], np.int32), flat.reshape(-1, 2 * WIDTH + 4)
+            params["r"][at], params["q2"][at], params["b2"][at] = flat[:, :WIDTH], flat[:, WIDTH : 2 * WIDTH], flat[:, 2 * WIDTH]
+            for j, k in enumerate(BY_SLOT):
+                memory[k][at] = flat[:, 2 * WIDTH + 1 + j]
+    return Model(start.slots, params, memory)

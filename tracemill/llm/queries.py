@@ -105,7 +105,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, ranks: str = f"{TOKENIZER
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    done = lm_scoring(docs, ~held_out).drop("text")
+    done = lm_scoring(docs, ~held_out, keep=["doc_id"])
     return done.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), *done.columns[1:])
 
 
