@@ -31,11 +31,10 @@ DECAY = 1e-5
 #: most labelled rows, and most bytes of their texts, that training reads
 MAX_TRAIN_ROWS = 4000
 MAX_TRAIN_BYTES = 10_000_000
-#: a bucket learns only if it occurs in this many training documents
-MIN_DOCS = 25
-#: a bucket with share p of all buckets weighs RARE / (RARE + p), and nothing below LEAST
+#: a bucket with share p of all buckets weighs RARE / (RARE + p)
 RARE = 1e-4
-LEAST = 0.1
+#: and, met in d training documents, d / (d + TRUST) of that: what few documents say counts, but for less
+TRUST = 10
 
 
 @dataclass
@@ -116,24 +115,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     first = np.concatenate(([0], np.cumsum(np.diff(found.first)[busy])))
     _, pick, inverse = np.unique(found.hashes(), return_index=True, return_inverse=True)
     bucket, word_first = subwords(found, pick)
-    # buckets of few documents learn nothing, or each document's rare words would be
-    # learned by heart; a word's vector is still a mean over all of its buckets
+    # buckets of few documents weigh less, or each document's rare words would be learned by heart
     pairs = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(pick) + inverse) % len(pick)
     grams = np.diff(word_first)
     spread = np.bincount(bucket, np.repeat(np.bincount(pairs, minlength=len(pick)), grams), BUCKETS)
     share = np.bincount(bucket, np.repeat(np.bincount(inverse), grams), BUCKETS)
-    rarity = RARE / (RARE + share / share.sum())
-    rarity[(rarity < LEAST) | (spread < MIN_DOCS)] = 0
-    common = rarity[bucket] > 0
-    owner, bucket = np.repeat(np.arange(len(pick)), grams)[common], bucket[common]
-    if not len(bucket):
-        return Model(embedding * 0, rarity, weight, bias)
+    rarity = RARE / (RARE + share / share.sum()) * spread / (spread + TRUST)
+    owner = np.repeat(np.arange(len(pick)), grams)
     seg_start, seg_first = segments(first)
     seg_size = np.diff(seg_start, append=first[-1])
     seg_of = np.repeat(np.arange(len(seg_start)), seg_size)
     scale = rarity[bucket] / grams[owner]
-    useful = np.isin(inverse, owner)  # words without a learning bucket add nothing
-    token, token_seg = inverse[useful], seg_of[useful]
+    token, token_seg = inverse, seg_of
     used, where = np.unique(bucket, return_inverse=True)
     part, rows = embedding[used], np.repeat(np.arange(len(y)), np.diff(seg_first))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (part, weight, bias)]
@@ -180,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "la
     The sample is the labels whose hashed key comes first: all if the bounds allow,
     else a share of them that their number and the size of their texts decide.  Only
     the sampled labels, a bounded table, are broadcast to the documents, which are
-    never shuffled.  Rows without text or label are not used; without both classes
-    the model answers with the prior.
+    never shuffled.  Rows without text or label are not used, nor is a text of more than
+    a tenth of MAX_TRAIN_BYTES (1 MB); without both classes the model answers with the prior.
     """
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(11)), F.lit(1 << 30))
     known = labels.select(F.col(key), F.col(label).cast("int").alias("label"), place.alias("at")).dropna()
