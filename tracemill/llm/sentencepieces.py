@@ -90,6 +90,7 @@ class Encoder:
     def __post_init__(self) -> None:
         pieces = self.vocabulary.pieces
         self.longest = max(map(len, pieces), default=1)
+        self.factor = self.longest + 1  # positions and lengths share one number
         letters = sorted({c for p in pieces for c in p})
         self.code = np.ones(max(map(ord, letters), default=0) + 2, np.int64)  # 1: in no piece
         self.code[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
@@ -106,7 +107,7 @@ class Encoder:
         self.stretch = re.compile(".+" if crossed else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else ""), re.S)
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every occurrence of every piece, as sorted position * 64 + length, and its rank."""
+        """Every occurrence of every piece, as sorted position * factor + length, and its rank."""
         there = np.zeros(self.letters, bool)
         there[codes] = there[0] = True
         small = np.cumsum(there) - 1  # the letters of this text alone, so that more of them fit into a word
@@ -121,14 +122,14 @@ class Encoder:
         low, high = np.searchsorted(ranked, _keys(_words(rows, width)), "left"), np.searchsorted(ranked, _keys(_words(open_end, width)), "right")
         counts = high - low
         into = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - low, counts)
-        keys = order[into] * 64 + np.repeat(sizes, counts)
+        keys = order[into] * self.factor + np.repeat(sizes, counts)
         by_place = np.argsort(keys, kind="stable")
         return keys[by_place], np.repeat(self.rank[usable], counts)[by_place]
 
     def _found(self, keys: np.ndarray, ranks: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Rank of the piece from start to end, or NONE."""
         size = end - start
-        wanted = start * 64 + np.minimum(size, 63)
+        wanted = start * self.factor + np.minimum(size, self.factor - 1)
         place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where((keys[place] == wanted) & (size <= self.longest), ranks[place], NONE)
 
@@ -210,15 +211,15 @@ class Encoder:
 
     def _relax_long(self, first: int, size: int, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Cuts of one long stretch: merges from a heap of (rank, start, end)."""
-        a, b = np.searchsorted(keys, (first * 64, (first + size) * 64))
+        a, b = np.searchsorted(keys, (first * self.factor, (first + size) * self.factor))
         rank = dict(zip(keys[a:b].tolist(), ranks[a:b].tolist(), strict=True))
         end = {i: i + 1 for i in range(first, first + size)}
         begin = {i + 1: i for i in range(first, first + size)}
         heap: list[tuple[int, int, int]] = []
 
         def offer(x: int, y: int) -> None:
-            if y - x <= self.longest and x * 64 + y - x in rank:
-                heapq.heappush(heap, (rank[x * 64 + y - x], x, y))
+            if y - x <= self.longest and x * self.factor + y - x in rank:
+                heapq.heappush(heap, (rank[x * self.factor + y - x], x, y))
 
         for i in range(first, first + size - 1):
             offer(i, i + 2)
@@ -283,7 +284,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the text of the ids of every row (null: null)."""
+    """``docs`` with the text of the ids of every row.
+
+    Defined cases: null ids give null, no ids the empty text; an empty table gives an
+    empty result.  Columns pass through; one named ``out`` is replaced.  Rows never
+    leave their partition.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kept = [c for c in docs.columns if c != out]
 
