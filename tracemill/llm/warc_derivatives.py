@@ -24,22 +24,92 @@ from pyspark.sql import functions as F
 CRLF = b"\r\n"
 SCHEMA = (
     "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
-    "source_headers map<string,string>, block_digest string, payload_digest string, block binary"
+    "source_headers array<struct<name:string,value:string>>, block_digest string, payload_digest string, block binary"
 )
-COLUMNS = [part.split()[0] for part in re.sub(r"<.*?>", "", SCHEMA).split(", ")]
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|head|nav|noscript|template)\b.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|blockquote|pre|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
+COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
+#: fixed values: elements without visible text, and elements that begin a line
+DROPPED = ("script", "style", "head", "nav", "noscript", "template")
+BLOCKS = "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section header footer blockquote pre hr".split()
+_NAME = re.compile(r"\s*(/?)\s*([a-z][a-z0-9]*)", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*DROPPED, "title")}
+_TITLE = re.compile(r"<title(?=[\s>/])", re.I)
+_HREF = re.compile(r"""\shref\s*=\s*(?:(["'])|([^\s>"']+))""", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r"\s*\n\s*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+
+
+class Scan:
+    """Tags of a page in one pass; what is looked for and not found once is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing = page, set()
+
+    def end(self, name: str, at: int) -> int:
+        """Where the first ``name`` behind a place ends, or -1: a closing tag, or a text."""
+        if name in self.missing:
+            return -1
+        if name in _ENDS:
+            found = _ENDS[name].search(self.page, at)
+            end = found.end() if found else -1
+        else:
+            end = self.page.find(name, at)
+            end = end + len(name) if end >= 0 else -1
+        if end < 0:
+            self.missing.add(name)
+        return end
+
+    def tags(self, dropped: bool) -> Iterator[tuple[int, int, str]]:
+        """(start, end, name) of each tag or comment; ``dropped`` elements are one with all they hold.
+
+        Names of closing tags begin with a slash; comments and others have none.
+        """
+        at = 0
+        while (start := self.page.find("<", at)) >= 0:
+            if self.page.startswith("<!--", start) and (end := self.end("-->", start + 4)) >= 0:
+                yield start, end, ""
+                at = end
+                continue
+            end = self.end(">", start)
+            if end < 0:
+                return
+            found = _NAME.match(self.page, start + 1, end)
+            name = found[2].lower() if found else ""
+            if dropped and name in DROPPED and not found[1] and (close := self.end(name, end)) >= 0:
+                end, name = close, ""
+            yield start, end, found[1] + name if name else ""
+            at = end
 
 
 def plain_text(page: str) -> str:
     """Visible text: a line for each block, single spaces, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("", page)))
-    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
+    parts, at = [], 0
+    for start, end, name in Scan(page).tags(dropped=True):
+        parts.append(page[at:start])
+        if name.lstrip("/") in BLOCKS:
+            parts.append("\n")
+        at = end
+    parts.append(page[at:])
+    return _LINES.sub("\n", _SPACES.sub(" ", html.unescape("".join(parts)))).strip()
+
+
+def page_title(page: str) -> str | None:
+    """What the first title element holds."""
+    found = _TITLE.search(page)
+    if not found or (begin := page.find(">", found.end())) < 0:
+        return None
+    close = _ENDS["title"].search(page, begin + 1)
+    return " ".join(html.unescape(page[begin + 1 : close.start()]).split()) if close else None
+
+
+def page_links(page: str) -> list[str]:
+    """Targets of all links in their order; a quoted one ends at its quote, even behind a ``>``."""
+    scan, out = Scan(page), []
+    for start, end, name in scan.tags(dropped=False):
+        if name == "a" and (found := _HREF.search(page, start, end)):
+            stop = scan.end(found[1], found.end()) if found[1] else -1
+            if found[2] or stop >= 0:
+                out.append(html.unescape(found[2] or page[found.end() : stop - 1]))
+    return out
 
 
 def digest(data: bytes) -> str:
@@ -52,31 +122,29 @@ def record_id(*parts: str) -> str:
 
 def response(uri: str, page: str, date: str) -> tuple:
     body = page.encode()
-    headers = {"Content-Type": "text/html; charset=utf-8", "Content-Length": str(len(body))}
-    head = CRLF.join([b"HTTP/1.1 200 OK", *[f"{k}: {v}".encode() for k, v in headers.items()]])
+    headers = [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
+    head = CRLF.join([b"HTTP/1.1 200 OK", *[f"{k}: {v}".encode() for k, v in headers]])
     block = head + CRLF + CRLF + body
     payload = digest(body)
     return ("response", record_id("response", uri, date, payload), None, uri, date, "application/http; msgtype=response", headers, digest(block), payload, block)
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers and body of an HTTP response."""
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """First line, headers (each in its place, repeated ones too) and body of an HTTP response or a record."""
     head, _, body = block.partition(CRLF + CRLF)
     status, *rest = head.decode("utf-8", "replace").split("\r\n")
-    return status, {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in rest) if k.strip()}, body
+    return status, [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in rest) if k.strip()], body
 
 
 def derivatives(source: dict) -> list[tuple]:
     """Metadata and conversion record of one response record."""
     status, headers, body = split_http(source["block"] or b"")
     page = body.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(page)]
     about = {
         "status": status,
         "headers": headers,
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "links": links,
+        "title": page_title(page),
+        "links": page_links(page),
         "block-digest": source["block_digest"],
     }
     blocks = {
@@ -103,22 +171,40 @@ def to_bytes(row: dict) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of the bytes of an uncompressed WARC file; what follows a broken record is left out."""
+    """Records of the bytes of an uncompressed WARC file.
+
+    Bytes that are no record (no head, no good length, or too few bytes left) come back
+    as a record of the type ``broken`` with those bytes as its block; reading goes on
+    at the next line that begins a record.
+    """
     at = 0
-    while (end := data.find(CRLF + CRLF, at)) >= 0 and data[at : at + 5] == b"WARC/":
-        _, fields, _ = split_http(data[at:end])
-        size = int(fields.get("Content-Length", "0"))
-        block = data[end + 4 : end + 4 + size]
-        source = split_http(block)[1] if fields.get("Content-Type", "").startswith("application/http") else {}
-        names = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type")
-        yield dict(zip(COLUMNS, [*[fields.get(n) for n in names], source, fields.get("WARC-Block-Digest"), fields.get("WARC-Payload-Digest"), block], strict=True))
-        at = end + 4 + size + 4
+    while at < len(data):
+        end = data.find(CRLF + CRLF, at)
+        fields = {k.lower(): v for k, v in split_http(data[at:end])[1]} if end >= 0 and data.startswith(b"WARC/", at) else {}
+        size = fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data):
+            after = data.find(CRLF + b"WARC/", at + 1)
+            stop = after + 2 if after >= 0 else len(data)
+            if data[at:stop].strip():
+                yield dict(zip(COLUMNS, ["broken", *[None] * 5, [], None, None, data[at:stop]], strict=True))
+            at = stop
+            continue
+        block = data[end + 4 : end + 4 + int(size)]
+        source = split_http(block)[1] if fields.get("content-type", "").startswith("application/http") else []
+        names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type")
+        yield dict(zip(COLUMNS, [*[fields.get(n) for n in names], source, fields.get("warc-block-digest"), fields.get("warc-payload-digest"), block], strict=True))
+        at = end + 4 + int(size)
+        while data.startswith(CRLF, at):
+            at += 2
+
+
+_HEADERS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
 def _table(rows: list[tuple], keys: list, kind: pa.DataType) -> pa.RecordBatch:
-    types = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.binary()]
+    types = [pa.string()] * 6 + [_HEADERS, pa.string(), pa.string(), pa.binary()]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-    columns = [[list(x.items()) for x in c] if pa.types.is_map(t) else list(c) for c, t in zip(columns, types, strict=True)]
+    columns = [[[{"name": a, "value": b} for a, b in x] for x in c] if t == _HEADERS else list(c) for c, t in zip(columns, types, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["key", *COLUMNS])
 
 
@@ -131,8 +217,8 @@ def responses(pages: DataFrame, key: str = "page_id", uri: str = "url", page: st
     """One response record of every page, after the page's key.
 
     A null page is an empty body, a null address an empty one; pages of equal
-    address and body have records of equal id; columns other than the three named
-    do not matter.
+    address and body have records of equal id; an empty table gives an empty result;
+    columns other than the three named do not matter, whatever their names.
     """
     picked = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{uri}`").alias("uri"), F.col(f"`{page}`").alias("page"))
 
@@ -151,7 +237,8 @@ def build_derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
 
     Other record types are passed over; a response without block gives records of
     an empty page; every response row gives its two records, repeated ones too; an
-    empty table gives an empty result.  Rows never leave their partition.
+    empty table gives an empty result; a page of any size takes time in proportion to
+    it.  Rows never leave their partition.
     """
     wanted = records.where("warc_type = 'response'").select(F.col(f"`{key}`").alias("key"), *COLUMNS)
 
@@ -177,7 +264,10 @@ def with_bytes(records: DataFrame, out: str = "record") -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files, with the ``path`` of each one's file."""
+    """Records of uncompressed WARC files, with the ``path`` of each one's file; bytes that are no record are of type ``broken``.
+
+    A file is read as one row, so it has less than 2 GB, as WARC files usually have.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
