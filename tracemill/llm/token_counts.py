@@ -4,7 +4,8 @@ A text is cut into leaves of whole pre-tokens.  A cut stands before a space betw
 two other characters: no pre-token reaches over it, and what lies on one side never
 changes the pre-tokens of the other.  Two segment trees over the leaves hold sums of
 characters and of tokens.  An edit re-encodes the leaves it touches (and a
-neighbour whose cut it may have broken) and updates the sums above them.
+neighbour whose cut it may have broken), cuts them anew if they have grown, and
+updates the sums above them.
 """
 
 from __future__ import annotations
@@ -68,13 +69,16 @@ class CountTree:
 
     def __init__(self, text: str, encode) -> None:  # noqa: ANN001
         self.encode, self.reencoded = encode, 0
-        self.leaf = leaves(text)
-        self.base = 1 << (len(self.leaf) - 1).bit_length()
-        self.chars = np.zeros(2 * self.base, np.int64)
-        self.tokens = np.zeros(2 * self.base, np.int64)
-        self.chars[self.base : self.base + len(self.leaf)] = [len(x) for x in self.leaf]
-        self.tokens[self.base : self.base + len(self.leaf)] = [len(encode(x)) for x in self.leaf]
-        for tree in (self.chars, self.tokens):
+        leaf = leaves(text)
+        self._build(leaf, [len(encode(x)) for x in leaf])
+
+    def _build(self, leaf: list[str], tokens: list[int]) -> None:
+        """Both trees over leaves whose tokens are counted."""
+        self.leaf = leaf
+        self.base = 1 << (len(leaf) - 1).bit_length()
+        self.chars, self.tokens = (np.zeros(2 * self.base, np.int64) for _ in range(2))
+        for tree, sums in ((self.chars, [len(x) for x in leaf]), (self.tokens, tokens)):
+            tree[self.base : self.base + len(leaf)] = sums
             level = self.base
             while level > 1:
                 tree[level // 2 : level] = tree[level : 2 * level].reshape(-1, 2).sum(1)
@@ -118,10 +122,14 @@ class CountTree:
         old = "".join(self.leaf[low : high + 1])
         text = old[: start - begin] + new + old[end - begin :]
         self.reencoded += len(text)
-        self._set(low, text, len(self.encode(text)))
-        for leaf in range(low + 1, high + 1):
-            if self.chars[self.base + leaf]:
-                self._set(leaf, "", 0)
+        cut = leaves(text)
+        counts = [len(self.encode(x)) for x in cut]
+        if len(cut) == high - low + 1:
+            for k, (piece, count) in enumerate(zip(cut, counts, strict=True)):
+                self._set(low + k, piece, count)
+        else:  # the leaves it touched are cut anew, the others keep their sums
+            known = self.tokens[self.base : self.base + len(self.leaf)].tolist()
+            self._build([*self.leaf[:low], *cut, *self.leaf[high + 1 :]], [*known[:low], *counts, *known[high + 1 :]])
 
 
 def token_counts(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -133,12 +141,16 @@ def token_counts(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str |
     how many the text has at last.
 
     Defined cases: a null or empty text has no tokens and can be edited; null edits
-    are none; a text without safe cuts is one leaf; an empty table gives an empty
+    are none, and so is a null entry among them; a null start is 0, a null end is the
+    start (an insertion), a null new text is empty; a text without safe cuts is one leaf; an empty table gives an empty
     result.  Columns (or those of ``keep``) pass through; one named as a result is
     replaced.  Rows never leave their partition.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    source = docs.withColumn("__edit", F.struct(F.col(f"`{text}`").alias("text"), (F.col(f"`{edits}`") if edits else F.expr("cast(null as array<struct<start:int,end:int,new:string>>)")).alias("edits")))
+    made = "__edit"
+    while made in docs.columns:
+        made += "_"
+    source = docs.withColumn(made, F.struct(F.col(f"`{text}`").alias("text"), (F.col(f"`{edits}`") if edits else F.expr("cast(null as array<struct<start:int,end:int,new:string>>)")).alias("edits")))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
 
     def measure(rows: pa.Array) -> dict:
@@ -148,10 +160,12 @@ def token_counts(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str |
             tree = CountTree(row["text"] or "", encode)
             out["n_tokens"].append(tree.total())
             for e in row["edits"] or []:
-                tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
+                if e is not None:
+                    start = e["start"] or 0
+                    tree.edit(start, start if e["end"] is None else e["end"], e["new"] or "")
             out["n_tokens_edited"].append(tree.total())
             out["n_reencoded"].append(tree.reencoded)
             out["n_chars_edited"].append(int(tree.chars[1]))
         return {k: pa.array(v, pa.int64()) for k, v in out.items()}
 
-    return map_text(source, "__edit", ", ".join(f"{c} long" for c in RESULTS), measure, kept)
+    return map_text(source, made, ", ".join(f"{c} long" for c in RESULTS), measure, kept)
