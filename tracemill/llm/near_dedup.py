@@ -10,8 +10,8 @@ ones, and full sets decide.  At similarity 0.8 the bands miss one pair in 7 mill
 Links are needed only to connect documents: documents of equal sets are one class,
 each bucket first links its members to the one that meets most others in all its
 buckets (the original of a family of copies, which resemble it more than each
-other).  Members that are still in different components after that are compared
-exactly with all they share a bucket with, block by block of CHUNK sets.
+other).  Members that are still in another component than most of a bucket are then
+compared exactly with all they share it with, block by block of CHUNK sets.
 """
 
 from __future__ import annotations
@@ -144,10 +144,11 @@ def _compared(percent: int):
     """Links between components in one block: one for each set and component that it is linked to."""
 
     def run(table: pa.Table) -> pa.Table:
-        part, rep, group = (table.column(c).to_numpy() for c in ("part", "rep", "component"))
+        side, rep, group = (table.column(c).to_numpy() for c in ("side", "rep", "component"))
         sets = [x for chunk in table.column("items").chunks for x in _lists(chunk)]
-        low, high = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return pa.table({n: pa.array([], pa.int64()) for n in ("u", "v")})
         sizes = np.array([len(x) for x in sets])
         names, place = np.unique(np.concatenate(sets), return_inverse=True)
         places = np.split(place, np.cumsum(sizes)[:-1])
@@ -181,14 +182,21 @@ def _sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> Da
 
 
 def _late_links(blobs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between components in each of ``blobs`` (head, rep, component)."""
-    apart = blobs.groupBy("head").agg(F.count("*").alias("k"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b and k > 2")
-    live = cut_lineage(blobs.join(apart.select("head", F.ceil(F.col("k") / CHUNK).cast("int").alias("c")), "head"))
+    """Links (u, v) between components in each of ``blobs`` (head, rep, component).
+
+    Members of a blob's largest component are connected already, so only the others are
+    compared with all: in blocks of CHUNK others and CHUNK members.
+    """
+    sizes = blobs.groupBy("head", "component").agg(F.count("*").alias("m"))
+    apart = sizes.groupBy("head").agg(F.sum("m").alias("k"), F.max(F.struct("m", "component")).alias("most")).where("k > most.m and k > 2")
+    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / CHUNK)).cast("int")
+    cuts = apart.select("head", F.col("most.component").alias("largest"), parts(F.col("k")).alias("all_parts"), parts(F.col("k") - F.col("most.m")).alias("few_parts"))
+    live = cut_lineage(blobs.join(cuts, "head"))
     sets = _sets(live.select("rep").distinct(), docs, key, text, n)
-    part = F.pmod(F.xxhash64("rep"), F.col("c")).cast("int")
-    sides = live.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    sides = sides.select("head", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component")
-    return sides.join(sets, "rep").groupBy("head", "lo", "hi").applyInArrow(freed(_compared(percent)), "u long, v long").distinct()
+    place = F.xxhash64("rep")
+    few = live.where("component <> largest").select("head", F.pmod(place, F.col("few_parts")).cast("int").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("hi"), F.lit(0).alias("side"), "rep", "component")
+    rest = live.select("head", F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1)).alias("lo"), F.pmod(place, F.col("all_parts")).cast("int").alias("hi"), F.lit(1).alias("side"), "rep", "component")
+    return few.unionByName(rest).join(sets, "rep").groupBy("head", "lo", "hi").applyInArrow(freed(_compared(percent)), "u long, v long").distinct()
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
