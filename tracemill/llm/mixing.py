@@ -95,11 +95,13 @@ def mix_sources(
     Only sums per leaf, at most MAX_LEAVES, reach the driver.  A leaf of any size is
     cut at its budget by sums of buckets; one bucket alone is put in order.
     """
-    names = [f"__level{i}" for i in range(len(levels))]
     made = ("mix_tokens", "mix_epoch", "mix_budget")
-    base = docs.drop(*[c for c in made if c in docs.columns])
-    counted = base.select(
-        *[F.col(f"`{c}`") for c in base.columns],
+    passed = [c for c in docs.columns if c not in made]
+    names = [f"level{i}" for i in range(len(levels))]
+    # the row is one column, so that no name in it can meet one of these
+    counted = docs.select(
+        F.struct(F.lit(0), *[F.col(f"`{c}`") for c in passed]).alias("row"),
+        F.col(f"`{key}`").cast("string").alias("key"),
         *[F.coalesce(x.cast("string"), F.lit("\u0000null")).alias(n) for n, x in zip(names, levels, strict=True)],
         (word_tokens() if tokens is None else tokens).alias("mix_tokens"),
     )
@@ -112,25 +114,24 @@ def mix_sources(
     for path, budget in shares.items():
         whole = budget // held[path] if held[path] else 0
         plan.append((*path, int(budget), int(whole), int(budget - whole * held[path])))
-    kinds = T.StructType([*[T.StructField(n, T.StringType()) for n in names], *[T.StructField(n, T.LongType()) for n in ("mix_budget", "__whole", "__left")]])
+    kinds = T.StructType([*[T.StructField(n, T.StringType()) for n in names], *[T.StructField(n, T.LongType()) for n in ("mix_budget", "whole", "left")]])
     planned = docs.sparkSession.createDataFrame(plan, kinds)
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.col(f"`{key}`").cast("string")), 256)
-    placed = counted.join(F.broadcast(planned), names).withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), "key"), 256)
+    placed = counted.join(F.broadcast(planned), names).withColumn("order", order).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
     # where each leaf's budget ends: the first bucket that does not fit whole
-    by_bucket = placed.where("__left > 0").groupBy(*names, "__bucket", "__left").agg(F.sum("mix_tokens").alias("t"))
-    so_far = F.sum("t").over(Window.partitionBy(*names).orderBy("__bucket"))
-    over = by_bucket.withColumn("upto", so_far).where(F.col("upto") > F.col("__left"))
-    edge = over.groupBy(*names).agg(F.min("__bucket").alias("__edge"), F.min(F.struct("__bucket", F.expr("upto - t").alias("before"))).alias("s"))
-    edge = edge.select(*names, "__edge", F.col("s.before").alias("__before"))
+    by_bucket = placed.where(F.col("left") > 0).groupBy(*names, "bucket", "left").agg(F.sum("mix_tokens").alias("t"))
+    so_far = F.sum("t").over(Window.partitionBy(*names).orderBy("bucket"))
+    over = by_bucket.withColumn("upto", so_far).where(F.col("upto") > F.col("left"))
+    edge = over.groupBy(*names).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("s"))
+    edge = edge.select(*names, F.col("s.bucket").alias("edge"), F.col("s.before").alias("before"))
     cut = placed.join(F.broadcast(edge), names, "left")
-    inside = F.col("__bucket") == F.col("__edge")
-    below = (F.col("__left") > 0) & (F.col("__edge").isNull() | (F.col("__bucket") < F.col("__edge")))
-    at_edge = cut.where(inside)
-    running = F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("__order", f"`{key}`").rowsBetween(Window.unboundedPreceding, 0))
-    fits = at_edge.withColumn("__run", running + F.col("__before")).where(F.col("__run") <= F.col("__left")).drop("__run")
-    last = cut.where(below & ~F.coalesce(inside, F.lit(False))).unionByName(fits).withColumn("mix_epoch", F.col("__whole"))
-    result = [*[F.col(f"`{c}`") for c in base.columns], *made]
+    inside = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    below = (F.col("left") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
+    running = F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0))
+    fits = cut.where(inside).withColumn("run", running + F.col("before")).where(F.col("run") <= F.col("left")).drop("run")
+    last = cut.where(below & ~inside).unionByName(fits).withColumn("mix_epoch", F.col("whole"))
+    result = [*[F.col(f"row.`{c}`").alias(c) for c in passed], *made]
     if all(p[-2] == 0 for p in plan):
         return last.select(*result)
-    full = cut.where("__whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole") - 1)))
+    full = cut.where(F.col("whole") > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
     return last.unionByName(full).select(*result)

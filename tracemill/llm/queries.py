@@ -59,22 +59,28 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZE
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likeness to each other and to the next text's."""
+    """Fingerprints (``position:hash`` in order) of every text and of its edited text, and likeness of the text's to the edited and the next one's.
+
+    A text is fingerprinted once: the row before it gets its hashes with its text.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = with_next(docs, "doc_id", "text", "next_text").withColumn("n_chars", F.length("text").cast("long"))
+
+    def measured(df: DataFrame) -> DataFrame:
+        return winnow(df, "text", "own").withColumn("own_set", hashes("own"))
+
+    both = with_next(docs, "doc_id", "text", "after", carried=("text", "own_set"), prepare=measured).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
-    both = winnow(winnow(winnow(both.withColumn("edited", edited), "text", "own"), "edited", "changed"), "next_text", "following")
-    sets = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "changed", *[hashes(c).alias(f"{c}_set") for c in ("own", "changed", "following")])
-    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["position"].cast("string"), x["hash"].cast("string"))), " "), 256)
-    return sets.select(
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("after.text"), F.lit(1), half))
+    done = winnow(both.withColumn("edited", edited), "edited", "changed").withColumn("changed_set", hashes("changed"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["position"].cast("string"), x["hash"].cast("string"))), " ")
+    return done.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        digest("own").alias("fingerprint"),
-        digest("changed").alias("edited_fingerprint"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        listed("own").alias("fingerprint"),
+        listed("changed").alias("edited_fingerprint"),
         likeness(F.col("own_set"), F.col("changed_set")).alias("near_edited"),
-        likeness(F.col("own_set"), F.col("following_set")).alias("near_next"),
+        likeness(F.col("own_set"), F.col("after.own_set")).alias("near_next"),
         F.size("own").cast("long").alias("n_kept"),
     )
 
@@ -83,7 +89,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's response and the two records derived from it, blocks as digests."""
     records = responses(_table(spark, sf_dir, "pages"))
     both = records.unionByName(build_derivatives(records))
-    header = F.col("source_headers")["Content-Type"].alias("source_content_type")
+    header = F.filter("source_headers", lambda h: F.lower(h["name"]) == "content-type")[0]["value"].alias("source_content_type")
     head = ["page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", header, "block_digest", "payload_digest"]
     return both.select(*head, F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
 
@@ -122,7 +128,7 @@ MIX_WEIGHTS = {
 def mix_levels() -> list:
     """Domain, language and source; the domain follows from the source's number."""
     number = F.try_to_number(F.regexp_extract("source", r"(\d+)$", 1), F.lit("999999999")).cast("long")
-    domain = F.when(number < 5, "web").when(number < 12, "books").otherwise("reference")
+    domain = F.when(F.col("source").isNull(), F.lit(None)).when(number < 5, "web").when(number < 12, "books").otherwise("reference")
     return [domain, F.col("lang"), F.col("source")]
 
 

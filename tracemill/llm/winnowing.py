@@ -13,6 +13,8 @@ there; common runs under K tokens are never seen.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,9 +39,13 @@ def winnow(df: DataFrame, text: str, out: str = "fingerprint") -> DataFrame:
 
     Positions count tokens and ascend.  A text of fewer than K tokens is one gram; one
     of fewer grams than a window is one window; a text without tokens, or null, has
-    an empty fingerprint.  Equal texts have equal fingerprints.
+    an empty fingerprint.  Equal texts have equal fingerprints; an empty table gives
+    an empty result.  A column named ``out`` is replaced, others pass through.
     """
-    grams, tokens = f"__{out}", f"__{out}_tokens"
+    grams = f"__{out}"
+    while any(c.startswith(grams) for c in df.columns):
+        grams += "_"
+    tokens = f"{grams}_tokens"
     df = df.withColumn(tokens, F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(TOKEN), F.lit(0)))
     df = df.withColumn(grams, F.transform(tokens, lambda t: F.xxhash64(t).bitwiseAND(PRIME)))
     reach = 1
@@ -85,20 +91,30 @@ def _next(groups: DataFrame, width: int) -> DataFrame:
     return inside.join(jump, "up", "left").select("g", F.coalesce("inner", "first").alias("following"))
 
 
-def with_next(docs: DataFrame, key: str, text: str, out: str) -> DataFrame:
-    """``docs`` with the text of the row that follows by key; the first follows the last.
+def with_next(docs: DataFrame, key: str, text: str, out: str, carried: Sequence[str] | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``docs`` with ``out``, a struct of the ``carried`` columns (the text if not said) of the row that follows by key; the first follows the last.
+
+    ``prepare`` adds columns to a table of key and text once rows lie beside their
+    neighbours, so what it makes is carried without another shuffle.  Rows are dealt by
+    ranges of SPAN keys, so one shuffle brings neighbours together whatever the keys are.
 
-    Rows are dealt by ranges of SPAN keys, so one shuffle brings neighbours together
-    whatever the keys are.  A null key comes first; rows of equal key stand in the
-    order of their texts.
+    Defined cases: a null key comes first; rows of equal key stand in the order of their
+    texts; a single row follows itself; an empty table gives an empty result.  A column
+    named ``out`` is replaced, others pass through, whatever their names.
     """
+    names = [c for c in docs.columns if c not in (out, key, text)]
     group = F.coalesce(F.floor(F.col(f"`{key}`") / SPAN), F.lit(-(1 << 52)))
-    own = F.struct(F.col(f"`{text}`").alias("t"))
-    rows = docs.withColumn("__g", group)
-    low, high = rows.agg(F.min("__g"), F.max("__g")).first()
-    rows = rows.withColumn("__next", F.lead(own).over(Window.partitionBy("__g").orderBy(F.asc_nulls_first(f"`{key}`"), F.asc_nulls_first(f"`{text}`"))))
-    heads = docs.select(group.alias("g"), F.struct(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).alias("r")).groupBy("g").agg(F.min("r").alias("r"))
-    following = _next(heads.select("g"), (high or 0) - (low or 0) + 1).select(F.col("g").alias("__g"), F.coalesce("following", F.lit(low)).alias("g"))
-    first_after = following.join(heads.select("g", F.struct(F.col("r.t").alias("t")).alias("__head")), "g").select("__g", "__head")
-    joined = rows.join(first_after, "__g", "left")
-    return joined.withColumn(out, F.coalesce("__next", "__head")["t"]).drop("__g", "__next", "__head")
+    what = F.struct(*[F.col(f"`{c}`") for c in (carried or [text])])
+    packed = docs.select(group.alias("g"), F.col(f"`{key}`"), F.col(f"`{text}`"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in names]).alias("others"))
+    low, high = packed.agg(F.min("g"), F.max("g")).first()
+    rows = prepare(packed.repartition("g"))
+    made = [c for c in rows.columns if c not in ("g", key, text, "others", out)]
+    order = Window.partitionBy("g").orderBy(F.asc_nulls_first(f"`{key}`"), F.asc_nulls_first(f"`{text}`"))
+    rows = rows.withColumn("inner", F.lead(what).over(order))
+    heads = packed.groupBy("g").agg(F.min(F.struct(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))).alias("r"))
+    heads = heads.select("g", F.col("r.k").alias(key), F.col("r.t").alias(text))
+    following = _next(packed.select("g").distinct(), (high or 0) - (low or 0) + 1).select(F.col("g").alias("before"), F.coalesce("following", F.lit(low)).alias("g"))
+    first_after = following.join(prepare(heads), "g").select(F.col("before").alias("g"), what.alias("head"))
+    joined = rows.join(first_after, "g", "left").withColumn("found", F.coalesce("inner", "head"))
+    passed = [F.col(f"`{c}`") if c in (key, text) else F.col(f"others.`{c}`").alias(c) for c in docs.columns if c != out]
+    return joined.select(*passed, *[F.col(f"`{c}`") for c in made if c not in docs.columns], F.col("found").alias(out))
