@@ -6,13 +6,12 @@ Every stage works on all that the one before has kept and returns the columns of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.blocks import cut_lineage
+from tracemill.llm.blocks import cut_lineage, shared_folder
 from tracemill.llm.mixing import mix_sources
 from tracemill.llm.near_dedup import MOST_BROADCAST, near_dedup
 from tracemill.llm.quality_rules import quality_rules as judged
@@ -68,8 +67,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written to the shared folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -14,7 +14,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.textnum import U64
@@ -71,10 +71,23 @@ def cut_shards(keys: np.ndarray, key_bits: int, shard_bits: int) -> list[tuple[i
     return [(int(shard[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names; on this machine alone any will do."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the cluster names, and read from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    """``df`` written to the shared checkpoint folder, and read from there.
+
+    Spark removes the files of checkpoints that are no longer in use where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
