@@ -1,7 +1,10 @@
 """The ten operators against brute force, and on awkward rows."""
 
+import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,7 +36,9 @@ def test_toxicity_on_held_out_rows(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     assert all(g.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and 0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for k, g in got.items())
     held = [(got[k].predicted, y) for k, y in labels.items() if k in got and got[k].held_out]
-    assert sum(p == y for p, y in held) / len(held) > 0.88
+    assert sum(p == y for p, y in held) / len(held) > 0.9
+    toxic = [p for p, y in held if y]
+    assert sum(toxic) / len(toxic) >= 0.4  # of few labels; at sf0.1 it is over 0.6
 
 
 def test_toxicity_knows_misspellings():
@@ -45,6 +50,14 @@ def test_toxicity_knows_misspellings():
     assert score[0] > 0.5 > score[1] and score[2] == score[3]
 
 
+@pytest.mark.parametrize("n", [12, 25])
+def test_toxicity_learns_from_few_labels(n):
+    texts = [f"awful text {i}" for i in range(n)] + [f"nice text {i}" for i in range(n)]
+    model = toxicity.train(texts, np.repeat([1, 0], n))
+    bad, good = toxicity.score(pa.array(["awful text", "nice text"]), model.bucket_scores(), model.offset())
+    assert bad > 0.6 > 0.4 > good
+
+
 def test_toxicity_awkward(awkward, nothing):
     model = toxicity.train(["bad"] * 3 + ["good"] * 3, np.array([1, 1, 1, 0, 0, 0]))
     done = toxicity.toxicity(awkward, model)
@@ -107,6 +120,36 @@ def test_encoding_awkward(awkward, nothing, vocabulary):
     assert sentencepieces.encode(nothing, vocabulary).count() == 0
 
 
+def test_long_pieces_are_found():
+    """A vocabulary with pieces of 64 and 128 letters."""
+    pieces = ["a" * (1 << k) for k in range(8)]
+    decoded = [*(bytes([i]) for i in range(256)), *(p.encode() for p in pieces)]
+    own = sentencepieces.Vocabulary(pieces, np.arange(256, 264), -np.arange(8.0), list(range(256)), decoded, "long")
+    for text, expected in (("a" * 128, [263]), ("a" * 192, [263, 262]), ("a" * 2560, [263] * 20)):
+        (ids,) = sentencepieces.Encoder(own).encode([text])
+        assert np.frombuffer(ids, np.int32).tolist()[-len(expected) :] == expected
+
+
+def test_op3_digests(spark, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    got = {r.doc_id: r for r in queries.op3_sentencepiece(spark, DATA).collect()}
+    for key, text in rows_of(docs, "doc_id", "text"):
+        ids = library.encode(text or "")
+        back = library.decode(ids)
+        assert got[key].n_tokens == len(ids) and got[key].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[key].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest() and got[key].round_trip == (back == (text or ""))
+
+
+def test_decoding_awkward(awkward, nothing, vocabulary):
+    odd = awkward.select("doc_id", F.lit("x").alias("token_ids"), F.lit("y").alias("decoded"), "text")
+    coded = sentencepieces.encode(odd, vocabulary)
+    done = sentencepieces.decode(coded.withColumn("token_ids", F.when(F.col("doc_id") != 3, F.col("token_ids"))), vocabulary)
+    assert sorted(done.columns) == sorted(odd.columns) and {r.doc_id: r.decoded for r in done.collect()}[3] is None
+    assert sentencepieces.decode(sentencepieces.encode(nothing, vocabulary), vocabulary).count() == 0
+
+
 # 4: fingerprints
 
 
@@ -134,23 +177,50 @@ def test_winnowing_guarantee(spark):
     assert both.where(~F.arrays_overlap(winnowing.hashes("fa"), winnowing.hashes("fb"))).count() == 0
 
 
+def fingerprint_of(text, h, whole):
+    """The definition in plain Python: rolling hashes, the rightmost least of each window; ``h`` and ``whole`` are Spark's hashes."""
+    k, w, p = winnowing.K, winnowing.WINDOW, winnowing.PRIME
+    tokens = re.findall(winnowing.TOKEN, text)
+    grams = [sum(h[t] * pow(winnowing.BASE, k - 1 - j, p) for j, t in enumerate(tokens[i : i + k])) % p for i in range(len(tokens) - k + 1)] or ([whole[tuple(tokens)]] if tokens else [])
+    kept = set()
+    for s in range(max(1, len(grams) - w + 1)):
+        if part := grams[s : s + w]:
+            kept.add(s + max(j for j, x in enumerate(part) if x == min(part)))
+    return [(i, grams[i]) for i in sorted(kept)]
+
+
 @pytest.mark.parametrize("span", [4096, 8])
-def test_op4_contract(spark, docs, monkeypatch, span):
+def test_op4_equals_brute_force(spark, docs, monkeypatch, span):
     monkeypatch.setattr(winnowing, "SPAN", span)
     rows = sorted((k, t or "") for k, t in rows_of(docs, "doc_id", "text"))
-    got = {r.doc_id: r for r in queries.op4_winnowing(spark, DATA).collect()}
-    for i, (key, text) in enumerate(rows):
+    edited = []
+    for i, (_, text) in enumerate(rows):
         half, after = len(text) // 2, rows[(i + 1) % len(rows)][1]
-        edited = text[: len(text) - half] + after[:half]
-        assert (got[key].n_chars, got[key].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= got[key].near_next <= 1 and 0 <= got[key].near_edited <= 1
-        if text == after:
-            assert got[key].near_next == got[key].near_edited == 1
+        edited.append(text[: len(text) - half] + after[:half])
+    texts = [t for _, t in rows] + edited
+    some = [re.findall(winnowing.TOKEN, t) for t in texts]
+    mask = lambda c: F.xxhash64(c).bitwiseAND(winnowing.PRIME)
+    h = {r.t: r.h for r in spark.createDataFrame([(x,) for x in {x for t in some for x in t}], "t string").select("t", mask("t").alias("h")).collect()}
+    whole = {tuple(r.t): r.h for r in spark.createDataFrame([(t,) for t in some if 0 < len(t) < winnowing.K], "t array<string>").select("t", mask("t").alias("h")).collect()}
+    prints = [fingerprint_of(t, h, whole) for t in texts]
+    sets = [{x for _, x in f} for f in prints]
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    listed = lambda f: " ".join(f"{i}:{x}" for i, x in f)
+    got, n = {r.doc_id: r for r in queries.op4_winnowing(spark, DATA).collect()}, len(rows)
+    for i, (key, text) in enumerate(rows):
+        g = got[key]
+        assert (g.n_chars, g.edited_sha256) == (len(text), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (g.fingerprint, g.edited_fingerprint) == (listed(prints[i]), listed(prints[n + i]))
+        assert g.near_edited == pytest.approx(dice(sets[i], sets[n + i])) and g.near_next == pytest.approx(dice(sets[i], sets[(i + 1) % n]))
 
 
 def test_next_rows_awkward(awkward, nothing):
-    assert winnowing.with_next(awkward, "doc_id", "text", "after").count() == awkward.count()
-    assert winnowing.winnow(winnowing.with_next(nothing, "doc_id", "text", "after"), "after").count() == 0
+    odd = awkward.withColumns({c: F.lit(c) for c in ("g", "inner", "head", "found", "others", "__fp", "__fp_tokens", "after")})
+    done = winnowing.winnow(winnowing.with_next(odd, "doc_id", "text", "after"), "text", "fp")
+    assert sorted(done.columns) == sorted([*odd.columns, "fp"]) and done.count() == awkward.count()
+    assert {tuple(r[c] for c in ("g", "inner", "head", "found", "others", "__fp")) for r in done.collect()} == {("g", "inner", "head", "found", "others", "__fp")}
+    empty = winnowing.with_next(nothing, "doc_id", "text", "after").withColumn("t", F.col("after.text"))
+    assert winnowing.winnow(empty, "t").count() == 0
 
 
 # 5: WARC
@@ -177,6 +247,50 @@ def test_derivatives_link_and_parse_back(spark, tmp_path):
     assert warc_derivatives.build_derivatives(warc_derivatives.responses(pages.limit(0))).count() == 0
 
 
+def test_op5_equals_what_its_pages_say(spark):
+    """Digests, ids and sizes of the registered query, worked out from the pages."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = defaultdict(dict)
+    for r in queries.op5_warc_derivatives(spark, DATA).collect():
+        got[r.page_id][r.warc_type] = r
+    assert set(got) == set(pages) and all(set(x) == {"response", "metadata", "conversion"} for x in got.values())
+    for key, page in pages.items():
+        body = (page.html or "").encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        payload = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+        kinds = got[key]
+        assert kinds["response"].block_sha256 == hashlib.sha256(block).hexdigest() and kinds["response"].n_bytes == len(block)
+        assert {r.payload_digest for r in kinds.values()} == {payload} and {r.target_uri for r in kinds.values()} == {page.url or ""} and {r.source_content_type for r in kinds.values()} == {"text/html; charset=utf-8"}
+        assert all(kinds[k].refers_to == kinds["response"].record_id for k in ("metadata", "conversion")) and kinds["response"].refers_to is None
+        text = warc_derivatives.plain_text(page.html or "")
+        assert kinds["conversion"].block_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pages_are_scanned_once():
+    text, links = warc_derivatives.plain_text, warc_derivatives.page_links
+    assert text("a<!-- x > y -->b<script>no</script >c<br>d<p >e</p>f &lt;g") == "abc\nd\ne\nf <g"
+    assert text("a <script> b") == "a b" and text("a <!-- b") == "a <!-- b" and text("1 < 2") == "1 < 2"
+    assert links("<a href='x>y'>1</a><A  class=q HREF = z>2</a><abbr href=no><a href=\"u&amp;v\"><a href='open>") == ["x>y", "z", "u&v"]
+    assert warc_derivatives.page_title("<title x>a\n b</title >") == "a b" and warc_derivatives.page_title("<title>a") is None
+    start = time.perf_counter()
+    for junk in ("<script>", "<a ", "<!--", "<title>", "<a href='", "<", '<a href="x'):
+        text(junk * 100_000)
+        links(junk * 100_000)
+        warc_derivatives.page_title(junk * 100_000)
+    text("<script>x</script>" * 50_000)
+    assert time.perf_counter() - start < 30
+
+
+def test_warc_parsing_goes_on_behind_what_is_broken():
+    good = lambda i: warc_derivatives.to_bytes(dict.fromkeys(warc_derivatives.COLUMNS) | {"warc_type": "response", "record_id": f"<{i}>", "content_type": "application/http", "block": b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nset-cookie: b\r\n\r\nx"})
+    lower = good(2).replace(b"WARC-Type", b"warc-type").replace(b"Content-Length", b"content-length")
+    bad = good(3).replace(b"Content-Length: ", b"Content-Length: x")
+    records = list(warc_derivatives.parse(b"junk\r\n" + good(1) + lower + bad + good(4) + good(5)[:-20]))
+    assert [r["warc_type"] for r in records] == ["broken", "response", "response", "broken", "response", "broken"]
+    assert [r["record_id"] for r in records] == [None, "<1>", "<2>", None, "<4>", None]
+    assert records[1]["source_headers"] == [("Set-Cookie", "a"), ("set-cookie", "b")]
+
+
 # 6: near-duplicates
 
 
@@ -251,6 +365,21 @@ def test_token_counts_awkward(awkward, nothing):
     done = token_counts.token_counts(awkward, ranks)
     assert {r.n_tokens for r in done.where("text is null or text = ''").collect()} == {0} and done.count() == awkward.count()
     assert token_counts.token_counts(nothing, ranks).count() == 0
+    edits = "array(null, named_struct('start', 0, 'end', cast(null as int), 'new', 'x '), named_struct('start', cast(null as int), 'end', 1, 'new', cast(null as string)))"
+    odd = awkward.select("doc_id", "text", F.lit("old").alias("n_tokens"), F.lit("mine").alias("__edit")).withColumn("edits", F.expr(edits))
+    got = token_counts.token_counts(odd, ranks, edits="edits")
+    assert got.columns.count("n_tokens") == 1 and {r.mine for r in got.select(F.col("__edit").alias("mine")).collect()} == {"mine"}
+    assert {r.n_chars_edited - len(r.text or "") for r in got.collect()} == {1}  # "x " in front, then its first character goes
+
+
+def test_leaves_stay_small_under_many_edits():
+    encode = lambda text: text.split(" ")
+    tree, rng = token_counts.CountTree("some words of a text " * 400, encode), random.Random(3)
+    for _ in range(300):
+        at = rng.randint(0, int(tree.chars[1]))
+        tree.edit(at, at + rng.randint(0, 30), " and more words " * rng.randint(0, 4))
+    assert max(map(len, tree.leaf)) < 2 * token_counts.LEAF and tree.total() == sum(len(encode(x)) for x in tree.leaf)
+    assert tree.base <= 4 * len(tree.leaf)
 
 
 # 8: language model
@@ -384,6 +513,46 @@ def test_mixing_awkward(awkward, nothing):
     assert mixing.mix_sources(awkward, levels, {}, 1.0).count() == awkward.count() - 1  # a leaf without tokens has no budget
     assert mixing.mix_sources(awkward, levels, {}, 0.0).count() == 0
     assert mixing.mix_sources(nothing, levels, {}, 1.0).count() == 0
+    inner = ("row", "key", "level0", "left", "whole", "order", "bucket", "edge", "before", "run", "__left", "__whole", "__bucket", "__order", "mix_epoch")
+    odd = awkward.withColumns({c: F.lit(c) for c in inner})
+    done = mixing.mix_sources(odd, levels, {}, 0.7)
+    assert sorted(done.columns) == sorted([*odd.columns, "mix_tokens", "mix_budget"]) and {tuple(r[c] for c in inner[:-1]) for r in done.collect()} == {inner[:-1]}
+
+
+def test_op9_by_hand(spark, docs):
+    """Budgets from the definition, by repeated sharing, and prefixes in the seeded order."""
+    levels = docs.select("doc_id", *[c.alias(f"l{i}") for i, c in enumerate(queries.mix_levels())]).collect()
+    texts = dict(rows_of(docs, "doc_id", "text"))
+    tokens = {k: len(brute.words(t)) for k, t in texts.items()}
+    leaf = defaultdict(list)
+    for r in levels:
+        leaf[tuple("\0null" if x is None else x for x in (r.l0, r.l1, r.l2))].append(r.doc_id)
+    held = {p: sum(tokens[k] for k in v) for p, v in leaf.items()}
+    inside = lambda path: queries.MIX_EPOCHS * sum(t for p, t in held.items() if p[: len(path)] == path)
+
+    def share(path, budget):
+        """What each leaf below a node gets: the open children share by weight until none is full."""
+        below = sorted({p[: len(path) + 1] for p in held if p[: len(path)] == path and len(p) > len(path)})
+        if not below:
+            return {path: int(min(budget, inside(path)) + 1e-6)}
+        given, budget = {}, min(budget, inside(path))
+        while True:
+            open_ = [c for c in below if c not in given]
+            weight, left = {c: queries.MIX_WEIGHTS.get(c, 1.0) for c in open_}, budget - sum(given.values())
+            full = [c for c in open_ if left * weight[c] / sum(weight.values()) >= inside(c)]
+            if not full:
+                given |= {c: left * weight[c] / sum(weight.values()) for c in open_}
+                break
+            given |= {c: inside(c) for c in full}
+        return {k: v for c in below for k, v in share(c, given[c]).items()}
+
+    expected = Counter()
+    for path, budget in share((), queries.MIX_SHARE * sum(held.values())).items():
+        whole = budget // held[path] if held[path] else 0
+        expected.update((k, e, budget) for k in leaf[path] for e in range(whole))
+        if left := budget - whole * held[path]:
+            expected.update((k, e, budget) for k, e in brute.prefix(leaf[path], tokens, left, queries.MIX_SEED, whole))
+    assert Counter((r.doc_id, r.mix_epoch, r.mix_budget) for r in queries.op9_mixing(spark, DATA).collect()) == expected
 
 
 # 10: quality rules
