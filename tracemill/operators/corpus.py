@@ -12,26 +12,40 @@ from pyspark.sql.window import Window
 
 from tracemill.operators.views import outcome, task_outcome
 
-FEATURES = ("csdma", "dsdma", "coherence", "entropy", "k_eff", "correlation_risk", "conscience_passed", "action_was_overridden", "entropy_passed", "coherence_passed", "fragility", "has_positive_moment")
-ESSENTIAL = ("csdma", "dsdma", "coherence")
+#: fixed values: the features of the constraint vector and how a null counts: it stays, is 0, or is false; "tri" flags are 1, 0 or null
+FEATURES = {
+    "csdma": "plain", "dsdma": "plain", "coherence": "plain", "entropy": "plain", "k_eff": "plain", "correlation_risk": "plain",
+    "entropy_score": "zero", "coherence_score": "zero", "optimization_veto_entropy_ratio": "zero", "epistemic_humility_certainty": "zero",
+    "fragility": "flag", "entropy_passed": "tri", "coherence_passed": "tri", "optimization_veto_passed": "tri", "epistemic_humility_passed": "tri", "conscience_passed": "flag", "action_was_overridden": "flag",
+}
+ESSENTIAL = ("csdma", "k_eff")
+FACETS = ("task_class", "agent_name", "cognitive_state", "trace_level", "primary_model", "qa_language", "qa_question", "deployment_region", "user_timezone")
+#: facets that only traces of one class have
+_ONLY_QA = ("qa_language", "qa_question")
 
 
 def corpus_totals(tc: DataFrame) -> DataFrame:
-    hours = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 3_600_000_000.0
-    return tc.agg(F.count("*").alias("traces"), F.countDistinct("task_id").alias("tasks"), F.countDistinct("agent_id_hash").alias("agents"), hours.alias("span_hours"))
+    distinct = [F.countDistinct(c).alias(name) for c, name in (("task_id", "tasks"), ("thought_id", "thoughts"), ("agent_name", "agents"))]
+    return tc.agg(F.count("*").alias("traces"), *distinct, F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def corpus_facets(tc: DataFrame, facets: Sequence[str] = ("task_class", "agent_name", "cognitive_state", "trace_level", "primary_model", "qa_language", "deployment_region")) -> DataFrame:
-    """Counts and shares of every value of every facet, in one pass of grouping sets."""
-    grouped = tc.groupingSets([[f] for f in facets], *facets).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+def corpus_facets(tc: DataFrame, facets: Sequence[str] = FACETS) -> DataFrame:
+    """Counts of every value of every facet, in one pass of grouping sets, and shares of all traces."""
+    qa = F.col("task_class") == "qa_eval"
+    marked = tc.select(*[F.col(f) for f in facets], qa.alias("__qa"))
+    held = [f for f in facets if f in _ONLY_QA]
+    sets = [[f, "__qa"] if f in held else [f] for f in facets] + [[]]
+    grouped = marked.groupingSets(sets, *facets, "__qa").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
     # grouping_id has a 0 bit where the column is grouped by; the first column is the highest bit
-    full = (1 << len(facets)) - 1
-    ids = {f: full ^ (1 << (len(facets) - 1 - i)) for i, f in enumerate(facets)}
+    width = len(facets) + 1
+    ids = {f: ((1 << width) - 1) ^ (1 << (width - 1 - i)) ^ (1 if f in held else 0) for i, f in enumerate(facets)}
     name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for f, g in ids.items():
         name, value = F.when(F.col("g") == g, f).otherwise(name), F.when(F.col("g") == g, F.col(f).cast("string")).otherwise(value)
-    named = grouped.select(name.alias("facet"), value.alias("value"), "n")
-    return named.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("facet")))
+    total = F.max(F.when(F.col("g") == (1 << width) - 1, F.col("n"))).over(Window.partitionBy())  # over a row for each value, not for each trace
+    named = grouped.withColumn("total", total).select(name.alias("facet"), value.alias("value"), "n", "total", "__qa")
+    kept = named.where(F.col("facet").isNotNull() & (~F.col("facet").isin(*held) | F.coalesce("__qa", F.lit(False))))
+    return kept.select("facet", "value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def k_anonymous(df: DataFrame, cell: Sequence[str], entity: str, k: int = 5) -> DataFrame:
@@ -61,46 +75,69 @@ def stationarity(tr: DataFrame, metrics: Sequence[str] = ("csdma", "dsdma", "coh
     return means.withColumn("shifted", F.abs(F.col("first") - F.col("second")) >= limit)
 
 
-def constraint_vector(tr: DataFrame) -> DataFrame:
-    """Features as numbers; a flag is 1, 0 or null."""
-    return tr.select("trace_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+def constraint_vector(tc: DataFrame, keep: Sequence[str] = ("trace_id",)) -> DataFrame:
+    """Seventeen features as numbers, nulls as each feature has it."""
+    number = {
+        "plain": lambda c: F.col(c).cast("double"),
+        "zero": lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)),
+        "flag": lambda c: F.when(F.col(c), 1.0).otherwise(0.0),
+        "tri": lambda c: F.col(c).cast("double"),
+    }
+    return tc.select(*keep, *[number[kind](c).alias(c) for c, kind in FEATURES.items()])
 
 
-def _sizes(moments: np.ndarray, n: float) -> tuple[float, float, int]:
-    """Participation ratio and exp-entropy of the spectrum of the correlation matrix."""
-    mean, cross = moments[0] / n, moments[1:] / n
-    cov = cross - np.outer(mean, mean)
+def newest(tc: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """The last ``n`` rows, of each group if there is one; a rank limit that Spark applies before the shuffle."""
+    if by is None:
+        return tc.orderBy(F.desc("ts"), F.desc("trace_id")).limit(n)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("trace_id")))
+    return tc.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
+def _sizes(sums: np.ndarray, cross: np.ndarray, n: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Participation ratio and exp-entropy of the spectrum of the correlation matrix, which features vary, and the first component."""
+    mean = sums / n
+    cov = (cross - n * np.outer(mean, mean)) / max(n - 1, 1)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))
     used = sd > 1e-9
     if n < 2 or not used.any():
-        return 0.0, 0.0, 0
-    values = np.maximum(np.linalg.eigvalsh(cov[np.ix_(used, used)] / np.outer(sd[used], sd[used])), 0)
+        return 0.0, 0.0, used, np.zeros(0)
+    values, vectors = np.linalg.eigh(cov[np.ix_(used, used)] / np.outer(sd[used], sd[used]))
+    values = np.clip(values, 0, None)
     p = values / values.sum()
-    return float(values.sum() ** 2 / (values**2).sum()), float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum())), int(used.sum())
+    first = vectors[:, -1]
+    first = first * np.sign(first[np.argmax(np.abs(first))])  # an eigenvector has no sign of its own
+    return float(values.sum() ** 2 / (values**2).sum()), float(np.exp(-(p * np.log(p + 1e-30)).sum())), used, first
 
 
-def n_eff(tr: DataFrame, by: str = "deployment_domain", features: Sequence[str] = FEATURES) -> DataFrame:
-    """Effective number of independent features in each group.
+def n_eff(tc: DataFrame, by: str | None = None, features: Sequence[str] = tuple(FEATURES), top: int = 8) -> DataFrame:
+    """Effective number of independent features, of each group if there is one, and the largest loadings of the first component.
 
     Rows without an essential feature go; other gaps get the group's mean.  Sums of
     products, a fixed number for each group, are all that leaves the executors.
     """
-    rows = tr.select(F.col(by).alias("g"), *[F.col(c).cast("double").alias(c) for c in features]).dropna(subset=[c for c in ESSENTIAL if c in features])
-    means = rows.groupBy("g").agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m_{c}") for c in features])
-    full = rows.join(F.broadcast(means) if by in ("deployment_domain", "dsdma_domain") else means, "g").select("g", *[F.coalesce(c, f"m_{c}").alias(c) for c in features])
+    group = F.lit("all") if by is None else F.col(by).cast("string")
+    vector = constraint_vector(tc.withColumn("__g", group), ["__g"]) if set(features) == set(FEATURES) else tc.select(group.alias("__g"), *[F.col(c).cast("double").alias(c) for c in features])
+    rows = vector.dropna(subset=[c for c in ESSENTIAL if c in features])
     products = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j]
-    sums = full.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in features], *products)
+    means = rows.groupBy("__g").agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m_{c}") for c in features])
+    full = rows.join(means.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h")))
+    filled = full.select("__g", *[F.coalesce(c, f"m_{c}").alias(c) for c in features])
+    sums = filled.groupBy("__g").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in features], *products)
 
     def solve(frames):  # noqa: ANN001, ANN202
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
                 cross = np.array([[row[f"{min(i, j)}_{max(i, j)}"] for j in range(len(features))] for i in range(len(features))])
-                ratio, entropy, used = _sizes(np.vstack([[row[c] for c in features], cross]), row["n"])
-                out.append((row["g"], row["n"], ratio, entropy, used))
-            yield pd.DataFrame(out, columns=[by, "n", "participation", "entropy_size", "features"])
+                ratio, entropy, used, first = _sizes(np.array([row[c] for c in features]), cross, row["n"])
+                labels = np.array(features)[used]
+                best = np.argsort(-np.abs(first).round(9), kind="stable")[:top]
+                out.append((row["__g"], row["n"], ratio, entropy, int(used.sum()), [f"{labels[i]}={first[i]:.4f}" for i in best]))
+            yield pd.DataFrame(out, columns=["g", "n", "participation", "entropy_size", "features", "loadings"])
 
-    return sums.mapInPandas(solve, f"{by} string, n long, participation double, entropy_size double, features long")
+    done = sums.mapInPandas(solve, "g string, n long, participation double, entropy_size double, features long, loadings array<string>")
+    return done.withColumnRenamed("g", by or "scope")
 
 
 def rolling_n_eff(tr: DataFrame, window: int = 500, step: int = 100) -> DataFrame:
@@ -111,7 +148,7 @@ def rolling_n_eff(tr: DataFrame, window: int = 500, step: int = 100) -> DataFram
     """
     daily = tr.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("c"))
     before = daily.select("day", (F.sum("c").over(Window.orderBy("day")) - F.col("c")).alias("before"))
-    ranked = tr.withColumn("day", F.to_date("ts")).join(F.broadcast(before), "day").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id")) - 1)
+    ranked = tr.withColumn("day", F.to_date("ts")).join(F.broadcast(before), "day").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("ts", "trace_id")) - 1)
     last = F.floor(F.col("at") / step)
     first = F.greatest(F.lit(0), F.floor((F.col("at") - window) / step) + 1)
     total = tr.count()

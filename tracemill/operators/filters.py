@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracemill.operators.windows import moment
@@ -40,10 +41,31 @@ def scope(tr: DataFrame, level: str, agents: list[str], partner: str | None = No
     return tr.where(F.col("agent_id_hash").isin(agents) | open_ | F.coalesce(shared, F.lit(False)))
 
 
-def mask_fields(tr: DataFrame, level: str) -> DataFrame:
-    """Without the columns that the level may not see."""
-    hidden = {"full": (), "partner": ("signature_key_id",), "public": ("signature_key_id", "agent_id_hash", "channel_id", "cost_cents")}[level]
-    return tr.drop(*hidden)
+#: fixed values: what partners may not see
+PARTNER_HIDDEN, PROMPT = ("audit_signature", "scrub_signature", "scrub_key_id"), "prompt_used"
+
+
+def without_prompts(results: Column, kind: T.DataType) -> Column:
+    """Decision results without the prompt inside each: of typed structs, or of JSON text of an object of objects."""
+    if isinstance(kind, T.StructType):
+        inner = [results[f.name].dropFields(PROMPT) if isinstance(f.dataType, T.StructType) and PROMPT in f.dataType.names else results[f.name] for f in kind.fields]
+        return F.when(results.isNotNull(), F.struct(*[c.alias(f.name) for c, f in zip(inner, kind.fields, strict=True)]))
+    held = F.from_json(results, "map<string,string>")
+    return F.coalesce(F.to_json(F.transform_values(held, lambda _, v: _without_key(v))), results)
+
+
+def _without_key(value: Column) -> Column:
+    """A nested object (as text) without the prompt; other values as they are."""
+    inner = F.from_json(value, "map<string,string>")
+    return F.when(inner.isNotNull() & F.ltrim(value).startswith("{"), F.to_json(F.map_filter(inner, lambda k, _: k != PROMPT))).otherwise(value)
+
+
+def mask_fields(tr: DataFrame, level: str, results: str = "dma_results") -> DataFrame:
+    """What a level may see: a partner neither signatures of audit and scrub nor prompts; full readers, and the public of sample rows, all."""
+    if level != "partner":
+        return tr
+    seen = tr.drop(*PARTNER_HIDDEN)
+    return seen.withColumn(results, without_prompts(F.col(results), seen.schema[results].dataType)) if results in seen.columns else seen
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
@@ -68,10 +90,11 @@ def group_by_task(tr: DataFrame) -> DataFrame:
     return tr.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min_by("trace_id", F.struct("thought_depth", "ts", "event_id")).alias("seed"), F.max("ts").alias("newest"), F.sum("tokens_total").alias("tokens"))
 
 
-def initial_observation(text: Column) -> Column:
-    """What stands behind "said:" in its line, else the first line cut at 500 characters."""
+def initial_observation(text: Column, rationale: Column | None = None) -> Column:
+    """What stands behind "said:" in its line, else the first line cut at 500 characters, else the rationale."""
     said = F.trim(F.regexp_extract(text, r"said:([^\n]*)", 1))
-    return F.coalesce(F.nullif(said, F.lit("")), F.nullif(F.substring(F.substring_index(text, "\n", 1), 1, 500), F.lit("")))
+    found = (F.nullif(said, F.lit("")), F.nullif(F.substring(F.substring_index(text, "\n", 1), 1, 500), F.lit("")))
+    return F.coalesce(*found, *([] if rationale is None else [F.nullif(rationale, F.lit(""))]))
 
 
 def conversations_by_task(turns: DataFrame) -> DataFrame:
@@ -79,11 +102,45 @@ def conversations_by_task(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), initial_observation(F.min_by("text", "turn")).alias("observation"), F.max_by("role", "turn").alias("last_role"))
 
 
-def apply_updates(store: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The store with newer values where an update has one; new keys are added."""
-    fresh = updates.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in updates.columns if c not in keys])
-    merged = store.join(fresh, keys, "full_outer" if set(store.columns) == set(updates.columns) else "left")
-    return merged.select(*[F.coalesce(f"__new_{c}", c).alias(c) if f"__new_{c}" in merged.columns else F.col(c) for c in store.columns])
+def apply_updates(store: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None, cleared: str | None = None) -> DataFrame:
+    """The store with newer values where an update has one; new keys are added.
+
+    Of several updates of a key the last by ``order`` counts for each column that it
+    sets.  ``cleared`` names a column with an array of the columns that an update sets
+    to null.  Repeated updates therefore never multiply rows.
+    """
+    values = [c for c in updates.columns if c not in (*keys, order, cleared)]
+    by = F.col(order) if order else F.xxhash64(*[F.col(c) for c in values])
+    gone = lambda c: F.coalesce(F.array_contains(cleared, c), F.lit(False)) if cleared else F.lit(False)
+    # the newest that sets or clears the column, null where none does
+    newest = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull() | gone(c), by)).alias(f"new {c}") for c in values]
+    fresh = updates.groupBy(*keys).agg(*newest)
+    merged = store.join(fresh, keys, "full_outer" if set(store.columns) == {*keys, *values} else "left")
+    changed = lambda c: F.when(F.col(f"`new {c}`").isNotNull(), F.col(f"`new {c}`.v")).otherwise(F.col(c)).alias(c)
+    return merged.select(*[changed(c) if c in values else F.col(c) for c in store.columns])
+
+
+def change_access(store: DataFrame, requests: DataFrame, key: str = "trace_id", column: str = "partner_access") -> DataFrame:
+    """The store with partners added, removed or set by requests (key, action, partner_ids, at), each on what the one before left."""
+    steps = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "action", "partner_ids"))).alias("steps"))
+    start = F.coalesce(F.col(column), F.array().cast("array<string>"))
+    step = lambda held, s: F.when(s["action"] == "add", F.array_union(held, s["partner_ids"])).when(s["action"] == "remove", F.array_except(held, s["partner_ids"])).when(s["action"] == "set", s["partner_ids"]).otherwise(held)
+    joined = store.join(steps, key, "left")
+    return joined.withColumn(column, F.when(F.col("steps").isNull(), F.col(column)).otherwise(F.aggregate("steps", start, step))).drop("steps").select(*store.columns)
+
+
+def settle_alerts(alerts: DataFrame, events: DataFrame, key: str = "alert_id") -> DataFrame:
+    """Alerts acknowledged or resolved by events (key, action, by, at, notes); of several of a kind the last counts."""
+    last = lambda action, what: F.max_by(what, F.when(F.col("action") == action, F.col("at")))
+    made = events.groupBy(key).agg(
+        F.bool_or(F.col("action") == "acknowledge").alias("a"), last("acknowledge", "by").alias("a_by"), F.max(F.when(F.col("action") == "acknowledge", F.col("at"))).alias("a_at"),
+        F.bool_or(F.col("action") == "resolve").alias("r"), last("resolve", "by").alias("r_by"), F.max(F.when(F.col("action") == "resolve", F.col("at"))).alias("r_at"), last("resolve", "notes").alias("r_notes"),
+    )
+    new = {"acknowledged": "a", "acknowledged_by": "a_by", "acknowledged_at": "a_at", "resolved": "r", "resolved_by": "r_by", "resolved_at": "r_at", "resolution_notes": "r_notes"}
+    joined = alerts.join(made, key, "left")
+    flags = ("acknowledged", "resolved")
+    pick = lambda c: (F.coalesce(F.col(c), F.lit(False)) | F.coalesce(F.col(new[c]), F.lit(False))) if c in flags else F.when(F.coalesce(F.col(new[c][0]), F.lit(False)), F.col(new[c])).otherwise(F.col(c))
+    return joined.select(*[pick(c).alias(c) if c in new else F.col(c) for c in alerts.columns])
 
 
 def erase(stores: dict[str, DataFrame], requests: DataFrame, keys: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -100,15 +157,32 @@ def window_filter(df: DataFrame, window: str, as_of: str) -> DataFrame:
     return df.where((F.col("ts") > moment(as_of) - F.make_dt_interval(secs=F.lit(seconds))) & (F.col("ts") <= moment(as_of)))
 
 
-def exclude_benchmark(df: DataFrame, text: str) -> DataFrame:
+def exclude_benchmark(df: DataFrame, text: str = "idma_result") -> DataFrame:
+    """Without rows whose text names a benchmark; a null text stays."""
     return df.where(F.coalesce(~F.contains(F.lower(text), F.lit("benchmark")), F.lit(True)))
 
 
-def ledger_chain(ledger: DataFrame, by: str, order: list[str], entry: list[str]) -> DataFrame:
-    """Each entry's hash, the one before it in its chain, and whether the stored link (if any) fits."""
-    hashed = ledger.withColumn("entry_hash", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in entry]), 256))
-    before = F.lag("entry_hash").over(Window.partitionBy(by).orderBy(*order))
-    return hashed.withColumn("prev_hash", F.coalesce(before, F.lit("genesis")))
+def ledger_chain(ledger: DataFrame, by: str, order: list[str], entry: list[str], stored: tuple[str, str] | None = None) -> DataFrame:
+    """Each entry's hash over its fields and the hash before it in its chain, and whether the stored (previous, own) hashes fit.
+
+    An entry's hash covers the stored hash of the entry before, so a change of any
+    field breaks its own check, and one of a stored hash the check of the next.
+    Without stored hashes the fields alone are hashed, and every entry is intact.
+    """
+    before = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy(by).orderBy(*order)), F.lit("genesis"))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in entry]
+    if stored is None:
+        hashed = ledger.withColumn("entry_hash", F.sha2(F.concat_ws("|", *fields), 256))
+        return hashed.withColumn("prev_hash", before("entry_hash")).withColumn("is_intact", F.lit(True))
+    previous, own = stored
+    linked = ledger.withColumn("expected_prev", before(own))
+    intact = (F.col(previous) == F.col("expected_prev")) & (F.col(own) == F.sha2(F.concat_ws("|", previous, *fields), 256))
+    return linked.withColumn("is_intact", F.coalesce(intact, F.lit(False)))
+
+
+def seal(entry: list[str], previous: Column) -> Column:
+    """The hash of an entry behind ``previous``, as ``ledger_chain`` checks it."""
+    return F.sha2(F.concat_ws("|", previous, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in entry]), 256)
 
 
 def cohorts(tr: DataFrame) -> DataFrame:
@@ -121,9 +195,11 @@ def append_new(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFram
 
 
 def upsert_last(target: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key of both."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return target.unionByName(batch).withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The newest row of each key of both; of equally new ones the batch's, then the largest."""
+    others = [c for c in target.columns if c not in keys]
+    both = target.withColumn("late", F.lit(0)).unionByName(batch.select(*target.columns).withColumn("late", F.lit(1)))
+    row = F.max_by(F.struct(*[F.col(c) for c in others]), F.struct(order, "late", *[F.col(c) for c in others]))
+    return both.groupBy(*keys).agg(row.alias("row")).select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in target.columns])
 
 
 def apply_retention(df: DataFrame, as_of: str, days: int, ts: str = "ts") -> DataFrame:
@@ -136,13 +212,38 @@ def qa_export(tr: DataFrame, events: DataFrame, prefix: str, versions: list[str]
     return events.join(wanted, "event_id", "left_semi").orderBy("event_id")
 
 
-def release_filter(tr: DataFrame, cutoff: str) -> DataFrame:
-    """How many traces each release rule drops, and how many all keep."""
-    old, bad = F.col("ts") < moment(cutoff), ~F.col("signature_verified")
-    return tr.agg(F.count("*").alias("n"), F.count_if(bad).alias("unverified"), F.count_if(~bad & old).alias("before_cutoff"), F.count_if(~bad & ~old).alias("kept"))
+def release_filter(tr: DataFrame, batches: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept traces, kept batches, counters of both) of a release.
+
+    A trace before the cutoff is old, then one that is known not to be verified is dropped.
+    A batch of four traces at most of which none was accepted and some rejected is a
+    retry loop; an old batch is left out without being counted.
+    """
+    old, bad = F.col("ts") < moment(cutoff), F.coalesce(F.col("signature_verified") == F.lit(False), F.lit(False))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    loop = (zero("accepted") == 0) & (zero("received") <= 4) & (zero("rejected") > 0)
+    late = F.col("batch_ts") < moment(cutoff)
+    counted = tr.agg(F.count_if(~old & ~bad).alias("kept"), F.count_if(~old & bad).alias("dropped_unverified"), F.count_if(old).alias("dropped_pre_cutoff"))
+    looped = batches.agg(F.count_if(~loop & ~late).alias("kept_batches"), F.count_if(loop).alias("dropped_retry_loop"))
+    return tr.where(~old & ~bad), batches.where(~loop & ~late), counted.join(looped, how="cross")  # of one row each
 
 
 def manifest(named: dict[str, DataFrame]) -> DataFrame:
-    """Rows and an order-free checksum of each table."""
-    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("checksum")) for name, df in named.items()]
+    """Rows and an order-free checksum of each table: the sum of row hashes, to which repeated rows add each time."""
+    total = lambda df: F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.coalesce(total(df), F.lit(0)).cast("string").alias("checksum")) for name, df in named.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def file_manifest(spark: SparkSession, folders: dict[str, str], parameters: dict[str, str]) -> DataFrame:
+    """Files, bytes, sha256 over the files' own in the order of their names, and filter parameters of each written output.
+
+    Files are hashed where they are read; only one digest for each comes together.
+    """
+    parts = []
+    for name, folder in folders.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.sha2("content", 256).alias("digest"))
+        digests = F.transform(F.sort_array(F.collect_list(F.struct(F.element_at(F.split("path", "/"), -1).alias("file"), "digest"))), lambda x: x["digest"])
+        parts.append(files.agg(F.lit(name).alias("name"), F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(digests, ""), 256).alias("sha256")))
+    said = F.create_map(*[F.lit(x) for pair in sorted(parameters.items()) for x in pair]) if parameters else F.create_map().cast("map<string,string>")
+    return reduce(DataFrame.unionByName, parts).withColumn("parameters", said)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.operators.filters import exclude_benchmark
 from tracemill.operators.windows import moment
 
 AGENT = "agent_name"
@@ -29,6 +30,11 @@ def between(df: DataFrame, start: str, end: str) -> DataFrame:
     return df.where((F.col("ts") >= moment(start)) & (F.col("ts") <= moment(end)))
 
 
+def scored(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Traces of a window that count for factors: all but those of benchmarks."""
+    return exclude_benchmark(between(df, start, end))
+
+
 def acting(df: DataFrame) -> DataFrame:
     return df.where(F.substring_index("selected_action", ".", -1).isin(*NON_EXEMPT))
 
@@ -45,7 +51,7 @@ def _share(condition: str, total: str = "n") -> Column:
 
 def factor_c(tr: DataFrame, start: str, end: str) -> DataFrame:
     """Core identity: drift of names and overridden actions."""
-    rows = acting(between(tr, start, end)).groupBy(AGENT).agg(F.count("*").alias("n"), F.count_if("action_was_overridden").alias("k"), F.countDistinct(AGENT).alias("names"))
+    rows = acting(scored(tr, start, end)).groupBy(AGENT).agg(F.count("*").alias("n"), F.count_if("action_was_overridden").alias("k"), F.countDistinct(AGENT).alias("names"))
     drift = F.greatest(F.lit(0.0), (F.col("names") - 1) / F.greatest("n", F.lit(1)))
     return rows.select(AGENT, "n", (F.exp(-IDENTITY_RATE * drift) * F.exp(-CONTRADICTION_RATE * _share("k"))).alias("score"))
 
@@ -53,13 +59,13 @@ def factor_c(tr: DataFrame, start: str, end: str) -> DataFrame:
 def factor_i_int(tr: DataFrame, start: str, end: str) -> DataFrame:
     """Integrity: verified signatures times the completeness of ten fields."""
     filled = sum((F.col(c).isNotNull().cast("int") for c in COVERED), F.lit(0)) / 10.0
-    rows = between(tr, start, end).groupBy(AGENT).agg(F.count("*").alias("n"), F.count_if("signature_verified").alias("v"), F.avg(filled).alias("coverage"))
+    rows = scored(tr, start, end).groupBy(AGENT).agg(F.count("*").alias("n"), F.count_if("signature_verified").alias("v"), F.avg(filled).alias("coverage"))
     return rows.select(AGENT, "n", (_share("v") * F.col("coverage")).alias("score"))
 
 
 def trend(tr: DataFrame, start: str, end: str, points: int = TREND_POINTS) -> DataFrame:
     """Whether the newest values go steadily one way by more than the threshold."""
-    rows = acting(between(tr, start, end)).where("csdma is not null")
+    rows = acting(scored(tr, start, end)).where("csdma is not null")
     newest = Window.partitionBy(AGENT).orderBy(F.desc("ts"), F.desc("event_id"))
     top = rows.select(AGENT, "csdma", F.row_number().over(newest).alias("rn")).where(F.col("rn") <= points)
     series = top.groupBy(AGENT).agg(F.sort_array(F.collect_list(F.struct(-F.col("rn"), "csdma")))["csdma"].alias("x"))
@@ -72,7 +78,7 @@ def trend(tr: DataFrame, start: str, end: str, points: int = TREND_POINTS) -> Da
 
 def factor_r(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFrame:
     """Resilience: absolute change against the baseline; a trace at ``start`` counts on both sides."""
-    rows = acting(between(tr, baseline_start, end))
+    rows = acting(scored(tr, baseline_start, end))
     old, new = F.col("ts") <= moment(start), F.col("ts") >= moment(start)
     stats = rows.groupBy(AGENT).agg(F.avg(F.when(old, F.col("csdma"))).alias("b"), F.count_if(old).alias("bn"), F.avg(F.when(new, F.col("csdma"))).alias("r"), F.count_if(new).alias("n"))
     base = _or("b", 0.9)
@@ -84,7 +90,7 @@ def factor_r(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFr
 
 def factor_i_inc(tr: DataFrame, start: str, end: str) -> DataFrame:
     """Incompleteness awareness: calibration in ten buckets, and failures under high entropy."""
-    rows = acting(between(tr, start, end))
+    rows = acting(scored(tr, start, end))
     known = rows.where("csdma is not null and action_success is not null").groupBy(AGENT, F.floor(F.col("csdma") * 10).alias("bucket"))
     buckets = known.agg(F.avg(F.when(F.col("action_success"), 1.0).otherwise(0.0)).alias("s"), F.avg("csdma").alias("c"), F.count("*").alias("k"))
     ece = buckets.groupBy(AGENT).agg((F.sum(F.col("k") * F.abs(F.col("c") - F.col("s"))) / F.sum("k")).alias("ece"))
@@ -95,7 +101,7 @@ def factor_i_inc(tr: DataFrame, start: str, end: str) -> DataFrame:
 
 def factor_s(tr: DataFrame, start: str, end: str, decay: float = DECAY) -> DataFrame:
     """Sustained coherence: recent checks weigh more; positive moments and full passes lift it."""
-    rows = acting(between(tr, start, end))
+    rows = acting(scored(tr, start, end))
     age = (F.unix_micros(moment(end)) - F.unix_micros("ts")) / 86_400_000_000.0
     weight = F.when(F.col("coherence_passed").isNotNull(), F.exp(-decay * age))
     every = lambda f: F.forall(F.array(*[f(c) for c in FACULTIES]), lambda x: x)
@@ -201,12 +207,46 @@ def composite_from_inputs(inputs: DataFrame) -> DataFrame:
     return made.withColumn("composite", F.col("c") * F.col("i_int") * F.col("r") * F.col("i_inc") * F.col("s"))
 
 
-def composite_v1(inputs: DataFrame, mttr: DataFrame) -> DataFrame:
-    """The earlier composite: resilience from a third of the drift and the time to recover, by a sigmoid."""
-    joined = inputs.join(mttr.select("agent_id_hash", "mttr_hours"), "agent_id_hash", "left")
-    drift = F.greatest(F.lit(0.0), 1 - F.abs("drift_z") / 3)
-    recovery = 1 / (1 + F.coalesce("mttr_hours", F.lit(0.0)) / 24)
-    r = 1 / (1 + F.exp(-5.0 * ((drift + recovery) / 2 - 0.5)))
-    enough = F.when(F.col("n") < 10, "insufficient").when(F.col("n") < 50, "partial").otherwise("sufficient")
-    score = F.greatest(F.lit(FLOOR), r) * F.greatest(F.lit(FLOOR), F.coalesce("hourly_coherence", F.lit(0.5))) * F.greatest(F.lit(FLOOR), 1 - F.col("gaps") / F.col("n"))
-    return joined.select("agent_id_hash", r.alias("r"), score.alias("composite"), enough.alias("data"))
+def factors_v1(tr: DataFrame, as_of: str, days: int = 7, baseline_days: int = 30) -> DataFrame:
+    """Factors of the earlier score for each agent name.
+
+    A name is the group, so it never changes within one: identity drift is 0, as the
+    earlier score has it.  Resilience is a sigmoid of drift and recovery, coherence a
+    decayed share of all traces of four windows.
+    """
+    back = lambda d: moment(as_of) - F.make_dt_interval(days=F.lit(d))
+    known = tr.where(F.col(AGENT).isNotNull() & (F.col("ts") <= moment(as_of)))
+    recent = known.where(F.col("ts") > back(days))
+    filled = sum((F.col(c).isNotNull().cast("int") for c in COVERED), F.lit(0)) / 10.0
+    sums = recent.groupBy(AGENT).agg(
+        F.count("*").alias("n"), F.count_if("action_was_overridden").alias("overrides"), F.count_if("signature_verified").alias("verified"), F.avg(filled).alias("coverage"),
+        F.count_if((F.col("entropy") > 0.5) & (F.col("action_success") == F.lit(False))).alias("unsafe"), F.avg("csdma").alias("csdma"), F.avg("coherence").alias("coherence"),
+    )
+    before = known.where((F.col("ts") >= back(baseline_days)) & (F.col("ts") <= back(days)))
+    old = before.groupBy(AGENT).agg(*[f(c).alias(f"{c}_{name}") for c in ("csdma", "coherence") for name, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+    order = Window.partitionBy(AGENT).orderBy("ts", "event_id")
+    seen = recent.where("fragility is not null").select(AGENT, "fragility", "ts", F.lead("fragility").over(order).alias("after"), F.lead("ts").over(order).alias("until"))
+    mttr = seen.where("fragility and not after").groupBy(AGENT).agg(F.avg((F.unix_micros("until") - F.unix_micros("ts")) / 3_600_000_000.0).alias("mttr"))
+    judged = recent.where("csdma is not null and action_success is not null").groupBy(AGENT, F.floor(F.col("csdma") * 10).alias("bucket"))
+    buckets = judged.agg(F.avg(F.when(F.col("action_success"), 1.0).otherwise(0.0)).alias("s"), F.avg("csdma").alias("c"), F.count("*").alias("k"))
+    ece = buckets.groupBy(AGENT).agg((F.sum(F.col("k") * F.abs(F.col("c") - F.col("s"))) / F.sum("k")).alias("ece"))
+    age = (F.unix_micros(moment(as_of)) - F.unix_micros("ts")) / 86_400_000_000.0
+    decayed = known.where(F.col("ts") > back(4 * days)).groupBy(AGENT).agg(F.avg(F.when(F.col("coherence_passed"), 1.0).otherwise(0.0) * F.exp(-DECAY * age)).alias("s"))
+    whole = sums
+    for part in (old, mttr, ece, decayed):
+        whole = whole.join(part, AGENT, "left")
+    z = lambda c: F.coalesce(F.abs(F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_sd"), F.lit(0.0)), F.lit(0.0))
+    drift, hours = F.greatest(z("csdma"), z("coherence")), F.coalesce("mttr", F.lit(0.0))
+    raw = (1 - F.least(drift / 3, F.lit(1.0))) / (1 + hours)
+    return whole.select(
+        AGENT, "n", F.exp(-CONTRADICTION_RATE * _share("overrides")).alias("c"), (_share("verified") * F.col("coverage")).alias("i_int"), (1 / (1 + F.exp(-5.0 * (raw - 0.5)))).alias("r"),
+        ((1 - _or("ece", 0.1)) * (1 - _share("unsafe"))).alias("i_inc"), F.coalesce("s", F.lit(0.0)).alias("s"), drift.alias("drift"), hours.alias("mttr_hours"),
+    )
+
+
+def composite_v1(factors: DataFrame) -> DataFrame:
+    """The earlier composite of all five factors, two of them not below a floor, its fragility, and how far the data suffice."""
+    enough = F.when(F.col("n") == 0, "no_data").when(F.col("n") < 10, "minimal").when(F.col("n") < 30, "provisional").otherwise("sufficient")
+    score = F.col("c") * F.greatest("i_int", F.lit(FLOOR)) * F.col("r") * F.col("i_inc") * F.greatest("s", F.lit(FLOOR))
+    made = factors.withColumn("composite", score)
+    return made.select(AGENT, "n", "composite", (1 / (0.001 + F.col("composite"))).alias("fragility"), category(F.col("composite")).alias("category"), enough.alias("data"), (F.col("n") < 30).alias("is_provisional"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.operators.windows import trailing
+from tracemill.operators.windows import moment, trailing
 
+#: fixed value: providers behind the proxy
+LLM_PROVIDERS = ("openrouter", "groq", "together", "openai")
 GAP_SECONDS = 300
 
 
@@ -56,11 +58,15 @@ def latest_status(checks: DataFrame) -> DataFrame:
 
 
 def region_status(latest: DataFrame) -> DataFrame:
-    """The worst internal service decides; outside providers only if all of them are down."""
-    outside = F.col("provider").startswith("llm")
-    bad = F.col("status") == "outage"
-    flags = latest.groupBy("region").agg(F.bool_or(bad & ~outside).alias("out"), F.bool_or((F.col("status") == "degraded") & ~outside).alias("slow"), F.every(F.when(outside, bad)).alias("alone"), F.count("*").alias("services"))
-    status = F.when(F.col("out"), "outage").when(F.col("slow") | F.coalesce("alone", F.lit(False)), "degraded").otherwise("operational")
+    """The worst of a region's services.  The proxy is as bad as the best of its model providers."""
+    of_proxy = (F.col("service") == "proxy") & F.col("provider").isin(*LLM_PROVIDERS)
+    all_ = lambda *bad: F.coalesce(F.every(F.when(of_proxy, F.coalesce(F.col("status").isin(*bad), F.lit(False)))), F.lit(False))
+    other = lambda bad: F.coalesce(F.bool_or((F.col("service") != "proxy") & (F.col("status") == bad)), F.lit(False))
+    flags = latest.groupBy("region").agg(
+        other("outage").alias("out"), other("degraded").alias("slow"), all_("outage").alias("proxy_out"), all_("degraded", "outage").alias("proxy_slow"),
+        F.countDistinct("service").alias("services"),
+    )
+    status = F.when(F.col("out") | F.col("proxy_out"), "outage").when(F.col("slow") | F.col("proxy_slow"), "degraded").otherwise("operational")
     return flags.select("region", status.alias("status"), "services")
 
 
@@ -125,22 +131,30 @@ def span_stats(spans: DataFrame) -> DataFrame:
 
 
 def alert_rules(logs: DataFrame, minutes: int = 5) -> DataFrame:
-    """Windows of ``minutes``, one starting each minute, in which a rule fires."""
+    """The rules that fire in windows of ``minutes``, one starting each minute: any error, many errors, any billing error."""
     bad = logs.where(F.col("level").isin("ERROR", "CRITICAL"))
     counts = bad.groupBy(F.window("ts", f"{minutes} minutes", "1 minute").alias("w")).agg(F.count("*").alias("errors"), F.count_if(F.col("message").contains("payment")).alias("billing"))
-    level = F.when(F.col("errors") > 5, "critical").when(F.col("billing") > 0, "billing").otherwise("warning")
-    return counts.select(F.col("w.start").alias("start"), "errors", "billing", level.alias("rule"))
-
-
-def agent_health(points: DataFrame, spans: DataFrame, logs: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """Three trailing counts for each service, joined after they are aggregated."""
-    known = points.select("service").distinct()
-    p = trailing(points, as_of, hours=hours).groupBy("service").agg(F.count("*").alias("metrics"))
-    s = trailing(spans, as_of, hours=hours, ts="started").groupBy("service").agg(F.count("*").alias("spans"))
-    e = trailing(logs, as_of, hours=hours).where(F.col("level").isin("ERROR", "CRITICAL")).groupBy("service").agg(F.count("*").alias("errors"))
-    whole = known.join(p, "service", "left").join(s, "service", "left").join(e, "service", "left").na.fill(0)
-    status = F.when(F.col("metrics") == 0, "unhealthy").when(F.col("errors") > 10, "degraded").otherwise("healthy")
-    return whole.withColumn("status", status)
+    rules = F.array_compact(F.array(F.lit("errors"), F.when(F.col("errors") > 5, F.lit("many_errors")), F.when(F.col("billing") > 0, F.lit("billing"))))
+    return counts.select(F.col("w.start").alias("start"), "errors", "billing", F.explode(rules).alias("rule"))
+
+
+def agent_health(configs: DataFrame, points: DataFrame, spans: DataFrame, logs: DataFrame, failures: DataFrame, as_of: str, minutes: int = 5) -> DataFrame:
+    """Four trailing counts for each configured agent, each aggregated before it is joined, and what follows.
+
+    Healthy is who was collected within ``minutes`` and had no failure that stands open;
+    degraded who was collected within three times as long; all others are unhealthy.
+    """
+    since = lambda df, ts, times=1: df.where((F.col(ts) > moment(as_of) - F.make_dt_interval(mins=F.lit(times * minutes))) & (F.col(ts) <= moment(as_of)))
+    n = lambda df, name: df.groupBy("agent").agg(F.count("*").alias(name))
+    open_ = since(failures, "ts").where(F.col("resolved_at").isNull() & F.col("source").startswith("agent:")).withColumn("agent", F.substring("source", 7, 1 << 20))
+    names = ["recent_metric_count", "recent_trace_count", "recent_log_count", "recent_error_count"]
+    whole = configs
+    for part, name in zip((since(points, "ts"), since(spans, "started"), since(logs, "ts"), open_), names, strict=True):
+        whole = whole.join(n(part, name), "agent", "left")
+    whole = whole.na.fill(0, names)
+    fresh = lambda times: F.col("last_collection") > moment(as_of) - F.make_dt_interval(mins=F.lit(times * minutes))
+    status = F.when(fresh(1) & (F.col("recent_error_count") == 0), "healthy").when(fresh(3), "degraded").otherwise("unhealthy")
+    return whole.withColumn("health_status", status)
 
 
 def span_durations(spans: DataFrame) -> DataFrame:

@@ -55,6 +55,12 @@ class Registry:
         if sql:
             self.sql[name] = with_derived(sql, source)
 
+    def on_several(self, name: str, sources: tuple[str, ...], build: Callable[..., DataFrame], sql: str | None = None) -> None:
+        """A query over several derived tables; its SQL reads them by their names, and traces as ``tr``."""
+        self.queries[name] = lambda spark, sf_dir: tidy(build(*[traces(spark, sf_dir) if s == "tr" else derived(spark, sf_dir, s) for s in sources]))
+        if sql:
+            self.sql[name] = with_derived(with_traces(sql) if "tr" in sources else sql, *[s for s in sources if s != "tr"])
+
     def on_table(self, name: str, source: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
         self.queries[name] = lambda spark, sf_dir: tidy(build(table(spark, sf_dir, source)))
         if sql:

@@ -16,55 +16,88 @@ from tracemill.sources.adapter import AS_OF, derived, traces, with_derived, with
 registry = Registry()
 on = registry.on_traces
 
-# ledgers derived from traces: overridden decisions, deferrals
-_PDMA = "select agent_name as agent, ts, coalesce(action_was_overridden, false) as overridden, trace_id from tr"
-_WBD = "select agent_name as agent, ts, case when event_id % 3 = 0 then 'pending' else 'resolved' end as status, trace_id from tr where selected_action = 'DEFER'"
-
-
-def _ledgers(tr):  # noqa: ANN001, ANN202
-    pdma = tr.select(F.col("agent_name").alias("agent"), "ts", F.coalesce("action_was_overridden", F.lit(False)).alias("overridden"), "trace_id")
-    wbd = tr.where("selected_action = 'DEFER'").select(F.col("agent_name").alias("agent"), "ts", F.when(F.col("event_id") % 3 == 0, "pending").otherwise("resolved").alias("status"), "trace_id")
-    return tr.select(F.col("agent_name").alias("agent")).distinct(), pdma, wbd
+_SINCE7 = f"ts > timestamp '{AS_OF}' - interval 7 day and ts <= timestamp '{AS_OF}'"
+_STATUS = f"""select agent, wbd_enabled, pdma_enabled, compliance_score, manager_id, coalesce(n, 0) as recent_pdma_events, coalesce(risk, 0) as avg_risk_magnitude, coalesce(k, 0) as recent_wbd_deferrals, coalesce(open, 0) as pending_deferrals,
+    case when wbd_enabled and coalesce(open, 0) > 5 then 'NEEDS_ATTENTION' when pdma_enabled and coalesce(risk, 0) > 3 then 'ELEVATED_RISK' when compliance_score < 0.7 then 'NON_COMPLIANT' else 'COMPLIANT' end as compliance_status
+    from agents left join (select agent, count(*) as n, avg(risk_magnitude) as risk from pdma where {_SINCE7} group by agent) p using (agent) left join (select agent, count(*) as k, count(*) filter (status = 'PENDING') as open from wbd where {_SINCE7} group by agent) w using (agent)"""
+_several = registry.on_several
+_several("compliance_status", ("agents", "pdma", "wbd"), lambda a, p, w: G.compliance_status(a, p, w, AS_OF), f"select * replace ({r('avg_risk_magnitude')} as avg_risk_magnitude, {r('compliance_score')} as compliance_score) from ({_STATUS}) s")
+_several(
+    "compliance_summary",
+    ("agents", "pdma", "wbd", "sunsets"),
+    lambda a, p, w, s: G.compliance_summary(G.compliance_status(a, p, w, AS_OF), p, w, s, AS_OF),
+    "select " + ", ".join(f"(select count(*) from ({_STATUS}) s where compliance_status = '{s}') as {s.lower()}" for s in ("COMPLIANT", "NON_COMPLIANT", "ELEVATED_RISK", "NEEDS_ATTENTION"))
+    + f", (select count(*) from pdma where risk_magnitude >= 4 and ts > timestamp '{AS_OF}' - interval 1 day and ts <= timestamp '{AS_OF}') as high_risk_pdma_24h, (select count(*) from wbd where status = 'PENDING') as pending_wbd_deferrals, (select count(*) from sunsets where status in ('INITIATED', 'IN_PROGRESS')) as active_sunset_protocols",
+)
+#: lists: table, key, filter, size
+_LISTS = {
+    "list_deferrals": ("wbd", "wbd_id", {"status": "PENDING"}, 50),
+    "list_pdma_events": ("pdma", "pdma_id", {"risk_magnitude": 5}, 40),
+    "list_sunsets": ("sunsets", "sunset_id", {"status": "IN_PROGRESS"}, 20),
+    "list_creations": ("creations", "entry_id", {"agent": "agent3"}, 30),
+    "list_service_logs": ("logs", "log_id", {"level": "ERROR", "service": "svc1"}, 30),
+}
+for _name, (_source, _key, _filters, _n) in _LISTS.items():
+    _said = " and ".join(f"{k} = {v if isinstance(v, int) else repr(v)}" for k, v in _filters.items())
+    registry.on_derived(_name, _source, lambda x, k=_key, f=_filters, n=_n: G.listed(x, "ts", k, n, **f), f"select * replace ({second('ts')} as ts) from {_source} where {_said} order by {_source}.ts desc, {_key} desc limit {_n}")
+#: pages after a cursor: table, key, filter
+_AT = "2024-01-20 12:00:00"
+_PAGES = {
+    "list_llm_calls": ("calls", "call_id", {"model": "m1", "status": "ok"}),
+    "list_attestations": ("attestations", "attestation_id", {"attestation_type": "vouch"}),
+    "list_revocations": ("revocations", "revocation_id", {"pqc_completed": True}),
+}
+for _name, (_source, _key, _filters) in _PAGES.items():
+    _said = " and ".join(f"{k} = {str(v).lower() if isinstance(v, bool) else repr(v)}" for k, v in _filters.items())
+    registry.on_derived(
+        _name, _source, lambda x, k=_key, f=_filters: G.keyset(x, k, (_AT, 500), 60, **f),
+        f"select * replace ({second('ts')} as ts) from {_source} where {_said} and ({_source}.ts < timestamp '{_AT}' or ({_source}.ts = timestamp '{_AT}' and {_key} < 500)) order by {_source}.ts desc, {_key} desc limit 60",
+    )
+registry.on_derived("list_keys", "keys", lambda x: G.keyset(x, "key_id", None, 30, revoked=False, algorithm="ed25519"), f"select * replace ({second('ts')} as ts) from keys where not revoked and algorithm = 'ed25519' order by keys.ts desc, key_id desc limit 30")
+
+
+def _alerts(tr):  # noqa: ANN001, ANN202
+    """Alerts of every overridden trace: critical at a high entropy, some acknowledged."""
+    severity = F.when(F.col("entropy") > 0.5, "critical").otherwise("warning")
+    return tr.where("action_was_overridden").select(F.col("trace_id").alias("alert_id"), "ts", "agent_id_hash", severity.alias("severity"), F.lit("conscience_override").alias("mechanism"), F.coalesce("conscience_passed", F.lit(False)).alias("acknowledged"))
 
 
-_IN7 = f"ts >= timestamp '{AS_OF}' - interval 14 day and ts <= timestamp '{AS_OF}'"
-_STATUS = f"""select agent, coalesce(decisions, 0) as decisions, coalesce(overrides, 0) as overrides, coalesce(deferrals, 0) as deferrals, coalesce(pending, 0) as pending,
-    case when coalesce(pending, 0) > 3 then 'attention' when coalesce(decisions, 0) = 0 then 'inactive' when overrides * 5 > decisions then 'review' else 'compliant' end as status
-    from (select distinct agent_name as agent from tr) a left join (select agent, count(*) as decisions, count(*) filter (overridden) as overrides from ({_PDMA}) p where {_IN7} group by agent) p using (agent)
-    left join (select agent, count(*) as deferrals, count(*) filter (status = 'pending') as pending from ({_WBD}) w where {_IN7} group by agent) w using (agent)"""
-on("compliance_status", lambda tr: G.compliance_status(*_ledgers(tr), AS_OF, 14), _STATUS)
 on(
-    "compliance_summary",
-    lambda tr: G.compliance_summary(G.compliance_status(*_ledgers(tr), AS_OF, 14)),
-    "select count(*) as agents, " + ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("compliant", "review", "attention", "inactive")) + f", cast(sum(pending) as bigint) as open_deferrals, cast(sum(decisions) as bigint) as decisions from ({_STATUS}) s",
+    "list_alerts",
+    lambda tr: G.list_alerts(_alerts(tr), AS_OF, 240, severity="critical", mechanism="conscience_override", unacknowledged=True, limit=50),
+    f"""select trace_id as alert_id, {second('ts')} as ts, agent_id_hash, 'critical' as severity, 'conscience_override' as mechanism, false as acknowledged from tr where action_was_overridden and entropy > 0.5 and not coalesce(conscience_passed, false)
+        and ts > timestamp '{AS_OF}' - interval 240 hour and ts <= timestamp '{AS_OF}' order by tr.ts desc, trace_id desc limit 50""",
 )
-on("list_deferrals", lambda tr: G.listed(_ledgers(tr)[2], "ts", "trace_id", 50, status="pending"), f"select agent, {second('ts')} as ts, status, trace_id from ({_WBD}) w where status = 'pending' order by w.ts desc, trace_id desc limit 50")
-registry.on_derived("list_service_logs", "logs", lambda x: G.listed(x, "ts", "log_id", 30, level="ERROR", service="svc1"), f"select log_id, {second('ts')} as ts, service, level, message, agent from logs where level = 'ERROR' and service = 'svc1' order by logs.ts desc, log_id desc limit 30")
+_several("fleet_view", ("agents", "managers", "telemetry", "visibility"), G.fleet_view, f"select *, {r('compliance_score')} as score from agents left join managers using (manager_id) left join telemetry using (agent) left join visibility using (agent)".replace(f"*, {r('compliance_score')} as score", f"* replace ({r('compliance_score')} as compliance_score)"))
+_SEEN = f"select manager_id, agent, logs.ts as seen, managers.enabled from logs join agents using (agent) join managers using (manager_id) where managers.enabled and logs.ts >= timestamp '{AS_OF}' - interval 240 hour and logs.ts <= timestamp '{AS_OF}'"
 
 
-def _fleet(tr):  # noqa: ANN001, ANN202
-    agents = tr.select("agent_name").distinct().select(F.col("agent_name").alias("agent"), F.concat(F.lit("mgr"), (F.crc32("agent_name") % 4).cast("string")).alias("manager_id"))
-    managers = agents.select("manager_id").distinct().where("manager_id <> 'mgr3'").withColumn("enabled", F.col("manager_id") != "mgr2")
-    telemetry = tr.groupBy(F.col("agent_name").alias("agent")).agg(F.count("*").alias("points")).where("points > 20")
-    return agents, managers, telemetry, tr.where("public_sample").select(F.col("agent_name").alias("agent")).distinct().withColumn("visible", F.lit(True))
+def _sightings(logs, agents):  # noqa: ANN001, ANN202
+    """A log line is a sighting of its agent."""
+    return logs.select("agent", F.col("ts").alias("seen")).join(agents.select("agent", "manager_id"), "agent")
 
 
-on("fleet_view", lambda tr: G.fleet_view(*_fleet(tr)))
-on(
-    "live_agents",
-    lambda tr: G.live_agents(tr.select(F.col("agent_name").alias("agent"), F.concat(F.lit("mgr"), (F.col("event_id") % 4).cast("string")).alias("manager_id"), F.col("ts").alias("seen")), tr.select(F.concat(F.lit("mgr"), (F.col("event_id") % 4).cast("string")).alias("manager_id")).distinct().withColumn("enabled", F.col("manager_id") != "mgr2"), AS_OF, 14400),
-    f"select 'mgr' || (event_id % 4) as manager_id, agent_name as agent, {second('ts')} as seen, true as enabled from tr where event_id % 4 <> 2 and ts >= timestamp '{AS_OF}' - interval 240 hour and ts <= timestamp '{AS_OF}'",
-)
-on(
-    "fleet_stats",
-    lambda tr: G.fleet_stats(tr.select(F.col("agent_name").alias("agent"), F.concat(F.lit("mgr"), (F.col("event_id") % 4).cast("string")).alias("manager_id"), F.col("ts").alias("seen")), tr.select(F.concat(F.lit("mgr"), (F.col("event_id") % 4).cast("string")).alias("manager_id")).distinct().withColumn("enabled", F.col("manager_id") != "mgr2"), AS_OF, 14400),
-    f"select count(*) as sightings, count(distinct agent_name) as agents, count(distinct event_id % 4) as managers from tr where event_id % 4 <> 2 and ts >= timestamp '{AS_OF}' - interval 240 hour and ts <= timestamp '{AS_OF}'",
-)
-registry.queries["trace_detail"] = lambda spark, d: tidy(G.trace_detail(traces(spark, d).select("trace_id", "agent_name"), _components(spark, d), traces(spark, d).where("event_id % 2 = 0").select("trace_id", F.col("primary_model").alias("model"))))
-registry.sql["trace_detail"] = with_traces(
-    f"""with ev as ({EVENTS_SQL}) select trace_id, agent_name, array_to_string(e.events, ',') as events, c.calls from tr left join (select trace_id, list(event_type order by i) as events from ev group by trace_id) e using (trace_id)
-        left join (select trace_id, primary_model as calls from tr where event_id % 2 = 0) c using (trace_id)"""
+_several("live_agents", ("logs", "agents", "managers"), lambda x, a, m: G.live_agents(_sightings(x, a), m, AS_OF, 14400), f"select * replace ({second('seen')} as seen) from ({_SEEN}) s")
+_several("fleet_stats", ("logs", "agents", "managers"), lambda x, a, m: G.fleet_stats(_sightings(x, a), m, AS_OF, 14400), f"select count(*) as sightings, count(distinct agent) as agents, count(distinct manager_id) as managers from ({_SEEN}) s")
+
+
+def _detail(spark, sf_dir: str):  # noqa: ANN001, ANN202
+    whole = G.trace_detail(traces(spark, sf_dir).select("trace_id", "agent_name", "selected_action"), _components(spark, sf_dir), derived(spark, sf_dir, "calls"))
+    events = F.array_join(F.transform("events", lambda e: F.concat_ws("=", e["event_type"], e["data"])), ",")
+    calls = F.array_join(F.transform("calls", lambda c: F.concat_ws("=", c["model"], c["status"])), ",")
+    return whole.select("trace_id", "agent_name", "selected_action", events.alias("events"), calls.alias("calls"))
+
+
+registry.queries["trace_detail"] = _detail
+registry.sql["trace_detail"] = with_derived(
+    with_traces(
+        f"""with ev as ({EVENTS_SQL}) select trace_id, agent_name, selected_action, e.events, c.calls from tr left join (select trace_id, string_agg(event_type || '=' || data, ',' order by i) as events from ev group by trace_id) e using (trace_id)
+            left join (select trace_id, string_agg(model || '=' || status, ',' order by call_id) as calls from calls group by trace_id) c using (trace_id)"""
+    ),
+    "calls",
 )
+registry.queries["calls_of_events"] = lambda spark, d: tidy(G.calls_of_events(derived(spark, d, "calls").select("call_id", "trace_id", "parent_event_type", "parent_attempt_index"), _components(spark, d).withColumn("attempt_index", F.lit(0).cast("long"))))
+registry.sql["calls_of_events"] = with_derived(f"with ev as ({EVENTS_SQL}) select call_id, trace_id, parent_event_type, parent_attempt_index, i as event_index, data as event_data from calls left join ev on ev.trace_id = calls.trace_id and ev.event_type = parent_event_type and parent_attempt_index = 0".replace("select call_id, trace_id", "select call_id, calls.trace_id"), "calls")
 _RULES = [("DMA_RESULTS", "csdma.plausibility_score", "float", "csdma"), ("ACTION_RESULT", "tokens", "int", "tokens"), ("ACTION_RESULT", "has_positive_moment", "bool", "positive"), ("THOUGHT_START", "thought_type", "string", "thought_type")]
 registry.queries["extract_fields"] = lambda spark, d: tidy(I.extract_fields(_components(spark, d), _RULES))
 registry.sql["extract_fields"] = f"""with ev as ({EVENTS_SQL}) select trace_id, {r("max(try_cast(data ->> '$.csdma.plausibility_score' as double)) filter (event_type = 'DMA_RESULTS')")} as csdma,
@@ -96,12 +129,25 @@ on("factor_inputs", lambda tr: S.factor_inputs(tr, *_ARGS), f"select agent_id_ha
 _PARTS = f"""select agent_id_hash, n, exp(-5.0 * renames / n) * exp(-10.0 * overrides / n) as c, greatest(0.1, (1 - gaps / n) * signed / n) as i_int,
     1.0 - case when abs(drift_z) < 0.05 then 0 when abs(drift_z) >= 0.15 then 1 else (abs(drift_z) - 0.05) / 0.10 end as r, (1 - coalesce(calibration_error, 0.1)) * (1 - unsafe) as i_inc, greatest(0.1, coalesce(hourly_coherence, 0.5)) as s from ({_INPUTS}) i"""
 on("composite_from_inputs", lambda tr: S.composite_from_inputs(S.factor_inputs(tr, *_ARGS)), "select agent_id_hash, n, " + ", ".join(f"{r(c)} as {c}" for c in ("c", "i_int", "r", "i_inc", "s")) + f", {r('c * i_int * r * i_inc * s')} as composite from ({_PARTS}) p")
-_MTTR = "select agent_id_hash, avg((epoch_us(until) - epoch_us(ts)) / 3600000000.0) as mttr from (select agent_id_hash, fragility, ts, lead(fragility) over w as after, lead(ts) over w as until from tr where fragility is not null window w as (partition by agent_id_hash order by ts, event_id)) l where fragility and not after group by agent_id_hash"
-_R1 = "1 / (1 + exp(-5.0 * ((greatest(0.0, 1 - abs(drift_z) / 3) + 1 / (1 + coalesce(mttr, 0) / 24)) / 2 - 0.5)))"
+_AGO = lambda d: f"timestamp '{AS_OF}' - interval {d} day"
+_NOW = f"ts <= timestamp '{AS_OF}'"
+_COVER = " + ".join(f"cast({c} is not null as int)" for c in S.COVERED)
+_V1 = f"""with k as (select * from tr where {_NOW}), w as (select * from k where ts > {_AGO(10)}),
+    a as (select agent_name, count(*) as n, count(*) filter (action_was_overridden) as o, count(*) filter (signature_verified) as v, avg(({_COVER}) / 10.0) as cov, count(*) filter (entropy > 0.5 and not action_success) as u, avg(csdma) as p, avg(coherence) as h from w group by agent_name),
+    b as (select agent_name, avg(csdma) as pm, stddev_samp(csdma) as ps, avg(coherence) as hm, stddev_samp(coherence) as hs from k where ts between {_AGO(30)} and {_AGO(10)} group by agent_name),
+    l as (select agent_name, fragility, ts, lead(fragility) over x as after, lead(ts) over x as until from w where fragility is not null window x as (partition by agent_name order by ts, event_id)),
+    m as (select agent_name, avg((epoch_us(until) - epoch_us(ts)) / 3600000000.0) as mttr from l where fragility and not after group by agent_name),
+    q as (select agent_name, avg(case when action_success then 1.0 else 0.0 end) as s, avg(csdma) as c, count(*) as k from w where csdma is not null and action_success is not null group by agent_name, floor(csdma * 10)),
+    e as (select agent_name, sum(k * abs(c - s)) / sum(k) as ece from q group by agent_name),
+    d as (select agent_name, avg(case when coherence_passed then exp(-0.05 * (epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 86400000000.0) else 0 end) as s from k where ts > {_AGO(40)} group by agent_name),
+    z as (select *, greatest(coalesce(abs(p - pm) / nullif(ps, 0), 0), coalesce(abs(h - hm) / nullif(hs, 0), 0)) as drift, coalesce(mttr, 0) as mttr_hours from a left join b using (agent_name) left join m using (agent_name) left join e using (agent_name) left join d using (agent_name)),
+    f as (select agent_name, n, exp(-10.0 * o / n) as c, v / n * cov as i_int, 1 / (1 + exp(-5.0 * ((1 - least(drift / 3, 1)) / (1 + mttr_hours) - 0.5))) as r, (1 - coalesce(nullif(ece, 0), 0.1)) * (1 - u / n) as i_inc, coalesce(s, 0) as s, drift, mttr_hours from z)"""
+on("factors_v1", lambda tr: S.factors_v1(tr, AS_OF, 10), f"{_V1} select agent_name, n, " + ", ".join(f"{r(c)} as {c}" for c in ("c", "i_int", "r", "i_inc", "s", "drift", "mttr_hours")) + " from f")
 on(
     "composite_v1",
-    lambda tr: S.composite_v1(S.factor_inputs(tr, *_ARGS), S.fragility_mttr(tr)),
-    f"select agent_id_hash, {r(_R1)} as r, {r(f'greatest(0.1, {_R1}) * greatest(0.1, coalesce(hourly_coherence, 0.5)) * greatest(0.1, 1 - gaps / n)')} as composite, case when n < 10 then 'insufficient' when n < 50 then 'partial' else 'sufficient' end as data from ({_INPUTS}) i left join ({_MTTR}) m using (agent_id_hash)",
+    lambda tr: S.composite_v1(S.factors_v1(tr, AS_OF, 10)),
+    f"""{_V1}, x as (select agent_name, n, c * greatest(i_int, 0.1) * r * i_inc * greatest(s, 0.1) as y from f) select agent_name, n, {r('y')} as composite, {r('1 / (0.001 + y)')} as fragility,
+        case when y < 0.3 then 'high_fragility' when y < 0.6 then 'moderate' when y < 0.85 then 'healthy' else 'high_capacity' end as category, case when n < 10 then 'minimal' when n < 30 then 'provisional' else 'sufficient' end as data, n < 30 as is_provisional from x""",
 )
 registry.on_table("validate_identifier", "pages", lambda p: p.select("page_id", P.validate_identifier(F.col("url")).alias("v")).select("page_id", "v.value", "v.issues"))
 registry.on_table(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.functions import privacy as P
 from tracemill.operators import filters as L
@@ -22,7 +23,21 @@ on(
     f"select {_FEW_SQL} from tr where deployment_domain = 'p1' and tr.csdma >= 0.2 and tr.csdma <= 0.9 and signature_verified and ts >= timestamp '2024-01-10' and ts <= timestamp '{AS_OF}'",
 )
 on("scope_partner", lambda tr: L.scope(tr, "partner", ["a1", "a2"]).select(*_FEW), f"select {_FEW_SQL} from tr where agent_id_hash in ('a1', 'a2') or public_sample")
-on("mask_public", lambda tr: L.mask_fields(tr.select(*_FEW, "cost_cents"), "public"), f"select trace_id, selected_action, {r('csdma')} as csdma from tr")
+_DMA = """case when event_id % 4 = 0 then null else '{"csdma": {"plausibility_score": 0.5, "prompt_used": "secret"}, "dsdma": {"domain": "' || dsdma_domain || '"}, "note": "plain"}' end"""
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    """Nested results as one line each, so that they compare as text."""
+    inner = F.from_json("dma_results", "map<string,string>")
+    return df.withColumn("dma_results", F.array_join(F.transform(F.array_sort(F.map_entries(inner)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"))
+
+
+for _level in ("partner", "public"):
+    on(
+        f"mask_{_level}",
+        lambda tr, level=_level: _unpacked(L.mask_fields(tr.select(*_FEW, F.expr(_DMA).alias("dma_results"), F.lit("sig").alias("audit_signature")), level)),
+        f"select {_FEW_SQL}, " + ("" if _level == "partner" else "'sig' as audit_signature, ") + "case when event_id % 4 = 0 then null else " + ("'csdma={\"plausibility_score\":\"0.5\"};dsdma={\"domain\":\"' || dsdma_domain || '\"};note=plain'" if _level == "partner" else "'csdma={\"plausibility_score\":0.5,\"prompt_used\":\"secret\"};dsdma={\"domain\":\"' || dsdma_domain || '\"};note=plain'") + " end as dma_results from tr",
+    )
 on("page", lambda tr: L.page(tr.select(*_FEW), [F.desc("csdma"), F.col("trace_id")], 50, 100), f"select {_FEW_SQL}, count(*) over () as total, count(*) over () > 150 as has_more from tr order by tr.csdma desc, trace_id limit 50 offset 100")
 on("keyset_page", lambda tr: L.keyset_page(tr, ("2024-01-20 00:00:00", "t5"), 40).select(*_FEW), f"select {_FEW_SQL} from tr where ts < timestamp '2024-01-20' or (ts = timestamp '2024-01-20' and trace_id < 't5') order by ts desc, trace_id desc limit 40")
 on(
@@ -38,18 +53,63 @@ on_table(
 )
 on("window_filter", lambda tr: L.window_filter(tr, "7d", AS_OF).select(*_FEW), f"select {_FEW_SQL} from tr where ts > timestamp '{AS_OF}' - interval 7 day and ts <= timestamp '{AS_OF}'")
 on_table("exclude_benchmark", "documents", lambda d: L.exclude_benchmark(d, "text").groupBy("source").agg(F.count("*").alias("n")), "select source, count(*) as n from documents where coalesce(not contains(lower(text), 'benchmark'), true) group by source")
+_ENTRY = ["trace_id", "audit_sequence_number", "selected_action"]
+
+
+def _sealed(tr: DataFrame) -> DataFrame:
+    """A ledger with stored hashes; some entries were changed after they were sealed, one action and one link in a hundred."""
+    order = Window.partitionBy("agent_id_hash").orderBy("audit_sequence_number", "trace_id")
+    linked = tr.select("agent_id_hash", "event_id", *_ENTRY).withColumn("prev_hash", F.coalesce(F.sha2(F.lag("trace_id").over(order), 256), F.lit("genesis")))
+    own = F.sha2("trace_id", 256)  # stands for a hash that an earlier writer stored
+    return linked.withColumn("entry_hash", F.when(F.col("event_id") % 100 == 7, own).otherwise(L.seal(_ENTRY, F.col("prev_hash"))))
+
+
 on(
     "ledger_chain",
-    lambda tr: L.ledger_chain(tr.select("agent_id_hash", "trace_id", "audit_sequence_number", "selected_action"), "agent_id_hash", ["audit_sequence_number", "trace_id"], ["trace_id", "audit_sequence_number", "selected_action"]),
+    lambda tr: L.ledger_chain(tr.select("agent_id_hash", *_ENTRY), "agent_id_hash", ["audit_sequence_number", "trace_id"], _ENTRY),
     """with h as (select agent_id_hash, trace_id, audit_sequence_number, selected_action, sha256(concat_ws('|', trace_id, cast(audit_sequence_number as varchar), selected_action)) as entry_hash from tr)
-       select *, coalesce(lag(entry_hash) over (partition by agent_id_hash order by audit_sequence_number, trace_id), 'genesis') as prev_hash from h""",
+       select *, coalesce(lag(entry_hash) over (partition by agent_id_hash order by audit_sequence_number, trace_id), 'genesis') as prev_hash, true as is_intact from h""",
+)
+on(
+    "ledger_verify",
+    lambda tr: L.ledger_chain(_sealed(tr), "agent_id_hash", ["audit_sequence_number", "trace_id"], _ENTRY, ("prev_hash", "entry_hash")).select("agent_id_hash", "trace_id", "expected_prev", "is_intact"),
+    """with p as (select *, coalesce(sha256(lag(trace_id) over w), 'genesis') as prev_hash from tr window w as (partition by agent_id_hash order by audit_sequence_number, trace_id)),
+            e as (select *, case when event_id % 100 = 7 then sha256(trace_id) else sha256(concat_ws('|', prev_hash, trace_id, cast(audit_sequence_number as varchar), selected_action)) end as entry_hash from p),
+            x as (select *, coalesce(lag(entry_hash) over (partition by agent_id_hash order by audit_sequence_number, trace_id), 'genesis') as expected_prev from e)
+       select agent_id_hash, trace_id, expected_prev, prev_hash = expected_prev and event_id % 100 <> 7 as is_intact from x""",
 )
 on("cohorts", L.cohorts, "select distinct deployment_domain, dsdma_domain from tr")
 on(
     "apply_updates",
-    lambda tr: L.apply_updates(tr.select("trace_id", "public_sample", "trace_level"), tr.where("event_id % 5 = 0").select("trace_id", F.lit(True).alias("public_sample")), ["trace_id"]),
-    "select trace_id, event_id % 5 = 0 or public_sample as public_sample, trace_level from tr",
-)
+    lambda tr: L.apply_updates(
+        tr.select("trace_id", "public_sample", "trace_level"),
+        tr.select("trace_id", F.when(F.col("has_positive_moment"), True).alias("public_sample"), F.when(F.col("csdma") > 0.8, "first").alias("trace_level"), F.lit(1).alias("at"), F.array().cast("array<string>").alias("cleared"))
+        .unionByName(tr.select("trace_id", F.lit(None).cast("boolean").alias("public_sample"), F.when(F.col("csdma") > 0.9, "second").alias("trace_level"), F.lit(2).alias("at"), F.when(F.col("csdma") < 0.1, F.array(F.lit("trace_level"))).alias("cleared"))),
+        ["trace_id"], "at", "cleared",
+    ),
+    "select trace_id, has_positive_moment or public_sample as public_sample, case when csdma < 0.1 then null when csdma > 0.9 then 'second' when csdma > 0.8 then 'first' else trace_level end as trace_level from tr",
+)
+on(
+    "change_access",
+    lambda tr: L.change_access(
+        tr.select("trace_id", F.when(F.col("public_sample"), F.array(F.lit("p1"), F.lit("p2"))).alias("partner_access")),
+        tr.where("signature_verified").select("trace_id", F.when(F.col("csdma") < 0.3, "add").when(F.col("csdma") < 0.6, "remove").otherwise("set").alias("action"), F.array(F.lit("p2"), F.lit("p3")).alias("partner_ids"), F.lit(1).alias("at"))
+        .unionByName(tr.where("fragility").select("trace_id", F.lit("remove").alias("action"), F.array(F.lit("p3")).alias("partner_ids"), F.lit(2).alias("at"))),
+    ),
+    """with a as (select *, case when public_sample then ['p1', 'p2'] end as held from tr),
+            b as (select *, case when not signature_verified then held when csdma < 0.3 then case when public_sample then ['p1', 'p2', 'p3'] else ['p2', 'p3'] end when csdma < 0.6 then case when public_sample then ['p1'] else [] end else ['p2', 'p3'] end as first from a)
+       select trace_id, array_to_string(case when coalesce(fragility, false) then list_filter(coalesce(first, []), lambda x: x <> 'p3') else first end, ',') as partner_access from b""",
+)
+on(
+    "settle_alerts",
+    lambda tr: L.settle_alerts(
+        tr.select(F.col("trace_id").alias("alert_id"), F.lit(False).alias("acknowledged"), F.lit(None).cast("string").alias("acknowledged_by"), F.lit(False).alias("resolved"), F.lit(None).cast("string").alias("resolved_by"), F.lit(None).cast("string").alias("resolution_notes")),
+        tr.where("conscience_passed").select(F.col("trace_id").alias("alert_id"), F.lit("acknowledge").alias("action"), F.col("agent_name").alias("by"), "ts", F.lit(None).cast("string").alias("notes"))
+        .unionByName(tr.where("action_success").select(F.col("trace_id").alias("alert_id"), F.lit("resolve").alias("action"), F.col("agent_id_hash").alias("by"), "ts", F.col("selected_action").alias("notes"))).withColumnRenamed("ts", "at"),
+    ),
+    """select trace_id as alert_id, coalesce(conscience_passed, false) as acknowledged, case when conscience_passed then agent_name end as acknowledged_by, coalesce(action_success, false) as resolved,
+              case when action_success then agent_id_hash end as resolved_by, case when action_success then selected_action end as resolution_notes from tr""",
+)
 on(
     "erase_counts",
     lambda tr: L.erase({"traces": tr, "alerts": tr.where("action_was_overridden")}, tr.where("event_id % 50 = 0").select("agent_id_hash", "signature_key_id"), ["agent_id_hash", "signature_key_id"])[1],
@@ -72,7 +132,24 @@ on(
     f"select agent_id_hash, max(event_id) as event_id, {r('arg_max(csdma, event_id)')} as csdma from tr group by agent_id_hash",
 )
 on("apply_retention", lambda tr: L.apply_retention(tr, AS_OF, 14).groupBy("dsdma_domain").agg(F.count("*").alias("n")), f"select dsdma_domain, count(*) as n from tr where ts >= timestamp '{AS_OF}' - interval 14 day group by dsdma_domain")
-on("release_filter", lambda tr: L.release_filter(tr, "2024-01-15"), "select count(*) as n, count(*) filter (not signature_verified) as unverified, count(*) filter (signature_verified and ts < timestamp '2024-01-15') as before_cutoff, count(*) filter (signature_verified and ts >= timestamp '2024-01-15') as kept from tr")
+#: batches of traces by id, with what became of them
+_BATCHES = "select batch_id, min(ts) as batch_ts, count(*) % 7 as received, count(*) filter (signature_verified) % 3 as accepted, count(*) % 2 as rejected from tr group by batch_id"
+
+
+def _released(tr: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    batches = tr.groupBy("batch_id").agg(F.min("ts").alias("batch_ts"), (F.count("*") % 7).alias("received"), (F.count_if("signature_verified") % 3).alias("accepted"), (F.count("*") % 2).alias("rejected"))
+    return L.release_filter(tr.select(*_FEW, "ts", "signature_verified"), batches, "2024-01-15")
+
+
+_LOOP = "accepted = 0 and received <= 4 and rejected > 0"
+on("release_traces", lambda tr: _released(tr)[0], f"select {_FEW_SQL}, {second('ts')} as ts, signature_verified from tr where ts >= timestamp '2024-01-15' and signature_verified")
+on("release_batches", lambda tr: _released(tr)[1], f"with b as ({_BATCHES}) select * replace ({second('batch_ts')} as batch_ts) from b where not ({_LOOP}) and b.batch_ts >= timestamp '2024-01-15'")
+on(
+    "release_filter",
+    lambda tr: _released(tr)[2],
+    f"""with b as ({_BATCHES}) select (select count(*) from tr where ts >= timestamp '2024-01-15' and signature_verified) as kept, (select count(*) from tr where ts >= timestamp '2024-01-15' and not signature_verified) as dropped_unverified,
+        (select count(*) from tr where ts < timestamp '2024-01-15') as dropped_pre_cutoff, (select count(*) from b where not ({_LOOP}) and batch_ts >= timestamp '2024-01-15') as kept_batches, (select count(*) from b where {_LOOP}) as dropped_retry_loop""",
+)
 registry.queries["qa_export"] = lambda spark, d: tidy(L.qa_export(traces(spark, d), table(spark, d, "events").select("event_id", "event_type", "user_id"), "model_eval_", ["1.9.1", "1.9.3", "1.8"]))
 registry.sql["qa_export"] = with_traces("select event_id, event_type, user_id from events where event_id in (select event_id from tr where schema_version in ('1.9.1', '1.9.3', '1.8') and channel_id like 'model\\_eval\\_%' escape '\\')")
 registry.queries["manifest"] = lambda spark, d: L.manifest({n: table(spark, d, n) for n in ("events", "orders", "documents")})

@@ -8,14 +8,16 @@ from tracemill.sources.adapter import AS_OF
 
 START, BASE = "2024-01-21 00:00:00", "2024-01-01 00:00:00"
 registry = Registry()
-_IN = f"ts between timestamp '{START}' and timestamp '{AS_OF}'"
+_WINDOW = f"ts between timestamp '{START}' and timestamp '{AS_OF}'"
+_LIVE = "(idma_result is null or idma_result not ilike '%benchmark%')"
+_IN = f"{_WINDOW} and {_LIVE}"
 _ACT = "selected_action in ('SPEAK', 'TOOL', 'MEMORIZE', 'FORGET')"
 _C = f"select agent_name, count(*) as n, exp(-10.0 * count(*) filter (action_was_overridden) / count(*)) as score from tr where {_IN} and {_ACT} group by agent_name"
 _COVER = " + ".join(f"cast({c} is not null as int)" for c in S.COVERED)
 _I_INT = f"select agent_name, count(*) as n, count(*) filter (signature_verified) / count(*) * avg(({_COVER}) / 10.0) as score from tr where {_IN} group by agent_name"
 _R = f"""
     with s as (select agent_name, avg(csdma) filter (ts <= timestamp '{START}') as b, count(*) filter (ts <= timestamp '{START}') as bn, avg(csdma) filter (ts >= timestamp '{START}') as r,
-                      count(*) filter (ts >= timestamp '{START}') as n from tr where ts between timestamp '{BASE}' and timestamp '{AS_OF}' and {_ACT} group by agent_name),
+                      count(*) filter (ts >= timestamp '{START}') as n from tr where ts between timestamp '{BASE}' and timestamp '{AS_OF}' and {_LIVE} and {_ACT} group by agent_name),
          d as (select *, abs(coalesce(nullif(r, 0), nullif(b, 0), 0.9) - coalesce(nullif(b, 0), 0.9)) as change from s where n > 0)
     select agent_name, n, change, 1.0 - (case when change < 0.05 then 0.0 when change >= 0.15 then 1.0 else (change - 0.05) / 0.10 end) * (case when bn < 10 then 0.5 when bn < 20 then 0.75 else 1.0 end) as score from d"""
 _I_INC = f"""
@@ -80,7 +82,7 @@ on(
 on(
     "score_diagnosis",
     lambda tr: S.diagnose(tr, *_ARGS),
-    f"""with d as (select agent_name, count(*) as n, avg(case when signature_verified then 1.0 else 0.0 end) as verified, avg(cast(coherence_passed is not null as int)) as checked, avg(cast(action_success is not null as int)) as outcomes from tr where {_IN} group by agent_name)
+    f"""with d as (select agent_name, count(*) as n, avg(case when signature_verified then 1.0 else 0.0 end) as verified, avg(cast(coherence_passed is not null as int)) as checked, avg(cast(action_success is not null as int)) as outcomes from tr where {_WINDOW} group by agent_name)
         select agent_name, n, {r('verified')} as verified, {r('checked')} as checked, {r('outcomes')} as outcomes,
                concat_ws(',', case when n < 30 then 'few traces' end, case when verified < 0.95 then 'unverified signatures' end, case when checked < 0.9 then 'coherence not checked' end, case when outcomes < 0.9 then 'outcomes missing' end) as issues from d""",
 )

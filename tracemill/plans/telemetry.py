@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracemill.operators import telemetry as T
 from tracemill.plans.common import Registry, r, second, tidy
 from tracemill.sources.adapter import AS_OF, derived, with_derived
@@ -50,9 +52,10 @@ on(
     "region_status",
     "checks",
     lambda c: T.region_status(T.latest_status(c)),
-    f"""with l as (select region, provider like 'llm%' as ext, s.s as status from ({_LATEST}) x)
-        select region, count(*) as services, case when bool_or(status = 'outage' and not ext) then 'outage'
-               when bool_or(status = 'degraded' and not ext) or coalesce(bool_and(status = 'outage') filter (ext), false) then 'degraded' else 'operational' end as status from l group by region""",
+    f"""with l as (select region, service, provider in ('openrouter', 'groq', 'together', 'openai') as llm, s.s as status from ({_LATEST}) x),
+             p as (select region, case when bool_and(status = 'outage') then 'outage' when bool_and(status in ('degraded', 'outage')) then 'degraded' else 'operational' end as status from l where service = 'proxy' and llm group by region),
+             a as (select region, status from l where service <> 'proxy' union all select region, status from p)
+        select region, case when bool_or(a.status = 'outage') then 'outage' when bool_or(a.status = 'degraded') then 'degraded' else 'operational' end as status, any_value(services) as services from a join (select region, count(distinct service) as services from l group by region) n using (region) group by region""",
 )
 on(
     "counter_rate",
@@ -84,17 +87,17 @@ on(
     "alert_rules",
     "logs",
     T.alert_rules,
-    f"""with w as (select time_bucket(interval '1 minute', ts) - to_minutes(k) as start, message from logs, range(5) t(k) where {_BAD})
-        select {second('start')} as start, count(*) as errors, count(*) filter (contains(message, 'payment')) as billing,
-               case when count(*) > 5 then 'critical' when count(*) filter (contains(message, 'payment')) > 0 then 'billing' else 'warning' end as rule from w group by w.start""",
+    f"""with w as (select time_bucket(interval '1 minute', ts) - to_minutes(k) as start, message from logs, range(5) t(k) where {_BAD}),
+             c as (select start, count(*) as errors, count(*) filter (contains(message, 'payment')) as billing from w group by start)
+        select {second('start')} as start, errors, billing, 'errors' as rule from c union all select {second('start')}, errors, billing, 'many_errors' from c where errors > 5 union all select {second('start')}, errors, billing, 'billing' from c where billing > 0""",
 )
-registry.queries["agent_health"] = lambda spark, d: tidy(T.agent_health(derived(spark, d, "points"), derived(spark, d, "spans"), derived(spark, d, "logs"), AS_OF, 240))
+_HEALTH = ("configs", "points", "spans", "logs", "failures")
+registry.queries["agent_health"] = lambda spark, d: tidy(T.agent_health(*[derived(spark, d, t).withColumn("agent", F.concat(F.lit("agent"), F.substring("service", 4, 9))) if t == "spans" else derived(spark, d, t) for t in _HEALTH], AS_OF, 1440))
+_DAY = lambda ts: f"{ts} > timestamp '{AS_OF}' - interval 1 day and {ts} <= timestamp '{AS_OF}'"
 registry.sql["agent_health"] = with_derived(
-    f"""select k.service, coalesce(p.n, 0) as metrics, coalesce(s.n, 0) as spans, coalesce(e.n, 0) as errors, case when coalesce(p.n, 0) = 0 then 'unhealthy' when coalesce(e.n, 0) > 10 then 'degraded' else 'healthy' end as status
-        from (select distinct service from points) k left join (select service, count(*) as n from points where {_LAST} group by service) p using (service)
-        left join (select service, count(*) as n from spans where {_LAST.replace('ts >=', 'started >=').replace('ts <=', 'started <=')} group by service) s using (service)
-        left join (select service, count(*) as n from logs where {_LAST} and {_BAD} group by service) e using (service)""",
-    "points",
-    "spans",
-    "logs",
+    f"""select agent, enabled, {second('last_collection')} as last_collection, coalesce(m, 0) as recent_metric_count, coalesce(t, 0) as recent_trace_count, coalesce(l, 0) as recent_log_count, coalesce(e, 0) as recent_error_count,
+               case when last_collection > timestamp '{AS_OF}' - interval 24 hour and coalesce(e, 0) = 0 then 'healthy' when last_collection > timestamp '{AS_OF}' - interval 72 hour then 'degraded' else 'unhealthy' end as health_status
+        from configs left join (select agent, count(*) as m from points where {_DAY('ts')} group by agent) m using (agent) left join (select 'agent' || substring(service, 4) as agent, count(*) as t from spans where {_DAY('started')} group by all) t using (agent)
+        left join (select agent, count(*) as l from logs where {_DAY('ts')} group by agent) l using (agent) left join (select substring(source, 7) as agent, count(*) as e from failures where {_DAY('ts')} and resolved_at is null and source like 'agent:%' group by all) e using (agent)""",
+    *_HEALTH,
 )
