@@ -1,5 +1,6 @@
 """Thresholds, nulls, sources, streams and privacy rules on small rows."""
 
+import hashlib
 import json
 import zlib
 
@@ -12,10 +13,19 @@ from tracemill.operators import corpus as C
 from tracemill.operators import detectors as D
 from tracemill.operators import filters as L
 from tracemill.operators import ingest, telemetry
+from tracemill.operators import views as V
 from tracemill.sources import adapter, otlp
 from tracemill.streaming import jobs
 
 AS_OF = adapter.AS_OF
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def registry_query(spark):
+    from tracemill.plans import registry
+
+    return lambda name: registry.queries()[name](spark, DATA)
 
 
 def test_chain_gap_is_any_step_but_one(spark):
@@ -38,7 +48,7 @@ def test_z_scores_of_one_value_and_of_equal_values(spark):
 def test_detectors_on_no_rows(spark):
     tr = adapter.traces(spark, "/root/testdata/sf0.001").limit(0)
     assert D.run_all_detections(tr, AS_OF).count() == 0
-    assert C.n_eff(tr).count() == 0
+    assert C.n_eff(V.trace_context(tr, adapter.derived(spark, DATA, "batches"))).count() == 0
 
 
 def test_n_eff_of_independent_and_of_equal_features(spark):
@@ -52,6 +62,39 @@ def test_n_eff_of_independent_and_of_equal_features(spark):
     assert two.features == 3 and abs(two.participation - 9 / 5) < 0.05
 
 
+def n_eff_of(rows):
+    """The definition on a table of numbers: gaps get the mean, equal columns go, correlation, its spectrum."""
+    x = np.array(rows, float)
+    x = np.where(np.isnan(x), np.nanmean(np.where(np.isnan(x).all(0), 0, x), 0), x)
+    keep = x.std(0, ddof=1) > 1e-9
+    z = (x[:, keep] - x[:, keep].mean(0)) / x[:, keep].std(0, ddof=1)
+    values, vectors = np.linalg.eigh(np.cov(z, rowvar=False))
+    p = np.clip(values, 0, None) / np.clip(values, 0, None).sum()
+    return 1 / (p**2).sum(), np.exp(-(p * np.log(p + 1e-30)).sum()), keep.sum(), np.sort(np.abs(vectors[:, -1]))[::-1]
+
+
+def test_n_eff_queries_by_numpy(spark, registry_query):
+    tc = V.trace_context(adapter.traces(spark, DATA), adapter.derived(spark, DATA, "batches"))
+    names = list(C.FEATURES)
+    rows = sorted((r.ts, r.trace_id, r.task_class, [getattr(r, c) for c in names]) for r in C.constraint_vector(tc, ("ts", "trace_id", "task_class")).collect())
+    full = lambda some: [[np.nan if v is None else v for v in x[3]] for x in some if x[3][names.index("csdma")] is not None and x[3][names.index("k_eff")] is not None]
+
+    def check(got, some):
+        ratio, entropy, used, loadings = n_eff_of(full(some))
+        assert (got.n, got.features) == (len(full(some)), used) and got.participation == pytest.approx(ratio, abs=2e-6) and got.entropy_size == pytest.approx(entropy, abs=2e-6)
+        assert [abs(float(x.split("=")[1])) for x in got.loadings.split(",")] == pytest.approx(loadings[:8].tolist(), abs=2e-4)
+
+    (one,) = registry_query("n_eff").collect()
+    check(one, rows[-2000:])
+    by = {r.task_class: r for r in registry_query("n_eff_by_domain").collect()}
+    for kind in {x[2] for x in rows}:
+        check(by[kind], [x for x in rows if x[2] == kind][-500:])
+    windows = {int(r.w): r for r in registry_query("rolling_n_eff").collect()}
+    assert set(windows) == set(range((len(rows) - 500) // 100 + 1))
+    for w, got in windows.items():
+        check(got, rows[100 * w : 100 * w + 500])
+
+
 def test_frechet_distance():
     import numpy as np
 
@@ -61,8 +104,8 @@ def test_frechet_distance():
 
 
 SCRUBBED = [
-    ("report_1989_final was sent", "[IDENTIFIER] was sent"), ("in 1989 and 2024", "in [YEAR] and 2024"), ("1989年的事件", "[IDENTIFIER]"), ("mail a.b@c.org now", "mail [EMAIL] now"),
-    ("call +1 555 123 4567 or (555) 123-4567", "call [PHONE] or [PHONE]"), ("bare 5551234567 stays", "bare 5551234567 stays"), ("at 10.0.0.1 see https://x.example/y?z", "at [IP_ADDRESS] see [URL]"), ("123-45-6789", "[SSN]"), ("4111 1111 1111 1111", "[CREDIT_CARD]"), ("20260322021153", "20260322021153"),
+    ("minutes_1871_b went out", "[IDENTIFIER] went out"), ("from 1834 until 2024", "from [YEAR] until 2024"), ("1912年の本", "[IDENTIFIER]"), ("write x.y-z@host.example today", "write [EMAIL] today"),
+    ("ring +1 212 555 0188 or (212) 555-0188", "ring [PHONE] or [PHONE]"), ("plain 2125550188 stays", "plain 2125550188 stays"), ("from 192.0.2.7 to http://h.example/p?q", "from [IP_ADDRESS] to [URL]"), ("no. 987-65-4321", "no. [SSN]"), ("5555 4444 3333 2222", "[CREDIT_CARD]"), ("20250101123000", "20250101123000"),
 ]
 
 
@@ -84,6 +127,128 @@ def test_sanitize_escapes_only_what_it_changed(spark):
     assert out == ["a < b", "[XSS_REMOVED:xss_script] &amp; more", "[PATH_REMOVED]etc"]
 
 
+ODD = ["a < b", "<script>x</script> & more", "../etc", "x" * 100_001, "1; DROP TABLE t -- $(id) `ls`", "", None, "<svg a onload=go> %00", "' OR 1=1"]
+
+
+def test_columns_and_python_sanitise_alike(spark):
+    """The column expressions and the walk over JSON are two ways to one result."""
+    df = spark.createDataFrame([(t,) for t in ODD], "t string")
+    for identifier in (False, True):
+        for r in df.select("t", P.sanitize_text(F.col("t"), identifier).alias("s")).collect():
+            if r.t is not None:
+                assert (r.s.value, r.s.detections, r.s.was_modified, r.s.was_truncated) == P.sanitize_python(r.t, identifier)
+
+
+def test_columns_and_python_scrub_alike(spark, registry_query):
+    texts = [t for t, _ in SCRUBBED] + ["a 1999_x ünï1999 on 127.0.0.1:80", "é1999 2023-01-01", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(P.scrub_text(F.col("t")).alias("s")).collect()] == [P.scrub_python(t) for t in texts]
+    from tracemill.plans import records
+
+    docs = records._marked(spark.read.parquet(f"{DATA}/documents.parquet")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    done = {r.doc_id: P.scrub_python(r.text) for r in docs}
+    assert {r.doc_id: r.scrubbed for r in registry_query("scrub_text").collect()} == {k: sha(t) for k, t in done.items()}
+    level = {r.doc_id: ("generic", "detailed", "full_traces")[r.doc_id % 3] for r in docs}
+    expected = {r.doc_id: (sha(done[r.doc_id]) if level[r.doc_id] == "detailed" else sha(r.text) if level[r.doc_id] == "generic" else None, level[r.doc_id] == "full_traces") for r in docs}
+    assert {r.doc_id: (r.scrubbed, r.rejected) for r in registry_query("scrub_by_level").collect()} == expected
+    counts = {r.doc_id: r for r in registry_query("redaction_counts").collect()}
+    for r in docs:
+        text, seen = r.text, {}
+        for name, pattern, replacement in P._rules("scrub"):
+            text, seen[name] = pattern.subn(replacement, text)
+        assert {n: counts[r.doc_id][f"n_{n}"] for n in seen} == seen
+    (report,) = registry_query("rescrub_report").collect()
+    left = lambda t: bool(P._rules("scrub")[1][1].search(t)) or "password=1" in t.lower()
+    assert (report.n, report.changed, report.rejected) == (len(docs), sum(done[r.doc_id] != r.text for r in docs), sum(map(left, done.values())))
+    assert (report.kept, report.residue_before, report.residue_after) == (report.n - report.rejected, sum(left(r.text) for r in docs), report.rejected)
+
+
+def test_json_is_parsed_before_it_is_scrubbed(spark):
+    text = json.dumps({"csdma": {"s": 0.5, "reasoning": "born 1955"}, "y": 1999, "trace_id": "x_1999", "flags": ["in 1888", {"task_id": "t_1888", "k": 3}], "free": "in 1777"})
+    (r,) = spark.createDataFrame([(text,)], "t string").select(P.scrub_json(F.col("t")).alias("listed"), P.scrub_json(F.col("t"), None).alias("all")).collect()
+    assert json.loads(r.listed) == {"csdma": {"s": 0.5, "reasoning": "born [YEAR]"}, "y": 1999, "trace_id": "x_1999", "flags": ["in [YEAR]", {"task_id": "t_1888", "k": 3}], "free": "in 1777"}
+    assert json.loads(r.all) == json.loads(r.listed) | {"free": "in [YEAR]"}
+
+
+def test_nested_sanitising_has_bounds(spark):
+    deep = []
+    for _ in range(25):
+        deep = [deep]
+    text = json.dumps({"k" * 300: {"reasoning": "../a"}, "l": [1] * 1500, "d": deep, "trace_id": "y" * 300, "other": "../b"})
+    (r,) = spark.createDataFrame([(text,)], "t string").select(P.sanitize_json(F.col("t")).alias("s")).collect()
+    value = json.loads(r.s.value)
+    assert value["k" * 256] == {"reasoning": "[PATH_REMOVED]a"} and len(value["l"]) == 1000 and value["trace_id"] == "y" * 256 + "[TRUNCATED]" and value["other"] == "../b"
+    assert set(r.s.detections) == {"key_truncated", "path_traversal", "array_truncated", "depth_limit_exceeded", "size_limit_exceeded"} and (r.s.modified, r.s.truncated) == (3, 1)
+
+
+def test_identifiers_lose_what_is_dangerous(spark):
+    df = spark.createDataFrame([("z" * 300,), ("a../b",), (None,), ("fine",)], "t string")
+    out = [(r.v.value, r.v.issues) for r in df.select(P.validate_identifier(F.col("t"), "id").alias("v")).collect()]
+    assert out == [("z" * 256, ["id_truncated"]), ("ab", ["path_traversal"]), (None, []), ("fine", [])]
+
+
+def test_manifest_counts_repeated_rows(spark):
+    one, two = spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([(1, "a"), (1, "a")], "k long, v string")
+    rows = {r.name: r for r in L.manifest({"one": one, "two": two, "none": one.limit(0), "turned": two.repartition(3)}).collect()}
+    assert int(rows["two"].checksum) == 2 * int(rows["one"].checksum) != 0 and rows["none"].checksum == "0" and rows["turned"].checksum == rows["two"].checksum
+
+
+def test_updates_of_one_key(spark):
+    store = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, v string, w string")
+    updates = spark.createDataFrame([(1, "c", None, 1, None), (1, None, "z", 2, None), (2, None, None, 3, ["v"]), (3, "n", None, 1, None)], "k long, v string, w string, at int, clear array<string>")
+    assert sorted(map(tuple, L.apply_updates(store, updates, ["k"], "at", "clear").collect())) == [(1, "c", "z"), (2, None, "y"), (3, "n", None)]
+
+
+def test_a_broken_ledger(spark):
+    entry = ["n"]
+    seal = lambda prev, n: hashlib.sha256(f"{prev}|{n}".encode()).hexdigest()
+    a = seal("genesis", 1)
+    b = seal(a, 2)
+    c = seal(b, 3)
+    rows = [("l", 1, "genesis", a), ("l", 20, a, b), ("l", 30, b, seal(b, 30)), ("m", 1, "genesis", a), ("m", 2, "wrong", b), ("m", 3, b, c)]
+    done = L.ledger_chain(spark.createDataFrame(rows, "who string, n long, prev string, own string"), "who", ["n"], entry, ("prev", "own"))
+    assert [(r.who, r.n, r.is_intact) for r in done.orderBy("who", "n").collect()] == [("l", 1, True), ("l", 20, False), ("l", 30, True), ("m", 1, True), ("m", 2, False), ("m", 3, True)]
+
+
+COLOURS = [
+    ("REJECT", False, True, True, "red"), ("SPEAK", True, True, True, "red"), ("PONDER", None, True, None, "green"), ("TASK_COMPLETE", False, None, False, "yellow"),
+    ("FORGET", None, False, True, "yellow"), ("FORGET", None, None, None, "red"), (None, None, None, None, "red"), ("DEFER", None, None, False, "yellow"),
+]
+
+
+def test_outcome_colours(spark):
+    df = spark.createDataFrame(COLOURS, "selected_action string, action_was_overridden boolean, has_positive_moment boolean, action_success boolean, expected string")
+    assert [r.o for r in df.select(V.outcome().alias("o")).collect()] == [c[-1] for c in COLOURS]
+    one = lambda *rows: V.task_outcome(spark.createDataFrame([("t", *r) for r in rows], "task_id string, selected_action string, action_was_overridden boolean, has_positive_moment boolean, action_success boolean")).first().outcome
+    assert one(("TASK_COMPLETE", None, True, None), ("REJECT", True, None, None)) == "green" and one(("TASK_COMPLETE", None, False, None)) == "yellow"
+    assert one(("REJECT", None, None, True)) == "red" and one(("SPEAK", True, None, True)) == "red" and one(("SPEAK", None, True, True)) == "yellow" and one(("SPEAK", None, None, None)) == "red"
+
+
+def test_task_classes(spark):
+    rows = [
+        ("model_eval_en_1", "wakeup", None, "qa_eval"), ("api_google_1", None, None, "real_user_web"), ("api_other", None, None, "other"), ("discord", None, None, "discord"), ("websocket:1", None, None, "real_user_ws"), ("https://x", None, None, "real_user_http"),
+        (None, "wakeup", None, "wakeup_ritual"), ("c", "work", "EXPRESS_GRATITUDE_1", "wakeup_ritual"), (None, "work", "task", "unknown"), ("c", None, "x_VERIFY_IDENTITY", "other"),
+    ]
+    df = spark.createDataFrame(rows, "c string, s string, t string, expected string")
+    assert [r.k for r in df.select(V.task_class(F.col("c"), F.col("s"), F.col("t")).alias("k")).collect()] == [x[-1] for x in rows]
+
+
+def test_a_key_at_any_depth_but_not_in_text(spark):
+    texts = ['{"a": {"b": [{"channel_id": "x"}]}}', '{"a": {"channel_id": "deep"}, "channel_id": "top"}', json.dumps({"note": '{"channel_id": "no"}', "n": {"channel_id": 7}}), '{"channel_id": null}', json.dumps({"z": {"channel_id": 'q"uote'}}), None, "{}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.v for r in df.select(V.anywhere(F.col("t"), "channel_id").alias("v")).collect()] == ["x", "top", "7", None, 'q"uote', None, None]
+
+
+def test_regions(spark):
+    rows = [
+        ("all out", "proxy", "groq", "outage"), ("all out", "proxy", "openai", "outage"), ("one up", "proxy", "groq", "outage"), ("one up", "proxy", "openai", "operational"), ("slow", "proxy", "groq", "outage"), ("slow", "proxy", "openai", "degraded"),
+        ("service", "billing", "internal", "outage"), ("service", "proxy", "groq", "operational"), ("stranger", "proxy", "exa", "outage"),
+    ]
+    df = spark.createDataFrame(rows, "region string, service string, provider string, status string")
+    assert {r.region: r.status for r in telemetry.region_status(df).collect()} == {"all out": "outage", "one up": "operational", "slow": "degraded", "service": "outage", "stranger": "operational"}
+
+
 def test_rewrite_strings_keeps_protected_fields(spark):
     df = spark.createDataFrame([((("id 1999", "in 1999"), ["1999"]),)], "s struct<a: struct<id: string, x: string>, l: array<string>>")
     (row,) = P.rewrite_strings(df, ["s"], P.scrub_text, ("id",)).collect()
@@ -156,16 +321,20 @@ def test_stream_dedup_and_chain(spark, tmp_path):
 def test_stream_ingest_routes_every_component(spark, tmp_path):
     from tracemill.plans.records import _components
 
-    ev = _components(spark, "/root/testdata/sf0.001").select("trace_id", "event_type", "data")
-    jobs.stream_ingest(stream(spark, ev, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    ev = _components(spark, DATA)
+    part = F.struct("i", F.lit("step").alias("component_type"), "event_type", F.col("event_ts").cast("string").alias("timestamp"), "data")
+    traces = ev.groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: F.struct(x["component_type"].alias("component_type"), x["event_type"].alias("event_type"), x["timestamp"].alias("timestamp"), x["data"].alias("data"))).alias("components"))
+    jobs.stream_ingest(stream(spark, traces.repartition(3), tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == ev.count() and {r.destination for r in out.select("destination").distinct().collect()} == {"production", "malformed", "connectivity"}
+    assert out.count() == ev.count() and {r.destination for r in out.select("destination").distinct().collect()} == {"production", "mock", "malformed", "connectivity"}
 
 
 def test_stream_latest_and_alerts(spark, tmp_path):
     checks = adapter.derived(spark, "/root/testdata/sf0.001", "checks")
     jobs.stream_latest(stream(spark, checks, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/0")).collect())) == sorted(map(tuple, telemetry.latest_status(checks).collect()))
+    checks.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.stream_latest(spark.readStream.schema(checks.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/1")).collect())) == sorted(map(tuple, telemetry.latest_status(checks).collect()))
     logs = adapter.derived(spark, "/root/testdata/sf0.001", "logs")
     assert run(spark, jobs.stream_error_alerts(stream(spark, logs, tmp_path / "logs")), "alerts", "complete").count() == telemetry.alert_rules(logs).count()
 
@@ -200,19 +369,40 @@ def test_key_status_and_page(spark):
     assert [(r.trace_id, r.total, r.has_more) for r in rows] == [("t3", 4, False), ("t4", 4, False)]
 
 
-def test_payload_digest_ignores_key_order_and_empty_values(spark):
-    df = spark.createDataFrame([("a", 0, "X", '{"p": 1, "q": {"r": null, "s": [2]}}'), ("b", 0, "X", '{"q": {"s": [2]}, "p": 1, "z": ""}'), ("c", 0, "X", '{"p": 2}')], "trace_id string, i int, event_type string, data string")
-    a, b, c = [r.sha256 for r in ingest.payload_digest(df).orderBy("trace_id").collect()]
-    assert a == b != c
-
-
-def test_ingest_with_a_revoked_key(spark):
-    six = [(t, i, e, "{}", k, "2024-01-02") for t, k in (("good", "k1"), ("bad", "k2")) for i, e in enumerate(ingest.SIX)]
-    ev = spark.createDataFrame([*six, ("up", 0, "startup", "{}", None, "2024-01-02")], "trace_id string, i int, event_type string, data string, signature_key_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    models = ev.select("trace_id").distinct().withColumn("models", F.array(F.lit("real")))
+def test_payload_digest_is_what_agents_sign(spark, registry_query):
+    """Sorted keys, no empty values, ASCII escapes; a null inside a list goes, an object emptied by that stays."""
+    rows = [("a", 0, "X", '{"p": "é", "q": {"r": null, "s": [2, null]}, "e": [], "n": {"x": ""}}'), ("b", 0, "X", '{"q": {"s": [2]}, "n": {}, "p": "é", "z": ""}'), ("c", 0, "X", '{"p": 2}'), ("d", 0, "X", "no json")]
+    df = spark.createDataFrame(rows, "trace_id string, i int, event_type string, data string")
+    got = {r.trace_id: r.sha256 for r in ingest.payload_digest(df).collect()}
+    signed = '{"components":[{"data":{"n":{},"p":"\\u00e9","q":{"s":[2]}},"event_type":"X"}],"trace_level":"generic"}'
+    assert got["a"] == hashlib.sha256(signed.encode()).hexdigest() and len(set(got.values())) == 4
+    from tracemill.plans import records
+
+    parts = {}
+    for r in records._components(spark, DATA).collect():
+        parts.setdefault(r.trace_id, []).append((r.i, r.event_type, json.loads(r.data), r.trace_level))
+    for r in registry_query("payload_digest").collect():
+        held = sorted(parts[r.trace_id])
+        strip = lambda v: {k: strip(x) for k, x in v.items() if x not in (None, "", [], {})} if isinstance(v, dict) else [strip(x) for x in v if x is not None] if isinstance(v, list) else v
+        body = {"components": [strip({"event_type": e, "data": d}) for _, e, d, _ in held], "trace_level": held[0][3]}
+        assert r.sha256 == hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_ingest_turns_away_for_a_reason(spark):
+    kinds = {"good": ("k1", "detailed"), "revoked": ("k2", "detailed"), "stranger": ("k9", "generic"), "full": ("k1", "full_traces")}
+    body = '{"csdma": {"plausibility_score": 0.5}, "y": 1999, "models_used": ["real"]}'
+    six = [(t, i, e, body, k, "2024-01-02", level) for t, (k, level) in kinds.items() for i, e in enumerate(ingest.SIX)]
+    rows = [*six, ("up", 0, "startup", "{}", None, "2024-01-02", "generic"), ("odd", 0, "WHAT", "{}", "k1", "2024-01-02", "generic")]
+    ev = spark.createDataFrame(rows, "trace_id string, i int, event_type string, data string, signature_key_id string, ts string, trace_level string").withColumn("ts", F.col("ts").cast("timestamp"))
     keys = spark.createDataFrame([("k1", False, None), ("k2", True, None)], "key_id string, revoked boolean, expires timestamp")
-    out = {name: sorted(r.trace_id for r in df.collect()) for name, df in ingest.ingest(ev, models, keys).items()}
-    assert out == {"production": ["good"], "mock": [], "connectivity": ["up"], "malformed": ["bad"]}
+    out = ingest.ingest(ev, keys)
+    assert {r.trace_id: (r.destination, r.reason) for r in out["results"].collect()} == {
+        "good": ("production", None), "revoked": ("malformed", "key: revoked"), "stranger": ("malformed", "key: unknown"), "full": ("malformed", "no recogniser of names"), "up": ("connectivity", None), "odd": ("malformed", "schema: unknown_schema"),
+    }
+    (row,) = out["production"].collect()
+    assert row.trace_id == "good" and row.csdma_plausibility_score == 0.5 and json.loads(row.dma_results)["y"] == 1999  # a year among the numbers costs nothing
+    assert {r.trace_id: r.severity for r in out["malformed"].collect()} == {"revoked": "warning", "stranger": "warning", "full": "warning", "odd": "error"}
+    assert len(row) > 75
 
 
 def test_deferrals_once(spark):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html
+import json
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +45,22 @@ ATTACKS = (
     ("sql_update_set", r"(?i)\bUPDATE\s+\w+\s+SET\b"), ("sql_exec", r"(?i)\b(?:EXEC|EXECUTE)\s*\("), ("sql_xp_cmdshell", r"(?i)\bxp_cmdshell\b"), ("sql_comment", r"(--|#|/\*|\*/)"), ("sql_or_1_equals_1", r"(?i)'\s*OR\s+'?\d+'\s*=\s*'?\d+"),
     ("sql_semicolon_command", r"(?i);\s*(?:DROP|DELETE|INSERT|UPDATE|EXEC)"), ("cmd_shell", r"(?i)[;&|`$]\s*(?:sh|bash|cmd|powershell)"), ("cmd_backtick", r"`[^`]+`"), ("cmd_subshell", r"\$\([^)]+\)"), ("path_traversal", r"\.\.[\\/]"), ("null_byte", r"%00|\x00"),
 )
-MAX_TEXT, MAX_IDENTIFIER = 100_000, 256
+MAX_TEXT, MAX_IDENTIFIER, MAX_ARRAY, MAX_DEPTH = 100_000, 256, 1000, 20
+#: fixed values: keys of ids that no rule touches, keys whose text is scrubbed, and keys whose text is sanitised
+STRUCTURAL_KEYS = ("agent_id_hash", "trace_id", "thought_id", "task_id", "span_id", "correlation_id", "signature_key_id", "signing_key_id", "channel_id")
+SCRUB_FIELDS = (
+    "task_description", "initial_context", "thought_content", "system_snapshot", "gathered_context", "relevant_memories", "conversation_history", "reasoning", "prompt_used", "combined_analysis",
+    "action_rationale", "reasoning_summary", "action_parameters", "aspdma_prompt", "conscience_override_reason", "epistemic_data", "updated_status_content", "entropy_reason", "coherence_reason",
+    "optimization_veto_justification", "epistemic_humility_justification", "execution_error", "intervention_recommendation", "next_best_recovery_step", "correlation_factors", "top_correlation_factors",
+    "common_cause_flags", "sources_identified", "source_ids", "source_clusters", "source_types", "source_type_counts", "pairwise_correlation_summary", "reasoning_state", "flags", "alignment_check", "conflicts",
+    "stakeholders", "questions", "completion_reason", "current_thought_summary", "epistemic_humility_uncertainties",
+)
+SANITIZE_FIELDS = (
+    "task_description", "initial_context", "system_snapshot", "gathered_context", "relevant_memories", "conversation_history", "reasoning", "prompt_used", "combined_analysis", "action_rationale", "reasoning_summary",
+    "action_parameters", "aspdma_prompt", "conscience_override_reason", "epistemic_data", "updated_status_content", "entropy_reason", "coherence_reason", "optimization_veto_justification",
+    "epistemic_humility_justification", "execution_error", "agent_name", "domain", "codename", "agent_id", "trace_id", "thought_id", "task_id",
+)
+IDENTIFIER_FIELDS = ("trace_id", "thought_id", "task_id", "agent_id", "agent_id_hash", "agent_name", "signature_key_id")
 
 
 #: what a text must hold for a rule to match: a cheap search spares most texts the costly one
@@ -95,10 +113,14 @@ def scrub_by_level(df: DataFrame, text: str, level: str) -> DataFrame:
     return df.withColumn("scrubbed", done).withColumn("rejected", F.coalesce(F.col(level) == "full_traces", F.lit(False)))
 
 
-def rescrub_report(df: DataFrame, column: str) -> DataFrame:
-    """Rows, changed rows, and rows with a year before and after a scrub."""
+def rescrub_report(df: DataFrame, column: str, probes: Iterable[str] = ()) -> DataFrame:
+    """Rows, changed rows, rows kept or rejected by the residue gate, and rows with a residue before and after a scrub."""
     before, after = F.col(column), scrub_text(F.col(column))
-    return df.agg(F.count("*").alias("n"), F.count_if(before != after).alias("changed"), F.count_if(residue(before)).alias("residue_before"), F.count_if(residue(after)).alias("residue_after"))
+    left = F.coalesce(residue(after, list(probes)), F.lit(False))
+    return df.agg(
+        F.count("*").alias("n"), F.count_if(before != after).alias("changed"), F.count_if(~left).alias("kept"), F.count_if(left).alias("rejected"),
+        F.count_if(residue(before, list(probes))).alias("residue_before"), F.count_if(residue(after, list(probes))).alias("residue_after"),
+    )
 
 
 def redact_log(column: Column) -> Column:
@@ -120,18 +142,45 @@ def _escaped(column: Column) -> Column:
     return column
 
 
-def sanitize_text(column: Column, identifier: bool = False) -> Column:
-    """struct(value, was_truncated, was_modified): cut, neutralise, and escape what was changed."""
-    most = MAX_IDENTIFIER if identifier else MAX_TEXT
-    long = F.length(column) > most
-    out = F.when(long, F.concat(F.substring(column, 1, most), F.lit("[TRUNCATED]"))).otherwise(column)
-    names = {"path": "[PATH_REMOVED]", "null": "[NULL_BYTE_REMOVED]"}
+def _placeholder(name: str) -> str:
+    kind = name.split("_")[0]
+    return {"path": "[PATH_REMOVED]", "null": "[NULL_BYTE_REMOVED]"}.get(kind, f"[{kind.upper()}_REMOVED:{name}]")
+
+
+def _replaced(column: Column, replacement) -> Column:  # noqa: ANN001
+    """struct(value, names): the text with every attack sign replaced, one after the other, and which were met.
+
+    Each rule is a step over an array of the one pair, so that a rule's input is
+    computed once although the step names it three times.
+    """
+    held = F.array(F.struct(column.alias("value"), F.array().cast("array<string>").alias("names")))
     for name, pattern in ATTACKS:
-        kind = name.split("_")[0]
-        out = F.regexp_replace(out, pattern, F.lit(names.get(kind, f"[{kind.upper()}_REMOVED:{name}]")))
-    if not identifier:
-        out = F.when(out != column, _escaped(out)).otherwise(out)
-    return F.struct(out.alias("value"), F.coalesce(long, F.lit(False)).alias("was_truncated"), F.coalesce(out != column, F.lit(False)).alias("was_modified"))
+        held = F.transform(held, _replacing(name, pattern, replacement(name)))
+    return held[0]
+
+
+def _replacing(name: str, pattern: str, placeholder: str):  # noqa: ANN202
+    def step(pair: Column) -> Column:
+        met = F.coalesce(pair["value"].rlike(pattern), F.lit(False))
+        done = F.struct(F.regexp_replace(pair["value"], pattern, F.lit(placeholder)).alias("value"), F.array_append(pair["names"], F.lit(name)).alias("names"))
+        return F.when(met, done).otherwise(pair)
+
+    return step
+
+
+def sanitize_text(column: Column, identifier: bool = False, most: int | None = None) -> Column:
+    """struct(value, detections, was_truncated, was_modified): cut, neutralise, and escape what was changed."""
+    most = most or (MAX_IDENTIFIER if identifier else MAX_TEXT)
+
+    def finish(pair: Column) -> Column:
+        text, long = pair["text"], F.coalesce(F.length(pair["text"]) > most, F.lit(False))
+        value = pair["done"]["value"]
+        value = value if identifier else F.when(value != text, _escaped(value)).otherwise(value)
+        detections = F.concat(F.when(long, F.array(F.lit("size_limit_exceeded"))).otherwise(F.array().cast("array<string>")), pair["done"]["names"])
+        return F.struct(value.alias("value"), detections.alias("detections"), long.alias("was_truncated"), F.coalesce(value != text, F.lit(False)).alias("was_modified"))
+
+    cut = F.when(F.length(column) > most, F.concat(F.substring(column, 1, most), F.lit("[TRUNCATED]"))).otherwise(column)
+    return F.transform(F.array(F.struct(column.alias("text"), _replaced(cut, _placeholder).alias("done"))), finish)[0]
 
 
 def rewrite_strings(df: DataFrame, columns: list[str], rule, protected: tuple[str, ...] = ()) -> DataFrame:  # noqa: ANN001
@@ -163,20 +212,181 @@ def validate_number(column: Column, low: float, high: float) -> Column:
     return F.struct(F.when(number.isNotNull(), value).alias("value"), issues.alias("issues"))
 
 
-def validate_identifier(column: Column) -> Column:
-    """struct(value, issues): cut at the limit, attack signs taken out."""
-    done = sanitize_text(column, identifier=True)
-    issues = F.array_compact(F.array(F.when(done["was_truncated"], F.lit("too_long")), F.when(F.size(detect_patterns(column)) > 0, F.lit("dangerous"))))
-    return F.struct(done["value"].alias("value"), issues.alias("issues"))
+def validate_identifier(column: Column, name: str) -> Column:
+    """struct(value, issues): cut at the limit; if there are signs of an attack, all of them taken out."""
+
+    def finish(pair: Column) -> Column:
+        long = F.coalesce(F.length(pair["text"]) > MAX_IDENTIFIER, F.lit(False))
+        found = detect_patterns(pair["cut"])
+        value = F.when(F.size(found) > 0, pair["done"]["value"]).otherwise(pair["cut"])
+        issues = F.concat(F.when(long, F.array(F.lit(f"{name}_truncated"))).otherwise(F.array().cast("array<string>")), found)
+        return F.struct(value.alias("value"), F.when(pair["text"].isNull(), F.array().cast("array<string>")).otherwise(issues).alias("issues"))
+
+    cut = F.substring(column, 1, MAX_IDENTIFIER)
+    return F.transform(F.array(F.struct(column.alias("text"), cut.alias("cut"), _replaced(cut, lambda _: "").alias("done"))), finish)[0]
 
 
-def validate_models(column: Column, most: int = 10) -> Column:
-    """Models of a JSON list or of one name: nulls and blanks out, the first ``most`` kept."""
-    names = F.coalesce(F.from_json(column, "array<string>"), F.array(column))
-    return F.slice(F.filter(names, lambda x: x.isNotNull() & (F.trim(x) != "")), 1, most)
+def validate_models(column: Column, most: int = MAX_ARRAY) -> Column:
+    """struct(value, issues): names of a JSON list, or of one name that is no JSON; nulls out, each sanitised, ``most`` at most."""
+    parsed = F.try_parse_json(column)
+    kind = F.schema_of_variant(parsed)
+    names = F.when(column.isNull(), F.array().cast("array<string>")).when(parsed.isNull(), F.array(column)).when(kind.startswith("ARRAY"), F.from_json(column, "array<string>")).otherwise(F.array().cast("array<string>"))
+    clean = F.transform(F.filter(names, lambda x: x.isNotNull()), lambda x: sanitize_text(x, identifier=True))
 
+    def finish(held: Column) -> Column:
+        issues = F.array_compact(F.array(F.when(column.isNotNull(), F.lit("models_used_was_string")), F.when(parsed.isNotNull() & ~kind.startswith("ARRAY"), F.lit("models_used_invalid_type"))))
+        found = F.flatten(F.transform(held, lambda x: x["detections"]))
+        long = F.when(F.size(held) > most, F.array(F.lit("models_used_truncated"))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.slice(F.transform(held, lambda x: x["value"]), 1, most).alias("value"), F.concat(issues, found, long).alias("issues"))
 
-def sanitize_nested(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
-    """Sanitises every string of the columns, however nested, and cuts arrays at ``most`` entries."""
+    return F.transform(F.array(clean), finish)[0]
+
+
+def sanitize_nested(df: DataFrame, columns: list[str], most: int = MAX_ARRAY) -> DataFrame:
+    """Sanitises every string of the typed columns, however nested, and cuts arrays at ``most`` entries."""
     cut = {c: F.slice(F.col(c), 1, most) for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)}
     return rewrite_strings(df.withColumns(cut) if cut else df, columns, lambda v: sanitize_text(v)["value"])
+
+
+# JSON text of no known type is walked in Arrow batches
+
+
+def _python(pattern: str):  # noqa: ANN202
+    """A rule of the lists above as Python's ``regex`` has it; (?U) is its default."""
+    import regex
+
+    return regex.compile(pattern.replace("(?U)", ""))
+
+
+_COMPILED: dict[str, list] = {}
+
+
+def _rules(kind: str) -> list:
+    """The compiled rules of a worker, made once."""
+    if kind not in _COMPILED:
+        _COMPILED[kind] = [(name, _python(p), r) for name, p, r in SCRUB_RULES] if kind == "scrub" else [(name, _python(p), _placeholder(name)) for name, p in ATTACKS]
+    return _COMPILED[kind]
+
+
+def scrub_python(text: str) -> str:
+    """``scrub_text`` of one Python string."""
+    for _, pattern, replacement in _rules("scrub"):
+        text = pattern.sub(replacement, text)
+    return text
+
+
+def sanitize_python(text: str, identifier: bool = False) -> tuple[str, list[str], bool, bool]:
+    """``sanitize_text`` of one Python string: value, detections, whether changed and whether cut."""
+    most, out, found = MAX_IDENTIFIER if identifier else MAX_TEXT, text, []
+    if len(text) > most:
+        out, found = text[:most] + "[TRUNCATED]", ["size_limit_exceeded"]
+    for name, pattern, replacement in _rules("attacks"):
+        if pattern.search(out):
+            found.append(name)
+            out = pattern.sub(replacement, out)
+    if out != text and not identifier:
+        out = html.escape(out, quote=True)
+    return out, found, out != text, len(text) > most
+
+
+def _scrub_all(value: object, protected: frozenset[str]) -> object:
+    if isinstance(value, str):
+        return scrub_python(value)
+    if isinstance(value, list):
+        return [_scrub_all(v, protected) for v in value]
+    return {k: v if k in protected else _scrub_all(v, protected) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def _scrub_fields(value: object, fields: frozenset[str] | None, protected: frozenset[str], depth: int) -> object:
+    if fields is None:
+        return _scrub_all(value, protected)
+    if depth > MAX_DEPTH or not isinstance(value, (dict, list)):
+        return value
+    if isinstance(value, list):
+        return [_scrub_fields(v, fields, protected, depth + 1) for v in value]
+    return {k: v if k in protected else _scrub_all(v, protected) if k in fields else _scrub_fields(v, fields, protected, depth + 1) for k, v in value.items()}
+
+
+def _walked(column: pd.Series, change) -> list:  # noqa: ANN001
+    """JSON texts after ``change`` of what they hold; text that is no JSON is changed as one string."""
+    out = []
+    for text in column:
+        if text is None:
+            out.append(None)
+            continue
+        try:
+            out.append(json.dumps(change(json.loads(text)), ensure_ascii=False, separators=(",", ":")))
+        except ValueError:
+            out.append(change(text))
+    return out
+
+
+def scrub_json(column: Column, fields: Iterable[str] | None = SCRUB_FIELDS, protected: Iterable[str] = STRUCTURAL_KEYS) -> Column:
+    """JSON text with every string under a listed key scrubbed (of all keys if there is no list); structural ids stay.
+
+    The text is parsed first, so numbers and structure never change.
+    """
+    listed, kept = None if fields is None else frozenset(fields), frozenset(protected)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(_walked(texts, lambda v: _scrub_fields(v, listed, kept, 0)), dtype=object)
+
+    return run(column)
+
+
+class _Sanitizer:
+    """Walks one JSON value; counts what it met."""
+
+    def __init__(self) -> None:
+        self.found, self.modified, self.cut = [], 0, 0
+
+    def text(self, value: str, identifier: bool = False) -> str:
+        out, found, changed, cut = sanitize_python(value, identifier)
+        self.found += found
+        self.modified += changed
+        self.cut += cut
+        return out
+
+    def walk(self, value: object, depth: int = 0) -> object:
+        if depth > MAX_DEPTH:
+            self.found.append("depth_limit_exceeded")
+            self.modified += 1
+            return "[DEPTH_LIMIT_EXCEEDED]"
+        if isinstance(value, list):
+            if len(value) > MAX_ARRAY:
+                self.found.append("array_truncated")
+            return [self.text(v) if isinstance(v, str) else self.walk(v, depth + 1) if isinstance(v, (dict, list)) else v for v in value[:MAX_ARRAY]]
+        if not isinstance(value, dict):
+            return self.text(value) if isinstance(value, str) else value
+        out = {}
+        for key, v in value.items():
+            if len(key) > MAX_IDENTIFIER:
+                self.found.append("key_truncated")
+                key = key[:MAX_IDENTIFIER]
+            if isinstance(v, str):
+                out[key] = self.text(v, key in IDENTIFIER_FIELDS) if key in SANITIZE_FIELDS else v
+            else:
+                out[key] = self.walk(v, depth + 1) if isinstance(v, (dict, list)) else v
+        return out
+
+
+def sanitize_json(column: Column) -> Column:
+    """struct(value, detections, modified, truncated) of JSON text: listed fields neutralised, keys, arrays and depth bounded."""
+
+    @F.pandas_udf("value string, detections array<string>, modified int, truncated int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            walker = _Sanitizer()
+            (value,) = _walked(pd.Series([text], dtype=object), walker.walk)
+            rows.append((value, sorted(set(walker.found)), walker.modified, walker.cut))
+        return pd.DataFrame(rows, columns=["value", "detections", "modified", "truncated"])
+
+    return run(column)
+
+
+def scrub_stats(tr: DataFrame, since: str, until: str) -> DataFrame:
+    """Traces and scrubbed ones of a window by level."""
+    rows = tr.where((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") <= F.lit(until).cast("timestamp")))
+    return rows.groupBy("trace_level").agg(F.count("*").alias("n"), F.count_if("pii_scrubbed").alias("scrubbed"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,15 +9,17 @@ from pyspark.sql.window import Window
 from tracemill.operators.windows import evidence, moment, trailing
 
 METRICS = ("csdma", "dsdma", "coherence")
-ALERT = ("alert_id", "severity", "mechanism", "agent_id_hash", "domain", "metric", "value", "baseline", "deviation", "evidence")
+ALERT = ("alert_id", "severity", "mechanism", "agent_id_hash", "domain", "metric", "value", "baseline", "deviation", "deviation_text", "recommended_action", "evidence")
 #: what to do about an alert, by mechanism
 ADVICE = {
-    "cross_agent_divergence": "Compare the agent with its domain",
+    "cross_agent_divergence": "Review traces to determine if behavior is legitimate",
     "intra_agent_inconsistency": "Look at the agent's choices for one type of trace",
     "hash_chain": "Check the audit chain at the first gap",
     "temporal_drift": "Look for a change on the day of the jump",
     "conscience_override": "Read the overridden actions",
 }
+#: how a deviation is said, by mechanism
+SAID = {"cross_agent_divergence": "%.1f sigma", "intra_agent_inconsistency": "%.0f different actions", "hash_chain": "%.0f gaps", "temporal_drift": "%.2f change", "conscience_override": "%.1f times"}
 
 
 def _rate(flag: str) -> Column:
@@ -41,9 +42,12 @@ def cross_agent_divergence(tr: DataFrame, as_of: str, days: int = 7, min_traces:
 
 
 def build_alerts(findings: DataFrame, mechanism: str) -> DataFrame:
-    """Findings as alerts; an alert's id follows from what it is about, so a second run makes the same."""
+    """Findings as alerts, with the deviation in words and what to do; an alert's id follows from what it is about, so a second run makes the same."""
     about = F.concat_ws("|", F.lit(mechanism), "agent_id_hash", F.coalesce("domain", F.lit("")), "metric", F.col("severity"))
-    return findings.withColumn("mechanism", F.lit(mechanism)).withColumn("alert_id", F.sha2(about, 256)).select(*ALERT)
+    said = F.format_string(SAID[mechanism], F.col("deviation").cast("double"))
+    action = F.concat(F.lit(f"{ADVICE[mechanism]} (agent "), F.col("agent_id_hash"), F.lit(", "), F.col("metric"), F.lit(")"))
+    made = {"mechanism": F.lit(mechanism), "alert_id": F.sha2(about, 256), "deviation_text": said, "recommended_action": action}
+    return findings.withColumns(made).select(*ALERT)
 
 
 def cohort_divergence(tr: DataFrame, as_of: str, days: int = 7, min_traces: int = 10) -> DataFrame:
@@ -127,12 +131,12 @@ def cohort_override_rates(tr: DataFrame, as_of: str, days: int = 7, min_traces:
 def run_all_detections(tr: DataFrame, as_of: str, days: int | None = None) -> DataFrame:
     """Alerts of all five detectors; critical ones first.
 
-    The detectors share one persisted slice: the columns they read, over the longest
-    window.  It spills to disk and goes with the session's cache.
+    The detectors read one slice: the columns they use, over the longest window.  A caller
+    who runs them more than once can persist that slice and release it afterwards.
     """
     span = {} if days is None else {"days": days}
     used = ["trace_id", "agent_id_hash", "dsdma_domain", "trace_type", "ts", "selected_action", *METRICS, "signature_verified", "action_was_overridden", "audit_sequence_number"]
-    tr = trailing(tr, as_of, days or 30).select(*used).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = trailing(tr, as_of, days or 30).select(*used)
     detectors = (cross_agent_divergence, intra_agent_inconsistency, hash_chain_alerts, daily_drift, override_rate_anomalies)
     parts = [f(tr, as_of, **span) for f in detectors]
     whole = parts[0]

@@ -13,7 +13,9 @@ _ALERT = "sha256('{m}' || '|' || agent_id_hash || '|' || coalesce(domain, '') ||
 
 def _alert(mechanism: str, findings: str) -> str:
     numbers = ", ".join(f"{r(c)} as {c}" for c in ("value", "baseline", "deviation"))
-    return f"select {_ALERT.format(m=mechanism)}, {numbers}, evidence from ({findings}) f"
+    said = f"printf('{D.SAID[mechanism]}', cast(deviation as double))"
+    action = f"'{D.ADVICE[mechanism].replace(chr(39), chr(39) * 2)} (agent ' || agent_id_hash || ', ' || metric || ')'"
+    return f"select {_ALERT.format(m=mechanism)}, {numbers}, {said} as deviation_text, {action} as recommended_action, evidence from ({findings}) f"
 
 
 _CROSS = f"""

@@ -9,7 +9,7 @@ from tracemill.operators import governance as G
 from tracemill.operators import ingest as I  # noqa: E741
 from tracemill.operators import scoring as S
 from tracemill.plans.common import Registry, r, second, tidy
-from tracemill.plans.records import EVENTS_SQL, _components
+from tracemill.plans.records import EVENTS_SQL, LAST_STEP, _components, attack_names, attack_steps
 from tracemill.plans.scoring import BASE, START
 from tracemill.sources.adapter import AS_OF, derived, traces, with_derived, with_traces
 
@@ -98,10 +98,10 @@ registry.sql["trace_detail"] = with_derived(
 )
 registry.queries["calls_of_events"] = lambda spark, d: tidy(G.calls_of_events(derived(spark, d, "calls").select("call_id", "trace_id", "parent_event_type", "parent_attempt_index"), _components(spark, d).withColumn("attempt_index", F.lit(0).cast("long"))))
 registry.sql["calls_of_events"] = with_derived(f"with ev as ({EVENTS_SQL}) select call_id, trace_id, parent_event_type, parent_attempt_index, i as event_index, data as event_data from calls left join ev on ev.trace_id = calls.trace_id and ev.event_type = parent_event_type and parent_attempt_index = 0".replace("select call_id, trace_id", "select call_id, calls.trace_id"), "calls")
-_RULES = [("DMA_RESULTS", "csdma.plausibility_score", "float", "csdma"), ("ACTION_RESULT", "tokens", "int", "tokens"), ("ACTION_RESULT", "has_positive_moment", "bool", "positive"), ("THOUGHT_START", "thought_type", "string", "thought_type")]
+_RULES = [("DMA_RESULTS", "csdma.plausibility_score", "float", "csdma"), ("ACTION_RESULT", "tokens_total", "int", "tokens"), ("ACTION_RESULT", "models_used[0]", "string", "model"), ("ACTION_RESULT", "has_positive_moment", "bool", "positive"), ("THOUGHT_START", "thought_type", "string", "thought_type")]
 registry.queries["extract_fields"] = lambda spark, d: tidy(I.extract_fields(_components(spark, d), _RULES))
-registry.sql["extract_fields"] = f"""with ev as ({EVENTS_SQL}) select trace_id, {r("max(try_cast(data ->> '$.csdma.plausibility_score' as double)) filter (event_type = 'DMA_RESULTS')")} as csdma,
-    cast(floor(try_cast(max(data ->> '$.tokens') filter (event_type = 'ACTION_RESULT') as double)) as bigint) as tokens, case when max(data ->> '$.has_positive_moment') filter (event_type = 'ACTION_RESULT') = 'yes' then true end as positive,
+registry.sql["extract_fields"] = f"""with ev as ({EVENTS_SQL}) select trace_id, {r("max(try_cast(data ->> '$.csdma.plausibility_score' as double)) filter (event_type = 'DMA_RESULTS')")} as csdma, max(data ->> '$.models_used[0]') filter (event_type = 'ACTION_RESULT') as model,
+    cast(floor(try_cast(max(data ->> '$.tokens_total') filter (event_type = 'ACTION_RESULT') as double)) as bigint) as tokens, case when max(data ->> '$.has_positive_moment') filter (event_type = 'ACTION_RESULT') = 'yes' then true end as positive,
     max(data ->> '$.thought_type') filter (event_type = 'THOUGHT_START') as thought_type from ev group by trace_id"""
 
 
@@ -149,23 +149,26 @@ on(
     f"""{_V1}, x as (select agent_name, n, c * greatest(i_int, 0.1) * r * i_inc * greatest(s, 0.1) as y from f) select agent_name, n, {r('y')} as composite, {r('1 / (0.001 + y)')} as fragility,
         case when y < 0.3 then 'high_fragility' when y < 0.6 then 'moderate' when y < 0.85 then 'healthy' else 'high_capacity' end as category, case when n < 10 then 'minimal' when n < 30 then 'provisional' else 'sufficient' end as data, n < 30 as is_provisional from x""",
 )
-registry.on_table("validate_identifier", "pages", lambda p: p.select("page_id", P.validate_identifier(F.col("url")).alias("v")).select("page_id", "v.value", "v.issues"))
+_ATTACKED = F.concat(F.col("url"), F.when(F.col("page_id") % 4 == 0, F.lit("/../x")).when(F.col("page_id") % 4 == 1, F.repeat(F.lit("y"), F.lit(300))).otherwise(""))
+registry.on_table(
+    "validate_identifier",
+    "pages",
+    lambda p: p.select("page_id", P.validate_identifier(_ATTACKED, "url").alias("v")).select("page_id", "v.value", "v.issues"),
+    f"""with {attack_steps("select page_id, length(u) > 256 as long, left(u, 256) as v from (select page_id, url || case when page_id % 4 = 0 then '/../x' when page_id % 4 = 1 then repeat('y', 300) else '' end as u from pages) p", lambda _: "")},
+             f as (select page_id, {attack_names("v")} as found from s0)
+        select page_id, v as value, concat_ws(',', case when long then 'url_truncated' end, nullif(found, '')) as issues from {LAST_STEP} join f using (page_id)""",
+)
+_NAMED = F.when(F.col("event_id") % 6 == 0, "solo").when(F.col("event_id") % 6 == 1, '["a", null, "", "b"]').when(F.col("event_id") % 6 == 2, '{"a": 1}').when(F.col("event_id") % 6 == 3, F.concat(F.lit('["'), F.repeat(F.lit("m"), F.lit(260)), F.lit('", "../z"]'))).when(F.col("event_id") % 6 == 4, F.to_json(F.array_repeat(F.lit("n"), 1002)))
 registry.on_table(
     "validate_models",
     "events",
-    lambda e: e.select("event_id", P.validate_models(F.when(F.col("event_id") % 3 == 0, "solo").when(F.col("event_id") % 3 == 1, '["a", null, "", "b"]')).alias("models")),
-    "select event_id, case event_id % 3 when 0 then 'solo' when 1 then 'a,b' else '' end as models from events",
+    lambda e: e.select("event_id", P.validate_models(_NAMED).alias("v")).select("event_id", "v.value", "v.issues"),
+    """select event_id, case event_id % 6 when 0 then 'solo' when 1 then 'a,,b' when 2 then '' when 3 then repeat('m', 256) || '[TRUNCATED],[PATH_REMOVED]z' when 4 then rtrim(repeat('n,', 1000), ',') else '' end as value,
+              case event_id % 6 when 0 then 'models_used_was_string' when 1 then 'models_used_was_string' when 2 then 'models_used_was_string,models_used_invalid_type' when 3 then 'models_used_was_string,size_limit_exceeded,path_traversal' when 4 then 'models_used_was_string,models_used_truncated' else '' end as issues from events""",
+)
+registry.on_derived(
+    "deferral_rows",
+    "wbd",
+    lambda w: I.deferral_rows(w.select("agent", F.concat(F.lit("  "), "status").alias("reason"), F.to_date("ts").cast("string").alias("defer_until"))),
+    f"select distinct agent, status as reason, {second('date_trunc(chr(100)||chr(97)||chr(121), ts)')} as defer_until from wbd".replace("chr(100)||chr(97)||chr(121)", "'day'"),
 )
-
-
-def _ingested(spark, sf_dir):  # noqa: ANN001, ANN202
-    ev = _components(spark, sf_dir)
-    models = ev.groupBy("trace_id").agg(F.array(F.when(F.max("user_id") % 9 == 0, "MockLLM").otherwise("real")).alias("models"))
-    parts = [df.agg(F.lit(name).alias("destination"), F.count("*").alias("n")) for name, df in I.ingest(ev, models).items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-registry.queries["ingest"] = _ingested
-_KIND = "select event_id % 8 as k, event_id % 97 = 97 as x, user_id % 9 = 0 as mock from events"
-registry.sql["ingest"] = f"""select 'production' as destination, count(*) as n from ({_KIND}) e where k in (1, 2, 3, 4) and not mock union all select 'mock', count(*) from ({_KIND}) e where k in (1, 2, 3, 4) and mock
-    union all select 'connectivity', count(*) from ({_KIND}) e where k = 0 union all select 'malformed', count(*) from ({_KIND}) e where k in (5, 6, 7)"""

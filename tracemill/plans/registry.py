@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: modules of this package with a ``registry``
-AREAS = ("detectors", "scoring", "telemetry", "analysis", "records", "governance")
+AREAS = ("detectors", "scoring", "telemetry", "analysis", "records", "governance", "sources")
 
 
 def _areas() -> list:

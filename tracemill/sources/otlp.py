@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +12,12 @@ _VALUE = "struct<stringValue: string, intValue: string, boolValue: boolean>"
 _ATTRIBUTES = f"array<struct<key: string, value: {_VALUE}>>"
 _POINT = f"array<struct<asDouble: double, asInt: string, timeUnixNano: string, attributes: {_ATTRIBUTES}>>"
 METRICS = f"resourceMetrics array<struct<scopeMetrics: array<struct<metrics: array<struct<name: string, gauge: struct<dataPoints: {_POINT}>, sum: struct<dataPoints: {_POINT}>, histogram: struct<dataPoints: {_POINT}>>>>>>>"
-SPANS = f"resourceSpans array<struct<scopeSpans: array<struct<spans: array<struct<traceId: string, spanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: string>, attributes: {_ATTRIBUTES}>>>>>>"
+SPANS = f"resourceSpans array<struct<scopeSpans: array<struct<spans: array<struct<traceId: string, spanId: string, parentSpanId: string, name: string, startTimeUnixNano: string, endTimeUnixNano: string, status: struct<code: string>, attributes: {_ATTRIBUTES}>>>>>>"
 LOGS = "resourceLogs array<struct<scopeLogs: array<struct<logRecords: array<struct<timeUnixNano: string, severityNumber: int, body: struct<stringValue: string>>>>>>>"
 ENVELOPE = (
     "events array<struct<event_type: string, trace: struct<trace_id: string, thought_id: string, task_id: string, agent_id_hash: string, started_at: string, completed_at: string, "
-    "components: array<struct<component_type: string, event_type: string, timestamp: string, data: string>>, signature: string, signature_key_id: string>>>, batch_timestamp string, trace_level string"
+    "components: array<struct<component_type: string, event_type: string, timestamp: string, data: string>>, signature: string, signature_key_id: string>>>, batch_timestamp string, consent_timestamp string, trace_level string, "
+    "correlation_metadata struct<deployment_region: string, deployment_type: string, agent_role: string, agent_template: string, user_location: string, user_timezone: string, user_latitude: double, user_longitude: double>"
 )
 #: fixed values: severities of OTLP logs
 LEVELS = {5: "DEBUG", 9: "INFO", 13: "WARNING", 17: "ERROR", 21: "CRITICAL"}
@@ -29,10 +33,22 @@ def _labels(attributes: str) -> Column:
     return F.map_from_entries(F.coalesce(held, F.array().cast("array<struct<key:string,value:string>>")))
 
 
+def _traces_of(batches: DataFrame) -> DataFrame:
+    """One row per trace with its batch's times, level and metadata; places are coarse, free text about them is dropped."""
+    cell = lambda c: (F.bround(F.col(f"correlation_metadata.{c}") / 0.5) * 0.5).alias(c)
+    kept = [F.col(f"correlation_metadata.{c}") for c in ("deployment_region", "deployment_type", "agent_role", "agent_template", "user_timezone")]
+    level = F.coalesce("trace_level", F.lit("generic")).alias("trace_level")
+    return batches.select(F.explode("events").alias("e"), "batch_timestamp", "consent_timestamp", level, *kept, cell("user_latitude"), cell("user_longitude")).select("e.trace.*", "*").drop("e")
+
+
 def read_trace_batches(spark: SparkSession, path: str) -> DataFrame:
-    """One row per trace of JSON batches, with the batch's level and time."""
-    batches = spark.read.schema(ENVELOPE).json(path)
-    return batches.select(F.explode("events").alias("e"), "batch_timestamp", "trace_level").select("e.trace.*", "batch_timestamp", "trace_level")
+    """Traces of files of JSON batches."""
+    return _traces_of(spark.read.schema(ENVELOPE).json(path))
+
+
+def parse_trace_batches(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Traces of a column of JSON batches; text that is no batch gives none."""
+    return _traces_of(raw.select(F.from_json(column, ENVELOPE).alias("b")).select("b.*"))
 
 
 def explode_components(traces: DataFrame) -> DataFrame:
@@ -50,7 +66,7 @@ def flatten_otlp_metrics(raw: DataFrame, column: str = "value") -> DataFrame:
 
 def flatten_otlp_spans(raw: DataFrame, column: str = "value") -> DataFrame:
     spans = raw.select(F.from_json(column, SPANS).alias("j")).select(F.explode("j.resourceSpans").alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("x"))
-    return spans.select("x.traceId", "x.spanId", "x.name", _time("x.startTimeUnixNano").alias("started"), _time("x.endTimeUnixNano").alias("ended"), F.coalesce("x.status.code", F.lit("OK")).alias("status"), _labels("x.attributes").alias("labels"))
+    return spans.select("x.traceId", "x.spanId", F.nullif("x.parentSpanId", F.lit("")).alias("parentSpanId"), "x.name", _time("x.startTimeUnixNano").alias("started"), _time("x.endTimeUnixNano").alias("ended"), F.coalesce("x.status.code", F.lit("OK")).alias("status"), _labels("x.attributes").alias("labels"))
 
 
 def flatten_otlp_logs(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -59,6 +75,16 @@ def flatten_otlp_logs(raw: DataFrame, column: str = "value") -> DataFrame:
     return records.select(_time("x.timeUnixNano").alias("ts"), level.alias("level"), F.col("x.body.stringValue").alias("message"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder where driver and executors can both write: below the checkpoint folder that the cluster names."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="scratch-")
+    return f"{named}/scratch-{uuid.uuid4()}"
+
+
 def write_traces(traces: DataFrame, path: str) -> None:
     """Trace store by date, sorted by agent and time inside each file."""
     traces.withColumn("dt", F.to_date("ts")).repartition("dt", F.pmod(F.xxhash64("agent_id_hash"), F.lit(16))).sortWithinPartitions("agent_id_hash", "ts").write.partitionBy("dt").mode("overwrite").parquet(path)

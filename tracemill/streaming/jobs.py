@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracemill.operators import ingest, telemetry
+from tracemill.sources.otlp import explode_components
 
 
 def stream_rollup(stream: DataFrame, rollup: Callable[[DataFrame], DataFrame], watermark: str, ts: str = "ts") -> DataFrame:
@@ -33,31 +34,40 @@ def stream_dedup(stream: DataFrame, keys: list[str], watermark: str, ts: str = "
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_ingest(components: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Routes whole traces of each micro-batch to a Parquet folder for each destination.
+def stream_ingest(traces: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Routes the traces of each micro-batch to a Parquet folder for each destination, component by component.
 
-    A batch's files carry its number, so a batch that runs again overwrites its own.
+    ``traces`` has a row for each trace with all its components, as envelopes bring them,
+    so no trace is split over batches.  Models are those that its action names.  A
+    batch's files carry its number, so a batch that runs again overwrites its own.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        models = batch.groupBy("trace_id").agg(F.array().cast("array<string>").alias("models"))
-        routed = batch.join(ingest.route(ingest.detect_schema_version(batch), models), "trace_id").withColumn("batch", F.lit(number))
+        parts = explode_components(batch)
+        named = F.max(F.when(F.col("event_type") == "ACTION_RESULT", F.get_json_object("data", "$.models_used")))
+        models = parts.groupBy("trace_id").agg(F.from_json(named, "array<string>").alias("models"))
+        routed = parts.join(ingest.route(ingest.detect_schema_version(parts), models), "trace_id").withColumn("batch", F.lit(number))
         routed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("destination", "batch").parquet(folder)
 
-    writer = components.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stream_latest(checks: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest status of each service; every batch writes a new version of the table."""
+def stream_latest(checks: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keeps the newest status of each service.
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.parquet(f"{folder}/{number - 1}").withColumn("event_id", F.lit(-1).cast("long")))
-        telemetry.latest_status(batch).write.mode("overwrite").parquet(f"{folder}/{number}")
+    The state is one row for each service.  Every batch writes the table as a new
+    version and removes the one before the last, which a reader may still have open.
+    """
 
-    return checks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(table: DataFrame, number: int) -> None:
+        table.write.mode("overwrite").parquet(f"{folder}/{number}")
+        context = table.sparkSession.sparkContext
+        old = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 2}")
+        old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = telemetry.latest_status(checks).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def _gaps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
