@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracemill.functions import privacy as P
@@ -149,20 +150,32 @@ on(
     f"""{_V1}, x as (select agent_name, n, c * greatest(i_int, 0.1) * r * i_inc * greatest(s, 0.1) as y from f) select agent_name, n, {r('y')} as composite, {r('1 / (0.001 + y)')} as fragility,
         case when y < 0.3 then 'high_fragility' when y < 0.6 then 'moderate' when y < 0.85 then 'healthy' else 'high_capacity' end as category, case when n < 10 then 'minimal' when n < 30 then 'provisional' else 'sufficient' end as data, n < 30 as is_provisional from x""",
 )
-_ATTACKED = F.concat(F.col("url"), F.when(F.col("page_id") % 4 == 0, F.lit("/../x")).when(F.col("page_id") % 4 == 1, F.repeat(F.lit("y"), F.lit(300))).otherwise(""))
+
+
+def _attacked() -> Column:
+    """Addresses, some too long and some with a sign of an attack."""
+    return F.concat(F.col("url"), F.when(F.col("page_id") % 4 == 0, F.lit("/../x")).when(F.col("page_id") % 4 == 1, F.repeat(F.lit("y"), F.lit(300))).otherwise(""))
+
+
 registry.on_table(
     "validate_identifier",
     "pages",
-    lambda p: p.select("page_id", P.validate_identifier(_ATTACKED, "url").alias("v")).select("page_id", "v.value", "v.issues"),
+    lambda p: p.select("page_id", P.validate_identifier(_attacked(), "url").alias("v")).select("page_id", "v.value", "v.issues"),
     f"""with {attack_steps("select page_id, length(u) > 256 as long, left(u, 256) as v from (select page_id, url || case when page_id % 4 = 0 then '/../x' when page_id % 4 = 1 then repeat('y', 300) else '' end as u from pages) p", lambda _: "")},
              f as (select page_id, {attack_names("v")} as found from s0)
         select page_id, v as value, concat_ws(',', case when long then 'url_truncated' end, nullif(found, '')) as issues from {LAST_STEP} join f using (page_id)""",
 )
-_NAMED = F.when(F.col("event_id") % 6 == 0, "solo").when(F.col("event_id") % 6 == 1, '["a", null, "", "b"]').when(F.col("event_id") % 6 == 2, '{"a": 1}').when(F.col("event_id") % 6 == 3, F.concat(F.lit('["'), F.repeat(F.lit("m"), F.lit(260)), F.lit('", "../z"]'))).when(F.col("event_id") % 6 == 4, F.to_json(F.array_repeat(F.lit("n"), 1002)))
+
+
+def _named() -> Column:
+    """Model lists as senders have them: a name, lists, an object, a list that is too long, none."""
+    return F.when(F.col("event_id") % 6 == 0, "solo").when(F.col("event_id") % 6 == 1, '["a", null, "", "b"]').when(F.col("event_id") % 6 == 2, '{"a": 1}').when(F.col("event_id") % 6 == 3, F.concat(F.lit('["'), F.repeat(F.lit("m"), F.lit(260)), F.lit('", "../z"]'))).when(F.col("event_id") % 6 == 4, F.to_json(F.array_repeat(F.lit("n"), 1002)))
+
+
 registry.on_table(
     "validate_models",
     "events",
-    lambda e: e.select("event_id", P.validate_models(_NAMED).alias("v")).select("event_id", "v.value", "v.issues"),
+    lambda e: e.select("event_id", P.validate_models(_named()).alias("v")).select("event_id", "v.value", "v.issues"),
     """select event_id, case event_id % 6 when 0 then 'solo' when 1 then 'a,,b' when 2 then '' when 3 then repeat('m', 256) || '[TRUNCATED],[PATH_REMOVED]z' when 4 then rtrim(repeat('n,', 1000), ',') else '' end as value,
               case event_id % 6 when 0 then 'models_used_was_string' when 1 then 'models_used_was_string' when 2 then 'models_used_was_string,models_used_invalid_type' when 3 then 'models_used_was_string,size_limit_exceeded,path_traversal' when 4 then 'models_used_was_string,models_used_truncated' else '' end as issues from events""",
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -425,9 +425,15 @@ on_table(
     f"""with {attack_steps(f"select page_id, v as o, case when length(v) > 100000 then left(v, 100000) || '[TRUNCATED]' else v end as v from ({_PAGE_SQL}) p", P._placeholder)}
         select page_id, sha256(case when v <> o then {_ESCAPED} else v end) as value, array_to_string(list_concat(case when length(o) > 100000 then ['size_limit_exceeded'] else [] end, names), ',') as detections, length(o) > 100000 as was_truncated, v <> o as was_modified from {LAST_STEP}""",
 )
-_JSON = F.to_json(F.struct(F.col("url").alias("trace_id"), F.struct(F.col("html").alias("reasoning"), F.array("html", "url").alias("flags")).alias("a"), F.col("html").alias("free"), F.col("page_id").alias("y")))
-on_table("scrub_json", "pages", lambda p: _attacked(p).select("page_id", _JSON.alias("j")).select("page_id", F.sha2(P.scrub_json(F.col("j")), 256).alias("scrubbed")))
-on_table("sanitize_json", "pages", lambda p: _attacked(p).select("page_id", _JSON.alias("j")).select("page_id", P.sanitize_json(F.col("j")).alias("s")).select("page_id", F.sha2("s.value", 256).alias("value"), "s.detections", "s.modified", "s.truncated"))
+
+
+def _json() -> Column:
+    """A page as nested JSON: an id, listed and other keys, a number."""
+    return F.to_json(F.struct(F.col("url").alias("trace_id"), F.struct(F.col("html").alias("reasoning"), F.array("html", "url").alias("flags")).alias("a"), F.col("html").alias("free"), F.col("page_id").alias("y")))
+
+
+on_table("scrub_json", "pages", lambda p: _attacked(p).select("page_id", _json().alias("j")).select("page_id", F.sha2(P.scrub_json(F.col("j")), 256).alias("scrubbed")))
+on_table("sanitize_json", "pages", lambda p: _attacked(p).select("page_id", _json().alias("j")).select("page_id", P.sanitize_json(F.col("j")).alias("s")).select("page_id", F.sha2("s.value", 256).alias("value"), "s.detections", "s.modified", "s.truncated"))
 on_table(
     "validate_number",
     "events",

@@ -28,7 +28,7 @@ _HOURLY = ", ".join(
     ["count(*) as traces", "count(distinct agent_id_hash) as agents", "count(*) filter (signature_verified) as verified", "count(*) filter (action_was_overridden) as overrides"]
     + [f"{_avg(c)} as avg_{c}" for c in ("csdma", "dsdma", "coherence", "entropy", "k_eff", "correlation_risk", "processing_ms")]
     + [f"{_rate(c + '_passed')} as {c}_rate" for c in ("conscience", "entropy", "coherence", "optimization_veto", "epistemic_humility")]
-    + [f"{_rate('action_success')} as success_rate", "count(*) filter (fragility) as fragile", "sum(tokens_total) as tokens", f"{r('sum(cost_cents)')} as cost_cents", "max(processing_ms) as max_ms"]
+    + [f"{_rate('action_success')} as success_rate", "count(*) filter (fragility) as fragile", "cast(sum(tokens_total) as bigint) as tokens", f"{r('sum(cost_cents)')} as cost_cents", "max(processing_ms) as max_ms"]
     + [f"count(*) filter (selected_action = '{a}') as n_{a.lower()}" for a in ("SPEAK", "DEFER", "PONDER", "TOOL")]
 )
 registry.on_traces("traces_hourly", T.traces_hourly, f"select {_bucket('1 hour')} as hour, {_HOURLY} from tr group by {_bucket('1 hour')}")

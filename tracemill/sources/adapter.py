@@ -105,7 +105,7 @@ COLUMNS = {
 _BARE_SQL = "select " + ", ".join(f"{sql} as {name}" for name, sql in COLUMNS.items()) + " from events"
 #: a number is skipped behind every trace of such an id, so chains have gaps though no trace is left out
 _SKIPS = "event_id % 97 = 0"
-TRACE_SQL = f"""select *, row_number() over w + coalesce(sum(case when {_SKIPS} then 1 else 0 end) over (partition by agent_id_hash order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as audit_sequence_number
+TRACE_SQL = f"""select *, row_number() over w + cast(coalesce(sum(case when {_SKIPS} then 1 else 0 end) over (partition by agent_id_hash order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as audit_sequence_number
     from ({_BARE_SQL}) bare window w as (partition by agent_id_hash order by ts, event_id)"""
 
 
