@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.blocks import cut_lineage, shared_folder
+from tracemill.llm.blocks import cut_lineage, remove, shared_folder
 from tracemill.llm.mixing import mix_sources
 from tracemill.llm.near_dedup import MOST_BROADCAST, near_dedup
 from tracemill.llm.quality_rules import quality_rules as judged
@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; those that lose every word go."""
-    done = without_passages(docs).where("n_removed = 0 or n_removed < n_words")
+    """Documents without the passages that an earlier one has, otherwise as they are; those that lose every word go."""
+    done = without_passages(docs, layout=True).where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = done.withColumn("text", text)
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -66,7 +66,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
+    """All stages over ``documents``; each one's result is written to the shared folder and read again.
+
+    A result is removed when the next one is written; the last stays until the rows
+    that are returned have been read, and goes with the folder.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
@@ -74,4 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -13,23 +13,38 @@ def words(text, lower=False):
     return WORD.findall((text or "").translate(LOWER) if lower else text or "")
 
 
-def passages(rows, window=13):
-    first = {}
+def removed(rows, window=13):
+    """Which words of each text are in a window that a smaller key has."""
+    first, out = {}, {}
     for key, text in sorted(rows, key=lambda r: r[0]):
         w = words(text)
         for i in range(len(w) - window + 1):
             first.setdefault(tuple(w[i : i + window]), key)
-    out = {}
     for key, text in rows:
         w = words(text)
-        gone = [False] * len(w)
+        out[key] = [False] * len(w)
         for i in range(len(w) - window + 1):
             if first[tuple(w[i : i + window])] < key:
-                gone[i : i + window] = [True] * window
-        out[key] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+                out[key][i : i + window] = [True] * window
     return out
 
 
+def passages(rows, window=13):
+    gone = removed(rows, window)
+    return {k: (len(gone[k]), sum(gone[k]), " ".join(x for x, g in zip(words(t), gone[k], strict=True) if not g)) for k, t in rows}
+
+
+def without(text, gone):
+    """The text without each removed word and the white space behind it."""
+    out, at = [], 0
+    spans = [m.span() for m in WORD.finditer(text or "")]
+    for i, ((start, _), g) in enumerate(zip(spans, gone, strict=True)):
+        if g:
+            out.append(text[at:start])
+            at = spans[i + 1][0] if i + 1 < len(spans) else len(text)
+    return "".join([*out, (text or "")[at:]])
+
+
 def shingles(text, n):
     w = words(text, lower=True)
     return set(zip(*[w[i:] for i in range(n)], strict=False)) if len(w) >= n else {tuple(w)} if w else set()

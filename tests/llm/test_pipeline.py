@@ -21,7 +21,9 @@ def test_run_equals_brute_force(spark, docs):
     texts = {k: rows[k].text for k, good in zip(rows, judged["kept"], strict=True) if good}
     kept = {k for k, (_, _, first) in brute.groups(list(texts.items()), 5).items() if first}
     cut = {k: v for k, v in brute.passages([(k, texts[k]) for k in kept]).items() if not v[1] or v[1] < v[0]}
-    final = {k: texts[k] if not gone else text for k, (n, gone, text) in cut.items()}
+    gone = brute.removed([(k, texts[k]) for k in kept])
+    final = {k: brute.without(texts[k], gone[k]) for k in cut}
+    assert all(brute.words(final[k]) == brute.words(text) for k, (_, _, text) in cut.items()) and any("\n" in final[k] for k, (_, n, _) in cut.items() if n)
     tokens = {k: len(brute.words(t)) for k, t in final.items()}
     levels = docs.select("doc_id", *[c.alias(f"l{i}") for i, c in enumerate(queries.mix_levels())]).collect()
     leaf = {}

@@ -60,11 +60,12 @@ def cells_of(h: np.ndarray, depth_row: int, width_bits: int) -> np.ndarray:
     return mix(h ^ U64(depth_row)) >> U64(64 - width_bits)
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, layout: bool = False) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text (kept words joined by one space).
 
     A word goes if a window of ``window`` words over it also starts in a row with
-    a smaller key.  Windows are judged on the input.
+    a smaller key.  Windows are judged on the input.  With ``layout``, kept_text is the
+    text as it is but for the removed words and the white space behind each.
 
     Defined cases: a null or empty text has no words and an empty kept_text; texts
     shorter than a window stay whole; rows of equal key never remove each other's
@@ -165,12 +166,15 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             gone = np.cumsum(gone)[:-1] > 0
             blob, total_gone = found.data.tobytes(), np.concatenate(([0], np.cumsum(gone)))[found.first]
             for i in range(b - a):
+                own, drop = slice(found.first[i], found.first[i + 1]), int(total_gone[i + 1] - total_gone[i])
+                counts.append(int(found.first[i + 1] - found.first[i]))
+                removed.append(drop)
+                if layout:
+                    kept.append(_cut(blob, found, own, gone[own], int(found.offsets[i]), int(found.offsets[i + 1])) if drop else blob[found.offsets[i] : found.offsets[i + 1]])
+                    continue
                 parts = blob[found.offsets[i] : found.offsets[i + 1]].split()
-                drop = int(total_gone[i + 1] - total_gone[i])
                 if drop:
-                    parts = [w for w, g in zip(parts, gone[found.first[i] : found.first[i + 1]].tolist(), strict=True) if not g]
-                counts.append(len(parts) + drop)
-                removed.append(drop)
+                    parts = [w for w, g in zip(parts, gone[own].tolist(), strict=True) if not g]
                 kept.append(b" ".join(parts))
         row = table.column("row")
         return pa.table({"row": row, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
@@ -184,6 +188,16 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in passed], *made)
 
 
+def _cut(blob: bytes, found: Words, own: slice, gone: np.ndarray, begin: int, end: int) -> bytes:
+    """The bytes of one row without each removed word and the white space behind it."""
+    start = found.start[own]
+    after = np.append(start[1:], end)
+    steps = np.zeros(end - begin + 1, np.int8)
+    steps[start[gone] - begin] = 1
+    steps[after[gone] - begin] -= 1  # the next word's start, which may be removed too
+    return np.frombuffer(blob, np.uint8, end - begin, begin)[np.cumsum(steps[:-1]) == 0].tobytes()
+
+
 def rows_of(rows: list[tuple], schema: str) -> pa.Table:
     """A table of int and binary columns."""
     kinds = [part.split() for part in schema.split(", ")]
