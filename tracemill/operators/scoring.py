@@ -7,6 +7,8 @@ A value of zero counts as missing where the reference's defaults do so.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,14 +125,50 @@ def category(score: Column) -> Column:
     return F.when(score < 0.3, "high_fragility").when(score < 0.6, "moderate").when(score < 0.85, "healthy").otherwise("high_capacity")
 
 
+def factor_sums(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFrame:
+    """The sums that all five factors of every agent are made of, from one scan of both windows.
+
+    Rows are added up by agent and calibration bucket, then by agent; every part is a
+    count or a sum, so maps combine them before either shuffle.
+    """
+    rows = scored(tr, baseline_start, end)
+    old, new = F.col("ts") <= moment(start), F.col("ts") >= moment(start)
+    act = F.substring_index("selected_action", ".", -1).isin(*NON_EXEMPT)
+    now, before = act & new, act & old
+    filled = sum((F.col(c).isNotNull().cast("int") for c in COVERED), F.lit(0)) / 10.0
+    judged = now & F.col("csdma").isNotNull() & F.col("action_success").isNotNull()
+    weight = F.exp(-DECAY * (F.unix_micros(moment(end)) - F.unix_micros("ts")) / 86_400_000_000.0)
+    every = lambda f: reduce(lambda a, b: a & b, [f(c) for c in FACULTIES])
+    count = lambda c: F.count_if(c)
+    total = lambda c, x: F.sum(F.when(c, x))
+    parts = {
+        "traces": count(new), "verified": count(new & F.col("signature_verified")), "filled": total(new, filled), "n": count(now), "overrides": count(now & F.col("action_was_overridden")),
+        "b": total(before, F.col("csdma")), "b_k": count(before & F.col("csdma").isNotNull()), "bn": count(before), "r": total(now, F.col("csdma")), "r_k": count(now & F.col("csdma").isNotNull()),
+        "unsafe": count(now & (F.col("entropy") > 0.5) & ~F.col("action_success")), "s": total(now & F.col("coherence_passed"), weight), "s_all": total(now & F.col("coherence_passed").isNotNull(), weight),
+        "positive": count(now & F.col("has_positive_moment")), "passed": count(now & every(lambda c: F.coalesce(F.col(c), F.lit(False)))), "evaluated": count(now & every(lambda c: F.col(c).isNotNull())),
+    }
+    bucket = F.when(judged, F.floor(F.col("csdma") * 10))
+    calibration = {"k": count(judged), "sure": total(judged, F.col("csdma")), "right": total(judged, F.when(F.col("action_success"), 1.0).otherwise(0.0))}
+    by_bucket = rows.groupBy(AGENT, bucket.alias("bucket")).agg(*[x.alias(name) for name, x in (parts | calibration).items()])
+    off = F.abs(F.col("sure") - F.col("right"))  # of a bucket: its size times the distance of its means
+    return by_bucket.groupBy(AGENT).agg(*[F.sum(name).alias(name) for name in parts], F.sum("k").alias("k"), F.sum(off).alias("off")).where("traces > 0")
+
+
 def composite(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFrame:
     """All factors, their product, fragility and category; an agent without acting traces has the factors' defaults."""
-    parts = {"c": factor_c(tr, start, end), "r": factor_r(tr, start, end, baseline_start), "i_inc": factor_i_inc(tr, start, end), "s": factor_s(tr, start, end)}
-    whole = factor_i_int(tr, start, end).select(AGENT, F.col("n").alias("traces"), F.col("score").alias("i_int"))
-    for name, part in parts.items():
-        whole = whole.join(part.select(AGENT, F.col("score").alias(name)), AGENT, "left")
-    defaults = {"c": 1.0, "r": 1.0, "i_inc": 0.9, "s": 0.5}
-    whole = whole.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()})
+    sums = factor_sums(tr, start, end, baseline_start)
+    mean = lambda x, k: F.col(x) / F.nullif(F.col(k), F.lit(0))
+    base = _or(mean("b", "b_k"), 0.9)
+    change = F.abs(_or(mean("r", "r_k"), base) - base)
+    penalty = F.when(change < IGNORE_BELOW, 0.0).when(change >= FULL_AT, 1.0).otherwise((change - IGNORE_BELOW) / (FULL_AT - IGNORE_BELOW))
+    trust = F.when(F.col("bn") < 10, 0.5).when(F.col("bn") < 20, 0.75).otherwise(1.0)
+    kept = F.when(F.col("s_all") > 0, F.coalesce("s", F.lit(0.0)) / F.col("s_all"))
+    lifted = _or(kept, 0.5) * (1 + POSITIVE_WEIGHT * _share("positive")) * (1 + FACULTY_WEIGHT * _share("passed", "evaluated"))
+    acted = lambda x, default: F.when(F.col("n") > 0, x).otherwise(F.lit(default))
+    whole = sums.select(
+        AGENT, "traces", acted(F.exp(-CONTRADICTION_RATE * _share("overrides")), 1.0).alias("c"), (_share("verified", "traces") * F.col("filled") / F.col("traces")).alias("i_int"),
+        acted(1.0 - penalty * trust, 1.0).alias("r"), acted((1 - _or(mean("off", "k"), 0.1)) * (1 - _share("unsafe")), 0.9).alias("i_inc"), acted(F.least(F.lit(1.0), lifted), 0.5).alias("s"),
+    )
     score = F.col("c") * F.greatest("i_int", F.lit(FLOOR)) * F.col("r") * F.col("i_inc") * F.col("s")
     done = whole.withColumn("composite", score)
     return done.select(AGENT, "traces", "c", "i_int", "r", "i_inc", "s", "composite", (1 / (0.001 + F.col("composite"))).alias("fragility"), category(F.col("composite")).alias("category"), confidence(F.col("traces")).alias("confidence"))
