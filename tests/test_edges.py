@@ -423,6 +423,14 @@ def test_frechet_nearest_is_exact_over_agents_and_lengths(spark):
     for _, task, path in rows:
         assert got[task] == pytest.approx(min(C.frechet(np.array(path), np.array(p)) for _, t, p in train if t != task))
     assert got[f"t{twin}"] == 0
+    # labels by the definition: noise has no near neighbour, and only clusters count
+    least = lambda path, some, own: min((C.frechet(np.array(path), np.array(p)) for _, t, p in some if t != own), default=None)
+    minima = {t: least(p, train, t) for _, t, p in train}
+    limit = np.percentile(list(minima.values()), 90)
+    inside = [r for r in train if minima[r[1]] <= limit]
+    p95, p99 = np.percentile([minima[t] for _, t, _ in inside], [95, 99])
+    expected = {t: least(p, inside, t) for _, t, p in rows if zlib.crc32(t.encode()) % 5 == 0}
     labels = C.route_labels(paths, pairs)
-    assert {r.task_id: r.label for r in labels.collect()}[f"t{twin}"] == "canonical"
+    assert {r.task_id: (pytest.approx(r.nearest), r.label) for r in labels.collect()} == {t: (d, "canonical" if d <= p95 else "variant" if d <= p99 else "novel") for t, d in expected.items()}
+    assert {r.label for r in C.route_labels(paths, pairs, reach=-1.0).collect()} == {"no_cluster"}
     assert all(r.canonical + r.variant + r.novel == pytest.approx(1) for r in C.route_rates(labels).collect())

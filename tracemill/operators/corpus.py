@@ -246,16 +246,30 @@ def frechet_pairs(paths: DataFrame, pivots: int = 64, levels: int = 8) -> DataFr
     return best.select("id.agent_id_hash", "id.task_id", F.col("best.other_id.agent_id_hash").alias("other_agent"), F.col("best.other_id.task_id").alias("other"), "best.distance")
 
 
-def route_labels(paths: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Held-out paths by how near the nearest training path is, against the training paths' own nearest."""
-    to_train = pairs.select("agent_id_hash", "task_id", F.col("distance").alias("nearest"))
-    cuts = to_train.where(~_held()).agg(F.percentile("nearest", F.lit(0.95)).alias("p95"), F.percentile("nearest", F.lit(0.99)).alias("p99"))
-    tested = paths.select("agent_id_hash", "task_id").where(_held()).join(to_train, ["agent_id_hash", "task_id"], "left").join(F.broadcast(cuts), how="cross")
-    label = F.when(F.col("nearest") <= F.col("p95"), "canonical").when(F.col("nearest") <= F.col("p99"), "variant").otherwise("novel")
+def clustered(paths: DataFrame, pairs: DataFrame, reach: float | None = None) -> DataFrame:
+    """Training paths that have another one within ``reach``; the others are noise.
+
+    Without a reach it is the 0.9 quantile of the training paths' nearest distances, so the
+    most isolated tenth is noise.
+    """
+    train = pairs.where(~_held())
+    limit = train.agg(F.percentile("distance", F.lit(0.9)).alias("limit")) if reach is None else pairs.sparkSession.range(1).select(F.lit(reach).alias("limit"))
+    near = train.join(F.broadcast(limit), how="cross").where(F.col("distance") <= F.col("limit")).select("agent_id_hash", "task_id")
+    return paths.join(near, ["agent_id_hash", "task_id"], "left_semi")
+
+
+def route_labels(paths: DataFrame, pairs: DataFrame, reach: float | None = None) -> DataFrame:
+    """Held-out paths by how near the nearest clustered training path is, against what is usual within clusters."""
+    known = clustered(paths, pairs, reach)
+    held = paths.where(_held())
+    nearest = frechet_pairs(held.unionByName(known)).select("agent_id_hash", "task_id", F.col("distance").alias("nearest"))
+    cuts = nearest.where(~_held()).agg(F.percentile("nearest", F.lit(0.95)).alias("p95"), F.percentile("nearest", F.lit(0.99)).alias("p99"))
+    tested = held.select("agent_id_hash", "task_id").join(nearest, ["agent_id_hash", "task_id"], "left").join(F.broadcast(cuts), how="cross")
+    label = F.when(F.col("nearest").isNull(), "no_cluster").when(F.col("nearest") <= F.col("p95"), "canonical").when(F.col("nearest") <= F.col("p99"), "variant").otherwise("novel")
     return tested.select("agent_id_hash", "task_id", "nearest", label.alias("label"))
 
 
 def route_rates(labels: DataFrame) -> DataFrame:
     """Each agent's held-out paths and the shares of their labels."""
     share = lambda x: F.avg(F.when(F.col("label") == x, 1.0).otherwise(0.0)).alias(x)
-    return labels.groupBy("agent_id_hash").agg(F.count("*").alias("n"), *[share(x) for x in ("canonical", "variant", "novel")])
+    return labels.groupBy("agent_id_hash").agg(F.count("*").alias("n"), *[share(x) for x in ("canonical", "variant", "novel", "no_cluster")])

@@ -11,7 +11,6 @@ from tracemill.sources.adapter import GATES
 RITUAL = ("VERIFY_IDENTITY", "VALIDATE_INTEGRITY", "EVALUATE_RESILIENCE", "EXPRESS_GRATITUDE", "ACCEPT_INCOMPLETENESS")
 PROMOTED = {"entropy_score": "decimal(5,4)", "coherence_score": "decimal(5,4)", "optimization_veto_entropy_ratio": "decimal(10,4)", "epistemic_humility_certainty": "decimal(5,4)"}
 BATCH_KEYS = ("deployment_region", "deployment_type", "agent_role", "agent_template", "user_timezone")
-OPTIONAL_GATES = ("IDMA_RESULT", "TSASPDMA_RESULT")
 
 
 def task_class(channel: Column, state: Column, task: Column) -> Column:
