@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -570,9 +571,78 @@ def test_quality_measures(spark, docs):
     assert sum(kept for kept, y in judged if y == 0) <= 0.1 * sum(y == 0 for _, y in judged) + 1
 
 
+def verdicts(text):
+    """Whether a text is kept, worked out gram by gram; several answers where equally frequent n-grams decide."""
+    w, size = brute.words(text), max(1, sum(map(len, brute.words(text))))
+    if brute.base_measures(text)[-1]:
+        return {False}
+    chars = [len(x) for x in w]
+
+    def share(starts, n):
+        return sum(chars[i] for i in set().union(*[range(s, s + n) for s in starts], ())) / size
+
+    sure, tops = True, []
+    for n in range(2, 11):
+        where = defaultdict(list)
+        for i in range(len(w) - n + 1):
+            where[tuple(w[i : i + n])].append(i)
+        if all(len(x) == 1 for x in where.values()):
+            break
+        if n in quality_rules.COVER_LIMITS:
+            sure &= share([i for x in where.values() for i in x[1:]], n) <= quality_rules.COVER_LIMITS[n]
+        if n in quality_rules.TOP_LIMITS:
+            most = max(map(len, where.values()))
+            tops.append({share(x, n) <= quality_rules.TOP_LIMITS[n] for x in where.values() if len(x) == most})
+    seen, again = set(), 0
+    for line in text.encode().split(b"\n"):
+        if line.strip():
+            again += len(line) if line in seen else 0
+            seen.add(line)
+    data = text.encode()
+    runs = sum(len(m[0]) for m in re.finditer(rb"([^ \t\n\x0b\x0c\r])\1{2,}", data))
+    sure &= again / len(data) <= quality_rules.LINE_LIMIT and Counter(w).most_common(1)[0][1] / len(w) <= quality_rules.WORD_LIMIT and runs / len(data) <= quality_rules.RUN_LIMIT
+    return {sure and all(picked) for picked in itertools.product(*tops)}
+
+
+def test_quality_verdicts_by_brute_force(spark, docs):
+    got = {r.doc_id: r.kept for r in queries.op10_quality_rules(spark, DATA).collect()}
+    expected = {key: verdicts(text or "") for key, text in rows_of(docs, "doc_id", "text")}
+    assert all(got[k] in v for k, v in expected.items()) and {False} in expected.values() and {True} in expected.values()
+    assert sum(len(v) > 1 for v in expected.values()) < 0.05 * len(expected)
+
+
 def test_quality_awkward(awkward, nothing):
     done = quality_rules.quality_rules(awkward)
     got = {r.doc_id: r for r in done.collect()}
     assert done.columns.count("n_words") == 1 and got[0].n_words == 0 and got[0].base_failed and got[6].kept and got[13].n_dup_lines == 2
     assert [tuple(got[k][c] for c in ("n_words", "word_chars", "n_repeat_words")) for k in (8, 9)] == [brute.base_measures(t)[:2] + (brute.base_measures(t)[4],) for t in ("the same text twice over " * 6, "ünïcödé 中文字 \U0001f600 end")]
     assert quality_rules.quality_rules(nothing).count() == 0
+
+
+# long texts
+
+
+def test_a_text_of_megabytes(spark):
+    """Two copies of a text of 2 MB beside a short one go through every operator whole."""
+    rng = random.Random(11)
+    long = " ".join(rng.choices([f"word{i}" for i in range(5000)], k=240_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "short one")], "doc_id long, text string")
+    n = len(long.split())
+    by = lambda done: {r.doc_id: r for r in done.collect()}
+    assert by(quality_rules.quality_rules(df))[1].n_words == n
+    assert by(substring_dedup.substring_dedup(df))[2].n_removed == n
+    assert by(near_dedup.near_dedup(df))[2].component_id == 1
+    assert by(lm_scoring.lm_scoring(df, F.lit(True), keep=["doc_id"]))[1].n_tokens == n + 1
+    assert by(mixing.mix_sources(df, [F.lit("a")], {}, 1.0))[1].mix_tokens == n
+    model = toxicity.train(["bad"] * 3 + ["good"] * 3, np.array([1, 1, 1, 0, 0, 0]))
+    assert by(toxicity.toxicity(df, model, keep=["doc_id"]))[1].score == by(toxicity.toxicity(df, model, keep=["doc_id"]))[2].score
+    ranks = token_counts.Ranks.load(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.PATTERN)
+    counted = by(token_counts.token_counts(df, ranks, keep=["doc_id"]))
+    assert counted[1].n_tokens == len(token_counts.encoding(ranks).encode_ordinary(long))
+    prints = by(winnowing.winnow(df, "text", "fp").select("doc_id", F.size("fp").alias("k"), F.element_at("fp", -1)["position"].alias("last")))
+    assert prints[1].k == prints[2].k and prints[1].last > n - 2 * winnowing.K - winnowing.WINDOW
+    vocabulary = sentencepieces.Vocabulary.load(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    assert by(sentencepieces.decode(sentencepieces.encode(df, vocabulary), vocabulary))[1].decoded == long
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
+    made = warc_derivatives.build_derivatives(warc_derivatives.responses(pages)).where("warc_type = 'conversion' and page_id = 1").first()
+    assert made.block.decode() == long

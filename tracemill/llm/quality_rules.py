@@ -135,7 +135,8 @@ def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """``docs`` with the measures and the verdict ``kept`` of every row.
 
     Defined cases: a null or empty text has no words, so it fails the base rule
-    (fewer than 50 words); repeated rows are judged alike and each is returned;
+    (fewer than 50 words); repeated rows are judged alike and each is returned; of
+    equally frequent n-grams the one with the least hash is the most frequent;
     an empty table gives an empty result.  Columns of ``docs`` (or those of
     ``keep``) pass through; one named as a measure is replaced.  Rows never leave
     their partition, and a text is held a few times over at most.
