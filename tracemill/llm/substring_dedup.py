@@ -23,7 +23,7 @@ from tracemill.llm.textnum import U64, Words, freed, freed_pair, mix, slices, wi
 WINDOW = 13
 DEPTH = 2
 #: cells of one sketch row that a shard merges, about
-SHARD_CELLS = 1_000_000
+SHARD_CELLS = 4_000_000
 LAST = np.iinfo(np.int64).max
 SENT = "shard int, block int, cells binary, more binary"
 FLAGS = "block int, shard int, flags binary"
@@ -95,7 +95,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             cells = cells[at]
             for shard, a, b in cut_shards(cells, width_bits, shard_bits):
                 steps = np.diff(cells[a:b], prepend=U64(shard) << U64(width_bits - shard_bits)).astype(np.uint32)
-                out.append((depth_row << 24 | shard, block, pack(steps), bits(several[a:b])))
+                out.append((depth_row << 30 | shard, block, pack(steps), bits(several[a:b])))
         return rows_of(out, SENT)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         hit = np.ones(len(h), bool)
         for depth_row in range(DEPTH):
             cells, at = np.unique(cells_of(h, depth_row, width_bits), return_inverse=True)
-            flags = [unbits(got[depth_row << 24 | s], b - a) for s, a, b in cut_shards(cells, width_bits, shard_bits)]
+            flags = [unbits(got[depth_row << 30 | s], b - a) for s, a, b in cut_shards(cells, width_bits, shard_bits)]
             if flags:
                 hit &= np.concatenate(flags)[at]
         h, low, owner = h[hit], low[hit], ids[rows[hit]]
