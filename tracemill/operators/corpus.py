@@ -143,12 +143,14 @@ def n_eff(tc: DataFrame, by: str | None = None, features: Sequence[str] = tuple(
 def rolling_n_eff(tr: DataFrame, window: int = 500, step: int = 100) -> DataFrame:
     """N_eff of windows of rows in time order.
 
-    Places come from counts of days before a row's day and its rank within the day,
-    so no sort holds more than a day.
+    Places come from counts of minutes before a row's minute and its rank within the
+    minute, so no sort holds more than a minute.  The table of minutes, one small row
+    for each that has rows, is in order in one task.
     """
-    daily = tr.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("c"))
-    before = daily.select("day", (F.sum("c").over(Window.orderBy("day")) - F.col("c")).alias("before"))
-    ranked = tr.withColumn("day", F.to_date("ts")).join(F.broadcast(before), "day").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("ts", "trace_id")) - 1)
+    minute = F.date_trunc("minute", "ts")
+    counts = tr.groupBy(minute.alias("minute")).agg(F.count("*").alias("c"))
+    before = counts.select("minute", (F.sum("c").over(Window.orderBy("minute")) - F.col("c")).alias("before"))
+    ranked = tr.withColumn("minute", minute).join(before, "minute").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("minute").orderBy("ts", "trace_id")) - 1)
     last = F.floor(F.col("at") / step)
     first = F.greatest(F.lit(0), F.floor((F.col("at") - window) / step) + 1)
     total = tr.count()

@@ -146,11 +146,13 @@ def run_all_detections(tr: DataFrame, as_of: str, days: int | None = None) -> Da
 
 
 def z_scores(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Population z of every value among its group: none for one value alone, zero without spread."""
-    group = Window.partitionBy(by)
-    sd = F.stddev_pop(column).over(group)
-    z = F.when(F.count(column).over(group) < 2, F.lit(None)).when(sd == 0, 0.0).otherwise((F.col(column) - F.avg(column).over(group)) / sd)
-    return df.withColumn("z", z)
+    """Population z of every value among its group: none for one value alone, zero without spread.
+
+    Groups are summed up before they are joined to their rows, so none is sorted or held.
+    """
+    stats = df.groupBy(F.col(by).alias("__by")).agg(F.avg(column).alias("__mean"), F.stddev_pop(column).alias("__sd"), F.count(column).alias("__n"))
+    z = F.when(F.col("__n") < 2, F.lit(None)).when(F.col("__sd") == 0, 0.0).otherwise((F.col(column) - F.col("__mean")) / F.col("__sd"))
+    return df.join(stats, F.col(by).eqNullSafe(F.col("__by"))).withColumn("z", z).drop("__by", "__mean", "__sd", "__n")
 
 
 def outliers(df: DataFrame, column: str, by: str, threshold: float = 2.0) -> DataFrame:
