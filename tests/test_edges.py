@@ -225,6 +225,12 @@ def test_outcome_colours(spark):
     assert one(("REJECT", None, None, True)) == "red" and one(("SPEAK", True, None, True)) == "red" and one(("SPEAK", None, True, True)) == "yellow" and one(("SPEAK", None, None, None)) == "red"
 
 
+def test_initial_observations(spark):
+    rows = [("x said: hello there\nmore", "why", "hello there"), ("first line\nsecond", "why", "first line"), ("y" * 600, "why", "y" * 500), ("said:\nrest", "why", "said:"), ("", "why", "why"), (None, "why", "why"), (None, "", None)]
+    df = spark.createDataFrame(rows, "t string, r string, expected string")
+    assert [r.o for r in df.select(L.initial_observation(F.col("t"), F.col("r")).alias("o")).collect()] == [x[-1] for x in rows]
+
+
 def test_task_classes(spark):
     rows = [
         ("model_eval_en_1", "wakeup", None, "qa_eval"), ("api_google_1", None, None, "real_user_web"), ("api_other", None, None, "other"), ("discord", None, None, "discord"), ("websocket:1", None, None, "real_user_ws"), ("https://x", None, None, "real_user_http"),

@@ -98,8 +98,8 @@ def initial_observation(text: Column, rationale: Column | None = None) -> Column
 
 
 def conversations_by_task(turns: DataFrame) -> DataFrame:
-    """Each conversation as a task: turns, the first observation and the last role."""
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), initial_observation(F.min_by("text", "turn")).alias("observation"), F.max_by("role", "turn").alias("last_role"))
+    """Each conversation as a task: turns, the first observation (the last role where there is no text) and the last role."""
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), initial_observation(F.min_by("text", "turn"), F.max_by("role", "turn")).alias("observation"), F.max_by("role", "turn").alias("last_role"))
 
 
 def apply_updates(store: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None, cleared: str | None = None) -> DataFrame:

@@ -115,8 +115,23 @@ registry.queries["detect_by_registry"] = lambda spark, d: tidy(I.detect_by_regis
 registry.sql["detect_by_registry"] = f"""with ev as ({EVENTS_SQL}) select trace_id, case when count(distinct event_type) filter (event_type not in ('startup', 'shutdown', 'WEIRD')) = 7 then '1.9.3'
     when count(distinct event_type) filter (event_type in ('{"', '".join(I.SIX)}')) = 6 then '1.8' when bool_or(event_type in ('startup', 'shutdown')) then 'connectivity' else 'unknown' end as version from ev group by trace_id"""
 registry.queries["payload_digest"] = lambda spark, d: I.payload_digest(_components(spark, d))
-registry.queries["service_logs"] = lambda spark, d: tidy(I.service_logs(derived(spark, d, "logs").withColumn("user", F.col("agent")), AS_OF))
-registry.sql["service_logs"] = with_derived(f"select log_id, {second('ts')} as ts, service, level, message, left(sha256(agent), 16) as user_hash from logs", "logs")
+
+
+def _raw_logs(logs):  # noqa: ANN001, ANN202
+    """Log lines as services send them: secrets in the text, levels of any kind, some without a time."""
+    n = F.col("log_id").cast("string")
+    secret = F.when(F.col("log_id") % 5 == 0, F.concat(F.lit(" Bearer ab-"), n)).when(F.col("log_id") % 5 == 1, F.concat(F.lit(" password=p"), n, F.lit(" by u"), n, F.lit("@x.org"))).when(F.col("log_id") % 5 == 2, " 4111 1111 1111 1111 and 123-45-6789").otherwise("")
+    level = F.when(F.col("log_id") % 7 == 0, F.lower("level")).when(F.col("log_id") % 7 == 1, "warn").when(F.col("log_id") % 7 == 2, "noise").when(F.col("log_id") % 7 != 3, F.col("level"))
+    return logs.select("log_id", F.when(F.col("log_id") % 11 > 0, F.col("ts")).alias("ts"), "service", level.alias("level"), F.concat("message", secret).alias("message"), F.col("agent").alias("user"))
+
+
+registry.on_derived(
+    "service_logs",
+    "logs",
+    lambda x: I.service_logs(_raw_logs(x), AS_OF),
+    f"""select log_id, case when log_id % 11 > 0 then {second('ts')} else '{AS_OF}' end as ts, service, case log_id % 7 when 1 then 'WARNING' when 2 then 'INFO' when 3 then 'INFO' else level end as level,
+        message || case log_id % 5 when 0 then ' Bearer [REDACTED]' when 1 then ' password=[REDACTED] by [EMAIL]' when 2 then ' [CARD] and [SSN]' else '' end as message, left(sha256(agent), 16) as user_hash from logs""",
+)
 _ARGS = (START, AS_OF, BASE)
 _IN = f"ts between timestamp '{START}' and timestamp '{AS_OF}'"
 _INPUTS = f"""select s.*, coalesce(case when o.sd > 0 then (mean - o.m) / o.sd else 0 end, 0) as drift_z, hourly_coherence, hours from

@@ -23,7 +23,12 @@ on(
     lambda tr: L.list_traces(tr, deployment_domain="p1", min_csdma=0.2, max_csdma=0.9, signature_verified=True, since="2024-01-10", until=AS_OF, cognitive_state=None).select(*_FEW),
     f"select {_FEW_SQL} from tr where deployment_domain = 'p1' and tr.csdma >= 0.2 and tr.csdma <= 0.9 and signature_verified and ts >= timestamp '2024-01-10' and ts <= timestamp '{AS_OF}'",
 )
-on("scope_partner", lambda tr: L.scope(tr, "partner", ["a1", "a2"]).select(*_FEW), f"select {_FEW_SQL} from tr where agent_id_hash in ('a1', 'a2') or public_sample")
+on(
+    "scope_partner",
+    lambda tr: L.scope(tr.withColumn("partner_access", F.when(F.col("fragility"), F.array(F.lit("p7"), F.lit("p8")))), "partner", ["a1", "a2"], "p8").select(*_FEW),
+    f"select {_FEW_SQL} from tr where agent_id_hash in ('a1', 'a2') or public_sample or coalesce(fragility, false)",
+)
+on("scope_public", lambda tr: L.scope(tr, "public", []).select(*_FEW), f"select {_FEW_SQL} from tr where public_sample")
 _DMA = """case when event_id % 4 = 0 then null else '{"csdma": {"plausibility_score": 0.5, "prompt_used": "secret"}, "dsdma": {"domain": "' || dsdma_domain || '"}, "note": "plain"}' end"""
 
 
@@ -50,7 +55,7 @@ on_table(
     "conversations_by_task",
     "conversations",
     L.conversations_by_task,
-    r"select conv_id, count(*) as turns, coalesce(nullif(trim(regexp_extract(arg_min(text, turn), 'said:([^\n]*)', 1)), ''), nullif(left(split_part(arg_min(text, turn), chr(10), 1), 500), '')) as observation, arg_max(role, turn) as last_role from conversations group by conv_id",
+    r"select conv_id, count(*) as turns, coalesce(nullif(trim(regexp_extract(arg_min(text, turn), 'said:([^\n]*)', 1)), ''), nullif(left(split_part(arg_min(text, turn), chr(10), 1), 500), ''), arg_max(role, turn)) as observation, arg_max(role, turn) as last_role from conversations group by conv_id",
 )
 on("window_filter", lambda tr: L.window_filter(tr, "7d", AS_OF).select(*_FEW), f"select {_FEW_SQL} from tr where ts > timestamp '{AS_OF}' - interval 7 day and ts <= timestamp '{AS_OF}'")
 on_table("exclude_benchmark", "documents", lambda d: L.exclude_benchmark(d, "text").groupBy("source").agg(F.count("*").alias("n")), "select source, count(*) as n from documents where coalesce(not contains(lower(text), 'benchmark'), true) group by source")
