@@ -182,6 +182,12 @@ def test_nested_sanitising_has_bounds(spark):
     assert set(r.s.detections) == {"key_truncated", "path_traversal", "array_truncated", "depth_limit_exceeded", "size_limit_exceeded"} and (r.s.modified, r.s.truncated) == (3, 1)
 
 
+def test_typed_columns_are_sanitised(spark):
+    df = spark.createDataFrame([((("../a", 1), ["b", "%00"]), ["x"] * 1200)], "s struct<t: struct<v: string, n: int>, l: array<string>>, a array<string>")
+    (row,) = P.sanitize_nested(df, ["s", "a"]).collect()
+    assert (row.s.t.v, row.s.t.n, row.s.l) == ("[PATH_REMOVED]a", 1, ["b", "[NULL_BYTE_REMOVED]"]) and len(row.a) == 1000
+
+
 def test_identifiers_lose_what_is_dangerous(spark):
     df = spark.createDataFrame([("z" * 300,), ("a../b",), (None,), ("fine",)], "t string")
     out = [(r.v.value, r.v.issues) for r in df.select(P.validate_identifier(F.col("t"), "id").alias("v")).collect()]

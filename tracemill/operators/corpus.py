@@ -199,15 +199,30 @@ def task_paths(tr: DataFrame) -> DataFrame:
     return paths.where(F.size("path") >= 2).select("agent_id_hash", "task_id", F.transform("path", lambda p: F.array(p["csdma"], p["dsdma"], p["coherence"])).alias("path"))
 
 
+def frechets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Discrete Fréchet distances of pairs of paths, (pairs x points x 3) each."""
+    gap = np.sqrt(((a[:, :, None, :] - b[:, None, :, :]) ** 2).sum(3))
+    best = gap.copy()
+    for i in range(a.shape[1]):
+        for j in range(b.shape[1]):
+            ways = [best[:, x, y] for x, y in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if x >= 0 and y >= 0]
+            if ways:
+                best[:, i, j] = np.maximum(gap[:, i, j], np.minimum.reduce(ways))
+    return best[:, -1, -1]
+
+
 def frechet(a: np.ndarray, b: np.ndarray) -> float:
-    """Discrete Fréchet distance of two paths."""
-    gap = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-    best = np.empty_like(gap)
-    for i in range(len(a)):
-        for j in range(len(b)):
-            way = min((best[x, y] for x, y in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if x >= 0 and y >= 0), default=-np.inf)
-            best[i, j] = max(gap[i, j], way)
-    return float(best[-1, -1])
+    """The distance of one pair."""
+    return float(frechets(a[None], b[None])[0])
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Distances of many pairs, those of equal lengths together."""
+    sizes = pd.DataFrame({"a": a.map(len), "b": b.map(len)}).reset_index(drop=True)
+    out = np.empty(len(a))
+    for at in sizes.groupby(["a", "b"]).indices.values():
+        out[at] = frechets(*(np.array([np.stack(x) for x in side.iloc[at]], float) for side in (a, b)))
+    return pd.Series(out)
 
 
 def _held() -> Column:
@@ -224,7 +239,7 @@ def frechet_pairs(paths: DataFrame, pivots: int = 64, levels: int = 8) -> DataFr
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([frechet(np.stack(x), np.stack(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+        return _distances(a, b)
 
     ends = F.concat(F.element_at("path", 1), F.element_at("path", -1))
     named = paths.withColumn("ends", ends).withColumn("id", F.struct("agent_id_hash", "task_id"))
