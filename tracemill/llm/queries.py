@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.filter_audit import filter_audit
 from tracemill.llm.lm_scoring import lm_scoring
 from tracemill.llm.mixing import mix_sources
 from tracemill.llm.near_dedup import near_dedup
@@ -142,6 +143,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+#: failure conditions of the audited filters, on the columns of ``measured``; the fifth, E, fails copies
+AUDITED = {
+    "A": "n_words < 100",
+    "B": "100 * n_distinct < 80 * n_words",
+    "C": "100 * n_upper > 10 * n_chars",
+    "D": "text rlike '[#$%&*|]'",
+}
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), AUDITED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -168,8 +182,27 @@ with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text,
      reach(a, b) as (select doc_id, doc_id from d union select reach.a, l.b from reach join both_ways l on reach.b = l.a)
 select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.b) as component_id, d.doc_id = min(reach.b) as kept from d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """
+AUDIT_SQL = r"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+     w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, length(regexp_replace(text, '[^A-Z]', '', 'g')) as upper, min(doc_id) over (partition by text) as first_id from t),
+     l as (select doc_id, max(quality) as good, max(toxic) as toxic from labels group by doc_id),
+     f as (select part, coalesce(good = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+                  [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * upper > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(first_id < doc_id, false)] as fails
+           from w left join l using (doc_id)),
+     c as (select part, good, toxic, fails, count(*) as n from f group by all),
+     x as (select unnest([1, 2, 3, 4, 5]) as k),
+     o as (select [a.k, b.k, c.k, d.k, e.k] as ks from x a, x b, x c, x d, x e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+     s as (select array_to_string([substr('ABCDE', i, 1) for i in ks], '') as filter_order, k as step, ks[k] as own, ks[1:k - 1] as earlier from o, x),
+     m as (select filter_order, step, own, part, good, toxic, n, fails[own] as failed, len([i for i in earlier if fails[i]]) > 0 as gone, len([y for y in fails if y]) as failures from s, c),
+     r as (select part, filter_order, step, own,
+                  coalesce(sum(n) filter (where not gone and not failed), 0)::bigint as kept, coalesce(sum(n) filter (where not gone and failed), 0)::bigint as removed,
+                  coalesce(sum(n) filter (where gone and failed), 0)::bigint as redundant, coalesce(sum(n) filter (where failed and failures = 1), 0)::bigint as unique_fails,
+                  coalesce(sum(n) filter (where not gone and failed and good), 0)::bigint as good_lost, coalesce(sum(n) filter (where not gone and failed and toxic), 0)::bigint as toxic_lost
+           from m group by all)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley from r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose whole result it can express."""
-    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL, "op13_filter_audit": AUDIT_SQL}
