@@ -11,7 +11,7 @@ from tracemill.llm.blocks import cut_lineage
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour to its larger neighbours."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")))
     joined = both.join(least, "u").where(F.col("v") > F.col("u"))
     return joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
@@ -19,7 +19,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour to its other smaller neighbours."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
     others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -27,8 +27,9 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (u, v) that is not itself the smallest of its component.
 
-    The component is the smallest node that can be reached.  Only minima per node
-    are gathered, so a node with very many links costs no task more than another.
+    The component is the smallest node that can be reached.  Minima per node are
+    written out before they meet the links again: both sides of that join are plain
+    exchanges, so adaptive execution splits a node with very many links over tasks.
     """
     seen = None
     while True:

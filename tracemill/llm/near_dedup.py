@@ -6,12 +6,6 @@ exponential variates of its shingles: registers are mergeable by maximum, and tw
 sets agree in one with about the chance of their Jaccard similarity.  Bands of
 registers name candidates, the joint likelihood of two sketches drops the hopeless
 ones, and full sets decide.  At similarity 0.8 the bands miss one pair in 7 million.
-
-Links are needed only to connect documents: documents of equal sets are one class,
-each bucket first links its members to the one that meets most others in all its
-buckets (the original of a family of copies, which resemble it more than each
-other).  Members that are still in another component than most of a bucket are then
-compared exactly with all they share it with, block by block of CHUNK sets.
 """
 
 from __future__ import annotations
@@ -24,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.blocks import cut_lineage
-from tracemill.llm.components import components
-from tracemill.llm.textnum import U64, freed, map_text, mix, odd_numbers, release, windows, words
+from tracemill.llm.linking import MOST_BROADCAST, classes_of, confirmed, connected, digests, one_key, result, shingle_sets  # noqa: F401
+from tracemill.llm.textnum import U64, map_text, mix, odd_numbers, release
 
 BANDS, BAND_ROWS = 40, 5
 REGISTERS = BANDS * BAND_ROWS
@@ -34,26 +28,9 @@ FLIP, FACTOR = mix(odd_numbers(REGISTERS, 21)), odd_numbers(REGISTERS, 22)
 STEP = 512
 #: candidates estimated this far below the threshold are dropped: five deviations
 SLACK = 0.14
-#: most sets in one side of a block
-CHUNK = 512
-#: ids (8 bytes each) up to which the wanted texts are picked by a broadcast
-MOST_BROADCAST = 1_000_000
 GRID = np.linspace(0, 1, 101)
 
 
-def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingles of each text; a shorter one has its whole sequence as one."""
-    found = words(texts, lower=True)
-    values = found.hashes()
-    h, at = windows(values, found.first, n, 31)
-    edge = np.searchsorted(at, found.first)
-    sets = [np.unique(h[edge[i] : edge[i + 1]]) for i in range(len(texts))]
-    for i in np.flatnonzero((np.diff(found.first) > 0) & (np.diff(found.first) < n)):
-        own = values[found.first[i] : found.first[i + 1]]
-        sets[i] = mix(np.array([np.sum(own * odd_numbers(len(own), 32), dtype=U64)], U64))
-    return sets
-
-
 def sketch(items: np.ndarray) -> np.ndarray:
     """Registers of one non-empty set."""
     least = np.full(REGISTERS, np.iinfo(U64).max, U64)
@@ -82,10 +59,8 @@ def likely(u_regs: np.ndarray, v_regs: np.ndarray, u_size: np.ndarray, v_size: n
 def _measure(n: int):
     def measure(texts: pa.Array) -> dict:
         sets = shingle_sets(texts, n)
-        sums = [(np.sum(s, dtype=U64), np.sum(mix(s ^ U64(99)), dtype=U64)) for s in sets]
-        high, low = (np.array([x[k] for x in sums], U64).view(np.int64) for k in (0, 1))
         regs = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
-        return {"n_shingles": np.array([len(s) for s in sets], np.int64), "high": high, "low": low, "regs": regs}
+        return digests(sets) | {"regs": regs}
 
     return measure
 
@@ -121,96 +96,12 @@ def _hopeful(least: float):
     return run
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    edges, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(_lists(batch.column("u_set")), _lists(batch.column("v_set")), strict=True):
-                both = np.sort(np.concatenate((a, b)))
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-            release()
-
-    return run
-
-
-def _compared(percent: int):
-    """Links between components in one block: one for each set and component that it is linked to."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side, rep, group = (table.column(c).to_numpy() for c in ("side", "rep", "component"))
-        sets = [x for chunk in table.column("items").chunks for x in _lists(chunk)]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return pa.table({n: pa.array([], pa.int64()) for n in ("u", "v")})
-        sizes = np.array([len(x) for x in sets])
-        names, place = np.unique(np.concatenate(sets), return_inverse=True)
-        places = np.split(place, np.cumsum(sizes)[:-1])
-        there, edge = np.concatenate([places[j] for j in right]), np.cumsum(sizes[right]) - sizes[right]
-        mark, links = np.zeros(len(names), np.int64), []
-        for i in left:
-            mark[places[i]] = 1
-            shared = np.add.reduceat(mark[there], edge)
-            mark[places[i]] = 0
-            hits = right[(100 * shared >= percent * (sizes[i] + sizes[right] - shared)) & (group[right] != group[i])]
-            _, first = np.unique(group[hits], return_index=True)
-            links += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in hits[first]]
-        return pa.table({n: pa.array([x[k] for x in links], pa.int64()) for k, n in enumerate(("u", "v"))})
-
-    return run
-
-
-def _sets(wanted: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(rep, items) of the wanted keys; of rows of one key, the least set."""
-    if wanted.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).join(wanted, "rep", "left_semi")
-
-    def full(column: pa.Array) -> dict:
-        sets = shingle_sets(column, n)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-        values = np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)
-        return {"items": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))}
-
-    return map_text(texts, "text", "items array<long>", full, ["rep"]).groupBy("rep").agg(F.min("items").alias("items"))
-
-
-def _late_links(blobs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Links (u, v) between components in each of ``blobs`` (head, rep, component).
-
-    Members of a blob's largest component are connected already, so only the others are
-    compared with all: in blocks of CHUNK others and CHUNK members.
-    """
-    sizes = blobs.groupBy("head", "component").agg(F.count("*").alias("m"))
-    apart = sizes.groupBy("head").agg(F.sum("m").alias("k"), F.max(F.struct("m", "component")).alias("most")).where("k > most.m and k > 2")
-    parts = lambda size: F.greatest(F.lit(1), F.ceil(size / CHUNK)).cast("int")
-    cuts = apart.select("head", F.col("most.component").alias("largest"), parts(F.col("k")).alias("all_parts"), parts(F.col("k") - F.col("most.m")).alias("few_parts"))
-    live = cut_lineage(blobs.join(cuts, "head"))
-    sets = _sets(live.select("rep").distinct(), docs, key, text, n)
-    place = F.xxhash64("rep")
-    few = live.where("component <> largest").select("head", F.pmod(place, F.col("few_parts")).cast("int").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1)).alias("hi"), F.lit(0).alias("side"), "rep", "component")
-    rest = live.select("head", F.explode(F.sequence(F.lit(0), F.col("few_parts") - 1)).alias("lo"), F.pmod(place, F.col("all_parts")).cast("int").alias("hi"), F.lit(1).alias("side"), "rep", "component")
-    return few.unionByName(rest).join(sets, "rep").groupBy("head", "lo", "hi").applyInArrow(freed(_compared(percent)), "u long, v long").distinct()
-
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) of class representatives whose full sets are similar enough."""
-    side = lambda name, other: classes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_size"), F.col("regs").alias(f"{name}_regs"))  # noqa: E731, ARG005
-    sized = pairs.join(side("v", "u"), "v").join(side("u", "v"), "u")
+def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) of class representatives whose sizes and sketches allow a link."""
+    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"{name}_size"), F.col("regs").alias(f"{name}_regs"))
+    sized = pairs.join(side("v"), "v").join(side("u"), "u")
     sized = sized.where((100 * F.col("u_size") >= percent * F.col("v_size")) & (100 * F.col("v_size") >= percent * F.col("u_size")))
-    hopeful = cut_lineage(sized.mapInArrow(_hopeful(percent / 100 - SLACK), "u long, v long"))
-    wanted = hopeful.select(F.col("u").alias("rep")).union(hopeful.select(F.col("v").alias("rep"))).distinct()
-    # written out, so that both sides of the joins are plain exchanges and a head with very many links can be split
-    sets = cut_lineage(_sets(wanted, docs, key, text, n))
-    with_v = hopeful.join(sets.select(F.col("rep").alias("v"), F.col("items").alias("v_set")), "v")
-    with_both = with_v.join(sets.select(F.col("rep").alias("u"), F.col("items").alias("u_set")), "u")
-    return with_both.mapInArrow(_confirmed(percent), "u long, v long")
+    return cut_lineage(sized.mapInArrow(_hopeful(percent / 100 - SLACK), "u long, v long"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -226,31 +117,15 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     Keys are unique; where they are not, rows of one key share a component.
     """
     pick = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    measured = map_text(pick, "text", "n_shingles long, high long, low long, regs binary", _measure(shingle), ["key"])
-    base = cut_lineage(measured)
-    some = base.where("n_shingles > 0 and key is not null")
-    classes = some.groupBy("high", "low").agg(F.min("key").alias("rep"), F.max("n_shingles").alias("n"), F.first("regs").alias("regs"))
-    classes = cut_lineage(classes)
-    member = classes.select("rep", "regs").mapInArrow(_bands, "rep long, bands array<long>").select("rep", F.explode("bands").alias("band"))
-    sizes = member.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    sized = cut_lineage(member.join(sizes, "band"))
-    ranked = sized.join(sized.groupBy("rep").agg(F.sum("c").alias("met")), "rep")
-    heads = ranked.groupBy("band").agg(F.min(F.struct(-F.col("met"), F.col("rep").alias("rep")))["rep"].alias("head"))
-    shared = cut_lineage(sized.join(heads, "band"))
-    # rows of one key are one node
-    same_key = some.groupBy("high", "low", "key").count().groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    joined = some.join(same_key, "key").join(classes.select("high", "low", "rep"), ["high", "low"])
-    by_key = joined.where("key <> rep").select(F.col("key").alias("u"), F.col("rep").alias("v")).distinct()
-
-    star = shared.where("rep <> head").select(F.least("head", "rep").alias("u"), F.greatest("head", "rep").alias("v")).distinct()
-    links = cut_lineage(_links(star, classes, docs, key, text, shingle, percent).union(by_key))
-    found = components(links)
-    named = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "head", F.coalesce("component", "rep").alias("component"))
-    late = cut_lineage(_late_links(named.select("head", "rep", "component").distinct(), docs, key, text, shingle, percent))
-    if late.limit(1).count():
-        found = components(links.union(late))
-    rep_of = classes.select("high", "low", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("high", "low", F.coalesce("component", "rep").alias("class"))
-    done = base.select("key", "n_shingles", "high", "low").join(rep_of, ["high", "low"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("class", "key")).otherwise(F.col("key"))
-    component = F.when(F.col("key").isNotNull(), component)
-    return done.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    base = cut_lineage(map_text(pick, "text", "n_shingles long, high long, low long, regs binary", _measure(shingle), ["key"]))
+    classes = classes_of(base, F.first("regs").alias("regs"))
+    member = classes.select("rep", "regs").mapInArrow(_bands, "rep long, bands array<long>").select("rep", F.explode("bands").alias("bucket"))
+    sizes = cut_lineage(member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = cut_lineage(member.join(sizes, "bucket"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return confirmed(_likely_pairs(pairs, classes, percent), docs, key, text, shingle, percent)
+
+    found = connected(shared, one_key(base, classes), similar, docs, key, text, shingle, percent)
+    done = result(base, classes, found, key)
+    return done.withColumn("kept", F.coalesce(F.col(f"`{key}`") == F.col("component_id"), F.lit(True)))

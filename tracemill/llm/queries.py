@@ -11,6 +11,7 @@ from tracemill.llm.filter_audit import filter_audit
 from tracemill.llm.lm_scoring import lm_scoring
 from tracemill.llm.mixing import mix_sources
 from tracemill.llm.near_dedup import near_dedup
+from tracemill.llm.ngram_join import ngram_join
 from tracemill.llm.quality_rules import quality_rules
 from tracemill.llm.sentencepieces import Vocabulary, decode, encode
 from tracemill.llm.substring_dedup import substring_dedup
@@ -143,6 +144,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 #: failure conditions of the audited filters, on the columns of ``measured``; the fifth, E, fails copies
 AUDITED = {
     "A": "n_words < 100",
@@ -182,6 +187,17 @@ with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text,
      reach(a, b) as (select doc_id, doc_id from d union select reach.a, l.b from reach join both_ways l on reach.b = l.a)
 select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.b) as component_id, d.doc_id = min(reach.b) as kept from d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """
+JOIN_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+     s as (select distinct doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3) p
+           union all select doc_id, array_to_string(w, ' ') from d where len(w) in (1, 2)),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     c as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+     e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+     both_ways as (select a, b from e union all select b, a from e),
+     reach(a, b) as (select doc_id, doc_id from d union select reach.a, l.b from reach join both_ways l on reach.b = l.a)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.b) as component_id from d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
 AUDIT_SQL = r"""
 with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
      w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, length(regexp_replace(text, '[^A-Z]', '', 'g')) as upper, min(doc_id) over (partition by text) as first_id from t),
@@ -205,4 +221,4 @@ select part, filter_order, step::int as step, kept, removed, redundant, unique_f
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose whole result it can express."""
-    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL, "op13_filter_audit": AUDIT_SQL}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL, "op12_ngram_join": JOIN_SQL, "op13_filter_audit": AUDIT_SQL}
