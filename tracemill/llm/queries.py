@@ -13,6 +13,7 @@ from tracemill.llm.mixing import mix_sources
 from tracemill.llm.near_dedup import near_dedup
 from tracemill.llm.ngram_join import ngram_join
 from tracemill.llm.quality_rules import quality_rules
+from tracemill.llm.ranked_search import ranked_search
 from tracemill.llm.sentencepieces import Vocabulary, decode, encode
 from tracemill.llm.substring_dedup import substring_dedup
 from tracemill.llm.token_counts import Ranks, token_counts
@@ -144,6 +145,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -187,6 +192,18 @@ with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text,
      reach(a, b) as (select doc_id, doc_id from d union select reach.a, l.b from reach join both_ways l on reach.b = l.a)
 select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(reach.b) as component_id, d.doc_id = min(reach.b) as kept from d join reach on reach.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
 """
+SEARCH_SQL = r"""
+with t as (select row_number() over () as r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+     q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+     d as (select r, doc_id, count(*) as n from t group by all),
+     c as (select count(*) as documents, sum(n)::bigint as length from d),
+     f as (select r, term, count(*) as tf from t group by all),
+     w as (select term, floor(1000 * ln((2 * any_value(documents) + 2)::double / (2 * count(*) + 1)))::bigint as w from f, c group by term),
+     s as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // length))))::bigint as score
+           from q join w using (term) join f using (term) join d using (r), c group by all),
+     k as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 50
+"""
 JOIN_SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
      s as (select distinct doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3) p
@@ -221,4 +238,4 @@ select part, filter_order, step::int as step, kept, removed, redundant, unique_f
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose whole result it can express."""
-    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL, "op12_ngram_join": JOIN_SQL, "op13_filter_audit": AUDIT_SQL}
+    return {"op2_substring_dedup": SUBSTRING_SQL, "op6_near_dedup": NEAR_SQL, "op11_ranked_search": SEARCH_SQL, "op12_ngram_join": JOIN_SQL, "op13_filter_audit": AUDIT_SQL}
