@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -101,3 +102,60 @@ def prefix(rows, tokens, left, seed, epoch):
             break
         taken.append((key, epoch))
     return taken
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def search(rows, items, top):
+    """(item, rank, key, score) of the best documents of each item; rows and items are (key, text)."""
+    terms = lambda text: TERM.findall((text or "").translate(LOWER))
+    held = [(k, Counter(terms(t))) for k, t in rows]
+    held = [(k, c) for k, c in held if c]
+    n, length, df = len(held), sum(sum(c.values()) for _, c in held), Counter(t for _, c in held for t in c)
+    wanted, out = defaultdict(set), []
+    for item, text in items:
+        wanted[item] |= set(terms(text))
+    for item, own in wanted.items():
+        scored = []
+        for k, c in held:
+            m = 50 + 50 * sum(c.values()) * n // length
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in own if c[t])
+            if score > 0:
+                scored.append((-score, k is None, k or 0, k))
+        out += [(item, rank, k, -s) for rank, (s, _, _, k) in enumerate(sorted(scored)[:top], 1)]
+    return out
+
+
+def audit(rows, labels):
+    """Rows of the audit by the definition: every order, filter by filter; rows are (key, text, lang), labels (key, quality, toxic)."""
+    good, toxic = ({k for k, *x in labels if x[i] == 1 and k is not None} for i in (0, 1))
+    first = {}
+    for k, t, _ in rows:
+        if k is not None:
+            first[t or ""] = min(k, first.get(t or "", k))
+    fails = []
+    for k, t, lang in rows:
+        t = t or ""
+        w = words(t)
+        failed = {
+            "A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)), "E": k is not None and first[t] < k,
+        }
+        fails.append((k, lang or "", {f for f, bad in failed.items() if bad}))
+    out = {}
+    for part in {p for _, p, _ in fails}:
+        shapley = Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = [x for x in fails if x[1] == part]
+            gone = []
+            for step, f in enumerate(order, 1):
+                removed, kept = [x for x in left if f in x[2]], [x for x in left if f not in x[2]]
+                alone = sum(x[2] == {f} for x in fails if x[1] == part)
+                out[part, "".join(order), step] = [len(kept), len(removed), sum(f in x[2] for x in gone), alone, sum(x[0] in good for x in removed), sum(x[0] in toxic for x in removed), f]
+                shapley[f] += len(removed)
+                gone, left = gone + removed, kept
+        for key, row in out.items():
+            if key[0] == part:
+                row[-1] = shapley[row[-1]]
+    return {k: tuple(v) for k, v in out.items()}
