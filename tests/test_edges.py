@@ -304,53 +304,6 @@ def test_trace_store_prunes_by_date(spark, tmp_path):
     assert back.where("dt = date '2024-01-05'").count() == tr.where("to_date(ts) = date '2024-01-05'").count()
 
 
-def stream(spark, df, path):
-    df.write.mode("overwrite").parquet(str(path))
-    return spark.readStream.schema(df.schema).parquet(str(path))
-
-
-def run(spark, df, name, mode="append"):
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
-def test_stream_rollup_equals_batch(spark, tmp_path):
-    points = adapter.derived(spark, "/root/testdata/sf0.001", "points")
-    hourly = lambda df: telemetry.metrics_rollup(df, "1 hour")
-    got = run(spark, jobs.stream_rollup(stream(spark, points, tmp_path / "in"), hourly, "1 hour"), "hourly", "complete")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hourly(points).collect()))
-
-
-def test_stream_dedup_and_chain(spark, tmp_path):
-    tr = adapter.traces(spark, "/root/testdata/sf0.001").select("agent_id_hash", "trace_id", "audit_sequence_number", "ts")
-    twice = stream(spark, tr.union(tr), tmp_path / "twice")
-    assert run(spark, jobs.stream_dedup(twice, ["trace_id"], "1 day"), "once").count() == tr.count()
-    gaps = run(spark, jobs.stream_chain_gaps(stream(spark, tr, tmp_path / "tr")), "gaps")
-    assert sorted(map(tuple, gaps.collect())) == sorted((r.agent_id_hash, r.trace_id, r.prev_seq, r.seq, r.gap) for r in D.hash_chain_gaps(tr).collect())
-
-
-def test_stream_ingest_routes_every_component(spark, tmp_path):
-    from tracemill.plans.records import _components
-
-    ev = _components(spark, DATA)
-    part = F.struct("i", F.lit("step").alias("component_type"), "event_type", F.col("event_ts").cast("string").alias("timestamp"), "data")
-    traces = ev.groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(part)), lambda x: F.struct(x["component_type"].alias("component_type"), x["event_type"].alias("event_type"), x["timestamp"].alias("timestamp"), x["data"].alias("data"))).alias("components"))
-    jobs.stream_ingest(stream(spark, traces.repartition(3), tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == ev.count() and {r.destination for r in out.select("destination").distinct().collect()} == {"production", "mock", "malformed", "connectivity"}
-
-
-def test_stream_latest_and_alerts(spark, tmp_path):
-    checks = adapter.derived(spark, "/root/testdata/sf0.001", "checks")
-    jobs.stream_latest(stream(spark, checks, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    checks.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
-    jobs.stream_latest(spark.readStream.schema(checks.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/1")).collect())) == sorted(map(tuple, telemetry.latest_status(checks).collect()))
-    logs = adapter.derived(spark, "/root/testdata/sf0.001", "logs")
-    assert run(spark, jobs.stream_error_alerts(stream(spark, logs, tmp_path / "logs")), "alerts", "complete").count() == telemetry.alert_rules(logs).count()
-
-
 def test_repair_overwrites_late_buckets(spark):
     points = adapter.derived(spark, "/root/testdata/sf0.001", "points")
     daily = lambda df: telemetry.metrics_rollup(df, "1 day")

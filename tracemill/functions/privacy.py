@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -307,20 +308,38 @@ def _scrub_fields(value: object, fields: frozenset[str] | None, protected: froze
     return {k: v if k in protected else _scrub_all(v, protected) if k in fields else _scrub_fields(v, fields, protected, depth + 1) for k, v in value.items()}
 
 
+#: half a surrogate pair: JSON may name one, UTF-8 has none
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _json_text(value: object) -> str:
+    """Compact JSON; halves of surrogate pairs become the replacement character."""
+    return _LONE.sub("\ufffd", json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
+
 def _walked(column: pd.Series, change) -> list:  # noqa: ANN001
-    """JSON texts after ``change`` of what they hold; text that is no JSON is changed as one string."""
+    """JSON texts after ``change`` of what they hold.
+
+    Text that is no JSON, or is nested deeper than Python follows, is changed as one
+    string.  Numbers that JSON does not know (NaN, Infinity) become null.
+    """
     out = []
     for text in column:
         if text is None:
             out.append(None)
             continue
         try:
-            out.append(json.dumps(change(json.loads(text)), ensure_ascii=False, separators=(",", ":")))
-        except ValueError:
-            out.append(change(text))
+            out.append(_json_text(change(json.loads(text, parse_constant=lambda _: None))))
+        except (ValueError, RecursionError):
+            out.append(_LONE.sub("\ufffd", change(text)))
     return out
 
 
+def unreadable(column: Column) -> Column:
+    """Whether a text that begins like a JSON object or list can't be read as one: broken, or nested too deep."""
+    return F.coalesce(column.rlike(r"^\s*[\[{]") & F.try_parse_json(column).isNull(), F.lit(False))
+
+
 def scrub_json(column: Column, fields: Iterable[str] | None = SCRUB_FIELDS, protected: Iterable[str] = STRUCTURAL_KEYS) -> Column:
     """JSON text with every string under a listed key scrubbed (of all keys if there is no list); structural ids stay.
 

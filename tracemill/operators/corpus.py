@@ -58,20 +58,31 @@ def top_cells(df: DataFrame, cell: Sequence[str], entity: str, n: int = 20, k: i
 
 
 def signal_health(tr: DataFrame) -> DataFrame:
-    """How many traces lack or carry each signal."""
-    null = lambda c: F.count_if(F.col(c).isNull())
+    """How many traces carry each of nine signals; a check that was not run is no veto."""
+    vetoed = lambda check: F.count_if(F.col(check) == F.lit(False))
     return tr.agg(
-        F.count("*").alias("n"), null("conscience_passed").alias("no_conscience"), null("action_success").alias("no_outcome"), null("fragility").alias("no_fragility"), null("task_id").alias("no_task"), null("channel_id").alias("no_channel"),
-        F.count_if(~F.col("signature_verified")).alias("unverified"), F.count_if("action_was_overridden").alias("overridden"), F.count_if("has_positive_moment").alias("positive"), F.count_if("fragility").alias("fragile"),
-    )
+        F.count_if(F.col("csdma") == 0).alias("csdma_zero"),
+        F.count_if(F.col("csdma") >= 0.9).alias("csdma_high"),
+        vetoed("coherence_passed").alias("coherence_vetoed"),
+        vetoed("entropy_passed").alias("entropy_vetoed"),
+        vetoed("optimization_veto_passed").alias("optimization_vetoed"),
+        vetoed("epistemic_humility_passed").alias("epistemic_vetoed"),
+        F.count_if("fragility").alias("fragile"),
+        F.count_if("signature_verified").alias("signature_ok"),
+        F.count_if("action_was_overridden").alias("overridden"),
+        F.count("*").alias("total"),
+    )
 
 
 def stationarity(tr: DataFrame, metrics: Sequence[str] = ("csdma", "dsdma", "coherence", "entropy"), limit: float = 0.10) -> DataFrame:
-    """Means before and after the middle of the time span."""
-    ends = tr.agg(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).alias("middle"))
-    halves = tr.join(F.broadcast(ends), how="cross").withColumn("late", F.unix_micros("ts") >= F.col("middle"))
-    long = halves.select("late", *metrics).unpivot("late", list(metrics), "metric", "x")
-    means = long.groupBy("metric").agg(F.avg(F.when(~F.col("late"), F.col("x"))).alias("first"), F.avg(F.when(F.col("late"), F.col("x"))).alias("second"))
+    """Means and counts before and after the middle of the time in which a metric has values."""
+    at = F.unix_micros("ts")
+    middle = lambda m: ((F.min(F.when(F.col(m).isNotNull(), at)) + F.max(F.when(F.col(m).isNotNull(), at))) / 2).alias(f"middle_{m}")
+    ends = tr.agg(*[middle(m) for m in metrics])  # one row
+    halves = tr.join(F.broadcast(ends), how="cross")
+    each = halves.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x"), (at >= F.col(f"middle_{m}")).alias("late")) for m in metrics])).alias("v")).select("v.*").where("x is not null")
+    half = lambda f, late: f(F.when(F.col("late") == late, F.col("x")))
+    means = each.groupBy("metric").agg(half(F.avg, False).alias("first"), half(F.avg, True).alias("second"), half(F.count, False).alias("first_n"), half(F.count, True).alias("second_n"))
     return means.withColumn("shifted", F.abs(F.col("first") - F.col("second")) >= limit)
 
 
@@ -158,9 +169,23 @@ def rolling_n_eff(tr: DataFrame, window: int = 500, step: int = 100) -> DataFram
     return n_eff(windows, by="w")
 
 
-def repository_stats(tr: DataFrame) -> DataFrame:
-    """Totals and means by domain, and over all in the row of null."""
-    return tr.rollup("dsdma_domain").agg(F.count("*").alias("n"), F.countDistinct("agent_id_hash").alias("agents"), F.avg("csdma").alias("csdma"), F.avg("coherence").alias("coherence"), F.avg(F.when(F.col("action_was_overridden"), 1.0).otherwise(0.0)).alias("override_rate"))
+def repository_stats(tr: DataFrame, domain: str | None = None) -> DataFrame:
+    """Totals, means and rates over all (level ``all``) and in each known domain; of one domain alone if it is named."""
+    rate = lambda flag: F.avg(F.when(F.col(flag), 1.0).otherwise(0.0))
+    rows = (tr if domain is None else tr.where(F.col("dsdma_domain") == domain)).withColumn("domain_of", F.col("dsdma_domain"))
+    sets = [[]] if domain is not None else [[], ["dsdma_domain"]]
+    done = rows.groupingSets(sets, "dsdma_domain").agg(
+        F.grouping("dsdma_domain").alias("whole"),
+        F.count("*").alias("traces"),
+        F.countDistinct("agent_id_hash").alias("agents"),
+        F.countDistinct("domain_of").alias("domains"),
+        *[F.avg(c).alias(c) for c in ("csdma", "dsdma", "k_eff")],
+        rate("conscience_passed").alias("conscience_pass_rate"),
+        rate("action_was_overridden").alias("override_rate"),
+        rate("fragility").alias("fragile_rate"),
+    )
+    level = F.when(F.col("whole") == 1, "all").otherwise("domain")
+    return done.where("whole = 1 or dsdma_domain is not null").withColumn("level", level).drop("whole")
 
 
 def share_of(tr: DataFrame, column: str | Column) -> DataFrame:

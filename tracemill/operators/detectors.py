@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracemill.operators.windows import evidence, moment, trailing
+from tracemill.operators.windows import evidence, lagged, moment, trailing
 
 METRICS = ("csdma", "dsdma", "coherence")
+#: what agents of one deployment domain are compared by, besides their override rate
+COHORT_METRICS = ("csdma", "dsdma", "k_eff", "correlation_risk")
 ALERT = ("alert_id", "severity", "mechanism", "agent_id_hash", "domain", "metric", "value", "baseline", "deviation", "deviation_text", "recommended_action", "evidence")
 #: what to do about an alert, by mechanism
 ADVICE = {
@@ -51,10 +53,10 @@ def build_alerts(findings: DataFrame, mechanism: str) -> DataFrame:
 
 
 def cohort_divergence(tr: DataFrame, as_of: str, days: int = 7, min_traces: int = 10) -> DataFrame:
-    """Signed z of every agent within its deployment domain, for five metrics."""
-    means = [F.avg(m).alias(m) for m in (*METRICS, "entropy")]
+    """Signed z of every agent within its deployment domain: plausibility, alignment, k_eff, correlation risk and override rate."""
+    means = [F.avg(m).alias(m) for m in COHORT_METRICS]
     per_agent = trailing(tr, as_of, days).groupBy("deployment_domain", "agent_id_hash").agg(*means, _rate("action_was_overridden").alias("override_rate"), F.count("*").alias("n")).where(F.col("n") >= min_traces)
-    long = per_agent.unpivot(["deployment_domain", "agent_id_hash", "n"], [*METRICS, "entropy", "override_rate"], "metric", "value")
+    long = per_agent.unpivot(["deployment_domain", "agent_id_hash", "n"], [*COHORT_METRICS, "override_rate"], "metric", "value")
     cohort = Window.partitionBy("deployment_domain", "metric")
     sd = F.stddev_samp("value").over(cohort)
     return long.withColumn("z", F.when(sd > 0, (F.col("value") - F.avg("value").over(cohort)) / sd).otherwise(0.0))
@@ -70,10 +72,10 @@ def intra_agent_inconsistency(tr: DataFrame, as_of: str, days: int = 30, actions
 
 
 def hash_chain_gaps(tr: DataFrame) -> DataFrame:
-    """Places where an agent's audit sequence does not go up by one."""
-    order = Window.partitionBy("agent_id_hash").orderBy("audit_sequence_number", "trace_id")
-    step = tr.where("audit_sequence_number is not null").withColumn("prev_seq", F.lag("audit_sequence_number").over(order))
-    return step.select("agent_id_hash", "trace_id", "prev_seq", F.col("audit_sequence_number").alias("seq"), (F.col("audit_sequence_number") - F.col("prev_seq")).alias("gap")).where("gap <> 1")
+    """Places where an agent's audit sequence does not go up by one; an agent of any size is compared in slices of its sequence."""
+    rows = tr.where("audit_sequence_number is not null").select("agent_id_hash", "trace_id", F.col("audit_sequence_number").cast("long").alias("seq"))
+    step = lagged(rows, "agent_id_hash", F.col("seq"), ["trace_id"], ["seq"]).withColumn("prev_seq", F.col("before.seq"))
+    return step.select("agent_id_hash", "trace_id", "prev_seq", "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")).where("gap <> 1")
 
 
 def hash_chain_alerts(tr: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -160,8 +162,16 @@ def outliers(df: DataFrame, column: str, by: str, threshold: float = 2.0) -> Dat
 
 
 def alert_stats(alerts: DataFrame) -> DataFrame:
-    """Counts by mechanism, and over all in the row of null."""
-    return alerts.rollup("mechanism").agg(F.count("*").alias("alerts"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.countDistinct("agent_id_hash").alias("agents"))
+    """Counts by mechanism, and over all in the row of null; ``alerts`` says which were acknowledged and resolved."""
+    is_ = lambda level: F.count_if(F.col("severity") == level)
+    return alerts.rollup("mechanism").agg(
+        F.count("*").alias("alerts"),
+        is_("critical").alias("critical"),
+        is_("warning").alias("warnings"),
+        F.count_if(F.col("acknowledged") == F.lit(False)).alias("unacknowledged"),
+        F.count_if("resolved").alias("resolved"),
+        F.countDistinct("agent_id_hash").alias("agents"),
+    )
 
 
 def weekly_rolling(tr: DataFrame) -> DataFrame:

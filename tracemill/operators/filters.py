@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tracemill.operators.windows import moment
+from tracemill.operators.windows import lagged, moment
 
 MAX_PAGE = 1000
 
@@ -84,10 +85,29 @@ def keyset_page(df: DataFrame, cursor: tuple[str, str] | None, limit: int) -> Da
     return df.orderBy(F.desc("ts"), F.desc("trace_id")).limit(min(limit, MAX_PAGE))
 
 
+def task_of(tr: DataFrame) -> Column:
+    """A trace's task; one without a task, or with an empty one, stands alone."""
+    return F.coalesce(F.nullif("task_id", F.lit("")), F.concat(F.lit("standalone-"), F.col("trace_id")))
+
+
 def group_by_task(tr: DataFrame) -> DataFrame:
-    """Traces of each task (one without a task stands alone) and the seed, the first at the least depth."""
-    task = F.coalesce("task_id", F.concat(F.lit("standalone-"), F.col("trace_id")))
-    return tr.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min_by("trace_id", F.struct("thought_depth", "ts", "event_id")).alias("seed"), F.max("ts").alias("newest"), F.sum("tokens_total").alias("tokens"))
+    """Each task with its seed, the first trace at depth 0 (agent, time, what was first observed), newest seed first.
+
+    A task without a seed has none of these and stands last.  Its traces are
+    ``task_traces``: a row each, as a task may have any number.
+    """
+    parts = ["trace_id", "agent_id_hash", "agent_name", "ts", *[c for c in ("snapshot_and_context", "action_rationale") if c in tr.columns]]
+    seed = F.min_by(F.struct(*parts), F.when(F.col("thought_depth") == 0, F.struct("ts", "event_id")))
+    tasks = tr.groupBy(task_of(tr).alias("task")).agg(F.count("*").alias("n"), seed.alias("s"))
+    text = F.get_json_object("s.snapshot_and_context", "$.system_snapshot.current_thought_summary.content") if "snapshot_and_context" in parts else F.lit(None).cast("string")
+    rationale = F.col("s.action_rationale") if "action_rationale" in parts else None
+    done = tasks.select("task", "n", F.col("s.trace_id").alias("seed"), F.col("s.agent_name").alias("agent"), F.col("s.ts").alias("started_at"), initial_observation(text, rationale).alias("observation"))
+    return done.orderBy(F.desc_nulls_last("started_at"), "task")
+
+
+def task_traces(tr: DataFrame) -> DataFrame:
+    """The traces of every task, a row each, with the columns of a list; order by task and time to read them in turn."""
+    return tr.select(task_of(tr).alias("task"), "ts", "trace_id", "thought_depth", "agent_id_hash", "selected_action")
 
 
 def initial_observation(text: Column, rationale: Column | None = None) -> Column:
@@ -169,15 +189,20 @@ def ledger_chain(ledger: DataFrame, by: str, order: list[str], entry: list[str],
     field breaks its own check, and one of a stored hash the check of the next.
     Without stored hashes the fields alone are hashed, and every entry is intact.
     """
-    before = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy(by).orderBy(*order)), F.lit("genesis"))
+
+    def linked(df: DataFrame, name: str, column: str) -> DataFrame:
+        """``df`` with the entry before's ``column``; a ledger of any size is walked in slices of its first order column."""
+        done = lagged(df, by, F.col(order[0]), order[1:], [column])
+        return done.withColumn(name, F.coalesce(F.col(f"before.{column}"), F.lit("genesis"))).drop("before")
+
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in entry]
     if stored is None:
         hashed = ledger.withColumn("entry_hash", F.sha2(F.concat_ws("|", *fields), 256))
-        return hashed.withColumn("prev_hash", before("entry_hash")).withColumn("is_intact", F.lit(True))
+        return linked(hashed, "prev_hash", "entry_hash").withColumn("is_intact", F.lit(True))
     previous, own = stored
-    linked = ledger.withColumn("expected_prev", before(own))
+    found = linked(ledger, "expected_prev", own)
     intact = (F.col(previous) == F.col("expected_prev")) & (F.col(own) == F.sha2(F.concat_ws("|", previous, *fields), 256))
-    return linked.withColumn("is_intact", F.coalesce(intact, F.lit(False)))
+    return found.withColumn("is_intact", F.coalesce(intact, F.lit(False)))
 
 
 def seal(entry: list[str], previous: Column) -> Column:
@@ -206,10 +231,21 @@ def apply_retention(df: DataFrame, as_of: str, days: int, ts: str = "ts") -> Dat
     return df.where(F.col(ts) >= moment(as_of) - F.make_dt_interval(days=F.lit(days)))
 
 
-def qa_export(tr: DataFrame, events: DataFrame, prefix: str, versions: list[str]) -> DataFrame:
-    """Events of the traces that qualify, in order."""
-    wanted = tr.where(F.col("schema_version").isin(versions) & F.startswith("channel_id", F.lit(prefix))).select("event_id").distinct()
-    return events.join(wanted, "event_id", "left_semi").orderBy("event_id")
+def qa_traces(events: DataFrame, version: str, prefix: str, levels: Sequence[str] = ("detailed", "full_traces"), since: str | None = None, until: str | None = None) -> DataFrame:
+    """Ids of the traces whose first event qualifies: its version, its channel's beginning, its level and its time."""
+    first = events.where((F.col("schema_version") == version) & (F.col("event_type") == "THOUGHT_START") & F.col("trace_level").isin(*levels))
+    if since is not None:
+        first = first.where(F.col("ts") >= moment(since))
+    if until is not None:
+        first = first.where(F.col("ts") <= moment(until))
+    return first.where(F.startswith(F.get_json_object("payload", "$.channel_id"), F.lit(prefix))).select("trace_id").distinct()
+
+
+def qa_export(events: DataFrame, calls: DataFrame, version: str, prefix: str = "model_eval_", **window: str | None) -> tuple[DataFrame, DataFrame]:
+    """(events, model calls) of the traces that qualify, each ordered by trace, time and id."""
+    wanted = qa_traces(events, version, prefix, **window)
+    kept = lambda df, key: df.join(wanted, "trace_id", "left_semi").orderBy("trace_id", "ts", key)
+    return kept(events, "event_id"), kept(calls, "call_id")
 
 
 def release_filter(tr: DataFrame, batches: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame, DataFrame]:

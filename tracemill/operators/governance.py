@@ -54,8 +54,10 @@ def live_agents(discovered: DataFrame, managers: DataFrame, as_of: str, minutes:
 
 
 def fleet_stats(discovered: DataFrame, managers: DataFrame, as_of: str, minutes: int = 5) -> DataFrame:
-    live = live_agents(discovered, managers, as_of, minutes)
-    return live.agg(F.count("*").alias("sightings"), F.countDistinct("agent").alias("agents"), F.countDistinct("manager_id").alias("managers"))
+    """Enabled managers, agents that any manager has seen in the last minutes, and enabled managers whose last visit failed."""
+    seen = discovered.where((F.col("seen") > moment(as_of) - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("seen") <= moment(as_of)))
+    enabled = managers.where("enabled").agg(F.count("*").alias("total_managers"), F.count("last_error").alias("managers_with_errors"))
+    return enabled.join(seen.agg(F.countDistinct("agent").alias("total_agents")), how="cross")  # of one row each
 
 
 def listed(df: DataFrame, order: str, key: str, limit: int, **filters: object) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.privacy import hash_user, redact_log, sanitize_json, scrub_json
+from tracemill.functions.privacy import hash_user, redact_log, sanitize_json, scrub_json, unreadable
 
 #: fixed values: the event types of a trace
 SIX = ("THOUGHT_START", "SNAPSHOT_AND_CONTEXT", "DMA_RESULTS", "ASPDMA_RESULT", "CONSCIENCE_RESULT", "ACTION_RESULT")
@@ -302,7 +302,7 @@ def payload_digest(ev: DataFrame) -> DataFrame:
             parts = [{k: c.get(k) for k in ("component_type", "event_type", "timestamp", "data")} for c in components]
             try:
                 return hashlib.sha256(canonical_payload(parts, level)).hexdigest()
-            except ValueError:
+            except (ValueError, RecursionError):
                 return hashlib.sha256(payload.encode()).hexdigest()
 
         return pd.Series([one(p, v) for p, v in zip(payloads, levels, strict=True)], dtype=object)
@@ -332,8 +332,9 @@ def ingest(ev: DataFrame, keys: DataFrame | None = None) -> dict[str, DataFrame]
 
     ``ev`` has trace_id, i, event_type and data, and, where they are known, timestamp,
     trace_level, batch_id and what a key check reads (signature_key_id, ts).  A trace is
-    malformed if its schema does not validate, its key is not known and valid, or its
-    level needs a recogniser of names that there is none of.  Detailed traces are
+    malformed if its schema does not validate, a component's data begin like JSON and are
+    broken or nested too deep to read, its key is not known and valid, or its level needs
+    a recogniser of names that there is none of.  Detailed traces are
     scrubbed and all are sanitised, in parsed JSON, before anything is extracted.
     ``results`` says of each trace its destination and the reason if it was turned away.
     """
@@ -342,7 +343,8 @@ def ingest(ev: DataFrame, keys: DataFrame | None = None) -> dict[str, DataFrame]
     level = F.max("trace_level") if "trace_level" in ev.columns else F.lit("detailed")
     batch = F.max("batch_id") if "batch_id" in ev.columns else F.lit(None).cast("string")
     models = F.max(F.when(F.col("event_type") == "ACTION_RESULT", F.get_json_object("data", "$.models_used")))
-    about = ev.groupBy("trace_id").agg(level.alias("level"), batch.alias("batch_id"), F.from_json(models, "array<string>").alias("models"))
+    broken = F.bool_or(unreadable(F.col("data")))
+    about = ev.groupBy("trace_id").agg(level.alias("level"), batch.alias("batch_id"), F.from_json(models, "array<string>").alias("models"), broken.alias("broken"))
     if keys is not None:
         owners = ev.groupBy("trace_id").agg(F.max("signature_key_id").alias("signature_key_id"), F.max("ts").alias("ts"))
         about = about.join(check_keys(owners, keys), "trace_id", "left")
@@ -350,6 +352,7 @@ def ingest(ev: DataFrame, keys: DataFrame | None = None) -> dict[str, DataFrame]
     live = F.col("version") != "connectivity"
     reason = (
         F.when(~F.col("is_valid"), F.concat(F.lit("schema: "), F.array_join("errors", " ")))
+        .when(F.col("broken"), "payload: unreadable")
         .when(live & (status != "known"), F.concat(F.lit("key: "), status))
         .when(live & (F.col("level") == "full_traces"), "no recogniser of names")
     )

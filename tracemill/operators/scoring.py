@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.operators.filters import exclude_benchmark
-from tracemill.operators.windows import moment
+from tracemill.operators.windows import lagged, moment
 
 AGENT = "agent_name"
 #: fixed values: the actions whose checks are run, and the parameters of the factors
@@ -190,30 +190,61 @@ def fleet_summary(scores: DataFrame) -> DataFrame:
 
 def identity_drift(tr: DataFrame) -> DataFrame:
     """Changes of an agent's name along its traces."""
-    order = Window.partitionBy("agent_id_hash").orderBy("ts", "event_id")
-    before = F.lag(AGENT).over(order)
-    return tr.select("agent_id_hash", (before != F.col(AGENT)).alias("changed")).groupBy("agent_id_hash").agg(F.count("*").alias("n"), F.count_if("changed").alias("changes"), (F.count_if("changed") / F.count("*")).alias("drift"))
+    rows = tr.select("agent_id_hash", AGENT, "ts", "event_id")
+    step = lagged(rows, "agent_id_hash", F.unix_micros("ts"), ["event_id"], [AGENT], bits=36, levels=1)
+    changed = F.col(f"before.{AGENT}") != F.col(AGENT)
+    return step.groupBy("agent_id_hash").agg(F.count("*").alias("n"), F.count_if(changed).alias("changes"), (F.count_if(changed) / F.count("*")).alias("drift"))
 
 
 def fragility_mttr(tr: DataFrame) -> DataFrame:
     """Mean hours from a fragile trace to the agent's next one, if that one is not fragile."""
-    order = Window.partitionBy("agent_id_hash").orderBy("ts", "event_id")
-    seen = tr.where("fragility is not null").select("agent_id_hash", "fragility", "ts", F.lead("fragility").over(order).alias("after"), F.lead("ts").over(order).alias("until"))
-    hours = (F.unix_micros("until") - F.unix_micros("ts")) / 3_600_000_000.0
-    return seen.where("fragility and not after").groupBy("agent_id_hash").agg(F.avg(hours).alias("mttr_hours"), F.count("*").alias("recoveries"))
+    rows = tr.where("fragility is not null").select("agent_id_hash", "fragility", "ts", "event_id")
+    step = lagged(rows, "agent_id_hash", F.unix_micros("ts"), ["event_id"], ["fragility", "ts"], bits=36, levels=1)
+    hours = (F.unix_micros("ts") - F.unix_micros("before.ts")) / 3_600_000_000.0
+    return step.where("before.fragility and not fragility").groupBy("agent_id_hash").agg(F.avg(hours).alias("mttr_hours"), F.count("*").alias("recoveries"))
+
+
+def hourly_coherence_divergence(tr: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Spread of agents' mean coherence in every hour of the last days, none where one agent was active."""
+    late = tr.where((F.col("ts") > moment(as_of) - F.make_dt_interval(days=F.lit(days))) & (F.col("ts") <= moment(as_of)))
+    hourly = late.groupBy(F.date_trunc("hour", "ts").alias("hour"), AGENT).agg(F.avg("coherence").alias("m"))
+    return hourly.groupBy("hour").agg(F.stddev_samp("m").alias("cross_agent_divergence"), F.avg("m").alias("fleet_coherence"))
 
 
-def hourly_coherence_divergence(tr: DataFrame) -> DataFrame:
-    """Spread of agents' mean coherence in every hour with two agents at least."""
-    hourly = tr.groupBy(F.date_trunc("hour", "ts").alias("hour"), "agent_id_hash").agg(F.avg("coherence").alias("m"))
-    return hourly.groupBy("hour").agg(F.stddev_samp("m").alias("spread"), F.avg("m").alias("mean"), F.count("*").alias("agents")).where("agents >= 2")
+#: fixed values: where a diagnosis starts to speak
+LOW_FACTOR, HIGH_RAW, LOW_BASE, DRIFTED, ENOUGH, COVERAGE = 0.7, 0.9, 0.7, 0.05, 30, 0.8
 
 
-def diagnose(tr: DataFrame, start: str, end: str) -> DataFrame:
-    """Coverage of each agent's fields and what stands in the way of a trusted score."""
-    rows = between(tr, start, end).groupBy(AGENT).agg(F.count("*").alias("n"), F.avg(F.when(F.col("signature_verified"), 1.0).otherwise(0.0)).alias("verified"), F.avg(F.col("coherence_passed").isNotNull().cast("double")).alias("checked"), F.avg(F.col("action_success").isNotNull().cast("double")).alias("outcomes"))
-    issues = F.array_compact(F.array(F.when(F.col("n") < 30, F.lit("few traces")), F.when(F.col("verified") < 0.95, F.lit("unverified signatures")), F.when(F.col("checked") < 0.9, F.lit("coherence not checked")), F.when(F.col("outcomes") < 0.9, F.lit("outcomes missing"))))
-    return rows.withColumn("issues", issues)
+def diagnose(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFrame:
+    """Each agent's factors, the lowest of them, and what stands in the way of a trusted score.
+
+    Issues: ``<factor>_low``; ``decay`` (age alone pulls coherent traces down, by
+    decay_impact); ``drift`` from the baseline (by change); ``few_traces``; and
+    ``low_coverage`` (too few of the traces that act have a coherence check).
+    """
+    rows = between(tr, start, end)
+    age = (F.unix_micros(moment(end)) - F.unix_micros("ts")) / 86_400_000_000.0
+    checked, passed = F.col("coherence_passed").isNotNull(), F.coalesce(F.col("coherence_passed"), F.lit(False))
+    acts = F.substring_index("selected_action", ".", -1).isin(*NON_EXEMPT)
+    stats = rows.groupBy(AGENT).agg(F.count("*").alias("total"), F.count_if(acts).alias("non_exempt"), F.avg(age).alias("age_days"), F.count_if(checked).alias("has_coherence"), F.count_if(passed).alias("coherent"))
+    weight = F.exp(-DECAY * age)
+    share = lambda x: F.sum(F.when(passed, x).otherwise(F.lit(0.0))) / F.sum(F.when(checked, x))
+    decayed = acting(scored(tr, start, end)).groupBy(AGENT).agg(share(F.lit(1.0)).alias("raw_rate"), share(weight).alias("s_base"))
+    scores = composite(tr, start, end, baseline_start).drop("traces", "fragility", "category", "confidence")
+    change = factor_r(tr, start, end, baseline_start).select(AGENT, "change")
+    both = stats.join(scores, AGENT).join(decayed, AGENT, "left").join(change, AGENT, "left")
+    factors = ("c", "i_int", "r", "i_inc", "s")
+    low = [F.when(F.col(f) < LOW_FACTOR, F.lit(f"{f}_low")) for f in factors]
+    said = [
+        F.when((F.col("raw_rate") > HIGH_RAW) & (F.col("s_base") < LOW_BASE), F.lit("decay")),
+        F.when(F.col("change") > DRIFTED, F.lit("drift")),
+        F.when(F.col("total") < ENOUGH, F.lit("few_traces")),
+        F.when(F.col("coverage") < COVERAGE, F.lit("low_coverage")),
+    ]
+    lowest = F.array_min(F.array(*[F.struct(F.col(f).alias("x"), F.lit(f).alias("name")) for f in factors]))["name"]
+    done = both.withColumn("coverage", F.col("has_coherence") / F.nullif("non_exempt", F.lit(0))).withColumn("decay_impact", F.col("raw_rate") - F.col("s_base"))
+    numbers = ["total", "non_exempt", "age_days", "has_coherence", "coherent", *factors, "composite", "change", "coverage", "decay_impact"]
+    return done.select(AGENT, *numbers, lowest.alias("lowest"), F.array_compact(F.array(*low, *said)).alias("issues"))
 
 
 def factor_inputs(tr: DataFrame, start: str, end: str, baseline_start: str) -> DataFrame:

@@ -28,3 +28,37 @@ def evidence(rows: DataFrame, keys: list[str], order: str = "ts", what: str = "t
     top = rows.select(*keys, what, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).alias("rn")).where(F.col("rn") <= n)
     ranked = F.sort_array(F.collect_list(F.struct("rn", what)))
     return top.groupBy(*keys).agg(F.transform(ranked, lambda s: s[what]).alias("evidence"))
+
+
+def _lag_of_slices(lasts: DataFrame, level: int) -> DataFrame:
+    """(key, slice, carried): what the slice before ended with; slices are few, or are cut into slices themselves."""
+    if not level:
+        order = Window.partitionBy("__key").orderBy("__slice")
+        return lasts.select("__key", "__slice", F.lag("__last").over(order).alias("__carried"))
+    done = _lagged(lasts.withColumnRenamed("__slice", "__at"), [], ["__last"], 16, level - 1)
+    return done.select("__key", F.col("__at").alias("__slice"), F.col("__before.__last").alias("__carried"))
+
+
+def _lagged(df: DataFrame, order: list[str], columns: list[str], bits: int, levels: int) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    cut = df.withColumn("__slice", F.shiftright("__at", bits))
+    inside = Window.partitionBy("__key", "__slice").orderBy("__at", *order)
+    lasts = cut.groupBy("__key", "__slice").agg(F.max_by(row, F.struct("__at", *order)).alias("__last"))
+    marked = cut.withColumn("__before", F.lag(row).over(inside))
+    carried = _lag_of_slices(lasts, levels)
+    both = marked.join(carried, ["__key", "__slice"], "left")
+    return both.withColumn("__before", F.coalesce("__before", "__carried")).drop("__slice", "__carried")
+
+
+def lagged(df: DataFrame, by: str, at: Column, order: list[str], columns: list[str], bits: int = 16, levels: int = 2) -> DataFrame:
+    """``df`` with a struct ``before``: ``columns`` of the row before, among the rows of ``by`` in the order of (``at``, ``order``).
+
+    What ``lag`` over a window gives (null in a group's first row), for groups of any size.
+    ``at`` is a whole number and no null.  Rows are sorted in slices of 2**bits of it; a
+    slice hands its last row to the next.  The last rows of a group's slices are put in
+    order the same way, ``levels`` times, so neither many rows in a row nor numbers far
+    apart bring a group into one task.  Rows of ``by`` = null are a group.
+    """
+    key = F.when(F.col(by).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(by).cast("string")))
+    made = df.withColumn("__key", key).withColumn("__at", at.cast("long"))
+    return _lagged(made, order, columns, bits, levels).withColumnRenamed("__before", "before").drop("__key", "__at")

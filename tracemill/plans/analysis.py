@@ -96,14 +96,21 @@ on("k_anonymous", lambda tr: C.k_anonymous(tr, ["deployment_region", "cognitive_
 on(
     "signal_health",
     C.signal_health,
-    """select count(*) as n, count(*) filter (conscience_passed is null) as no_conscience, count(*) filter (action_success is null) as no_outcome, count(*) filter (fragility is null) as no_fragility, count(*) filter (task_id is null) as no_task,
-       count(*) filter (channel_id is null) as no_channel, count(*) filter (not signature_verified) as unverified, count(*) filter (action_was_overridden) as overridden, count(*) filter (has_positive_moment) as positive, count(*) filter (fragility) as fragile from tr""",
+    """select count(*) filter (where csdma = 0) as csdma_zero, count(*) filter (where csdma >= 0.9) as csdma_high, count(*) filter (where coherence_passed = false) as coherence_vetoed, count(*) filter (where entropy_passed = false) as entropy_vetoed,
+              count(*) filter (where optimization_veto_passed = false) as optimization_vetoed, count(*) filter (where epistemic_humility_passed = false) as epistemic_vetoed, count(*) filter (where fragility = true) as fragile,
+              count(*) filter (where signature_verified = true) as signature_ok, count(*) filter (where action_was_overridden = true) as overridden, count(*) as total from tr""",
 )
+_GAPPED = "case when event_id % 7 = 0 or ts > timestamp '2024-01-25' then null else csdma end"  # a metric whose values end early
 on(
     "stationarity",
-    C.stationarity,
-    f"""with m as (select (epoch_us(min(ts)) + epoch_us(max(ts))) / 2 as middle from tr), l as (unpivot (select epoch_us(ts) >= middle as late, csdma, dsdma, coherence, entropy from tr, m) on csdma, dsdma, coherence, entropy into name metric value x)
-        select metric, {r('avg(x) filter (not late)')} as first, {r('avg(x) filter (late)')} as second, abs(avg(x) filter (not late) - avg(x) filter (late)) >= 0.10 as shifted from l group by metric""",
+    lambda tr: C.stationarity(tr.withColumn("csdma", F.expr(_GAPPED))),
+    "with c as (select ts, {g} as csdma, dsdma, coherence, entropy from tr)".format(g=_GAPPED)
+    + " union all ".join(
+        f""" select '{m}' as metric, {r('avg(x) filter (where not late)')} as first, {r('avg(x) filter (where late)')} as second, count(x) filter (where not late) as first_n, count(x) filter (where late) as second_n,
+                    abs(avg(x) filter (where not late) - avg(x) filter (where late)) >= 0.10 as shifted
+             from (select {m} as x, epoch_us(ts) >= (select (epoch_us(min(ts)) + epoch_us(max(ts))) / 2 from c where {m} is not null) as late from c where {m} is not null) y"""
+        for m in ("csdma", "dsdma", "coherence", "entropy")
+    ),
 )
 _KINDS = {"plain": "cast({c} as double)", "zero": "coalesce(cast({c} as double), 0)", "flag": "case when {c} then 1 else 0 end", "tri": "cast({c} as int)"}
 _on_context("constraint_vector", C.constraint_vector, "select trace_id, " + ", ".join(f"{r(_KINDS[kind].format(c=c))} as {c}" for c, kind in C.FEATURES.items()) + " from tc")
@@ -113,7 +120,12 @@ registry.queries["rolling_n_eff"] = lambda spark, d: tidy(C.rolling_n_eff(_conte
 on(
     "repository_stats",
     C.repository_stats,
-    f"select dsdma_domain, count(*) as n, count(distinct agent_id_hash) as agents, {r('avg(csdma)')} as csdma, {r('avg(coherence)')} as coherence, {r('avg(case when action_was_overridden then 1.0 else 0.0 end)')} as override_rate from tr group by rollup (dsdma_domain)",
+    " union all ".join(
+        f"""select '{level}' as level, {domain} as dsdma_domain, count(*) as traces, count(distinct agent_id_hash) as agents, count(distinct dsdma_domain) as domains, {r('avg(csdma)')} as csdma, {r('avg(dsdma)')} as dsdma, {r('avg(k_eff)')} as k_eff,
+                   {r('avg(case when conscience_passed then 1.0 else 0.0 end)')} as conscience_pass_rate, {r('avg(case when action_was_overridden then 1.0 else 0.0 end)')} as override_rate, {r('avg(case when fragility then 1.0 else 0.0 end)')} as fragile_rate
+            from tr {rest}"""
+        for level, domain, rest in (("all", "null::varchar", ""), ("domain", "tr.dsdma_domain", "where tr.dsdma_domain is not null group by tr.dsdma_domain"))
+    ),
 )
 on("action_share", lambda tr: C.share_of(tr, "selected_action"), f"select selected_action, count(*) as n, {r('count(*) / sum(count(*)) over ()')} as share from tr group by selected_action")
 on("llm_costs", C.llm_costs, f"select primary_model, agent_name, dsdma_domain, cast(grouping_id(primary_model, agent_name, dsdma_domain) as bigint) as level, count(*) as calls, cast(sum(tokens_total) as bigint) as tokens, {r('sum(cost_cents)')} as cost_cents from tr group by grouping sets ((primary_model), (agent_name), (dsdma_domain), ())")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tracemill.operators import detectors as D
 from tracemill.plans.common import Registry, day, last, newest5, r
 from tracemill.sources.adapter import AS_OF
@@ -54,9 +57,9 @@ on("cross_agent_divergence", lambda tr: D.cross_agent_divergence(tr, AS_OF, DAYS
 on(
     "cohort_divergence",
     lambda tr: D.cohort_divergence(tr, AS_OF, DAYS),
-    f"""with per as (select deployment_domain, agent_id_hash, count(*) as n, avg(csdma) as csdma, avg(dsdma) as dsdma, avg(coherence) as coherence, avg(entropy) as entropy,
+    f"""with per as (select deployment_domain, agent_id_hash, count(*) as n, avg(csdma) as csdma, avg(dsdma) as dsdma, avg(k_eff) as k_eff, avg(correlation_risk) as correlation_risk,
                             avg(case when action_was_overridden then 1.0 else 0.0 end) as override_rate from tr where {last(DAYS)} group by all having count(*) >= 10),
-             long as (unpivot per on csdma, dsdma, coherence, entropy, override_rate into name metric value value)
+             long as (unpivot per on csdma, dsdma, k_eff, correlation_risk, override_rate into name metric value value)
         select deployment_domain, agent_id_hash, n, metric, {r('value')} as value,
                {r('case when stddev_samp(value) over w > 0 then (value - avg(value) over w) / stddev_samp(value) over w else 0 end')} as z from long window w as (partition by deployment_domain, metric)""",
 )
@@ -83,10 +86,16 @@ on(
 )
 _ALL = " union all ".join(_alert(m, f) for m, f in (("cross_agent_divergence", _CROSS), ("intra_agent_inconsistency", _INTRA), ("hash_chain", _CHAIN), ("temporal_drift", _DRIFT), ("conscience_override", _OVERRIDE)))
 on("run_all_detections", lambda tr: D.run_all_detections(tr, AS_OF, DAYS), f"select * from ({_ALL}) alerts")
+def _settled(alerts: DataFrame) -> DataFrame:
+    """Half of the alerts acknowledged and a quarter resolved, by their ids."""
+    return alerts.withColumn("acknowledged", F.col("alert_id") < "8").withColumn("resolved", F.col("alert_id") < "4")
+
+
 on(
     "alert_stats",
-    lambda tr: D.alert_stats(D.run_all_detections(tr, AS_OF, DAYS)),
-    f"select mechanism, count(*) as alerts, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warnings, count(distinct agent_id_hash) as agents from ({_ALL}) alerts group by rollup (mechanism)",
+    lambda tr: D.alert_stats(_settled(D.run_all_detections(tr, AS_OF, DAYS))),
+    f"""select mechanism, count(*) as alerts, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'warning') as warnings, count(*) filter (not coalesce(alert_id < '8', true)) as unacknowledged,
+               count(*) filter (alert_id < '4') as resolved, count(distinct agent_id_hash) as agents from ({_ALL}) alerts group by rollup (mechanism)""",
 )
 on(
     "z_scores",

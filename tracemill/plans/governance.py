@@ -79,7 +79,13 @@ def _sightings(logs, agents):  # noqa: ANN001, ANN202
 
 
 _several("live_agents", ("logs", "agents", "managers"), lambda x, a, m: G.live_agents(_sightings(x, a), m, AS_OF, 14400), f"select * replace ({second('seen')} as seen) from ({_SEEN}) s")
-_several("fleet_stats", ("logs", "agents", "managers"), lambda x, a, m: G.fleet_stats(_sightings(x, a), m, AS_OF, 14400), f"select count(*) as sightings, count(distinct agent) as agents, count(distinct manager_id) as managers from ({_SEEN}) s")
+_several(
+    "fleet_stats",
+    ("logs", "agents", "managers"),
+    lambda x, a, m: G.fleet_stats(_sightings(x, a), m, AS_OF, 14400),
+    f"""select (select count(*) from managers where enabled = true) as total_managers, (select count(*) from managers where enabled = true and last_error is not null) as managers_with_errors,
+               (select count(distinct agent) from logs join agents using (agent) where logs.ts > timestamp '{AS_OF}' - interval 240 hour and logs.ts <= timestamp '{AS_OF}') as total_agents""",
+)
 
 
 def _detail(spark, sf_dir: str):  # noqa: ANN001, ANN202

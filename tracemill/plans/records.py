@@ -11,7 +11,7 @@ from tracemill.operators import filters as L
 from tracemill.operators import ingest as I  # noqa: E741
 from tracemill.plans.common import Registry, r, second, table, tidy
 from tracemill.sources import otlp
-from tracemill.sources.adapter import AS_OF, traces, with_traces
+from tracemill.sources.adapter import AS_OF, derived, traces, with_derived, with_traces
 
 registry = Registry()
 on, on_table = registry.on_traces, registry.on_table
@@ -46,11 +46,16 @@ for _level in ("partner", "public"):
     )
 on("page", lambda tr: L.page(tr.select(*_FEW), [F.desc("csdma"), F.col("trace_id")], 50, 100), f"select {_FEW_SQL}, count(*) over () as total, count(*) over () > 150 as has_more from tr order by tr.csdma desc, trace_id limit 50 offset 100")
 on("keyset_page", lambda tr: L.keyset_page(tr, ("2024-01-20 00:00:00", "t5"), 40).select(*_FEW), f"select {_FEW_SQL} from tr where ts < timestamp '2024-01-20' or (ts = timestamp '2024-01-20' and trace_id < 't5') order by ts desc, trace_id desc limit 40")
+_THOUGHT = """case event_id % 3 when 0 then '{"system_snapshot": {"current_thought_summary": {"content": "@user said: what is ' || event_id || ' ?\\nmore"}}}' when 1 then '{"system_snapshot": {"current_thought_summary": {"content": "first line ' || event_id || '"}}}' end"""
+_OBSERVED = "case event_id % 3 when 0 then 'what is ' || event_id || ' ?' when 1 then 'first line ' || event_id else nullif(agent_id_hash, '') end"
 on(
     "group_by_task",
-    L.group_by_task,
-    f"select coalesce(task_id, 'standalone-' || trace_id) as task, count(*) as n, arg_min(trace_id, (thought_depth, ts, event_id)) as seed, {second('max(ts)')} as newest, cast(sum(tokens_total) as bigint) as tokens from tr group by coalesce(task_id, 'standalone-' || trace_id)",
+    lambda tr: L.group_by_task(tr.withColumn("snapshot_and_context", F.expr(_THOUGHT.replace("\\", "\\\\"))).withColumn("action_rationale", F.col("agent_id_hash"))),
+    f"""with t as (select *, coalesce(nullif(task_id, ''), 'standalone-' || trace_id) as task, {_OBSERVED} as observed from tr)
+        select task, count(*) as n, arg_min(trace_id, (ts, event_id)) filter (where thought_depth = 0) as seed, arg_min(agent_name, (ts, event_id)) filter (where thought_depth = 0) as agent,
+               {second('min(ts) filter (where thought_depth = 0)')} as started_at, arg_min(observed, (ts, event_id)) filter (where thought_depth = 0) as observation from t group by task""",
 )
+on("task_traces", L.task_traces, f"select coalesce(nullif(task_id, ''), 'standalone-' || trace_id) as task, {second('ts')} as ts, trace_id, thought_depth, agent_id_hash, selected_action from tr")
 on_table(
     "conversations_by_task",
     "conversations",
@@ -156,8 +161,23 @@ on(
     f"""with b as ({_BATCHES}) select (select count(*) from tr where ts >= timestamp '2024-01-15' and signature_verified) as kept, (select count(*) from tr where ts >= timestamp '2024-01-15' and not signature_verified) as dropped_unverified,
         (select count(*) from tr where ts < timestamp '2024-01-15') as dropped_pre_cutoff, (select count(*) from b where not ({_LOOP}) and batch_ts >= timestamp '2024-01-15') as kept_batches, (select count(*) from b where {_LOOP}) as dropped_retry_loop""",
 )
-registry.queries["qa_export"] = lambda spark, d: tidy(L.qa_export(traces(spark, d), table(spark, d, "events").select("event_id", "event_type", "user_id"), "model_eval_", ["1.9.1", "1.9.3", "1.8"]))
-registry.sql["qa_export"] = with_traces("select event_id, event_type, user_id from events where event_id in (select event_id from tr where schema_version in ('1.9.1', '1.9.3', '1.8') and channel_id like 'model\\_eval\\_%' escape '\\')")
+_QA_EVENTS = "select trace_id, event_id, ts, case when event_id % 5 < 3 then 'THOUGHT_START' else 'ACTION_RESULT' end as event_type, schema_version, trace_level, '{\"channel_id\": \"' || coalesce(channel_id, 'none') || '\"}' as payload from tr"
+_QA_SPAN = {"since": "2024-01-03 00:00:00", "until": "2024-01-28 00:00:00"}
+
+
+def _qa(part: int):  # noqa: ANN202
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        traces(spark, sf_dir).createOrReplaceTempView("tr")
+        return tidy(L.qa_export(spark.sql(_QA_EVENTS), derived(spark, sf_dir, "calls").select("call_id", "trace_id", "ts", "model", "status"), "1.9.1", **_QA_SPAN)[part])
+
+    return run
+
+
+_QA_TRACES = f"""te as ({_QA_EVENTS}), qa_traces as (select distinct trace_id from te where schema_version = '1.9.1' and event_type = 'THOUGHT_START' and payload ->> '$.channel_id' like 'model\\_eval\\_%' escape '\\'
+    and trace_level in ('detailed', 'full_traces') and ts >= timestamp '{_QA_SPAN["since"]}' and ts <= timestamp '{_QA_SPAN["until"]}')"""
+registry.queries["qa_export"], registry.queries["qa_export_calls"] = _qa(0), _qa(1)
+registry.sql["qa_export"] = with_traces(f"with {_QA_TRACES} select trace_id, event_id, {second('ts')} as ts, event_type, schema_version, trace_level, payload from te join qa_traces using (trace_id)")
+registry.sql["qa_export_calls"] = with_derived(with_traces(f"with {_QA_TRACES} select call_id, trace_id, {second('ts')} as ts, model, status from calls join qa_traces using (trace_id)"), "calls")
 registry.queries["manifest"] = lambda spark, d: L.manifest({n: table(spark, d, n) for n in ("events", "orders", "documents")})
 
 

@@ -76,13 +76,20 @@ on(
 )
 on(
     "hourly_coherence_divergence",
-    S.hourly_coherence_divergence,
-    f"with h as (select date_trunc('hour', ts) as hour, agent_id_hash, avg(coherence) as m from tr group by all) select {second('hour')} as hour, {r('stddev_samp(m)')} as spread, {r('avg(m)')} as mean, count(*) as agents from h group by h.hour having count(*) >= 2",
+    lambda tr: S.hourly_coherence_divergence(tr, AS_OF, 20),
+    f"""with h as (select date_trunc('hour', ts) as hour, agent_name, avg(coherence) as m from tr where ts > timestamp '{AS_OF}' - interval 20 day and ts <= timestamp '{AS_OF}' group by all)
+        select {second('hour')} as hour, {r('stddev(m)')} as cross_agent_divergence, {r('avg(m)')} as fleet_coherence from h group by h.hour""",
 )
+_DECAYED = f"""select agent_name, avg(cast(coherence_passed as int)) as raw_rate, sum(case when coherence_passed then {_WEIGHT} else 0 end) / sum(case when coherence_passed is not null then {_WEIGHT} end) as s_base
+    from tr where {_IN} and {_ACT} group by agent_name"""
 on(
     "score_diagnosis",
-    lambda tr: S.diagnose(tr, *_ARGS),
-    f"""with d as (select agent_name, count(*) as n, avg(case when signature_verified then 1.0 else 0.0 end) as verified, avg(cast(coherence_passed is not null as int)) as checked, avg(cast(action_success is not null as int)) as outcomes from tr where {_WINDOW} group by agent_name)
-        select agent_name, n, {r('verified')} as verified, {r('checked')} as checked, {r('outcomes')} as outcomes,
-               concat_ws(',', case when n < 30 then 'few traces' end, case when verified < 0.95 then 'unverified signatures' end, case when checked < 0.9 then 'coherence not checked' end, case when outcomes < 0.9 then 'outcomes missing' end) as issues from d""",
+    lambda tr: S.diagnose(tr, *_ARGS, BASE),
+    f"""with d as (select agent_name, count(*) as total, count(*) filter (where {_ACT}) as non_exempt, avg((epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 86400000000.0) as age_days,
+                      count(*) filter (where coherence_passed is not null) as has_coherence, count(*) filter (where coherence_passed = true) as coherent from tr where {_WINDOW} group by agent_name),
+             x as (select *, has_coherence / nullif(non_exempt, 0) as coverage, raw_rate - s_base as decay_impact, {_WEAKEST} as lowest
+                   from d join ({_WHOLE}) w using (agent_name) left join ({_DECAYED}) y using (agent_name) left join (select agent_name, change from ({_R}) z) v using (agent_name))
+        select agent_name, total, non_exempt, has_coherence, coherent, {", ".join(f"{r(c)} as {c}" for c in ("age_days", "c", "i_int", "r", "i_inc", "s", "composite", "change", "coverage", "decay_impact"))}, lowest,
+               concat_ws(',', {", ".join(f"case when {c} < 0.7 then '{c}_low' end" for c in ("c", "i_int", "r", "i_inc", "s"))}, case when raw_rate > 0.9 and s_base < 0.7 then 'decay' end, case when change > 0.05 then 'drift' end,
+                         case when total < 30 then 'few_traces' end, case when coverage < 0.8 then 'low_coverage' end) as issues from x""",
 )

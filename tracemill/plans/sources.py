@@ -14,14 +14,14 @@ registry = Registry()
 
 
 def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The traces of each user as one JSON batch; every fifth user sends no metadata."""
+    """The traces of each user and hour as one JSON batch; every fifth user sends no metadata."""
     ev = _components(spark, sf_dir)
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     component = text('{"component_type":"step","event_type":"', F.col("event_type"), '","timestamp":"', F.col("event_ts").cast("string"), '","data":', F.col("data"), "}")
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", component.alias("c")))), lambda x: x["c"]), ",")
-    made = ev.groupBy("user_id", "trace_id").agg(F.max("task_id").alias("task_id"), F.max("signature_key_id").alias("key"), listed.alias("components"))
+    made = ev.groupBy("user_id", "trace_id").agg(F.max("task_id").alias("task_id"), F.max("signature_key_id").alias("key"), F.date_trunc("hour", F.max("event_ts")).alias("hour"), listed.alias("components"))
     trace = text('{"event_type":"complete_trace","trace":{"trace_id":"', F.col("trace_id"), '","task_id":"', F.col("task_id"), '","signature":"sig","signature_key_id":"', F.col("key"), '","components":[', F.col("components"), "]}}")
-    whole = made.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(trace)), ",").alias("events"))
+    whole = made.groupBy("user_id", "hour").agg(F.array_join(F.sort_array(F.collect_list(trace)), ",").alias("events"))
     north = ((F.col("user_id") % 100) / 8).cast("string")
     meta = F.when(F.col("user_id") % 5 > 0, text(',"correlation_metadata":{"deployment_region":"eu","user_location":"Town","user_latitude":', north, ',"user_longitude":-', north, "}")).otherwise("")
     return whole.select(text('{"events":[', F.col("events"), '],"batch_timestamp":"2024-01-31","consent_timestamp":"2024-01-01"', meta, "}").alias("value"))
@@ -55,7 +55,7 @@ def _payload(outer: str, inner: str, items: str, item: Column) -> Column:
 
 def _metrics(points: DataFrame) -> DataFrame:
     """Each point as a gauge or a sum, whole numbers as text, every seventh without a number."""
-    whole, none = F.col("metric") == "requests_total", F.col("event_id") % 7 == 0
+    whole, none = F.col("metric") == "requests.total", F.col("event_id") % 7 == 0
     number = F.struct(F.when(~none & ~whole, F.col("value")).alias("asDouble"), F.when(~none & whole, F.col("value").cast("long").cast("string")).alias("asInt"), _nanos("ts").alias("timeUnixNano"), F.array(_attribute("service", "stringValue", F.col("service"))).alias("attributes"))
     points_ = F.struct(F.array(number).alias("dataPoints"))
     metric = F.struct(F.col("metric").alias("name"), F.when(whole, points_).alias("sum"), F.when(~whole, points_).alias("gauge"))
@@ -80,7 +80,7 @@ def _spans(spans: DataFrame) -> DataFrame:
 registry.on_derived(
     "flatten_otlp_spans", "spans",
     lambda s: otlp.flatten_otlp_spans(_spans(s)).select(F.col("traceId").alias("trace_id"), F.col("spanId").alias("span_id"), F.col("parentSpanId").alias("parent"), "name", "started", "ended", "status"),
-    f"select trace_id, cast(span_id as varchar) as span_id, case when span_id % 3 > 0 then cast(span_id - 1 as varchar) end as parent, service as name, {second('started')} as started, {second('started + to_microseconds(duration_us)')} as ended, status from spans",
+    f"select trace_id, cast(span_id as varchar) as span_id, case when span_id % 3 > 0 then cast(span_id - 1 as varchar) end as parent, service as name, {second('started')} as started, {second('started + to_microseconds(duration_us)')} as ended, coalesce(status, 'OK') as status from spans",
 )
 
 

@@ -60,7 +60,7 @@ COLUMNS = {
     "dsdma_domain": "'d' || cast(user_id % 2 as varchar(20))",
     "deployment_domain": "'p' || cast(user_id % 3 as varchar(20))",
     "deployment_region": "case when event_id % 13 = 0 then null else 'r' || cast(user_id % 4 as varchar(20)) end",
-    "trace_type": "'type' || cast(event_id % 3 as varchar(20))",
+    "trace_type": "case event_id % 8 when 0 then 'VERIFY_IDENTITY' when 1 then 'VALIDATE_INTEGRITY' when 2 then 'EVALUATE_RESILIENCE' when 3 then 'ACCEPT_INCOMPLETENESS' when 4 then 'EXPRESS_GRATITUDE' else 'type' || cast(event_id % 3 as varchar(20)) end",
     "cognitive_state": "case event_id % 4 when 0 then 'work' when 1 then 'play' when 2 then 'dream' else case when event_id % 5 = 0 then 'wakeup' else 'solitude' end end",
     "trace_level": "case event_id % 3 when 0 then 'generic' when 1 then 'detailed' else 'full_traces' end",
     "schema_version": "case event_id % 4 when 0 then '1.8' when 1 then '1.9' when 2 then '1.9.1' else '1.9.3' end",
@@ -89,6 +89,7 @@ COLUMNS = {
     "primary_model": "'m' || cast(event_id % 4 as varchar(20))",
     "thought_depth": "cast(event_id % 5 as int)",
     "tokens_total": "100 + (event_id * 13) % 900",
+    "llm_calls": "case when event_id % 14 = 0 then null else event_id % 6 end",
     "cost_cents": "cast((event_id * 7) % 500 as double) / 100",
     "processing_ms": "50 + (event_id * 11) % 3000",
     "is_recursive": "case when event_id % 27 = 0 then null else event_id % 21 = 0 end",
@@ -124,15 +125,20 @@ def with_traces(sql: str) -> str:
 
 #: telemetry and other tables derived from ``events`` in the same way
 DERIVED = {
-    "logs": """select event_id as log_id, cast(ts as timestamp) as ts, 'svc' || cast(user_id % 5 as varchar(20)) as service,
+    "logs": """select event_id as log_id, cast(ts as timestamp) as ts, case when user_id % 5 = 4 then 'billing' else 'svc' || cast(user_id % 5 as varchar(20)) end as service,
         case when event_type = 'error' then case when event_id % 3 = 0 then 'CRITICAL' else 'ERROR' end when event_id % 7 = 0 then 'WARNING' else 'INFO' end as level,
-        case event_id % 6 when 0 then 'payment failed for order' when 1 then 'GET /v1/charge 200' when 2 then 'credit added to account' when 3 then 'timeout after 30s' when 4 then 'GET /v1/balance 200' else 'started' end as message,
+        case event_id % 9 when 0 then 'payment failed for order' when 1 then 'POST /v1/billing/charges 200' when 2 then 'GET /v1/billing/credits/check 200' when 3 then 'timeout after 30s' when 4 then 'POST /v1/billing/litellm/usage 200'
+             when 5 then 'GET /v1/integrity 200' when 6 then 'GET /health 200' when 7 then 'oauth sign-in' else 'started' end as message,
         'agent' || cast(user_id % 50 as varchar(20)) as agent from events""",
-    "points": """select 'agent' || cast(user_id % 50 as varchar(20)) as agent, case event_id % 4 when 0 then 'requests_total' when 1 then 'error_rate' when 2 then 'service_up' else 'latency_ms' end as metric,
-        cast(ts as timestamp) as ts, case when event_id % 4 = 0 then cast((event_id * 3) % 1000 as double) when event_id % 4 = 2 then cast(event_id % 2 as double) else value end as value,
-        'svc' || cast(user_id % 5 as varchar(20)) as service, event_id from events""",
+    "points": """select 'agent' || cast(user_id % 50 as varchar(20)) as agent,
+        case event_id % 10 when 0 then 'requests.total' when 1 then 'errors.total' when 2 then 'system.error_rate' when 3 then 'system.uptime' when 4 then 'system.healthy'
+             when 5 then 'service.requests' when 6 then 'service.errors' when 7 then 'service.error_rate' when 8 then 'service.uptime' else 'service.healthy' end as metric,
+        cast(ts as timestamp) as ts,
+        case event_id % 10 when 0 then cast((event_id * 3) % 1000 as double) when 1 then cast((event_id * 7) % 50 as double) when 4 then cast(user_id % 2 as double) when 9 then cast(user_id % 2 as double)
+             when 2 then cast((event_id * 3) % 101 as double) / 100 when 7 then cast((event_id * 7) % 101 as double) / 100 else cast((event_id * 11) % 5000 as double) / 8 end as value,
+        case when event_id % 10 < 5 or event_id % 33 = 0 then null else 'svc' || cast(user_id % 5 as varchar(20)) end as service, event_id from events""",
     "spans": """select 'tr' || cast(cast((event_id - event_id % 3) / 3 as bigint) as varchar(20)) as trace_id, event_id as span_id, 'svc' || cast(user_id % 5 as varchar(20)) as service, cast(ts as timestamp) as started,
-        (event_id * 977) % 5000000 as duration_us, case when event_type = 'error' then 'ERROR' else 'OK' end as status from events""",
+        (event_id * 977) % 5000000 as duration_us, case when event_type = 'error' then 'ERROR' when event_id % 8 = 0 then 'UNSET' when event_id % 21 = 0 then null else 'OK' end as status from events""",
     "checks": """select cast(ts as timestamp) as ts, 'r' || cast(user_id % 9 as varchar(20)) as region, case when event_id % 4 = 3 then 'proxy' else 'svc' || cast(event_id % 4 as varchar(20)) end as service,
         case when event_id % 4 = 3 then case event_id % 3 when 0 then 'openrouter' when 1 then 'groq' else 'together' end else 'internal' end as provider,
         case when event_id % 4 = 3 and user_id % 9 = 3 then 'outage' when event_id % 4 = 3 and user_id % 9 = 4 then case when event_id % 3 = 0 then 'outage' else 'degraded' end
@@ -141,7 +147,7 @@ DERIVED = {
         from events where user_id % 40 <> 7""",
     "agents": """select distinct 'agent' || cast(user_id % 50 as varchar(20)) as agent, user_id % 50 % 4 <> 0 as wbd_enabled, user_id % 50 % 5 <> 1 as pdma_enabled, cast(20 + user_id % 50 * 7 % 90 as double) / 100 as compliance_score,
         'mgr' || cast(user_id % 50 % 4 as varchar(20)) as manager_id from events""",
-    "managers": "select distinct 'mgr' || cast(user_id % 50 % 4 as varchar(20)) as manager_id, user_id % 50 % 4 <> 2 as enabled from events where user_id % 50 % 4 <> 3",
+    "managers": "select distinct 'mgr' || cast(user_id % 50 % 4 as varchar(20)) as manager_id, user_id % 50 % 4 <> 2 as enabled, case when user_id % 50 % 4 > 0 then 'refused' end as last_error from events where user_id % 50 % 4 <> 3",
     "telemetry": "select distinct 'agent' || cast(user_id % 50 as varchar(20)) as agent, 10 * (1 + user_id % 50 % 6) as every_seconds from events where user_id % 50 % 3 <> 0",
     "visibility": "select distinct 'agent' || cast(user_id % 50 as varchar(20)) as agent, user_id % 50 % 2 = 0 as visible from events where user_id % 50 % 7 <> 0",
     "pdma": "select event_id as pdma_id, 'agent' || cast(user_id % 50 as varchar(20)) as agent, cast(ts as timestamp) as ts, 1 + event_id % 3 + user_id % 50 % 3 as risk_magnitude, case when event_id % 4 = 0 then 'open' else 'closed' end as status from events",

@@ -6,17 +6,17 @@ the watermark drops are repaired by a batch run over the affected days.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tracemill.operators import ingest, telemetry
-from tracemill.sources.otlp import explode_components
+from tracemill.streaming.state import PART, assemble, chain_gaps, newest_status
 
 
 def stream_rollup(stream: DataFrame, rollup: Callable[[DataFrame], DataFrame], watermark: str, ts: str = "ts") -> DataFrame:
@@ -34,60 +34,69 @@ def stream_dedup(stream: DataFrame, keys: list[str], watermark: str, ts: str = "
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_ingest(traces: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Routes the traces of each micro-batch to a Parquet folder for each destination, component by component.
+def assembled(components: DataFrame, wait: str = "10 minutes") -> DataFrame:
+    """Components of whole traces, handed on together, whatever batches they came in.
 
-    ``traces`` has a row for each trace with all its components, as envelopes bring them,
-    so no trace is split over batches.  Models are those that its action names.  A
-    batch's files carry its number, so a batch that runs again overwrites its own.
+    ``components`` has trace_id, i, event_type, data and ts (event time), and any other
+    column of ``state.PART``.  A trace is whole when n_components of it have come; without
+    that number, or if some never come, it ends ``wait`` of event time after its last one.
     """
+    columns = [c for c in PART if c in components.columns or c in ("n_components", "at")]
+    made = components if "n_components" in components.columns else components.withColumn("n_components", F.lit(None).cast("int"))
+    timed = made.withColumn("at", F.unix_micros("ts")).select("trace_id", "ts", *columns).withWatermark("ts", wait)
+    schema = ", ".join(["trace_id string", *[f"{c} {PART[c]}" for c in columns]])
+    whole = timed.groupBy("trace_id").applyInPandasWithState(assemble(columns, _ms(wait)), schema, "parts string, until long", "append", GroupStateTimeout.EventTimeTimeout)
+    return whole.withColumn("ts", F.timestamp_micros("at")).drop("at")
 
-    def write(batch: DataFrame, number: int) -> None:
-        parts = explode_components(batch)
-        named = F.max(F.when(F.col("event_type") == "ACTION_RESULT", F.get_json_object("data", "$.models_used")))
-        models = parts.groupBy("trace_id").agg(F.from_json(named, "array<string>").alias("models"))
-        routed = parts.join(ingest.route(ingest.detect_schema_version(parts), models), "trace_id").withColumn("batch", F.lit(number))
-        routed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("destination", "batch").parquet(folder)
 
-    writer = traces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+def _ms(length: str) -> int:
+    """Milliseconds of a length of time such as "10 minutes"."""
+    return int(pd.Timedelta(length) / pd.Timedelta(milliseconds=1))
 
 
-def stream_latest(checks: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keeps the newest status of each service.
+def stream_ingest(components: DataFrame, folder: str, checkpoint: str, keys: DataFrame | None = None, wait: str = "10 minutes", once: bool = True) -> StreamingQuery:
+    """``ingest`` over a stream of components: whole traces, scrubbed, sanitised and typed, to a folder for each destination.
 
-    The state is one row for each service.  Every batch writes the table as a new
-    version and removes the one before the last, which a reader may still have open.
+    Traces are put together in keyed state first, so one may be cut over any batches; the
+    state holds components as they came, no sink does.  ``results`` beside the four
+    destinations says where each trace went and why, and ``accounting`` sums a batch up.
+    A batch's rows lie in a folder of its number, so one that runs again replaces its own.
     """
 
-    def write(table: DataFrame, number: int) -> None:
-        table.write.mode("overwrite").parquet(f"{folder}/{number}")
-        context = table.sparkSession.sparkContext
-        old = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number - 2}")
-        old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
-
-    writer = telemetry.latest_status(checks).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            done = ingest.ingest(batch.drop("n_components"), keys)
+            done["accounting"] = ingest.batch_accounting(done["results"])
+            for name, rows in done.items():
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    writer = assembled(components, wait).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _gaps(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Gaps of one agent against its last sequence number, the only value kept."""
-    rows = pd.concat(list(frames)).sort_values(["audit_sequence_number", "trace_id"])
-    last = state.get[0] if state.exists else None
-    out = []
-    for trace, seq in zip(rows["trace_id"], rows["audit_sequence_number"].astype(int), strict=True):
-        if last is not None and seq - last != 1:
-            out.append((key[0], trace, last, seq, seq - last))
-        last = seq
-    state.update((int(last),))
-    yield pd.DataFrame(out, columns=["agent_id_hash", "trace_id", "prev_seq", "seq", "gap"])
+def stream_latest(checks: DataFrame, keep: str = "30 days") -> DataFrame:
+    """Changes of the newest status of each service: a row whenever a newer check has come.
+
+    The state is one row for each service that has been checked within ``keep``.  The
+    newest row of each service in what was written is the current status.
+    """
+    timed = checks.withWatermark("ts", keep).select("region", "service", "provider", "status", "latency_ms", "ts", F.unix_micros("ts").alias("at"), "event_id")
+    schema = "region string, service string, provider string, status string, latency_ms double, at long, event_id long"
+    newest = timed.groupBy("region", "service", "provider").applyInPandasWithState(newest_status(_ms(keep)), schema, "at long, event_id long", "update", GroupStateTimeout.EventTimeTimeout)
+    return newest.withColumn("ts", F.timestamp_micros("at")).drop("at")
 
 
-def stream_chain_gaps(traces: DataFrame) -> DataFrame:
-    """Breaks of the audit chain as traces arrive; state is one number for each agent."""
+def stream_chain_gaps(traces: DataFrame, watermark: str = "10 minutes", idle: str = "30 days") -> DataFrame:
+    """Breaks of the audit chain, each when the watermark has passed it; rows may come in any order within the watermark."""
     schema = "agent_id_hash string, trace_id string, prev_seq long, seq long, gap long"
-    picked = traces.select("agent_id_hash", "trace_id", F.col("audit_sequence_number").cast("long").alias("audit_sequence_number"))
-    return picked.groupBy("agent_id_hash").applyInPandasWithState(_gaps, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    numbered = traces.where("audit_sequence_number is not null").withWatermark("ts", watermark)
+    picked = numbered.select("agent_id_hash", "trace_id", "ts", F.col("audit_sequence_number").cast("long").alias("seq"), F.unix_micros("ts").alias("at"))
+    return picked.groupBy("agent_id_hash").applyInPandasWithState(chain_gaps(_ms(idle)), schema, "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def repair_rollup(store: DataFrame, rows: DataFrame, rollup: Callable[[DataFrame], DataFrame], since: Any, bucket: str) -> DataFrame:
