@@ -193,7 +193,7 @@ def test_positional_popcount():
 
 
 def test_survival_word_is_the_truth_table(spark):
-    (row,) = spark.range(1).select(filter_audit.survival_word([F.lit(x) for x in (True, False, None, True, False)]).alias("w")).collect()
+    (row,) = spark.range(1).select(filter_audit.survival_word([F.lit(x).cast("boolean") for x in (True, False, None, True, False)]).alias("w")).collect()
     assert row.w == sum(1 << s for s in range(32) if not s & 0b01001)
     with pytest.raises(ValueError, match="subsets"):
         filter_audit.filter_audit(spark.range(0), spark.range(0), dict.fromkeys("ABCDF", "true"), copies="E")
