@@ -23,13 +23,62 @@ from pyspark.sql import functions as F
 from tracemill.llm.textnum import U64, map_text
 
 SPACE = "▁"
-#: stretches matched together, and most stretches remembered by a worker
-TOGETHER, REMEMBERED = 40_000, 300_000
+#: stretches matched together, and most stretches remembered by a worker and most bytes of them
+TOGETHER, REMEMBERED, REMEMBERED_BYTES = 40_000, 300_000, 64_000_000
+#: stretches of more characters are not remembered
+SHORT = 64
 #: longer stretches are relaxed one by one with a heap
 LONG = 2000
 NONE = np.iinfo(np.int64).max
 
 
+def _message(data: bytes) -> dict[int, list]:
+    """Numbers and byte strings of a protocol buffer message by field."""
+    found: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            value = number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            value, at = data[at : at + size], at + size
+        found.setdefault(tag >> 3, []).append(value)
+    return found
+
+
+def unsupported(model: bytes) -> list[str]:
+    """What a model file asks for that ``encode`` does not do; of repeated fields the last counts.
+
+    Fixed values: the fields of the file format and their defaults.
+    """
+    whole = _message(model)
+    trainer, normaliser = (_message(b"".join(whole.get(k, []))) for k in (2, 3))
+    last = lambda part, field, default: part.get(field, [default])[-1]
+    kinds = {1: "unigram", 2: "BPE", 3: "word", 4: "char"}
+    rules = {
+        f"model type {kinds.get(last(trainer, 3, 1), 'unknown')}": last(trainer, 3, 1) != 2,
+        "no byte fallback": not last(trainer, 35, 0),
+        "spaces behind words": bool(last(trainer, 24, 0)),
+        f"normaliser {last(normaliser, 1, b'').decode('utf-8', 'replace')}": bool(last(normaliser, 2, b"")),
+        "no space before the first word": not last(normaliser, 3, 1),
+        "spaces collapsed": bool(last(normaliser, 4, 1)),
+        "spaces not marked": not last(normaliser, 5, 1),
+        "user-defined pieces": any(last(_message(p), 3, 1) == 4 for p in whole.get(1, [])),
+    }
+    return [name for name, met in rules.items() if met]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Ordinary pieces by id with scores; ids of the 256 bytes; what each id decodes to."""
@@ -43,9 +92,17 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
-        """Reads a BPE model file with byte fallback on the driver."""
+        """Reads a model file on the driver.
+
+        Only what ``encode`` does is taken: BPE with byte fallback, texts as they are, a
+        space before the first word.  Any other model is a ValueError that says why.
+        """
         from sentencepiece import SentencePieceProcessor
 
+        with open(path, "rb") as file:
+            odd = unsupported(file.read())
+        if odd:
+            raise ValueError(f"{path}: not supported: {', '.join(odd)}")
         model = SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
@@ -86,6 +143,7 @@ class Encoder:
 
     vocabulary: Vocabulary
     known: dict[str, bytes] = field(default_factory=dict)
+    held: int = 0
 
     def __post_init__(self) -> None:
         pieces = self.vocabulary.pieces
@@ -133,8 +191,9 @@ class Encoder:
         place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where((keys[place] == wanted) & (size <= self.longest), ranks[place], NONE)
 
-    def learn(self, stretches: list[str]) -> None:
-        """Encodes stretches that are not known yet."""
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of stretches."""
+        learned: dict[str, bytes] = {}
         text = "\0".join(stretches) + "\0"
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         codes = self.code[np.minimum(points, len(self.code) - 1)]
@@ -202,12 +261,13 @@ class Encoder:
         for i, s in enumerate(stretches):
             a, b = int(edges[i]), int(edges[i + 1])
             if plain[i]:
-                self.known[s] = blob[4 * a : 4 * b]
+                learned[s] = blob[4 * a : 4 * b]
             else:
                 out: list[int] = []
                 for x, at in zip(ids[a:b].tolist(), start[a:b].tolist(), strict=True):
                     out += [x] if x >= 0 else [self.vocabulary.byte_ids[v] for v in text[at].encode("utf-8", "replace")]
-                self.known[s] = np.array(out, np.int32).tobytes()
+                learned[s] = np.array(out, np.int32).tobytes()
+        return learned
 
     def _relax_long(self, first: int, size: int, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Cuts of one long stretch: merges from a heap of (rank, start, end)."""
@@ -238,18 +298,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, as little-endian 32-bit numbers; none for null and empty."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
+            self.held = 0
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         fresh: set[str] = set()
+        now: dict[str, bytes] = {}  # of these texts alone
         for t in marked:
-            fresh.update(s for s in self.stretch.findall(t) if s not in self.known)
+            fresh.update(s for s in self.stretch.findall(t) if s not in self.known and s not in now)
             if len(fresh) >= TOGETHER:
-                self.learn(sorted(fresh))
+                now |= self.learn(sorted(fresh))
                 fresh.clear()
         if fresh:
-            self.learn(sorted(fresh))
-        return [b"".join(map(self.known.__getitem__, self.stretch.findall(t))) for t in marked]
+            now |= self.learn(sorted(fresh))
+        out = [b"".join([self.known[s] if s in self.known else now[s] for s in self.stretch.findall(t)]) for t in marked]
+        short = {s: ids for s, ids in now.items() if len(s) <= SHORT}
+        self.known |= short
+        self.held += sum(4 * len(s) + len(ids) for s, ids in short.items())
+        return out
 
 
 def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
