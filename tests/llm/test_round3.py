@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import filter_audit, linking, ngram_join, queries, ranked_search
+from tracemill.llm import filter_audit, linking, mixing, ngram_join, queries, ranked_search, sentencepieces
 
 DATA = "/root/testdata/sf0.001"
 
@@ -197,3 +197,44 @@ def test_survival_word_is_the_truth_table(spark):
     assert row.w == sum(1 << s for s in range(32) if not s & 0b01001)
     with pytest.raises(ValueError, match="subsets"):
         filter_audit.filter_audit(spark.range(0), spark.range(0), dict.fromkeys("ABCDF", "true"), copies="E")
+
+
+# models that operator 3 does not know, and what it remembers
+
+
+def _appended(tmp_path, number, fields):
+    """The public model with fields of its part ``number`` given once more: the last ones count."""
+    with open(f"{queries.TOKENIZERS}/piece_bpe_32k.model", "rb") as file:
+        model = file.read()
+    varint = lambda x: bytes([x & 127 | 128, x >> 7]) if x > 127 else bytes([x])
+    body = b"".join(varint(k << 3 | (2 if isinstance(v, bytes) else 0)) + (varint(len(v)) + v if isinstance(v, bytes) else varint(v)) for k, v in fields.items())
+    path = tmp_path / "other.model"
+    path.write_bytes(model + bytes([number << 3 | 2, len(body)]) + body)
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    ("number", "fields", "said"),
+    [(2, {3: 1}, "unigram"), (2, {35: 0}, "byte fallback"), (3, {1: b"nfkc", 2: b"rules"}, "normaliser nfkc"), (3, {4: 1}, "collapsed"), (3, {3: 0}, "first word"), (1, {1: b"<x>", 3: 4}, "user-defined")],
+)
+def test_other_models_are_turned_away(tmp_path, number, fields, said):
+    with pytest.raises(ValueError, match=said):
+        sentencepieces.Vocabulary.load(_appended(tmp_path, number, fields))
+
+
+def test_long_stretches_are_not_remembered():
+    encoder = sentencepieces.Encoder(sentencepieces.Vocabulary.load(f"{queries.TOKENIZERS}/piece_bpe_32k.model"))
+    rng = random.Random(1)
+    for _ in range(3):
+        encoder.encode(["".join(rng.choices("abcdefgh", k=50_000)), "short words stay"])
+    assert sum(map(len, encoder.known)) < 100 and encoder.held < 1000
+
+
+# repeated keys of operator 9
+
+
+def test_mixing_of_repeated_keys_is_the_same_every_time(spark):
+    rows = [(7, f"{'w ' * (1 + i % 5)}{i}", "en", "s") for i in range(60)]
+    one, two = (spark.createDataFrame(r, "doc_id long, text string, lang string, source string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5)))
+    mixed = [sorted(_rows(mixing.mix_sources(df, [F.col("source")], {}, 0.5), "doc_id", "text")) for df in (one, two)]
+    assert mixed[0] == mixed[1] != []

@@ -88,8 +88,8 @@ def mix_sources(
 
     Defined cases: a null level is a branch of its own; a null or empty text has no
     tokens and is taken if its turn comes while the leaf still takes rows; repeated
-    rows have one place in the order and are told apart by nothing, so either may
-    stand first; a leaf without budget gives no rows; an empty table gives an empty
+    rows have one place in the order and rows of one key are told apart by what they
+    hold; a leaf without budget gives no rows; an empty table gives an empty
     result.  Columns of the names above are replaced, others pass through.
 
     Only sums per leaf, at most MAX_LEAVES, reach the driver.  A leaf of any size is
@@ -127,7 +127,7 @@ def mix_sources(
     cut = placed.join(F.broadcast(edge), names, "left")
     inside = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
     below = (F.col("left") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")))
-    running = F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("order", "key", F.xxhash64(F.to_json("row"))).rowsBetween(Window.unboundedPreceding, 0))
     fits = cut.where(inside).withColumn("run", running + F.col("before")).where(F.col("run") <= F.col("left")).drop("run")
     last = cut.where(below & ~inside).unionByName(fits).withColumn("mix_epoch", F.col("whole"))
     result = [*[F.col(f"row.`{c}`").alias(c) for c in passed], *made]
