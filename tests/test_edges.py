@@ -3,6 +3,7 @@
 import hashlib
 import json
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -395,7 +396,38 @@ def test_frechet_nearest_is_exact_over_agents_and_lengths(spark):
     inside = [r for r in train if minima[r[1]] <= limit]
     p95, p99 = np.percentile([minima[t] for _, t, _ in inside], [95, 99])
     expected = {t: least(p, inside, t) for _, t, p in rows if zlib.crc32(t.encode()) % 5 == 0}
-    labels = C.route_labels(paths, pairs)
+    labels = C.route_labels(paths, pairs, least=2)  # with two, whoever has a near neighbour is dense
     assert {r.task_id: (pytest.approx(r.nearest), r.label) for r in labels.collect()} == {t: (d, "canonical" if d <= p95 else "variant" if d <= p99 else "novel") for t, d in expected.items()}
     assert {r.label for r in C.route_labels(paths, pairs, reach=-1.0).collect()} == {"no_cluster"}
     assert all(r.canonical + r.variant + r.novel == pytest.approx(1) for r in C.route_rates(labels).collect())
+
+
+def _clusters(paths, reach, least):
+    """Density clusters by the definition: all pairs."""
+    n = len(paths)
+    near = [[C.frechet(a, b) <= reach for b in paths] for a in paths]
+    dense = [i for i in range(n) if sum(near[i]) >= least]
+    group = {i: i for i in dense}
+    while True:
+        new = {i: min(group[j] for j in dense if near[i][j]) for i in dense}
+        if new == group:
+            break
+        group = new
+    sizes = Counter(group.values())
+    return {frozenset(i for i in dense if group[i] == g) for g, k in sizes.items() if k >= least}
+
+
+@pytest.mark.parametrize(("reach", "least"), [(0.1, 5), (0.25, 3), (0.02, 2), (0.0, 2)])
+def test_route_clusters_equal_all_pairs(spark, reach, least):
+    rng = np.random.default_rng(7)
+    kinds = [rng.uniform(0, 1, (k, 3)) for k in (2, 3, 5, 4, 2)]
+    paths = [np.clip(kinds[i % 5] + rng.normal(0, 0.002 * (1 + i % 23), kinds[i % 5].shape), 0, 1) for i in range(200)]
+    paths += [rng.uniform(0, 1, (2 + i % 3, 3)) for i in range(60)]
+    paths += [np.repeat(kinds[0], 2, axis=0) for _ in range(20)] + [paths[3]] * 20  # points that stay, and equal paths
+    rows = [(f"a{i % 3}", f"t{i:03}", p.tolist()) for i, p in enumerate(paths)]
+    df = spark.createDataFrame(rows, "agent_id_hash string, task_id string, path array<array<double>>")
+    got = {}
+    for r in C.route_clusters(df, reach, least).collect():
+        got.setdefault(r.cluster, set()).add(int(r.task_id[1:]))
+    assert sum(map(len, got.values())) == len(paths)
+    assert {frozenset(v) for k, v in got.items() if k is not None} == _clusters(paths, reach, least)

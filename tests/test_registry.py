@@ -15,7 +15,7 @@ def test_same_rows_as_sql(spark, name):
 
 #: queries whose results SQL cannot say; tests/test_edges.py and below hold them against plain Python
 WITHOUT = {
-    "n_eff", "n_eff_by_domain", "rolling_n_eff", "frechet_pairs", "route_labels", "route_rates", "manifest", "scrub_text", "redaction_counts", "rescrub_report", "scrub_by_level", "scrub_json", "sanitize_json", "payload_digest",
+    "n_eff", "n_eff_by_domain", "rolling_n_eff", "frechet_pairs", "route_labels", "route_rates", "route_clusters", "manifest", "scrub_text", "redaction_counts", "rescrub_report", "scrub_by_level", "scrub_json", "sanitize_json", "payload_digest",
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracemill.operators.views import outcome, task_outcome
+from tracemill.sources.otlp import written
 
 #: fixed values: the features of the constraint vector and how a null counts: it stays, is 0, or is false; "tri" flags are 1, 0 or null
 FEATURES = {
@@ -288,27 +289,114 @@ def frechet_pairs(paths: DataFrame, pivots: int = 64, levels: int = 8) -> DataFr
     return best.select("id.agent_id_hash", "id.task_id", F.col("best.other_id.agent_id_hash").alias("other_agent"), F.col("best.other_id.task_id").alias("other"), "best.distance")
 
 
-def clustered(paths: DataFrame, pairs: DataFrame, reach: float | None = None) -> DataFrame:
-    """Training paths that have another one within ``reach``; the others are noise.
+def _least_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that links (u, v) reach from each of ``nodes`` (id).
 
-    Without a reach it is the 0.9 quantile of the training paths' nearest distances, so the
-    most isolated tenth is noise.
+    Rounds after Boruvka: every tree hooks to the smallest label next to it, then labels
+    are followed to their ends, so rounds grow with the logarithm of a tree's size.
     """
-    train = pairs.where(~_held())
-    limit = train.agg(F.percentile("distance", F.lit(0.9)).alias("limit")) if reach is None else pairs.sparkSession.range(1).select(F.lit(reach).alias("limit"))
-    near = train.join(F.broadcast(limit), how="cross").where(F.col("distance") <= F.col("limit")).select("agent_id_hash", "task_id")
-    return paths.join(near, ["agent_id_hash", "task_id"], "left_semi")
+    labels, seen = nodes.select("id", F.col("id").alias("label")), None
+    while True:
+        of = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))  # noqa: B023, E731
+        apart = links.join(of("u"), "u").join(of("v"), "v").where("u_label <> v_label")
+        both = apart.select(F.greatest("u_label", "v_label").alias("label"), F.least("u_label", "v_label").alias("to"))
+        hooks = both.groupBy("label").agg(F.min("to").alias("to"))
+        jump = hooks.join(hooks.select(F.col("label").alias("to"), F.col("to").alias("further")), "to", "left").select("label", F.coalesce("further", "to").alias("to"))
+        labels = written(labels.join(jump, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        now = labels.agg(F.bit_xor(F.xxhash64("id", "label"))).first()
+        if now == seen:
+            return labels
+        seen = now
+
+
+def route_clusters(paths: DataFrame, reach: float, least: int = 5) -> DataFrame:
+    """Clusters of paths by density: (agent_id_hash, task_id, cluster), null for noise.
+
+    A path is dense if ``least`` paths, itself among them, lie within ``reach``; dense
+    paths within reach of each other share a cluster, named by its smallest path, and a
+    cluster of fewer than ``least`` dense paths is noise.
+
+    Points snap to a grid, and paths that snap to one curve are within half the reach of
+    each other: alike paths become one curve, compared once.  Two curves' distance, give or
+    take half the reach, settles most pairs; only paths of curves that lie just about at
+    the reach are compared themselves.
+    """
+
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _distances(a, b)
+
+    reach = max(reach, 1e-9)
+    side, slack = reach / (2 * 3**0.5), reach / 2  # a point moves a quarter of the reach at most
+    cells = F.transform("path", lambda p: F.transform(p, lambda x: F.floor(x / side).cast("long")))
+    named = paths.select(F.concat_ws("/", "agent_id_hash", "task_id").alias("id"), "agent_id_hash", "task_id", "path", cells.alias("cells"))
+    curve = F.filter("cells", lambda c, i: (i == 0) | (c != F.col("cells")[F.greatest(i - 1, F.lit(0))]))
+    members = written(named.withColumn("curve", curve).drop("cells"))
+    curves = members.groupBy("curve").agg(F.min("id").alias("key"), F.count("*").alias("m"))
+    centre = F.transform("curve", lambda c: F.transform(c, lambda x: (x + 0.5) * side))
+    curves = written(curves.withColumn("centre", centre).withColumn("ends", F.concat(F.element_at("centre", 1), F.element_at("centre", -1))))
+    members = members.join(curves.select("curve", "key"), "curve").select("id", "key", "agent_id_hash", "task_id", "path")
+    far = reach + slack
+    cell = lambda x: F.floor(x / (2 * far)).cast("long")
+    names = [f"c{i}" for i in range(6)]
+    asked = curves.select("key", "centre", "ends")
+    for i, n in enumerate(names):
+        asked = asked.withColumn(n, F.explode(F.array_distinct(F.array(cell(F.col("ends")[i] - far), cell(F.col("ends")[i] + far)))))
+    placed = curves.select(F.col("key").alias("other"), F.col("centre").alias("other_centre"), F.col("ends").alias("other_ends"), *[cell(F.col("ends")[i]).alias(n) for i, n in enumerate(names)])
+    gap = lambda at: F.sqrt(sum((F.col("ends")[i] - F.col("other_ends")[i]) ** 2 for i in range(at, at + 3)))
+    near = asked.join(placed, names).where((F.col("key") < F.col("other")) & (F.greatest(gap(0), gap(3)) <= far + 1e-9))
+    pairs = written(near.select("key", "other", distance("centre", "other_centre").alias("d")).where(F.col("d") <= far + 1e-9))
+    sure = F.col("d") + slack <= reach - 1e-9
+    settled = pairs.where(sure).select("key", "other")
+    side_of = lambda name: members.select(F.col("id").alias(f"{name}_id"), F.col("key").alias(name), F.col("path").alias(f"{name}_path"))
+    close = pairs.where(~sure).select("key", "other").join(side_of("key"), "key").join(side_of("other"), "other")
+    close = written(close.select(F.col("key_id").alias("u"), F.col("other_id").alias("v"), distance("key_path", "other_path").alias("d")).where(F.col("d") <= reach).select("u", "v"))
+    # how many are within reach of each path
+    sizes = curves.select("key", "m")
+    turned = settled.union(settled.select(F.col("other").alias("key"), F.col("key").alias("other")))
+    around = turned.join(sizes.select(F.col("key").alias("other"), "m"), "other").select("key", "m").union(sizes).groupBy("key").agg(F.sum("m").alias("settled"))
+    alone = close.select(F.col("u").alias("id")).union(close.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("k"))
+    counted = members.join(around, "key").join(alone, "id", "left")
+    dense = written(counted.where(F.col("settled") + F.coalesce("k", F.lit(0)) >= least).select("id", "key"))
+    firsts = dense.groupBy("key").agg(F.min("id").alias("first"))
+    star = dense.join(firsts, "key").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    across = settled.join(firsts, "key").withColumnRenamed("first", "u").join(firsts.select(F.col("key").alias("other"), F.col("first").alias("v")), "other").select("u", "v")
+    ids = dense.select("id")
+    exact = close.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    labels = _least_labels(ids, written(star.union(across).union(exact).distinct()))
+    large = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("label")
+    found = labels.join(large, "label").select("id", F.col("label").alias("cluster"))
+    return members.join(found, "id", "left").select("agent_id_hash", "task_id", "cluster")
+
+
+def clustered(paths: DataFrame, pairs: DataFrame, reach: float | None = None, least: int = 5) -> DataFrame:
+    """Training paths that are in a cluster, with its name; the others are noise.
+
+    Without a reach it is the 0.9 quantile of the training paths' nearest distances.
+    """
+    if reach is None:
+        reach = pairs.where(~_held()).agg(F.percentile("distance", F.lit(0.9))).first()[0]
+    train = paths.where(~_held())
+    if reach is None or reach < 0:
+        return train.withColumn("cluster", F.lit(None).cast("string")).where(F.lit(False))
+    return train.join(route_clusters(train, reach, least).where("cluster is not null"), ["agent_id_hash", "task_id"])
 
 
-def route_labels(paths: DataFrame, pairs: DataFrame, reach: float | None = None) -> DataFrame:
-    """Held-out paths by how near the nearest clustered training path is, against what is usual within clusters."""
-    known = clustered(paths, pairs, reach)
+def route_labels(paths: DataFrame, pairs: DataFrame, reach: float | None = None, least: int = 5) -> DataFrame:
+    """Held-out paths by how near the nearest clustered training path is, and its cluster, against what is usual within clusters.
+
+    The nearest clustered path of a clustered one is in its own cluster: a dense path has
+    a dense one within the reach, or its cluster would be too small.
+    """
+    known = written(clustered(paths, pairs, reach, least))
     held = paths.where(_held())
-    nearest = frechet_pairs(held.unionByName(known)).select("agent_id_hash", "task_id", F.col("distance").alias("nearest"))
+    found = frechet_pairs(held.unionByName(known.drop("cluster")))
+    nearest = found.select("agent_id_hash", "task_id", "other_agent", "other", F.col("distance").alias("nearest"))
     cuts = nearest.where(~_held()).agg(F.percentile("nearest", F.lit(0.95)).alias("p95"), F.percentile("nearest", F.lit(0.99)).alias("p99"))
     tested = held.select("agent_id_hash", "task_id").join(nearest, ["agent_id_hash", "task_id"], "left").join(F.broadcast(cuts), how="cross")
+    of = known.select(F.col("agent_id_hash").alias("other_agent"), F.col("task_id").alias("other"), "cluster")
     label = F.when(F.col("nearest").isNull(), "no_cluster").when(F.col("nearest") <= F.col("p95"), "canonical").when(F.col("nearest") <= F.col("p99"), "variant").otherwise("novel")
-    return tested.select("agent_id_hash", "task_id", "nearest", label.alias("label"))
+    return tested.join(of, ["other_agent", "other"], "left").select("agent_id_hash", "task_id", "nearest", label.alias("label"), "cluster")
 
 
 def route_rates(labels: DataFrame) -> DataFrame:

@@ -139,5 +139,6 @@ on(
 on("verb_outcomes", C.verb_outcomes, f"select selected_action, outcome, count(*) as n from (select selected_action, {_OUT} as outcome from tr) o group by rollup (selected_action, outcome)")
 on("journey_points", C.journey_points, f"select task_id, trace_id, {r('csdma')} as csdma, {r('dsdma')} as dsdma, {r('coherence')} as coherence, outcome from tr join ({_TASK}) o using (task_id) where csdma is not null and dsdma is not null and coherence is not null")
 on("frechet_pairs", lambda tr: C.frechet_pairs(C.task_paths(tr)))
+on("route_clusters", lambda tr: C.route_clusters(C.task_paths(tr), 0.2, 5))
 on("route_labels", lambda tr: C.route_labels(C.task_paths(tr), C.frechet_pairs(C.task_paths(tr))))
 on("route_rates", lambda tr: C.route_rates(C.route_labels(C.task_paths(tr), C.frechet_pairs(C.task_paths(tr)))))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracemill.plans.common import Registry, r, second, tidy
 from tracemill.plans.records import EVENTS_SQL, _components
 from tracemill.sources import otlp
-from tracemill.sources.adapter import derived, with_derived
 
 registry = Registry()
 

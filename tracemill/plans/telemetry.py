@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.operators import telemetry as T
+from tracemill.operators.stores import Rollup
 from tracemill.plans.common import Registry, r, second, tidy
 from tracemill.sources.adapter import AS_OF, derived, with_derived
 
@@ -40,6 +41,13 @@ _ROLL = f"{_avg('value')} as avg, {r('min(value)')} as min, {r('max(value)')} as
 on = registry.on_derived
 for name, size in (("metrics_hourly", "1 hour"), ("metrics_daily", "1 day")):
     on(name, "points", lambda p, size=size: T.metrics_rollup(p, size), f"select agent, metric, {_bucket(size)} as bucket, {_ROLL} from points group by agent, metric, {_bucket(size)}")
+_POINTS = Rollup(keys=("agent", "metric"), values=("value",), distinct=("service",))
+on(
+    "metrics_daily_merged",
+    "points",
+    lambda p: _POINTS.finished(_POINTS.merged(_POINTS.states(p), "1 day")),
+    f"select agent, metric, {_bucket('1 day')} as bucket, count(*) as n, {_avg('value')} as avg_value, {r('sum(value)')} as sum_value, {r('min(value)')} as min_value, {r('max(value)')} as max_value, count(distinct service) as distinct_service from points group by agent, metric, {_bucket('1 day')}",
+)
 on("metrics_minute", "points", lambda p: T.metrics_minute(p, AS_OF, 72), f"select agent, metric, {_bucket('1 minute')} as bucket, {_ROLL} from points where ts >= timestamp '{AS_OF}' - interval 72 hour and ts <= timestamp '{AS_OF}' group by agent, metric, {_bucket('1 minute')}")
 _UP = "select region, service, provider, {b} as bucket, {u} as uptime, {a} as avg_ms, {m} as max_ms, count(*) as n, count(*) filter (where status = 'outage') as outages from checks group by region, service, provider, {b}"
 for name, size in (("uptime_hourly", "1 hour"), ("uptime_daily", "1 day")):

@@ -85,6 +85,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{named}/scratch-{uuid.uuid4()}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there: what several later plans start from."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_traces(traces: DataFrame, path: str) -> None:
     """Trace store by date, sorted by agent and time inside each file."""
     traces.withColumn("dt", F.to_date("ts")).repartition("dt", F.pmod(F.xxhash64("agent_id_hash"), F.lit(16))).sortWithinPartitions("agent_id_hash", "ts").write.partitionBy("dt").mode("overwrite").parquet(path)
