@@ -345,7 +345,7 @@ def test_token_counts_follow_edits(spark, docs):
     encode = token_counts.encoding(ranks).encode_ordinary
     rng = random.Random(7)
     for text in [t for (t,) in rows_of(docs.limit(60), "text")] + ["", "a", "  ", "x" * 3000]:
-        tree, now = token_counts.CountTree(text, encode), text
+        tree, now = token_counts.CountTree(text, encode, token_counts.cuts_of(ranks)), text
         for _ in range(6):
             a = rng.randint(0, len(now))
             b, new = min(len(now), a + rng.choice([0, 1, 40, 2000])), rng.choice(["", " ", "x", " a b ", "it's\n\n  "])
@@ -375,7 +375,8 @@ def test_token_counts_awkward(awkward, nothing):
 
 def test_leaves_stay_small_under_many_edits():
     encode = lambda text: text.split(" ")
-    tree, rng = token_counts.CountTree("some words of a text " * 400, encode), random.Random(3)
+    ranks = token_counts.Ranks.load(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.PATTERN)
+    tree, rng = token_counts.CountTree("some words of a text " * 400, encode, token_counts.cuts_of(ranks)), random.Random(3)
     for _ in range(300):
         at = rng.randint(0, int(tree.chars[1]))
         tree.edit(at, at + rng.randint(0, 30), " and more words " * rng.randint(0, 4))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import filter_audit, linking, mixing, ngram_join, queries, ranked_search, sentencepieces
+from tracemill.llm import filter_audit, linking, mixing, ngram_join, queries, ranked_search, sentencepieces, token_counts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -238,3 +238,60 @@ def test_mixing_of_repeated_keys_is_the_same_every_time(spark):
     one, two = (spark.createDataFrame(r, "doc_id long, text string, lang string, source string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5)))
     mixed = [sorted(_rows(mixing.mix_sources(df, [F.col("source")], {}, 0.5), "doc_id", "text")) for df in (one, two)]
     assert mixed[0] == mixed[1] != []
+
+
+# operator 7 in texts without spaces
+
+SCRIPTS = {
+    "chinese": [chr(c) for c in range(0x4E00, 0x9FA5, 7)],
+    "marked": [*[chr(c) for c in range(0x4E00, 0x5200)], "。", "，", "1", "9"],
+    "base64": list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/="),
+    "signs": list("!?.,;:'\"#-_()"),
+    "contractions": ["'", "s", "t", "re", "ve", "ll", " ", "a", "1", "!", "'s"],
+    "spaces": [" ", "\n", "\t", "\r\n", "a", "é", "9", "!", "\u00a0", "\x1c", "\u3000"],
+    "kana": [chr(c) for c in range(0x3041, 0x30FF)],
+}
+
+
+@pytest.fixture(scope="module")
+def counter():
+    ranks = token_counts.Ranks.load(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.PATTERN)
+    return token_counts.encoding(ranks).encode_ordinary, token_counts.cuts_of(ranks)
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_edits_in_every_script(counter, script, monkeypatch):
+    monkeypatch.setattr(token_counts, "LEAF", 16)
+    encode, cuts = counter
+    rng, letters = random.Random(script), SCRIPTS[script]
+    text = "".join(rng.choices(letters, k=600))
+    tree = token_counts.CountTree(text, encode, cuts)
+    assert tree.total() == len(encode(text))
+    for _ in range(300):
+        start = rng.randrange(len(text) + 1)
+        end = min(len(text), start + rng.randrange(6))
+        new = "".join(rng.choices(letters, k=rng.randrange(6)))
+        tree.edit(start, end, new)
+        text = text[:start] + new + text[end:]
+        assert tree.text() == text and tree.total() == len(encode(text))
+
+
+@pytest.mark.parametrize("script", ["chinese", "marked", "base64", "kana", "spaces"])
+def test_an_edit_encodes_little_of_a_long_text(counter, script):
+    encode, cuts = counter
+    rng = random.Random(1)
+    text = "".join(rng.choices(SCRIPTS[script], k=400_000))
+    tree = token_counts.CountTree(text, encode, cuts)
+    tree.edit(200_000, 200_005, text[:5])
+    assert tree.reencoded < 2500 and tree.total() == len(encode(text[:200_000] + text[:5] + text[200_005:]))
+
+
+def test_cuts_follow_the_pattern():
+    other = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    known = token_counts.Ranks.load(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", queries.PATTERN)
+    ranks = token_counts.Ranks("other", other, known.data)
+    encode, cuts = token_counts.encoding(ranks).encode_ordinary, token_counts.cuts_of(ranks)
+    rng = random.Random(2)
+    for letters in SCRIPTS.values():
+        text = "".join(rng.choices(letters, k=3000))
+        assert sum(len(encode(x)) for x in token_counts.leaves(text, cuts, 16)) == len(encode(text))

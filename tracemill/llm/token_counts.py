@@ -1,8 +1,10 @@
 """Token counts that follow edits.
 
-A text is cut into leaves of whole pre-tokens.  A cut stands before a space between
-two other characters: no pre-token reaches over it, and what lies on one side never
-changes the pre-tokens of the other.  Two segment trees over the leaves hold sums of
+A text is cut into leaves where nothing on one side changes the tokens of the other.
+Such a cut stands before a space between two other characters; before any white space
+and between letters, digits and other characters, as far as the pattern ends its
+pre-tokens there; and inside a long run of letters between two whose bytes are neighbours
+in no token, so that no merge can reach over them.  Two segment trees over the leaves hold sums of
 characters and of tokens.  An edit re-encodes the leaves it touches (and a
 neighbour whose cut it may have broken), cuts them anew if they have grown, and
 updates the sums above them.
@@ -11,19 +13,29 @@ updates the sums above them.
 from __future__ import annotations
 
 import base64
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.textnum import map_text
 
 LEAF = 512
-#: a cut is safe only between two characters that are no white space
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: before a space between two characters that are no white space: safe for every pattern
+SPACED = r"(?<=[^\p{White_Space}]) (?=[^\p{White_Space}])"
+#: kinds of boundaries, and samples that a pattern must cut behind their first part
+KINDS = {
+    r"(?<=[^\p{White_Space}])(?=\p{White_Space})": [(x, rest) for x in ("a", "1", "!", "'") for rest in ("\nb", "\n\nb", "\tb", "  b", "\r\n1", " \n!", "\n")],
+    r"(?<=\p{L})(?=\p{N})": [("ab", "12"), ("字", "9")],
+    r"(?<=\p{N})(?=\p{L})": [("12", "ab"), ("9", "字")],
+    r"(?<=\p{L})(?=[^\p{L}\p{N}\p{White_Space}])": [("ab", "!!"), ("字", "。"), ("ab", "'"), ("ab", "'s"), ("ab", "\x1c")],
+    r"(?<=\p{N})(?=[^\p{L}\p{N}\p{White_Space}])": [("12", "!!"), ("9", "。"), ("1", "'s")],
+    r"(?<=[^\p{L}\p{N}\p{White_Space}'])(?=\p{L})": [("!!", "ab"), ("。", "字"), ("\"", "s"), ("\x1c", "a")],
+    r"(?<=[^\p{L}\p{N}\p{White_Space}'])(?=\p{N})": [("!!", "12"), ("。", "9")],
+}
 #: characters around a cut that keep it safe
 CONTEXT = 2
 RESULTS = ["n_tokens", "n_tokens_edited", "n_reencoded", "n_chars_edited"]
@@ -44,6 +56,46 @@ class Ranks:
 
 
 _ENCODINGS: dict[str, object] = {}
+_CUTS: dict[str, object] = {}
+
+
+class Cuts:
+    """Where a text may be cut so that both sides have the tokens they have together."""
+
+    def __init__(self, ranks: Ranks) -> None:
+        split = regex.compile(ranks.pattern)
+        ends = lambda first, rest: split.findall(first + rest)[0] == first
+        kept = [kind for kind, samples in KINDS.items() if all(ends(*x) for x in samples)]
+        self.boundary = regex.compile("|".join([SPACED, *kept]))
+        self.runs = split.findall("abcabc") == ["abcabc"] and split.findall("字字字") == ["字字字"]
+        self.joined = np.zeros((256, 256), bool)
+        for line in ranks.data.splitlines():
+            token = np.frombuffer(base64.b64decode(line.split()[0]), np.uint8)
+            self.joined[token[:-1], token[1:]] = True
+
+    def _between(self, a: str, b: str) -> bool:
+        """Whether no merge reaches over two letters of one pre-token."""
+        return self.runs and a.isalpha() and b.isalpha() and not self.joined[a.encode()[-1], b.encode()[0]]
+
+    def after(self, text: str, start: int) -> int | None:
+        """The first place for a cut in the first stretch of LEAF characters from ``start`` that has one."""
+        while start < len(text):
+            end = min(len(text), start + LEAF)
+            found = self.boundary.search(text, start, end)
+            if found:
+                return found.start()
+            for k in range(start, end):
+                if self._between(text[k - 1], text[k]):
+                    return k
+            start = end
+        return None
+
+
+def cuts_of(ranks: Ranks) -> Cuts:
+    """The cuts of a worker, worked out once."""
+    if ranks.name not in _CUTS:
+        _CUTS[ranks.name] = Cuts(ranks)
+    return _CUTS[ranks.name]
 
 
 def encoding(ranks: Ranks):
@@ -56,20 +108,20 @@ def encoding(ranks: Ranks):
     return _ENCODINGS[ranks.name]
 
 
-def leaves(text: str, size: int = LEAF) -> list[str]:
-    """The text in runs of whole pre-tokens of about ``size`` characters."""
-    cuts = [0]
-    while cuts[-1] + size < len(text) and (found := CUT.search(text, cuts[-1] + size)):
-        cuts.append(found.start())
-    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+def leaves(text: str, cuts: Cuts, size: int = LEAF) -> list[str]:
+    """The text in parts of about ``size`` characters that don't change each other's tokens."""
+    places = [0]
+    while places[-1] + size < len(text) and (found := cuts.after(text, places[-1] + size)) is not None:
+        places.append(found)
+    return [text[a:b] for a, b in zip(places, [*places[1:], len(text)], strict=True)]
 
 
 class CountTree:
     """Segment trees of characters and tokens over the leaves of one text."""
 
-    def __init__(self, text: str, encode) -> None:  # noqa: ANN001
-        self.encode, self.reencoded = encode, 0
-        leaf = leaves(text)
+    def __init__(self, text: str, encode, cuts: Cuts) -> None:  # noqa: ANN001
+        self.encode, self.cuts, self.reencoded = encode, cuts, 0
+        leaf = leaves(text, cuts)
         self._build(leaf, [len(encode(x)) for x in leaf])
 
     def _build(self, leaf: list[str], tokens: list[int]) -> None:
@@ -122,7 +174,7 @@ class CountTree:
         old = "".join(self.leaf[low : high + 1])
         text = old[: start - begin] + new + old[end - begin :]
         self.reencoded += len(text)
-        cut = leaves(text)
+        cut = leaves(text, self.cuts)
         counts = [len(self.encode(x)) for x in cut]
         if len(cut) == high - low + 1:
             for k, (piece, count) in enumerate(zip(cut, counts, strict=True)):
@@ -142,8 +194,8 @@ def token_counts(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str |
 
     Defined cases: a null or empty text has no tokens and can be edited; null edits
     are none, and so is a null entry among them; a null start is 0, a null end is the
-    start (an insertion), a null new text is empty; a text without safe cuts is one leaf; an empty table gives an empty
-    result.  Columns (or those of ``keep``) pass through; one named as a result is
+    start (an insertion), a null new text is empty; a text without safe cuts (one sign
+    a million times) is one leaf; an empty table gives an empty result.  Columns (or those of ``keep``) pass through; one named as a result is
     replaced.  Rows never leave their partition.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -154,10 +206,10 @@ def token_counts(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str |
     kept = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
 
     def measure(rows: pa.Array) -> dict:
-        encode = encoding(shared.value).encode_ordinary
+        encode, cuts = encoding(shared.value).encode_ordinary, cuts_of(shared.value)
         out: dict[str, list] = {name: [] for name in RESULTS}
         for row in rows.to_pylist():
-            tree = CountTree(row["text"] or "", encode)
+            tree = CountTree(row["text"] or "", encode, cuts)
             out["n_tokens"].append(tree.total())
             for e in row["edits"] or []:
                 if e is not None:
