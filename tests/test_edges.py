@@ -297,6 +297,26 @@ def test_trace_batches(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/t")).count() == 1
 
 
+def test_a_broken_line_loses_nothing_else(spark, tmp_path):
+    trace = lambda name: json.dumps({"events": [{"event_type": "x", "trace": {"trace_id": name, "components": []}}]})
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join([trace("t1"), '{"events": [', "", trace("t2"), "[1, 2]", json.dumps({"events": "none"}), trace("t3")]))
+    (folder / "b.json").write_text(trace("t4") + "\nnot JSON")
+    good, bad = otlp.sorted_out(otlp.read_lines(spark, str(folder)), otlp.ENVELOPE)
+    assert sorted(r.trace_id for r in otlp.parse_trace_batches(good).collect()) == ["t1", "t2", "t3", "t4"]
+    found = sorted((r.file.split("/")[-1], r.reason, r.record[:9]) for r in bad.collect())
+    assert found == [("a.json", "no JSON", '{"events"'), ("a.json", "no object", "[1, 2]"), ("a.json", "other types", '{"events"'), ("b.json", "no JSON", "not JSON")]
+    parts = otlp.sorted_out(otlp.read_lines(spark, str(folder), stream=True), otlp.ENVELOPE)
+    for name, df in (("good_lines", otlp.parse_trace_batches(parts[0]).select("trace_id")), ("bad_lines", parts[1].select("record", "reason"))):
+        df.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("good_lines").count() == 4 and spark.table("bad_lines").count() == 4
+    point = lambda value: json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": [{"asDouble": value, "timeUnixNano": "1000"}]}}]}]}]})
+    (tmp_path / "m.json").write_text("\n".join([point(1.5), "{", point(2.5)]))
+    good, bad = otlp.sorted_out(otlp.read_lines(spark, str(tmp_path / "m.json")), otlp.METRICS)
+    assert sorted(r.value for r in otlp.flatten_otlp_metrics(good).collect()) == [1.5, 2.5] and bad.count() == 1
+
+
 def test_trace_store_prunes_by_date(spark, tmp_path):
     tr = adapter.traces(spark, "/root/testdata/sf0.001")
     otlp.write_traces(tr, str(tmp_path / "store"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -152,22 +153,60 @@ def n_eff(tc: DataFrame, by: str | None = None, features: Sequence[str] = tuple(
     return done.withColumnRenamed("g", by or "scope")
 
 
-def rolling_n_eff(tr: DataFrame, window: int = 500, step: int = 100) -> DataFrame:
+def _moments(features: Sequence[str]):
+    """Of one pane's rows: what any window that holds it needs, gaps left open."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.stack([table.column(c).to_numpy().astype(float) for c in features], 1)
+        gap = np.isnan(x)
+        z, open_ = np.where(gap, 0.0, x), gap.astype(float)
+        parts = (z.T @ z, z.T @ open_, open_.T @ open_, z.sum(0), (~gap).sum(0))
+        held = np.concatenate([np.ravel(p).astype(float) for p in parts])
+        return pa.table({"pane": table.column("pane").slice(0, 1), "n": pa.array([len(x)], pa.int64()), "held": pa.array([held.tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def _window_sizes(features: Sequence[str], top: int):
+    """Of one window's panes: their moments added up, gaps filled with the window's means, and the sizes."""
+    k = len(features)
+
+    def run(table: pa.Table) -> pa.Table:
+        held, n = np.sum(table.column("held").to_pylist(), 0), int(np.sum(table.column("n").to_numpy()))
+        both, one, none = held[: 3 * k * k].reshape(3, k, k)
+        sums, known = held[3 * k * k :].reshape(2, k)
+        mean = np.where(known > 0, sums / np.maximum(known, 1), 0.0)
+        cross = both + one * mean + (one * mean).T + none * np.outer(mean, mean)
+        ratio, entropy, used, first = _sizes(sums + (n - known) * mean, cross, n)
+        labels = np.array(features)[used]
+        best = np.argsort(-np.abs(first).round(9), kind="stable")[:top]
+        row = {"w": str(table.column("w")[0].as_py()), "n": n, "participation": ratio, "entropy_size": entropy, "features": int(used.sum()), "loadings": [f"{labels[i]}={first[i]:.4f}" for i in best]}
+        return pa.Table.from_pylist([row], schema=pa.schema([("w", pa.string()), ("n", pa.int64()), ("participation", pa.float64()), ("entropy_size", pa.float64()), ("features", pa.int64()), ("loadings", pa.list_(pa.string()))]))
+
+    return run
+
+
+def rolling_n_eff(tr: DataFrame, window: int = 500, step: int = 100, features: Sequence[str] = tuple(FEATURES), top: int = 8) -> DataFrame:
     """N_eff of windows of rows in time order.
 
     Places come from counts of minutes before a row's minute and its rank within the
     minute, so no sort holds more than a minute.  The table of minutes, one small row
-    for each that has rows, is in order in one task.
+    for each that has rows, is in order in one task.  A pane of ``step`` rows becomes one
+    matrix of moments; windows are sums of panes, so no row is copied into windows.
     """
+    if window % step:
+        raise ValueError("a window is a whole number of steps")
     minute = F.date_trunc("minute", "ts")
     counts = tr.groupBy(minute.alias("minute")).agg(F.count("*").alias("c"))
     before = counts.select("minute", (F.sum("c").over(Window.orderBy("minute")) - F.col("c")).alias("before"))
     ranked = tr.withColumn("minute", minute).join(before, "minute").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("minute").orderBy("ts", "trace_id")) - 1)
-    last = F.floor(F.col("at") / step)
-    first = F.greatest(F.lit(0), F.floor((F.col("at") - window) / step) + 1)
     total = tr.count()
-    windows = ranked.withColumn("w", F.explode(F.sequence(first, last))).where(F.col("w") * step + window <= total).withColumn("w", F.col("w").cast("string"))
-    return n_eff(windows, by="w")
+    placed = ranked.withColumn("pane", F.floor(F.col("at") / step).cast("long"))
+    rows = constraint_vector(placed, ["pane"]).dropna(subset=list(ESSENTIAL)).select("pane", *[F.col(c).cast("double").alias(c) for c in features])
+    panes = rows.groupBy("pane").applyInArrow(_moments(features), "pane long, n long, held array<double>")
+    first = F.greatest(F.lit(0).cast("long"), F.col("pane") - (window // step - 1))
+    windows = panes.withColumn("w", F.explode(F.sequence(first, F.col("pane")))).where(F.col("w") * step + window <= total)
+    return windows.groupBy("w").applyInArrow(_window_sizes(features, top), "w string, n long, participation double, entropy_size double, features long, loadings array<string>")
 
 
 def repository_stats(tr: DataFrame, domain: str | None = None) -> DataFrame:

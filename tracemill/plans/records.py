@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from tracemill.functions import privacy as P
 from tracemill.operators import filters as L
 from tracemill.operators import ingest as I  # noqa: E741
+from tracemill.operators.views import task_class
 from tracemill.plans.common import Registry, r, second, table, tidy
 from tracemill.sources import otlp
 from tracemill.sources.adapter import AS_OF, derived, traces, with_derived, with_traces
@@ -233,6 +236,39 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{exploded} from {parts} e")
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a corpus export reads back as: rows and the ends of each data set's order."""
+    tr, folder = traces(spark, sf_dir), otlp.scratch(spark)
+    up = _components(spark, sf_dir).where(F.col("event_type").isin(*I.CONNECTIVITY))
+    tables = {
+        "traces": tr.select("event_id", "trace_id", "agent_id_hash", "ts", "csdma"),
+        "trace_batches": tr.groupBy("batch_id").agg(F.min("ts").alias("batch_timestamp"), F.count("*").alias("traces")),
+        "public_keys": derived(spark, sf_dir, "keys").withColumnRenamed("ts", "created_at"),
+        "connectivity_events": up.select("trace_id", "event_type", F.col("event_ts").cast("timestamp").alias("ts")),
+        "trace_context": tr.select("event_id", "trace_id", task_class(F.col("channel_id"), F.col("cognitive_state"), F.col("task_id")).alias("task_class")),
+    }
+    otlp.export_corpus(tables, folder)
+    shown = lambda c, df: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if df.schema[c].dataType.typeName() == "timestamp" else F.col(c).cast("string")
+    parts = []
+    for name, column in otlp.DATASETS.items():
+        back = spark.read.schema(tables[name].schema).json(f"{folder}/{name}")
+        parts.append(back.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.min(shown(column, back)).alias("first"), F.max(shown(column, back)).alias("last")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_TEXT = "cast(event_id as varchar)"
+registry.queries["export_corpus"] = _corpus
+registry.sql["export_corpus"] = with_derived(
+    with_traces(
+        f"""with ev as ({EVENTS_SQL}), b as (select min(ts) as first_ts from tr group by batch_id), x as (
+              select 'traces' as name, {_TEXT} as v from tr union all select 'trace_context', {_TEXT} from tr union all select 'trace_batches', {second('first_ts')} from b
+              union all select 'public_keys', {second('ts')} from keys union all select 'connectivity_events', {second('cast(event_ts as timestamp)')} from ev where event_type in ('startup', 'shutdown'))
+            select n.name, count(v) as n, min(v) as first, max(v) as last from (values ('traces'), ('trace_context'), ('trace_batches'), ('public_keys'), ('connectivity_events')) n(name) left join x using (name) group by n.name"""
+    ),
+    "keys",
+)
+
+
 def _on_components(name: str, build, sql: str | None) -> None:  # noqa: ANN001
     registry.queries[name] = lambda spark, d: tidy(build(_components(spark, d)))
     if sql:

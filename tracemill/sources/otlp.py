@@ -51,6 +51,26 @@ def parse_trace_batches(raw: DataFrame, column: str = "value") -> DataFrame:
     return _traces_of(raw.select(F.from_json(column, ENVELOPE).alias("b")).select("b.*"))
 
 
+def read_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Lines of the files of a folder as (value, file), once or as they come; blank lines are none."""
+    reader = spark.readStream if stream else spark.read
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(F.trim("value") != "")
+
+
+def sorted_out(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of lines that should be JSON objects of a schema such as ``ENVELOPE``, ``METRICS``, ``SPANS`` or ``LOGS``.
+
+    Good lines go to the parser of their kind as they are.  Bad ones are (record, file,
+    reason): no JSON, no object, or fields of other types.  A bad line costs no other.
+    """
+    parsed = lines.withColumn("j", F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})).withColumn("v", F.try_parse_json("value"))
+    kind = F.schema_of_variant("v")
+    reason = F.when(F.col("v").isNull(), "no JSON").when(~kind.startswith("OBJECT"), "no object").when(F.col("j").isNull() | F.col("j.__bad").isNotNull(), "other types")
+    judged = parsed.select("value", "file", reason.alias("reason"))
+    return judged.where("reason is null").select("value", "file"), judged.where("reason is not null").select(F.col("value").alias("record"), "file", "reason")
+
+
 def explode_components(traces: DataFrame) -> DataFrame:
     """One row per component of a trace, in order."""
     return traces.select("trace_id", F.posexplode("components").alias("i", "c")).select("trace_id", "i", "c.component_type", "c.event_type", "c.timestamp", "c.data")
@@ -97,7 +117,19 @@ def write_traces(traces: DataFrame, path: str) -> None:
     traces.withColumn("dt", F.to_date("ts")).repartition("dt", F.pmod(F.xxhash64("agent_id_hash"), F.lit(16))).sortWithinPartitions("agent_id_hash", "ts").write.partitionBy("dt").mode("overwrite").parquet(path)
 
 
-def export_jsonl(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as lines of JSON, ordered by its first column."""
+#: fixed values: the data sets of a corpus export and the column that each is ordered by
+DATASETS = {"traces": "event_id", "trace_batches": "batch_timestamp", "public_keys": "created_at", "connectivity_events": "ts", "trace_context": "event_id"}
+
+
+def export_jsonl(tables: dict[str, DataFrame], path: str, order: dict[str, str] | None = None) -> None:
+    """Each table as lines of JSON, ordered by the column named for it or else by its first."""
     for name, df in tables.items():
-        df.orderBy(df.columns[0]).write.mode("overwrite").json(f"{path}/{name}")
+        df.orderBy((order or {}).get(name, df.columns[0])).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def export_corpus(tables: dict[str, DataFrame], path: str) -> None:
+    """The five data sets of a corpus, each in its own order; all of them or none."""
+    missing = [f"{name}.{column}" for name, column in DATASETS.items() if name not in tables or column not in tables[name].columns]
+    if missing:
+        raise ValueError(f"a corpus export needs {', '.join(missing)}")
+    export_jsonl({name: tables[name] for name in DATASETS}, path, DATASETS)
