@@ -301,20 +301,28 @@ class Encoder:
         if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
             self.held = 0
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        parts = [self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh: set[str] = set()
-        now: dict[str, bytes] = {}  # of these texts alone
-        for t in marked:
-            fresh.update(s for s in self.stretch.findall(t) if s not in self.known and s not in now)
+        long: list[str] = []  # known while these texts are encoded
+
+        def learn() -> None:
+            for s, ids in (learned := self.learn(sorted(fresh))).items():
+                if len(s) > SHORT:
+                    long.append(s)
+                else:
+                    self.held += 4 * len(s) + len(ids)
+            self.known.update(learned)
+            fresh.clear()
+
+        for part in parts:
+            fresh |= set(part).difference(self.known)
             if len(fresh) >= TOGETHER:
-                now |= self.learn(sorted(fresh))
-                fresh.clear()
+                learn()
         if fresh:
-            now |= self.learn(sorted(fresh))
-        out = [b"".join([self.known[s] if s in self.known else now[s] for s in self.stretch.findall(t)]) for t in marked]
-        short = {s: ids for s, ids in now.items() if len(s) <= SHORT}
-        self.known |= short
-        self.held += sum(4 * len(s) + len(ids) for s, ids in short.items())
+            learn()
+        out = [b"".join(map(self.known.__getitem__, part)) for part in parts]
+        for s in long:
+            self.known.pop(s, None)
         return out
 
 
