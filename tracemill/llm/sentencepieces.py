@@ -301,7 +301,7 @@ class Encoder:
         if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
             self.held = 0
-        parts = [self.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         fresh: set[str] = set()
         long: list[str] = []  # known while these texts are encoded
 
@@ -314,13 +314,14 @@ class Encoder:
             self.known.update(learned)
             fresh.clear()
 
-        for part in parts:
-            fresh |= set(part).difference(self.known)
+        for t in marked:
+            fresh |= set(self.stretch.findall(t)).difference(self.known)
             if len(fresh) >= TOGETHER:
                 learn()
         if fresh:
             learn()
-        out = [b"".join(map(self.known.__getitem__, part)) for part in parts]
+        # found twice, as lists of all stretches would live through the learning and leave memory in pieces
+        out = [b"".join(map(self.known.__getitem__, self.stretch.findall(t))) for t in marked]
         for s in long:
             self.known.pop(s, None)
         return out
