@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 import zlib
 from collections import Counter
 
@@ -451,3 +452,36 @@ def test_route_clusters_equal_all_pairs(spark, reach, least):
         got.setdefault(r.cluster, set()).add(int(r.task_id[1:]))
     assert sum(map(len, got.values())) == len(paths)
     assert {frozenset(v) for k, v in got.items() if k is not None} == _clusters(paths, reach, least)
+
+
+ATTACKED = [
+    "<SCRIPT a>x</script>", "<script>", "</Script>", "onload = 'x'", "onclick=go", "JavaScript :x", "vbscript:x", "data:x;base64", "<iframe></iframe>", "<iframe>", "<object></object>", "<embed>", "<svg onload=", "<img onerror=", "<body onload=", "expression(", "@import x",
+    "UNION ALL SELECT", "drop\ttable", "delete from", "insert into", "update x set", "exec(", "XP_cmdshell", "--", "#", "/*", "*/", "' or '1'='1", "; drop", "&sh", "|bash", "`x`", "$(x)", "../", "..\\", "%00", "\x00",
+]
+
+
+def test_guard_of_attacks_holds_for_every_rule(spark):
+    met = spark.createDataFrame([(x,) for x in ATTACKED], "text string").select(F.col("text").rlike(P.ATTACK_GUARD).alias("guard"), P.detect_patterns(F.col("text")).alias("names")).collect()
+    assert all(r.guard and r.names for r in met) and {n for r in met for n in r.names} == {n for n, _ in P.ATTACKS}
+
+
+def test_lists_of_many_clean_models_take_no_step_for_each(spark):
+    names = lambda n: spark.range(0, n, 1, 1).select(P.validate_models(F.to_json(F.transform(F.sequence(F.lit(1), F.lit(1002)), lambda i: F.concat_ws("-", F.lit("m"), i, "id")))).alias("v"))
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert names(n).agg(F.sum(F.size("v.value"))).first()[0] == 1000 * n
+        return time.perf_counter() - start
+
+    once = seconds(1)
+    assert seconds(4000) - once < 15
+
+
+def test_models_of_odd_lists_are_sanitised_one_by_one(spark):
+    texts = ['["ok", "../z", null, "ok"]', '["a,b", "x--y"]', json.dumps(["m" * 257, "n"]), json.dumps(["n"] * 1001 + ["a b", "../"]), " [1, 2]", "[broken", None, "3", '"x"']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", P.validate_models(F.col("text")).alias("v")).orderBy("i").collect()
+    was = "models_used_was_string"
+    assert [(list(r.v.value)[-3:], list(r.v.issues)) for r in rows] == [
+        (["ok", "[PATH_REMOVED]z", "ok"], [was, "path_traversal"]), (["a,b", "x[SQL_REMOVED:sql_comment]y"], [was, "sql_comment"]), (["m" * 256 + "[TRUNCATED]", "n"], [was, "size_limit_exceeded"]),
+        (["n", "n", "n"], [was, "path_traversal", "models_used_truncated"]), (["1", "2"], [was]), (["[broken"], [was]), ([], []), ([], [was, "models_used_invalid_type"]), ([], [was, "models_used_invalid_type"]),
+    ]
