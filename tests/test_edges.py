@@ -14,6 +14,7 @@ from tracemill.functions import privacy as P
 from tracemill.operators import corpus as C
 from tracemill.operators import detectors as D
 from tracemill.operators import filters as L
+from tracemill.operators import governance as G
 from tracemill.operators import ingest, telemetry
 from tracemill.operators import views as V
 from tracemill.sources import adapter, otlp
@@ -485,3 +486,10 @@ def test_models_of_odd_lists_are_sanitised_one_by_one(spark):
         (["ok", "[PATH_REMOVED]z", "ok"], [was, "path_traversal"]), (["a,b", "x[SQL_REMOVED:sql_comment]y"], [was, "sql_comment"]), (["m" * 256 + "[TRUNCATED]", "n"], [was, "size_limit_exceeded"]),
         (["n", "n", "n"], [was, "path_traversal", "models_used_truncated"]), (["1", "2"], [was]), (["[broken"], [was]), ([], []), ([], [was, "models_used_invalid_type"]), ([], [was, "models_used_invalid_type"]),
     ]
+
+
+def test_live_agents_say_nothing_of_their_manager_but_that_it_is_enabled(spark):
+    seen = spark.createDataFrame([("x", "2024-01-30 23:58:00", "m"), ("y", "2024-01-30 23:58:00", "off"), ("z", "2024-01-30 20:00:00", "m")], "agent string, seen string, manager_id string").withColumn("seen", F.col("seen").cast("timestamp"))
+    managers = spark.createDataFrame([("m", True, "refused"), ("off", False, None)], "manager_id string, enabled boolean, last_error string")
+    live = G.live_agents(seen, managers, AS_OF)
+    assert (sorted(live.columns), [r.agent for r in live.collect()]) == (["agent", "enabled", "manager_id", "seen"], ["x"])
