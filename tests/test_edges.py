@@ -493,3 +493,9 @@ def test_live_agents_say_nothing_of_their_manager_but_that_it_is_enabled(spark):
     managers = spark.createDataFrame([("m", True, "refused"), ("off", False, None)], "manager_id string, enabled boolean, last_error string")
     live = G.live_agents(seen, managers, AS_OF)
     assert (sorted(live.columns), [r.agent for r in live.collect()]) == (["agent", "enabled", "manager_id", "seen"], ["x"])
+
+
+def test_deviations_are_said_by_their_exact_value(spark):
+    numbers = [("temporal_drift", 0.185, "0.18 change"), ("temporal_drift", 0.235, "0.23 change"), ("temporal_drift", 0.255, "0.26 change"), ("temporal_drift", 0.125, "0.12 change"), ("cross_agent_divergence", -2.25, "-2.2 sigma"), ("cross_agent_divergence", 1234.56, "1234.6 sigma"), ("hash_chain", 3.0, "3 gaps"), ("conscience_override", 2.35, "2.4 times")]
+    for mechanism, number, said in numbers:
+        assert spark.range(1).select(D._said(D.SAID[mechanism], F.lit(number))).first()[0] == said
