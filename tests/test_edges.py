@@ -499,3 +499,13 @@ def test_deviations_are_said_by_their_exact_value(spark):
     numbers = [("temporal_drift", 0.185, "0.18 change"), ("temporal_drift", 0.235, "0.23 change"), ("temporal_drift", 0.255, "0.26 change"), ("temporal_drift", 0.125, "0.12 change"), ("cross_agent_divergence", -2.25, "-2.2 sigma"), ("cross_agent_divergence", 1234.56, "1234.6 sigma"), ("hash_chain", 3.0, "3 gaps"), ("conscience_override", 2.35, "2.4 times")]
     for mechanism, number, said in numbers:
         assert spark.range(1).select(D._said(D.SAID[mechanism], F.lit(number))).first()[0] == said
+
+
+def test_residue_gate_query_reads_no_number_but_the_years(spark, tmp_path):
+    """Documents whose numbers look like years, and whose own years are out of reach."""
+    from tracemill.plans import records
+
+    docs = spark.createDataFrame([(1750, "x", "s"), (1751, "x", "s"), (12, "x", "s"), (1747, None, "s")], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id for r in records.registry.queries["residue_gate"](spark, str(tmp_path)).collect()}
+    assert found == {12}  # at 1702; the others stand at 1690, 1691 and 2037
