@@ -509,3 +509,18 @@ def test_residue_gate_query_reads_no_number_but_the_years(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id for r in records.registry.queries["residue_gate"](spark, str(tmp_path)).collect()}
     assert found == {12}  # at 1702; the others stand at 1690, 1691 and 2037
+
+
+def test_batches_and_malformed_records_read_each_component_once(spark):
+    """One scan of the components says of each trace all that its destination, size and batch follow from; rows of a trace are sized without their data."""
+    ev = spark.createDataFrame([("t", 0, "startup", "{}", "b", "generic", "k"), ("u", 0, "ODD", '{"a": 1', "b", "generic", "x"), ("v", 0, "ODD", "{}", None, "generic", "k")], "trace_id string, i int, event_type string, data string, batch_id string, trace_level string, signature_key_id string")
+    ev = ev.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    keys = spark.createDataFrame([("k", False)], "key_id string, revoked boolean").withColumn("expires", F.lit(None).cast("timestamp"))
+    out = ingest.ingest(ev, keys)
+    batches = ingest.batch_accounting(out["results"])
+    assert sorted((r.batch_id or "", r.received, r.accepted, r.rejected, r.destinations, r.reasons) for r in batches.collect()) == [
+        ("", 1, 0, 1, ["malformed"], ["schema: unknown_schema=1"]), ("b", 2, 1, 1, ["connectivity", "malformed"], ["schema: unknown_schema=1"]),
+    ]
+    assert sorted((r.trace_id, r.bytes, r.component_count, r.event_types, r.severity) for r in out["malformed"].collect()) == [("u", 7, 1, ["ODD"], "error"), ("v", 2, 1, ["ODD"], "error")]
+    for df, most in ((batches, 1), (out["malformed"].drop("sha256"), 1)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") - 1 <= most  # and the keys
