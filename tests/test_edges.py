@@ -349,6 +349,17 @@ def test_redaction_counts_follow_the_order_of_rules(spark):
     assert all(second[c] == 0 for c in ("n_identifier", "n_year", "n_email"))
 
 
+def test_rules_read_only_what_may_match(spark):
+    texts = ["no match here, " * 50 + "call 555\n123 - 4567 or 4111 1111\u00a01111 1111. bare foo_1989@x.org https://h/[URL] 1 words", "1989 und é 10.0.0.1", "x\t(555) 123 4567 y\u30001989 z", "only words", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.select(P.matchable(F.col("text"))).first()[0] == "call 555\n123 - 4567 or 4111 1111\u00a01111 1111. foo_1989@x.org https://h/[URL] 1 "
+    for r in P.redaction_counts(df.withColumn("done", P.scrub_text(F.col("text"))), "text").collect():
+        text, seen = r.text, dict.fromkeys((name for name, _, _ in P.SCRUB_RULES), 0)
+        for name, pattern, replacement in P._rules("scrub") if text is not None else ():
+            text, seen[name] = pattern.subn(replacement, text)
+        assert (r.done, {n: r[f"n_{n}"] for n in seen}) == (text, seen)
+
+
 def test_key_status_and_page(spark):
     tr = spark.createDataFrame([("t1", "k1", "2024-01-02"), ("t2", "k2", "2024-01-02"), ("t3", "k3", "2024-01-02"), ("t4", None, "2024-01-02")], "trace_id string, signature_key_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     keys = spark.createDataFrame([("k1", False, "2024-01-01"), ("k2", True, None), ("k3", False, None)], "key_id string, revoked boolean, expires string").withColumn("expires", F.col("expires").cast("timestamp"))
