@@ -185,6 +185,17 @@ def test_nested_sanitising_has_bounds(spark):
     assert set(r.s.detections) == {"key_truncated", "path_traversal", "array_truncated", "depth_limit_exceeded", "size_limit_exceeded"} and (r.s.modified, r.s.truncated) == (3, 1)
 
 
+def test_long_json_texts_reach_python_in_small_batches(spark):
+    """Arrow batches hold 10,000 rows however long; pickled ones a hundred."""
+    df = spark.createDataFrame([('{"reasoning": "in 1888 ../a"}',), ("no json of 1888",), (None,)], "t string")
+    done = df.select(P.scrub_json(F.col("t")).alias("scrubbed"), P.sanitize_json(F.col("t")).alias("s"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    rows = [(r.scrubbed, r.s.value, r.s.detections, r.s.modified, r.s.truncated) for r in done.collect()]
+    assert rows[0] == ('{"reasoning":"in [YEAR] ../a"}', '{"reasoning":"in 1888 [PATH_REMOVED]a"}', ["path_traversal"], 1, 0)
+    assert rows[1:] == [("no json of 1888", "no json of 1888", [], 0, 0), (None, None, [], 0, 0)]
+
+
 def test_typed_columns_are_sanitised(spark):
     df = spark.createDataFrame([((("../a", 1), ["b", "%00"]), ["x"] * 1200)], "s struct<t: struct<v: string, n: int>, l: array<string>>, a array<string>")
     (row,) = P.sanitize_nested(df, ["s", "a"]).collect()
