@@ -196,6 +196,22 @@ def test_long_json_texts_reach_python_in_small_batches(spark):
     assert rows[1:] == [("no json of 1888", "no json of 1888", [], 0, 0), (None, None, [], 0, 0)]
 
 
+def test_few_batches_go_to_the_traces(spark):
+    """Whatever Spark guesses of their size; many batches are joined by a shuffle, to the same rows."""
+    from tracemill.operators import views
+
+    tr = spark.createDataFrame([("t1", "b1"), ("t2", "b2"), ("t3", None), ("t4", "b9")], "trace_id string, batch_id string")
+    batches = spark.createDataFrame([("b1", '{"agent_role": "x", "user_latitude": "1.5"}'), ("b2", "{}")], "batch_id string, correlation_metadata string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = views.batch_context(tr, batches), views.batch_context(tr, batches, most=1)
+        assert ["BroadcastHashJoin" in x._jdf.queryExecution().executedPlan().toString() for x in (few, many)] == [True, False]
+        assert few.orderBy("trace_id").collect() == many.orderBy("trace_id").collect() and {r.trace_id: r.agent_role for r in few.collect()} == {"t1": "x", "t2": None, "t3": None, "t4": None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_typed_columns_are_sanitised(spark):
     df = spark.createDataFrame([((("../a", 1), ["b", "%00"]), ["x"] * 1200)], "s struct<t: struct<v: string, n: int>, l: array<string>>, a array<string>")
     (row,) = P.sanitize_nested(df, ["s", "a"]).collect()
