@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import tempfile
 import time
 import zlib
 from collections import Counter
@@ -98,6 +99,15 @@ def test_n_eff_queries_by_numpy(spark, registry_query):
         check(got, rows[100 * w : 100 * w + 500])
 
 
+def test_n_eff_reads_its_rows_once(spark):
+    rows = [("g", 0.1 * i, 1.0 * (i % 3), None if i % 4 == 0 else 0.3 * i) for i in range(12)] + [(None, 0.1 * i, 0.5, 1.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, csdma double, dsdma double, coherence double")
+    df.write.mode("overwrite").parquet(folder := tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    done = C.n_eff(spark.read.parquet(folder), by="g", features=("csdma", "dsdma", "coherence"))
+    assert done._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    assert {r.g: (r.n, r.features) for r in done.collect()} == {"g": (12, 3), None: (3, 1)}
+
+
 def test_frechet_distance():
     import numpy as np
 
