@@ -162,3 +162,13 @@ def test_no_payload_stops_an_ingest(spark):
     stored = {r.trace_id: r.dma_results for r in out["production"].collect()}
     assert "\ud800" not in stored["surrogate"] and "[YEAR]" in stored["surrogate"]
     assert all(len(r.sha256) == 64 for r in out["malformed"].collect()) and out["malformed"].count() == 4
+
+
+def test_spread_on_its_limit_is_taken_in_the_order_of_time(spark):
+    """The rows of one group, whose deviation is a last bit over 0.15 in their order and 0.15 in the other, and of one that is never over."""
+    values = [("a", x) for x in (0.38, 0.14, 0.32, 0.05, 0.32, 0.5, 0.32)] + [("b", x) for x in (0.32, 0.5, 0.32, 0.05, 0.32, 0.14, 0.38)]
+    rows = [(f"t{i:02}", agent, "kind", f"2024-01-20 00:00:{i:02}", f"act{i % 4}", x) for i, (agent, x) in enumerate(values)]
+    for given in (rows, rows[::-1], rows[::2] + rows[1::2]):
+        tr = _timed(spark, given, "trace_id string, agent_id_hash string, trace_type string, ts string, selected_action string, csdma double")
+        for made in (tr.coalesce(1), tr.repartition(5)):
+            assert [(r.agent_id_hash, r.severity, r.value) for r in D.intra_agent_inconsistency(made, AS_OF).collect()] == [("a", "warning", 0.15000000000000002)]
