@@ -172,3 +172,16 @@ def test_spread_on_its_limit_is_taken_in_the_order_of_time(spark):
         tr = _timed(spark, given, "trace_id string, agent_id_hash string, trace_type string, ts string, selected_action string, csdma double")
         for made in (tr.coalesce(1), tr.repartition(5)):
             assert [(r.agent_id_hash, r.severity, r.value) for r in D.intra_agent_inconsistency(made, AS_OF).collect()] == [("a", "warning", 0.15000000000000002)]
+
+
+def test_a_jump_on_its_limit_is_taken_in_the_order_of_time(spark, monkeypatch):
+    """Two days of ten traces: the mean of the second is a last bit more or less than 0.15 over the first by the order of its sum."""
+    values = (0.78, 0.05, 0.02, 0.75, 0.97, 0.92, 0.45, 0.86, 0.23, 0.37)
+    days = {"a": [(0.39,) * 10, values], "b": [(0.39,) * 10, values[::-1]]}
+    rows = [(f"t{agent}{d}{i}", agent, f"2024-01-{20 + d} 00:00:{i:02}", x, 0.5) for agent, both in days.items() for d, day in enumerate(both) for i, x in enumerate(day)]
+    found = lambda tr: [(r.agent_id_hash, r.deviation_text, r.domain) for r in D.daily_drift(tr, AS_OF).collect()]
+    for given in (rows, rows[::-1], rows[::2] + rows[1::2]):
+        tr = _timed(spark, given, "trace_id string, agent_id_hash string, ts string, csdma double, coherence double")
+        assert [found(made) for made in (tr.coalesce(1), tr.repartition(5))] == [[("a", "0.15 change", "2024-01-21")]] * 2
+    monkeypatch.setattr(D, "ORDERED", 9)  # more rows than are put in order: equal up to rounding is equal
+    assert found(tr) == []
