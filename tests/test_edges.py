@@ -572,3 +572,21 @@ def test_batches_and_malformed_records_read_each_component_once(spark):
     assert sorted((r.trace_id, r.bytes, r.component_count, r.event_types, r.severity) for r in out["malformed"].collect()) == [("u", 7, 1, ["ODD"], "error"), ("v", 2, 1, ["ODD"], "error")]
     for df, most in ((batches, 1), (out["malformed"].drop("sha256"), 1)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") - 1 <= most  # and the keys
+
+
+def test_each_event_is_parsed_once_and_odd_data_give_nulls(spark):
+    def made(data):
+        events = [("t", i, kind, x, "2024-01-01 00:00:00") for i, (kind, x) in enumerate(data.items())]
+        return ingest.denormalise(spark.createDataFrame(events, "trace_id string, i int, event_type string, data string, timestamp string"))
+
+    plan = made({"THOUGHT_START": "{}"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= len(ingest.STORED) and "get_json_object(" not in plan
+    odd = {
+        "THOUGHT_START": '{"thought_depth": "3", "thought_type": "a\tb", "task_description": {"x": [1, null]}}', "SNAPSHOT_AND_CONTEXT": '{"cognitive_state": "work"', "ASPDMA_RESULT": '[{"is_recursive": true}]',
+        "DMA_RESULTS": '{"csdma": "{\\"plausibility_score\\": 1}", "dsdma": [{"domain": "d"}], "pdma": {"conflicts": null, "stakeholders": ["a", "b"]}, "idma": {"k_eff": 1.50}}',
+        "CONSCIENCE_RESULT": '{"entropy_level": 0, "epistemic_data": {"entropy_level": "0.75"}, "entropy_passed": false, "coherence_passed": null, "conscience_passed": "Yes"}', "ACTION_RESULT": '{"tokens_total": "9.9", "cost_cents": 1e2, "models_used": null}',
+    }
+    got = made(odd).first()
+    assert (got.thought_depth, got.thought_type, got.cognitive_state, got.is_recursive, got.csdma_plausibility_score, got.dsdma_domain) == (3, "a\tb", None, None, None, None)
+    assert (got.pdma_conflicts, got.pdma_stakeholders, got.idma_k_eff, got.entropy_level, got.entropy_passed, got.coherence_passed, got.conscience_passed) == (None, '["a","b"]', 1.5, 0.75, False, None, True)
+    assert (got.tokens_total, got.cost_cents, got.models_used, got.conscience_checks_count, got.snapshot_and_context) == (9, 100.0, None, 1, odd["SNAPSHOT_AND_CONTEXT"])
